@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, grammar, mixing, quality, sharding
+from pagelode.llm import bpe, grammar, language, lines, minhash, mixing, quality, sharding, simhash, substrings
 from pagelode.llm.common import documents
 
 
@@ -17,10 +17,23 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir))[0]
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar.round_trip(documents(spark, sf_dir), vocabulary())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.measures(documents(spark, sf_dir).select("doc_id", "text"))
     rows = quality.cascade(rows.withColumn("base_failed", quality.base_failed()), rejected=F.col("base_failed"))
@@ -41,8 +54,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.where(~language.held_out()))
+    out = language.identify(docs, model)
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.against_next(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_binary, op5_quality_rules, op6_sharding, op7_bpe, op8_mixing)
+    f.__name__: f for f in (
+        op1_minhash, op2_substring_dedup, op3_token_binary, op4_line_dedup, op5_quality_rules,
+        op6_sharding, op7_bpe, op8_mixing, op9_language_id, op10_simhash,
+    )
 }
 
 SQL: dict[str, str] = {}
