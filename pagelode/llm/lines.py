@@ -57,11 +57,11 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def tokens(line: Column, powers: Column) -> Column:
-    """The sorted keys of a line's distinct words."""
+def tokens(line: Column, powers: str = "powers") -> Column:
+    """The sorted keys of a line's distinct words; powers: the column with rarity()'s array."""
 
     def key(w: Column) -> Column:
-        power = F.get(powers, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")).cast("bigint")
+        power = F.get(F.col(powers), F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")).cast("bigint")
         return F.shiftleft(power, 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 6))
 
     return F.sort_array(F.transform(F.array_distinct(words_of(line)), key))
@@ -70,7 +70,7 @@ def tokens(line: Column, powers: Column) -> Column:
 def postings(keys: Column) -> Column:
     """array<struct<key, pos>> of a sorted token set by which lines meet."""
     n = F.size(keys)
-    prefix = n - F.ceil(n * 0.8).cast("int") + 1
+    prefix = F.floor(n / 5).cast("int") + 1  # n - ceil(0.8 n) + 1
     one = F.transform(F.slice(keys, 1, prefix), lambda k, i: F.struct(k.alias("key"), i.alias("pos")))
     first = F.slice(keys, 1, F.least(prefix + 1, n))
     pairs = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 2, F.lit(SHORT)), lambda b: F.struct(F.xxhash64(a, b).alias("key"), F.lit(-1).alias("pos")))))
@@ -80,7 +80,7 @@ def postings(keys: Column) -> Column:
 
 def _may_match() -> Column:
     """Length and positional filters of x (this line) and y (an earlier one)."""
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9.0)
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9)
     room = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
     sizes = (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
     earlier = F.struct("y.doc_id", "y.line_no") < F.struct("x.doc_id", "x.line_no")
@@ -98,7 +98,7 @@ def matched(lines: DataFrame, classes: DataFrame, powers: DataFrame, scratch: Sc
     wanted = posts.select(*kinds).distinct()
     flags = scratch.save(dense(wanted.groupBy(spot.alias("bucket")).agg(F.lit(1).alias("value")), MAP, 0), "flags")
     some = lines.where(F.get(flags.scalar(), spot) == 1)
-    sets = some.join(wanted, kinds, "left_semi").dropDuplicates(kinds).select(*kinds, tokens(F.col("line"), powers.scalar()).alias("tokens"))
+    sets = some.join(wanted, kinds, "left_semi").dropDuplicates(kinds).withColumn("powers", powers.scalar()).select(*kinds, tokens(F.col("line")).alias("tokens"))
     sets = scratch.save(sets, "sets")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
@@ -126,7 +126,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     powers = scratch.save(rarity(rows), "rarity")
     lines = split_lines(rows)
-    keyed = lines.select("doc_id", "line_no", tokens(F.col("line"), powers.scalar()).alias("t"))
+    keyed = lines.withColumn("powers", powers.scalar()).select("doc_id", "line_no", tokens(F.col("line")).alias("t"))
     keyed = keyed.select("doc_id", "line_no", F.size("t").alias("n"), F.xxhash64("t").alias("s1"), F.xxhash64("t", F.lit(1)).alias("s2"), postings(F.col("t")).alias("posts"))
     keyed = scratch.save(keyed, "keyed")
     classes = keyed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("n").alias("n"), F.first("posts").alias("posts"))
