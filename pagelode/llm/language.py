@@ -176,32 +176,45 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return out
 
 
+def predict(known: Scores, text: bytes, penalty: float) -> tuple[str, float, list[dict]]:
+    """The language, the share of its letters, and the spans of one text."""
+    langs = known.model.langs
+    found = known.of(text.split()) if langs else np.zeros((0, 1), np.float32)
+    letters = found[:, -1]
+    if not letters.sum():
+        return "und", 0.0, []
+    labels = viterbi(found[:, :-1], penalty)
+    shares = np.bincount(labels, letters, len(langs)) / letters.sum(dtype=np.float64)
+    top = int(shares.argmax())
+    starts = np.flatnonzero(np.diff(labels, prepend=-1))
+    spans = [{"start": a, "end": b, "lang": langs[labels[a]]} for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(labels)])]
+    return langs[top], min(1.0, float(shares[top])), spans
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """doc_id, lang_pred, score and spans (first word, end, lang) of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        known = Scores(m)
+        known = Scores(shipped.value)
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            pred, score, spans = [], [], []
-            for text in utf8(batch.column(1)):
-                found = known.of(text.split()) if m.langs else np.zeros((0, 1), np.float32)
-                letters = found[:, -1]
-                if not letters.sum():
-                    pred.append("und")
-                    score.append(0.0)
-                    spans.append([])
-                    continue
-                labels = viterbi(found[:, :-1], penalty)
-                shares = np.bincount(labels, letters, len(m.langs)) / letters.sum(dtype=np.float64)
-                top = int(shares.argmax())
-                pred.append(m.langs[top])
-                score.append(float(shares[top]))
-                starts = np.flatnonzero(np.diff(labels, prepend=-1))
-                spans.append([{"start": a, "end": b, "lang": m.langs[labels[a]]} for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(labels)])])
-            span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(span))], names=["doc_id", "lang_pred", "score", "spans"])
+            got = [predict(known, t, penalty) for t in utf8(batch.column(1))]
+            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), span))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+
+
+def in_a_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+    """The input's rows whose text has a language with at least that share of its letters."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Scores(shipped.value)
+        for batch in batches:
+            got = [predict(known, t, penalty) for t in utf8(batch.column(batch.schema.get_field_index(text_col)))]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

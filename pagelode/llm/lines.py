@@ -121,7 +121,10 @@ def matched(lines: DataFrame, classes: DataFrame, powers: DataFrame, scratch: Sc
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (what is left, null for null), n_lines (with a word) and n_removed of every document."""
+    """The input with its text cut to the lines that stay, n_lines (with a word) and n_removed.
+
+    Input columns named n_lines and n_removed are replaced; null text stays null.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     powers = scratch.save(rarity(rows), "rarity")
@@ -135,13 +138,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     firsts = classes.select("s1", "s2", "doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left").select("s1", "s2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "gone")
     later = (F.col("doc_id") != F.col("d")) | (F.col("line_no") != F.col("l")) | F.col("gone")
     removed = keyed.select("doc_id", "line_no", "s1", "s2").join(firsts, ["s1", "s2"]).where(later)
-    removed = removed.groupBy("doc_id").agg(F.collect_set("line_no").alias("removed"))
-    all_ = F.split("text", "\n")
-    out = rows.join(removed, "doc_id", "left").withColumn("lines", all_)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))
-    return out.select(
-        "doc_id",
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(F.filter(F.coalesce("lines", F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    removed = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_removed"))
+    lined = docs.drop("n_lines", "n_removed").withColumn("_lines", F.split(F.col(text_col), "\n"))
+    out = lined.join(removed, F.col(id_col) == F.col("_id"), "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed"), lambda i: F.get("_lines", i))
+    whole = F.filter(F.coalesce("_lines", F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumns(
+        {
+            text_col: F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
+            "n_lines": F.size(whole).cast("long"),
+            "n_removed": F.coalesce(F.size("_removed"), F.lit(0)).cast("long"),
+        }
+    ).drop("_id", "_removed", "_lines")

@@ -170,3 +170,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     out = signed.drop("keys").join(named, "set_digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows without those that a document of a smaller id stands for; of equal rows one stays."""
+    found = near_duplicates(docs, words, percent, id_col, text_col)
+    gone = found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col, text_col]).select(*docs.columns)

@@ -17,7 +17,7 @@ Input columns besides the three named ones are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.llm.common import Scratch, n_words
@@ -29,14 +29,17 @@ DIGITS = 3
 LEVELS = 3
 
 
+def doc_key(name: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(name.cast("string"), F.lit("null"))), 1, DIGITS * LEVELS)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, key) of all documents."""
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
-        F.substring(F.md5(name), 1, DIGITS * LEVELS).alias("key"),
+        doc_key(F.col(id_col)).alias("key"),
     )
 
 
@@ -98,23 +101,38 @@ def thresholds(keys: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", F.when(F.col("whole"), F.lit("g")).otherwise(F.col("prefix")).alias("threshold"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each document: doc_id, size, source, source_size, target, times (how often it is taken), taken."""
-    scratch = Scratch(docs.sparkSession, "mixing")
-    keys = scratch.save(keyed(docs, id_col, text_col, source_col), "keys")
+def plan(keys: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, source_size, target, whole, threshold), one row for each source of keyed()'s rows."""
     sizes = keys.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = scratch.save(targets(sizes, weights, share, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     cut = thresholds(keys.where("size > 0"), goal.select("source", "budget"))
-    plan = scratch.save(
-        goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")))
-        .select(F.col("g.source").alias("source"), "source_size", "target", "whole", "threshold"),
-        "plan",
-    )
-    again = (F.col("key") < F.col("threshold")) & (F.col("whole") < most)
-    times = F.col("whole") + again.cast("long")
-    return (
-        keys.alias("k").join(plan.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source")))
-        .select("doc_id", "size", F.col("k.source").alias("source"), "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
-    )
+    out = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")))
+    # a source that stops at its most takes nothing once more
+    threshold = F.when(F.col("whole") < most, F.col("threshold")).otherwise(F.lit(""))
+    return scratch.save(out.select(F.col("g.source").alias("source"), "source_size", "target", "whole", threshold.alias("threshold")), "plan")
+
+
+def times() -> Column:
+    """How often a document is taken, from its key and its source's plan."""
+    return F.col("whole") + (F.col("key") < F.col("threshold")).cast("long")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each document: doc_id, size, source, source_size, target, times (how often it is taken), taken."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    keys = scratch.save(keyed(docs, id_col, text_col, source_col), "keys")
+    rows = keys.alias("k").join(plan(keys, scratch, weights, share, most).alias("p"), F.col("k.source").eqNullSafe(F.col("p.source")))
+    return rows.select("doc_id", "size", F.col("k.source").alias("source"), "source_size", "target", times().alias("times"), (F.col("size") * times()).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The input's rows as often as the mix takes them."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    keys = scratch.save(keyed(docs, id_col, text_col, source_col), "keys")
+    sources = plan(keys, scratch, weights, share, most).select(F.col("source").alias("_source"), "whole", "threshold")
+    sources = sources.select("_source", F.struct("whole", "threshold").alias("_plan"))
+    rows = docs.join(sources, F.col(source_col).eqNullSafe(F.col("_source")))
+    often = F.col("_plan.whole") + (doc_key(F.col(id_col)) < F.col("_plan.threshold")).cast("long")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), often.cast("int")))).drop("_source", "_plan", "_copy")
