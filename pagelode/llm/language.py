@@ -113,40 +113,52 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 class Scores(dict):
-    """For each word, its row in a matrix with a score for each language and, last, its letters."""
+    """For each word met, its row in a matrix with a score for each language and, last, its letters."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.matrix = np.zeros((1024, len(self.model.langs) + 1), np.float32)
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        if at == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        letters = bare(word)
-        if letters:
-            m = self.model
-            row = np.sum([m.weights.get(p, m.unseen) for p in pieces(letters)], axis=0)
-            users = m.uses.get(script(letters[0]))
-            row = row - row.max() if users else row * 0
-            if users:
-                row = np.where([x in users for x in m.langs], row, row.min() - PENALTY)
-                row = row - row.max()
-            self.matrix[at, :-1] = np.maximum(row, -4 * PENALTY)
-            self.matrix[at, -1] = len(letters)
-        self[word] = at
-        return at
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > REMEMBER:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.matrix[at]
+        self.piece = {p: i for i, p in enumerate(model.weights)}
+        self.weights = np.array([*model.weights.values(), model.unseen or (0.0,) * len(model.langs)], np.float32).reshape(-1, len(model.langs))
+        self.uses = {s: np.array([x in own for x in model.langs]) for s, own in model.uses.items()}
+        self.matrix = np.zeros((0, len(model.langs) + 1), np.float32)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Score words that are new, all at once."""
+        found = [bare(w) for w in words]
+        rows = np.zeros((len(words), self.matrix.shape[1]), np.float32)
+        lettered = np.array([i for i, w in enumerate(found) if w], np.int64)
+        if len(lettered):
+            own = [found[i] for i in lettered.tolist()]
+            known, unseen = self.piece.get, len(self.weights) - 1
+            flat = [known(p, unseen) for w in own for p in pieces(w)]
+            sizes = np.array(list(map(len, own)))
+            sums = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+            none = np.zeros(len(self.model.langs), bool)
+            users = np.array([self.uses.get(script(w[0]), none) for w in own])
+            kept = np.where(users, sums, np.inf).min(1)
+            sums = np.where(users, sums, kept[:, None] - PENALTY)
+            sums = np.maximum(sums - sums.max(1, keepdims=True), -4 * PENALTY)
+            rows[lettered, :-1] = np.where(users.any(1)[:, None], sums, 0)
+            rows[lettered, -1] = sizes
+        start = len(self.matrix)
+        self.matrix = np.concatenate([self.matrix, rows])
+        self.update(zip(words, range(start, start + len(words))))
+
+    def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """For each text its words' rows."""
+        for at in range(0, len(texts), 200):
+            split = [t.split() for t in texts[at : at + 200]]
+            met = set().union(*split)
+            new = met.difference(self)
+            if new and len(self) + len(new) > REMEMBER:
+                self.clear()
+                self.matrix, new = self.matrix[:0], met
+            if new:
+                self.learn(list(new))
+            for words in split:
+                places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+                yield self.matrix[places]
 
 
 def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -176,12 +188,10 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return out
 
 
-def predict(known: Scores, text: bytes, penalty: float) -> tuple[str, float, list[dict]]:
-    """The language, the share of its letters, and the spans of one text."""
-    langs = known.model.langs
-    found = known.of(text.split()) if langs else np.zeros((0, 1), np.float32)
+def predict(langs: list[str], found: np.ndarray, penalty: float) -> tuple[str, float, list[dict]]:
+    """The language, the share of its letters, and the spans of one text, from its words' rows."""
     letters = found[:, -1]
-    if not letters.sum():
+    if not langs or not letters.sum():
         return "und", 0.0, []
     labels = viterbi(found[:, :-1], penalty)
     shares = np.bincount(labels, letters, len(langs)) / letters.sum(dtype=np.float64)
@@ -200,7 +210,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         known = Scores(shipped.value)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            got = [predict(known, t, penalty) for t in utf8(batch.column(1))]
+            got = [predict(known.model.langs, x, penalty) for x in known.of(utf8(batch.column(1)))]
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), span))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "lang_pred", "score", "spans"])
 
@@ -214,7 +224,7 @@ def in_a_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(shipped.value)
         for batch in batches:
-            got = [predict(known, t, penalty) for t in utf8(batch.column(batch.schema.get_field_index(text_col)))]
+            got = [predict(known.model.langs, x, penalty) for x in known.of(utf8(batch.column(batch.schema.get_field_index(text_col))))]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, si
 ODD = [
     None, "", " \t\n", "one", "The quick brown fox isn't here. ", "a<|endoftext|>b <|startoftext|>", "ΑΣ ς Σ É é ß İ ǆ", "x" * 3000,
     "same line here\nsame line here\n\nother\n \nsame line here", "one two three four five six seven eight nine " * 6, "### $$$ word*** " * 30,
-    "a b c d e f g h " + " ".join("abcdefghij"[i % 10] + "klmnopqr"[i // 10] for i in range(60)) + " a b c d e f g h", "日本語 テキスト 12345 ½ ²", "tab\tand\x0bvt\x1cfs nbsp em\x85nel", "Å é",
+    "a b c d e f g h " + " ".join("ab" + "abcdefghij"[i % 10] + "klmnopqr"[i // 10] for i in range(60)) + " a b c d e f g h", "日本語 テキスト 12345 ½ ²", "tab\tand\x0bvt\x1cfs nbsp em\x85nel", "Å é",
 ]
 
 
