@@ -119,7 +119,7 @@ class Scores(dict):
         super().__init__()
         self.model = model
         self.piece = {p: i for i, p in enumerate(model.weights)}
-        self.weights = np.array([*model.weights.values(), model.unseen or (0.0,) * len(model.langs)], np.float32).reshape(-1, len(model.langs))
+        self.weights = np.array([*model.weights.values(), model.unseen or (0.0,) * len(model.langs)], np.float32).reshape(len(model.weights) + 1, len(model.langs))
         self.uses = {s: np.array([x in own for x in model.langs]) for s, own in model.uses.items()}
         self.matrix = np.zeros((0, len(model.langs) + 1), np.float32)
 
@@ -146,7 +146,10 @@ class Scores(dict):
         self.update(zip(words, range(start, start + len(words))))
 
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """For each text its words' rows."""
+        """For each text its words' rows; none where nothing was learned."""
+        if not self.model.langs:
+            yield from (np.zeros((0, 1), np.float32) for _ in texts)
+            return
         for at in range(0, len(texts), 200):
             split = [t.split() for t in texts[at : at + 200]]
             met = set().union(*split)
