@@ -34,6 +34,11 @@ class Rule:
     rejects: Callable[[Column], Column]
 
 
+def worded_lines(text: Column) -> Column:
+    """A text's lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
 
@@ -43,8 +48,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Intermediate columns are used more than once, which keeps Spark from evaluating them again.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumn("_w", words_of(F.col(text_col))).withColumn("_lines", lines)
+    df = docs.withColumn("_w", words_of(F.col(text_col))).withColumn("_lines", worded_lines(text))
     df = df.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
@@ -89,7 +93,7 @@ def _share(pattern: str, of: str, most: float) -> Callable[[Column], Column]:
 RULES = (
     Rule("word length", lambda t: (F.col("word_chars") > 15 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
     Rule("symbols", lambda t: F.col("n_symbols") > 0.5 * F.col("n_words")),
-    Rule("repeated lines", lambda t: 10 * F.col("n_dup_lines") > 3 * F.regexp_count(t, F.lit(r"(?m)^.*[^\x20\x09-\x0D]"))),
+    Rule("repeated lines", lambda t: 10 * F.col("n_dup_lines") > 3 * F.size(worded_lines(t))),
     Rule("digits", _share(r"\p{N}", r"\p{L}", 0.5)),
     Rule("capitals", _share(r"\p{Lu}", r"\p{L}", 0.6)),
 )

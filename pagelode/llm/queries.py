@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from pagelode.llm import bpe, grammar, language, lines, minhash, mixing, quality, sharding, simhash, substrings
 from pagelode.llm.common import documents
+from pagelode.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def vocabulary() -> str:
@@ -72,4 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
