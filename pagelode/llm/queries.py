@@ -68,10 +68,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.against_next(documents(spark, sf_dir))
 
 
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct fingerprints within 3 bits, by operator 10's block tables."""
+    return simhash.near(simhash.fingerprints(documents(spark, sf_dir)), 3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash, op2_substring_dedup, op3_token_binary, op4_line_dedup, op5_quality_rules,
-        op6_sharding, op7_bpe, op8_mixing, op9_language_id, op10_simhash,
+        op6_sharding, op7_bpe, op8_mixing, op9_language_id, op10_simhash, near_fingerprints,
     )
 }
 

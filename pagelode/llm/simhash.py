@@ -103,9 +103,10 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({x for x in rows.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) or [] if x is not None}, reverse=True)
+    shares = [i / parts for i in range(1, parts)]
+    found = rows.approxQuantile("doc_id", shares, 0.1 / parts) if shares else []
+    cuts = sorted({x for x in found or [] if x is not None}, reverse=True)
     # range 0 has the largest ids; a null id is after all
-    at = F.lit(len(cuts))
     spots = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
     at = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(spots, lambda c: F.col("doc_id") < c)))
     ranged = rows.withColumn("range", at)
