@@ -788,3 +788,43 @@ def orders_by_nation(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.groupBy("n_name").agg(F.count("*").alias("orders"), F.countDistinct("c_custkey").alias("customers"))
+
+
+# --- more rewrites, wikis and scores ----------------------------------------------------------
+
+
+@query("select p_partkey as page_id, case when p_size % 2 = 0 then '== A ==' || chr(10) || '=== B ===' || chr(10) || p_name else '== C ==' || chr(10) || p_type end as text from part")
+def empty_sections(spark, sf):
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("== A ==\n=== B ===\n"), "p_name")).otherwise(F.concat(F.lit("== A ==\n\n=== B ===\n\n== C ==\n"), "p_type"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), wikitext.without_empty_sections(text).alias("text"))
+
+
+@query("select p_partkey as page_id, 'é &lt; &#124; &nbsp; – ' || p_name as text from part")
+def html_entities(spark, sf):
+    text = F.concat(F.lit("&eacute; &lt; &#124; &nbsp; &#8211; "), "p_name")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), wikitext.decoded_entities(text).alias("text"))
+
+
+@query("select p_partkey as page_id, '{{box|a|x=1}} == no' || chr(10) || '== H ==' || chr(10) || p_name || chr(10) || '== I ==' || chr(10) || 'z' as text from part")
+def section_replacements(spark, sf):
+    text = F.concat(F.lit("{{box|a|size=3|x=1}} == no\n== H ==\nold\n=== deep ===\nold\n== I ==\nz"))
+    text = F.replace(wikitext.replace_section("H", "NEW")(wikitext.without_parameter("Box", "size")(text)), F.lit("NEW"), F.col("p_name"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), text.alias("text"))
+
+
+@query("select n_nationkey, 'de' as language from nation where n_regionkey = 2 and n_nationkey % 3 <> 0")
+def site_matrix(spark, sf):
+    from pagelode.operators import wikis
+
+    n = table(spark, sf, "nation")
+    dim = n.select("n_nationkey", F.col("n_regionkey").cast("string").alias("family"), F.lit("de").alias("language"), (F.col("n_nationkey") % 3 == 0).alias("closed"), F.lit(False).alias("private"))
+    return wikis.matrix(dim, "2", "de").select("n_nationkey", "language")
+
+
+@query("""select r.rev_id, cast(l.quality as double) as score, case when l.doc_id is null then 'not scored' end as unscorable_reason from v_revision r left join labels l on l.doc_id = r.rev_id""")
+def revision_scores(spark, sf):
+    from pagelode.operators import wikis
+
+    scores = table(spark, sf, "labels").select(F.col("doc_id").alias("rev_id"), F.col("quality").cast("double").alias("probability"), F.lit(None).cast("string").alias("reason"))
+    out = wikis.scored(Catalog(spark, sf)["revision"].select("rev_id"), scores)
+    return out.select("rev_id", "result.score", "result.unscorable_reason")
