@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 #: Entries that a worker remembers before it starts afresh.
-REMEMBER = 400_000
+REMEMBER = 800_000
 
 
 def byte_letters() -> list[str]:
@@ -42,6 +43,43 @@ def byte_letters() -> list[str]:
     return out
 
 
+class Splitter:
+    """The words of a text without ASCII white space, as the vocabulary's normaliser and pattern give them."""
+
+    def __init__(self, path: str, special: dict[str, int]):
+        self.path, self.special, self.library = path, special, None
+        self.words = regex.compile(PATTERN)
+        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")")
+
+    def by_library(self, piece: str) -> list[str]:
+        """For letters newer than Python's tables, which differ between libraries: the normaliser and splitter themselves."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        low = self.library.normalizer.normalize_str(piece)
+        return [low[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(low)]
+
+    def __call__(self, chunk: bytes) -> list[str | int]:
+        """Words, and ids of special tokens."""
+        text = chunk.decode()
+        # most are letters, or letters and then marks: these are one match of the pattern each
+        bare = text.rstrip(".,;:!?")
+        low = bare.lower()
+        if low.isalpha() and (low.isascii() or ("\u03a3" not in bare and unicodedata.is_normalized("NFC", bare))):
+            return [low, text[len(bare) :]] if len(bare) < len(text) else [low]
+        out: list[str | int] = []
+        for k, piece in enumerate(self.cut.split(text) if "<" in text else [text]):
+            if k % 2:
+                out.append(self.special[piece])
+            else:
+                # lower() writes a final sigma; the library maps letters one by one
+                low = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower()
+                new = not low.isascii() and any(unicodedata.category(c) == "Cn" for c in low)
+                out += self.by_library(piece) if new else self.words.findall(low)
+        return out
+
+
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -51,9 +89,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in (self.ids | self.special).items()}
         self.letters = byte_letters()
-        self.words = regex.compile(PATTERN)
-        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
-        self.of_word: dict[str, bytes] = {}
+        self.split = Splitter(path, self.special)
+        self.of_word: dict[str | int, bytes] = {}
         self.of_chunk = _Chunks(self)
 
     def encode_word(self, word: str) -> list[int]:
@@ -78,21 +115,17 @@ class WordBpe:
                 ranks[i] = rank((here, joined(parts[at[i + 1] : at[i + 2]])), none)
         return [self.ids[joined(parts[a:b])] for a, b in zip(at, at[1:])]
 
-    def encode_chunk(self, chunk: str) -> bytes:
+    def encode_chunk(self, chunk: bytes) -> bytes:
         """The ids, as little-endian unsigned 32-bit integers, of a text without ASCII white space."""
         out = []
-        for k, piece in enumerate(self.cut.split(chunk)):
-            if k % 2:
-                out.append(np.uint32(self.special[piece]).tobytes())
-                continue
-            # lower() writes a final sigma; the library maps letters one by one
-            for word in self.words.findall(unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower()):
-                got = self.of_word.get(word)
-                if got is None:
-                    if len(self.of_word) >= REMEMBER:
-                        self.of_word.clear()
-                    got = self.of_word[word] = np.array(self.encode_word(word), "<u4").tobytes()
-                out.append(got)
+        for word in self.split(chunk):
+            got = self.of_word.get(word)
+            if got is None:
+                if len(self.of_word) >= REMEMBER:
+                    self.of_word.clear()
+                ids = [word] if isinstance(word, int) else self.encode_word(word)
+                got = self.of_word[word] = struct.pack(f"<{len(ids)}I", *ids)
+            out.append(got)
         return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
@@ -112,7 +145,7 @@ class _Chunks(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= REMEMBER:
             self.clear()
-        got = self[chunk] = self.bpe.encode_chunk(chunk.decode())
+        got = self[chunk] = self.bpe.encode_chunk(chunk)
         return got
 
 

@@ -5,6 +5,7 @@ A *word* is a run of characters other than U+0020 and U+0009 to U+000D.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ class Scratch:
         df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Have the driver collect its garbage, upon which Spark removes the shuffle files of tables that are done."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         jvm = self.spark.sparkContext._jvm

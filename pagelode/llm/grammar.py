@@ -24,19 +24,18 @@ by text. Other columns are not read. An empty table gives an empty table.
 from __future__ import annotations
 
 import json
-import unicodedata
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelode.llm.bpe import PATTERN, byte_letters, utf8
+from pagelode.llm.bpe import REMEMBER, Splitter, byte_letters, utf8
 from pagelode.llm.common import Scratch
 
 END_ID = 1
@@ -44,48 +43,45 @@ SHARD_TOKENS = 1 << 18
 #: A pair gets a rule if it occurs so often in a shard; rounds end with the first that finds none.
 FREQUENT = 24
 ROUNDS = 6
-REMEMBER = 400_000
 
 
-class LibraryEncoder:
-    """The tokenizers library's ids, word by word: its model encodes each word once and it is remembered."""
+class LibraryEncoder(dict):
+    """The tokenizers library's ids, word by word: its model encodes each word once and it is remembered.
+
+    Keys are texts without ASCII white space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.model = Tokenizer.from_file(path).model
         with open(path, encoding="utf-8") as f:
-            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
-        self.words = regex.compile(PATTERN)
-        self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.of_word: dict[str, bytes] = {}
-        self.of_chunk: dict[bytes, bytes] = {}
-
-    def chunk(self, chunk: bytes) -> bytes:
-        got = self.of_chunk.get(chunk)
-        if got is None:
-            if len(self.of_chunk) >= REMEMBER:
-                self.of_chunk.clear()
-            got = self.of_chunk[chunk] = b"".join(self.pieces(chunk.decode()))
+            self.split = Splitter(path, {t["content"]: t["id"] for t in json.load(f)["added_tokens"]})
+        self.letters = dict(enumerate(byte_letters()))
+        self.of_word: dict[str | int, bytes] = {}
+
+    def word(self, word: str | int) -> bytes:
+        if len(self.of_word) >= REMEMBER:
+            self.of_word.clear()
+        if isinstance(word, int):
+            ids = [word]
+        else:
+            # printable ASCII stands for itself
+            mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(mapped)]
+        got = self.of_word[word] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
-    def pieces(self, chunk: str) -> Iterator[bytes]:
-        for k, piece in enumerate(self.cut.split(chunk)):
-            if k % 2:
-                yield np.uint32(self.special[piece]).tobytes()
-                continue
-            for word in self.words.findall(unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower()):
-                got = self.of_word.get(word)
-                if got is None:
-                    if len(self.of_word) >= REMEMBER:
-                        self.of_word.clear()
-                    mapped = word.encode().decode("latin-1").translate(self.letters)
-                    got = self.of_word[word] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-                yield got
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= REMEMBER:
+            self.clear()
+        known = self.of_word.get
+        got = self[chunk] = b"".join([known(w) or self.word(w) for w in self.split(chunk)])
+        return got
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.chunk, text.split()))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)

@@ -3,15 +3,17 @@
 A line's tokens are its distinct words. A line is removed if an earlier line, by document id and then
 by place, has a Jaccard similarity of 0.8 or more with it, whether or not that one is removed itself.
 
-1. Tokens are ordered by rarity: counts of all words in 2^18 hash buckets give powers of two, and a
+1. Tokens are ordered by rarity: counts of all words in 2^20 hash buckets give powers of two, and a
    token's 63-bit key is that power followed by 58 bits of its hash. Any order common to all lines is
    right; this one puts frequent words last.
 2. Lines with equal token sets form a class; only the first can be a match for others.
 3. Prefix filter: lines of sizes n and m that reach the similarity share a token among the first
-   n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, and two tokens among one more of each. Lines of up to
-   SHORT tokens, whose prefix may hold frequent words, are met by pairs of tokens, longer ones by one.
+   n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, and two tokens among one more of each. A line is posted
+   under the rare tokens of its prefix, and under the pairs of frequent tokens of the longer one: of two
+   shared tokens the first is rare, and then in both prefixes, or both are frequent.
 4. Length and positional filters go with the join: the sizes allow the similarity, and so do the
-   tokens left after the common one.
+   tokens left after the common one. So does a bitmap: 64 bits hold the parity of the tokens that fall
+   on each, and two lines' bitmaps differ in no more bits than their sets differ in tokens.
 5. Stars first: each posting list is held against its first line. A line that is confirmed needs no
    other match; only the others are held against the earlier lines of their posting lists.
 6. Jaccard is verified on whole token sets.
@@ -27,30 +29,40 @@ from pyspark.sql import functions as F
 
 from pagelode.llm.common import Scratch, words_of
 
-BUCKETS = 1 << 18
-SHORT = 12
+BUCKETS = 1 << 20
+#: A token is rare if its bucket's power of two is at most so much above the mean bucket's.
+RARE = 2
 #: Buckets of the map that tells which lines a join needs; it only saves work.
 MAP = 1 << 20
+KEYS = ["doc_id", "line_no"]
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _bucket(hash_: Column) -> Column:
+    """The first 20 bits of a hash."""
+    return F.shiftrightunsigned(hash_, 44).cast("int")
 
 
 def dense(found: DataFrame, size: int, default: int) -> DataFrame:
     """One row with one array of a fixed size from rows (bucket, value)."""
-    spark = found.sparkSession
-    every = spark.range(size).select(F.col("id").cast("int").alias("bucket")).join(found, "bucket", "left")
+    every = found.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket")).join(found, "bucket", "left")
     filled = F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("value", F.lit(default)).cast("tinyint").alias("value"))))
     return every.agg(F.transform(filled, lambda x: x["value"]).alias("values"))
 
 
 def rarity(docs: DataFrame) -> DataFrame:
     """One row with the power of two of each bucket's count of words."""
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("w")).groupBy(_bucket(F.col("w")).alias("bucket")).count()
+    buckets = F.transform(words_of(F.col("text")), lambda w: _bucket(F.xxhash64(w)))
+    counts = docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").count()
     return dense(counts.select("bucket", F.floor(F.log2("count")).alias("value")), BUCKETS, 0)
 
 
+def rare_below(powers: DataFrame) -> int:
+    """The bound of rare tokens' keys, from the mean power of all buckets."""
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + F.when(x > 0, F.pow(F.lit(2.0), x)).otherwise(0.0))
+    mean = powers.select(F.greatest(F.lit(1.0), total / BUCKETS)).collect()[0][0]
+    return (int(mean).bit_length() + RARE) << 58
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line) of all lines with a word."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -59,23 +71,21 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def tokens(line: Column, powers: str = "powers") -> Column:
     """The sorted keys of a line's distinct words; powers: the column with rarity()'s array."""
+    hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
+    key = F.transform(hashes, lambda h: F.shiftleft(F.get(F.col(powers), _bucket(h)).cast("bigint"), 58).bitwiseOR(F.shiftrightunsigned(h, 6)))
+    return F.sort_array(F.array_distinct(key))
 
-    def key(w: Column) -> Column:
-        power = F.get(F.col(powers), F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")).cast("bigint")
-        return F.shiftleft(power, 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 6))
 
-    return F.sort_array(F.transform(F.array_distinct(words_of(line)), key))
+def singles(keys: Column, bound: int) -> Column:
+    """The rare tokens of the prefix, in order. bound: keys below it are rare."""
+    return F.filter(F.slice(keys, 1, F.floor(F.size(keys) / 5).cast("int") + 1), lambda k: k < bound)  # n - ceil(0.8 n) + 1
 
 
-def postings(keys: Column) -> Column:
-    """array<struct<key, pos>> of a sorted token set by which lines meet."""
-    n = F.size(keys)
-    prefix = F.floor(n / 5).cast("int") + 1  # n - ceil(0.8 n) + 1
-    one = F.transform(F.slice(keys, 1, prefix), lambda k, i: F.struct(k.alias("key"), i.alias("pos")))
-    first = F.slice(keys, 1, F.least(prefix + 1, n))
-    pairs = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 2, F.lit(SHORT)), lambda b: F.struct(F.xxhash64(a, b).alias("key"), F.lit(-1).alias("pos")))))
-    both = F.when(n >= -(-(SHORT + 1) * 8 // 10), one).otherwise(F.slice(one, 1, 0))
-    return F.when(n > SHORT, one).when(n == 1, one).otherwise(F.concat(pairs, both))
+def pairs(keys: Column, bound: int) -> Column:
+    """Hashes of the pairs of frequent tokens in the prefix longer by one."""
+    longer = F.slice(keys, 1, F.floor(F.size(keys) / 5).cast("int") + 2)
+    own = F.filter(longer, lambda k: k >= bound)
+    return F.flatten(F.transform(own, lambda a: F.transform(F.filter(own, lambda b: b > a), lambda b: F.xxhash64(a, b))))
 
 
 def _may_match() -> Column:
@@ -84,40 +94,47 @@ def _may_match() -> Column:
     room = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
     sizes = (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
     earlier = F.struct("y.doc_id", "y.line_no") < F.struct("x.doc_id", "x.line_no")
-    return sizes & earlier & ((F.col("x.pos") < 0) | (room >= need))
+    apart = F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map"))) <= F.col("x.n") + F.col("y.n") - 2 * need
+    return sizes & earlier & apart & ((F.col("x.pos") < 0) | (room >= need))
+
+
+def bitmap(keys: Column) -> Column:
+    """For each of 64 bits whether an odd count of tokens falls on it."""
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def confirmed(found: DataFrame, lines: DataFrame, powers: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The lines x of pairs (x_doc, x_line, y_doc, y_line) that reach the similarity, from whole token sets."""
+    spot = F.pmod(F.xxhash64(*KEYS), F.lit(MAP)).cast("int")
+    ends = found.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).unionAll(found.select("y_doc", "y_line"))
+    flags = scratch.save(dense(ends.groupBy(spot.alias("bucket")).agg(F.lit(1).alias("value")), MAP, 0), f"{name}-flags")
+    some = lines.where(F.get(flags.scalar(), spot) == 1).withColumn("powers", powers.scalar())
+    sets = scratch.save(some.select(*KEYS, tokens(F.col("line")).alias("tokens")), f"{name}-sets")
+    own = found.join(sets.toDF("x_doc", "x_line", "a"), ["x_doc", "x_line"]).join(sets.toDF("y_doc", "y_line", "b"), ["y_doc", "y_line"])
+    good = own.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b")))
+    return scratch.save(good.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct(), name)
 
 
 def matched(lines: DataFrame, classes: DataFrame, powers: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, line_no) of the classes' first lines that have an earlier match."""
-    posts = classes.select("doc_id", "line_no", "n", F.inline("posts"))
-    lists = posts.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "line_no", "n", "pos")).alias("hub")).where("size > 1")
-    lists = scratch.save(lists, "lists")
-    posts = scratch.save(posts.join(lists.select("key"), "key"), "posts")
-    kinds = ["doc_id", "line_no"]
-    spot = F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(MAP)).cast("int")
-    wanted = posts.select(*kinds).distinct()
-    flags = scratch.save(dense(wanted.groupBy(spot.alias("bucket")).agg(F.lit(1).alias("value")), MAP, 0), "flags")
-    some = lines.where(F.get(flags.scalar(), spot) == 1)
-    sets = some.join(wanted, kinds, "left_semi").dropDuplicates(kinds).withColumn("powers", powers.scalar()).select(*kinds, tokens(F.col("line")).alias("tokens"))
-    sets = scratch.save(sets, "sets")
-
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        """Lines of the pairs (x, y) that reach the similarity."""
-        own = pairs.join(sets.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("tokens").alias("a")), ["x_doc", "x_line"])
-        own = own.join(sets.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("tokens").alias("b")), ["y_doc", "y_line"])
-        both = F.size(F.array_intersect("a", "b"))
-        good = own.where(9 * both >= 4 * (F.size("a") + F.size("b")))
-        return scratch.save(good.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct(), name)
-
+    one = classes.select(*KEYS, "n", "map", F.posexplode("one").alias("pos", "key"))
+    two = classes.select(*KEYS, "n", "map", F.lit(-1).alias("pos"), F.explode("two").alias("key"))
+    posts = one.unionByName(two)
+    shared = posts.groupBy("key").count().where("count > 1").select("key")
+    posts = scratch.save(posts.join(shared, "key"), "posts")
+    scratch.settle()
     names = [F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")]
-    hubs = lists.select("key", "hub.*")
+    hubs = posts.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "pos", "map")).alias("hub")).select("key", "hub.*")
     stars = posts.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
     stars = scratch.save(stars, "stars")
-    first = confirm(stars, "by-star")
-    open_ = posts.join(first, kinds, "left_anti")
+    scratch.settle()
+    first = confirmed(stars, lines, powers, scratch, "by-star")
+    open_ = posts.join(first, KEYS, "left_anti")
     rest = open_.alias("x").join(posts.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
-    rest = rest.join(stars, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
-    return first.unionByName(confirm(rest, "by-list"))
+    rest = scratch.save(rest.join(stars, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "rest")
+    scratch.drop("posts")
+    scratch.settle()
+    return first.unionByName(confirmed(rest, lines, powers, scratch, "by-list"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,12 +145,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     powers = scratch.save(rarity(rows), "rarity")
+    bound = rare_below(powers)
     lines = split_lines(rows)
     keyed = lines.withColumn("powers", powers.scalar()).select("doc_id", "line_no", tokens(F.col("line")).alias("t"))
-    keyed = keyed.select("doc_id", "line_no", F.size("t").alias("n"), F.xxhash64("t").alias("s1"), F.xxhash64("t", F.lit(1)).alias("s2"), postings(F.col("t")).alias("posts"))
+    keyed = keyed.select("doc_id", "line_no", F.size("t").alias("n"), bitmap(F.col("t")).alias("map"), F.xxhash64("t").alias("s1"), F.xxhash64("t", F.lit(1)).alias("s2"), singles(F.col("t"), bound).alias("one"), pairs(F.col("t"), bound).alias("two"))
     keyed = scratch.save(keyed, "keyed")
-    classes = keyed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("n").alias("n"), F.first("posts").alias("posts"))
-    classes = scratch.save(classes.select("s1", "s2", "f.*", "n", "posts"), "classes")
+    classes = keyed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("one").alias("one"), F.first("two").alias("two"))
+    classes = scratch.save(classes.select("s1", "s2", "f.*", "n", "map", "one", "two"), "classes")
+    scratch.settle()
     gone = matched(lines, classes.drop("s1", "s2"), powers, scratch).withColumn("gone", F.lit(True))
     firsts = classes.select("s1", "s2", "doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left").select("s1", "s2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "gone")
     later = (F.col("doc_id") != F.col("d")) | (F.col("line_no") != F.col("l")) | F.col("gone")

@@ -10,9 +10,11 @@ sets is at least ``percent`` in 100; a component's id is its smallest document i
 3. Bands of the bins are bucket keys. In a bucket every member is paired with one hub, so a bucket of
    n gives n - 1 pairs.
 4. Pairs are confirmed on the texts' full sets, and confirmed links give components.
-5. Where a bucket still holds members of several components, stars around other hubs follow, and then
-   every member outside the bucket's largest component is held against those of other components: no
-   pair that shares a bucket and could join two components stays untested.
+5. Where a bucket still holds members of several components, stars around other hubs follow. What is
+   then left in such buckets is held against each other by prefixes: with shingles in order of rarity,
+   sets that reach the similarity share one of their first n - ceil(n * percent / 100) + 1. So no pair
+   that shares a bucket and could join two components stays untested, and members whose rare shingles
+   rule out any partner, like copies with edits of their own, are not paired at all.
 
 With 24 bands of 5 bins a pair at 0.85 shares no bucket with probability 8e-7.
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.llm.bpe import utf8
@@ -37,8 +39,8 @@ from pagelode.llm.hashing import WORDS, mix, windows
 
 BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
-#: Rounds of stars around other hubs before members are compared one by one.
-STARS = 3
+#: Rounds of stars around other hubs before prefixes decide.
+STARS = 2
 
 _PLACES = np.arange(BINS, dtype=np.uint64)
 #: For each bin the order in which it looks at all bins when it is empty.
@@ -112,6 +114,34 @@ def word_set(text: bytes, words: int) -> set:
     return set(zip(*[found[i:] for i in range(words)]))
 
 
+def by_prefix(rest: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of rest (node, label, text) with other labels that may reach the similarity by size and prefix."""
+    kind = rest.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in utf8(batch.column(2))]
+            each = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            sizes = np.array([len(x) for x in sets], np.int32)[each]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            at = pa.array(each)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes), pa.array(flat.view(np.int64))], names=["node", "label", "n", "shingle"])
+
+    rows = rest.select("node", "label", "text").mapInArrow(run, f"node {kind}, label {kind}, n int, shingle long")
+    rows = scratch.save(rows, "rest-shingles")
+    found = rows.join(rows.groupBy("shingle").count(), "shingle")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("count", "shingle")) - 1
+    prefix = F.floor(F.col("n") * (100 - percent) / 100) + 1
+    posts = found.withColumn("pos", place).where((F.col("pos") < prefix) & (F.col("count") > 1)).drop("count")
+    posts = scratch.save(posts, "rest-prefixes")
+    x, y = posts.alias("x"), posts.alias("y")
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    room = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
+    sizes = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    met = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & sizes & (room >= need))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every document."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -152,10 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             new = left.join(hubs.select("key", "h.hub", "h.hub_label"), "key").where("label != hub_label")
             new = sorted_pairs(new, "node", "hub")
         else:
-            counts = left.groupBy("key", "label").count()
-            largest = counts.groupBy("key").agg(F.max(F.struct("count", "label")).alias("m")).select("key", F.col("m.label").alias("large"))
-            few = left.join(largest, "key").where("label != large").select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-            new = sorted_pairs(left.join(few, "key").where("label != hub_label"), "node", "hub")
+            rest = left.select("node", "label").distinct()
+            new = by_prefix(rest.join(texts, "node"), words, percent, scratch)
         new = scratch.save(new.join(tested, ["a", "b"], "left_anti"), f"pairs-{i}")
         if new.isEmpty():
             if i > STARS:

@@ -165,11 +165,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
 
     grams = gram_rows(rows, window, gram)
     near = scratch.save(grams.join(shared(grams), "gram").join(copies, "doc_id", "left_anti"), "grams")
-    near = near.join(shared(near), "gram")
-    of_doc = near.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
+    scratch.settle()
+    of_doc = near.join(shared(near), "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
     some = scratch.save(rows.join(of_doc, "doc_id"), "texts")
-    edges = scratch.save(edge_rows(some.dropDuplicates(["doc_id"]), window, gram), "edges")
-    found = scratch.save(spans(edges, paths(edges), window), "spans")
+    scratch.drop("grams")
+    scratch.settle()
+    edges = scratch.save(edge_rows(some.select("doc_id", "text", "grams"), window, gram), "edges")
+    repeated = scratch.save(paths(edges), "paths")
+    scratch.settle()
+    found = scratch.save(spans(edges, repeated, window), "spans")
+    scratch.drop("edges")
+    scratch.drop("paths")
+    scratch.settle()
     done = scratch.save(cut(some.join(found, "doc_id")), "cut")
     empty = hashlib.sha256(b"").hexdigest()
     gone = F.col("copy") & (F.col("n_words") >= window)
