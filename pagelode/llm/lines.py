@@ -15,7 +15,8 @@ by place, has a Jaccard similarity of 0.8 or more with it, whether or not that o
    tokens left after the common one. So does a bitmap: 64 bits hold the parity of the tokens that fall
    on each, and two lines' bitmaps differ in no more bits than their sets differ in tokens.
 5. Stars first: each posting list is held against its first line. A line that is confirmed needs no
-   other match; only the others are held against the earlier lines of their posting lists.
+   other match; only the others are held against the earlier lines of their posting lists. A list of
+   two lines has no other pair than that of its star.
 6. Jaccard is verified on whole token sets.
 
 Blank lines are kept and match nothing; null text has no lines. Documents with null ids are neither
@@ -51,8 +52,8 @@ def dense(found: DataFrame, size: int, default: int) -> DataFrame:
 
 def rarity(docs: DataFrame) -> DataFrame:
     """One row with the power of two of each bucket's count of words."""
-    buckets = F.transform(words_of(F.col("text")), lambda w: _bucket(F.xxhash64(w)))
-    counts = docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").count()
+    words = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
     return dense(counts.select("bucket", F.floor(F.log2("count")).alias("value")), BUCKETS, 0)
 
 
@@ -115,24 +116,33 @@ def confirmed(found: DataFrame, lines: DataFrame, powers: DataFrame, scratch: Sc
     return scratch.save(good.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct(), name)
 
 
+def shared_posts(posts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The posts under keys that more than one line has; many: more than two have it.
+
+    Single tokens and pairs never meet: one after the other, they need less disk.
+    """
+    shared = posts.groupBy("key").count().where("count > 1").select("key", (F.col("count") > 2).alias("many"))
+    kept = scratch.save(posts.join(shared, "key"), name)
+    scratch.settle()
+    return kept
+
+
 def matched(lines: DataFrame, classes: DataFrame, powers: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, line_no) of the classes' first lines that have an earlier match."""
     one = classes.select(*KEYS, "n", "map", F.posexplode("one").alias("pos", "key"))
     two = classes.select(*KEYS, "n", "map", F.lit(-1).alias("pos"), F.explode("two").alias("key"))
-    posts = one.unionByName(two)
-    shared = posts.groupBy("key").count().where("count > 1").select("key")
-    posts = scratch.save(posts.join(shared, "key"), "posts")
-    scratch.settle()
+    posts = shared_posts(one, scratch, "posts-one").unionByName(shared_posts(two, scratch, "posts-two"))
     names = [F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")]
     hubs = posts.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "pos", "map")).alias("hub")).select("key", "hub.*")
     stars = posts.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
     stars = scratch.save(stars, "stars")
     scratch.settle()
     first = confirmed(stars, lines, powers, scratch, "by-star")
-    open_ = posts.join(first, KEYS, "left_anti")
-    rest = open_.alias("x").join(posts.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
+    longer = posts.where("many")
+    rest = longer.join(first, KEYS, "left_anti").alias("x").join(longer.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
     rest = scratch.save(rest.join(stars, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "rest")
-    scratch.drop("posts")
+    scratch.drop("posts-one")
+    scratch.drop("posts-two")
     scratch.settle()
     return first.unionByName(confirmed(rest, lines, powers, scratch, "by-list"))
 
@@ -152,9 +162,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     keyed = scratch.save(keyed, "keyed")
     classes = keyed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("one").alias("one"), F.first("two").alias("two"))
     classes = scratch.save(classes.select("s1", "s2", "f.*", "n", "map", "one", "two"), "classes")
+    keyed = scratch.save(keyed.select("doc_id", "line_no", "s1", "s2"), "sets-of-lines")
+    scratch.drop("keyed")
     scratch.settle()
     gone = matched(lines, classes.drop("s1", "s2"), powers, scratch).withColumn("gone", F.lit(True))
-    firsts = classes.select("s1", "s2", "doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left").select("s1", "s2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "gone")
+    firsts = classes.select("s1", "s2", *KEYS).join(gone, ["doc_id", "line_no"], "left").select("s1", "s2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "gone")
     later = (F.col("doc_id") != F.col("d")) | (F.col("line_no") != F.col("l")) | F.col("gone")
     removed = keyed.select("doc_id", "line_no", "s1", "s2").join(firsts, ["s1", "s2"]).where(later)
     removed = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_removed"))
