@@ -113,7 +113,10 @@ def confirmed(found: DataFrame, lines: DataFrame, powers: DataFrame, scratch: Sc
     sets = scratch.save(some.select(*KEYS, tokens(F.col("line")).alias("tokens")), f"{name}-sets")
     own = found.join(sets.toDF("x_doc", "x_line", "a"), ["x_doc", "x_line"]).join(sets.toDF("y_doc", "y_line", "b"), ["y_doc", "y_line"])
     good = own.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b")))
-    return scratch.save(good.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct(), name)
+    kept = scratch.save(good.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct(), name)
+    scratch.drop(f"{name}-sets")
+    scratch.settle()
+    return kept
 
 
 def shared_posts(posts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
