@@ -4,10 +4,15 @@ The model is learned from the rows given: for each language the log shares of th
 words (the pieces of " word "), and which scripts it is written in. A word's script, by ranges of code
 points, leaves the languages that use it as candidates; its pieces give a score for each. Viterbi then
 finds the languages of a text's words that score best when every switch costs PENALTY. The prediction
-is the language with the most letters, its score their share.
+is the language with the most letters.
+
+A word is evidence for its label if the language uses its script and its pieces have a higher mean
+score than letters drawn evenly from the language's own would have, and than a piece never seen. The
+score is the share of a text's letters that are evidence for the prediction. What is kept as text in a
+language has evidence for any languages, in a share that is held against labelled rows.
 
 A text without letters, or null, is "und" with score 0, as is every text if nothing was learned. A
-word whose script no language uses scores alike for all. Texts are read whole. Equal scores go to the
+word whose script no language uses scores alike for all and is evidence for none. Texts are read whole. Equal scores go to the
 first language in order of code point. Rows without text or language aren't learned from. Repeated
 rows get equal results. Input columns other than those named are not read.
 """
@@ -35,6 +40,9 @@ PENALTY = 10.0
 #: A language uses a script if so large a share of its learned words is in it.
 USES = 0.02
 REMEMBER = 300_000
+#: Documents of each language whose evidence tells what is usual, at most about so many, and the quantile taken.
+USUAL_DOCS = 500
+USUAL = 0.002
 
 # First code point of ranges of scripts.
 SCRIPTS = [
@@ -67,6 +75,10 @@ class Model:
     weights: dict[str, tuple[float, ...]] = field(default_factory=dict)
     unseen: tuple[float, ...] = ()
     uses: dict[str, set[str]] = field(default_factory=dict)
+    #: The mean piece score that a word must exceed to be evidence for each language.
+    floors: tuple[float, ...] = ()
+    #: The share of letters that are evidence in all but the worst of labelled texts.
+    usual: float = 1.0
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -109,11 +121,28 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     totals = [sum(of[x].values()) + 0.5 * kinds for x in model.langs]
     model.weights = {p: tuple(float(np.log((of[x].get(p, 0) + 0.5) / t)) for x, t in zip(model.langs, totals)) for p in set().union(*of.values())}
     model.unseen = tuple(float(np.log(0.5 / t)) for t in totals)
+    model.floors = tuple(max(u, -3 * float(np.log(max(1, len(set().union(*of[x])))))) for x, u in zip(model.langs, model.unseen))
+    own = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, USUAL_DOCS / n))]), F.col("lang"))
+    model.usual = usual(chosen.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < own * (1 << 20)).select("text"), model)
     return model
 
 
+def usual(texts: DataFrame, model: Model) -> float:
+    """A low quantile of the texts' shares of letters that are evidence; texts without letters don't count."""
+    shipped = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Scores(shipped.value)
+        for batch in batches:
+            got = [predict(known.model.langs, x, PENALTY) for x in known.of(utf8(batch.column(0)))]
+            yield pa.RecordBatch.from_arrays([pa.array([share for lang, _, share, _ in got if lang != "und"], pa.float64())], names=["share"])
+
+    shares = [r["share"] for r in texts.mapInArrow(run, "share double").collect()]
+    return float(np.quantile(shares, USUAL, method="lower")) if shares else 1.0
+
+
 class Scores(dict):
-    """For each word met, its row in a matrix with a score for each language and, last, its letters."""
+    """For each word met, its row in a matrix: a score for each language, whether it is evidence for each, and its letters."""
 
     def __init__(self, model: Model):
         super().__init__()
@@ -121,7 +150,8 @@ class Scores(dict):
         self.piece = {p: i for i, p in enumerate(model.weights)}
         self.weights = np.array([*model.weights.values(), model.unseen or (0.0,) * len(model.langs)], np.float32).reshape(len(model.weights) + 1, len(model.langs))
         self.uses = {s: np.array([x in own for x in model.langs]) for s, own in model.uses.items()}
-        self.matrix = np.zeros((0, len(model.langs) + 1), np.float32)
+        self.floors = np.array(model.floors, np.float32)
+        self.matrix = np.zeros((0, 2 * len(model.langs) + 1), np.float32)
 
     def learn(self, words: list[bytes]) -> None:
         """Score words that are new, all at once."""
@@ -136,10 +166,12 @@ class Scores(dict):
             sums = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
             none = np.zeros(len(self.model.langs), bool)
             users = np.array([self.uses.get(script(w[0]), none) for w in own])
+            k = len(self.model.langs)
+            rows[lettered, k:-1] = users & (sums > self.floors * sizes[:, None])
             kept = np.where(users, sums, np.inf).min(1)
             sums = np.where(users, sums, kept[:, None] - PENALTY)
             sums = np.maximum(sums - sums.max(1, keepdims=True), -4 * PENALTY)
-            rows[lettered, :-1] = np.where(users.any(1)[:, None], sums, 0)
+            rows[lettered, :k] = np.where(users.any(1)[:, None], sums, 0)
             rows[lettered, -1] = sizes
         start = len(self.matrix)
         self.matrix = np.concatenate([self.matrix, rows])
@@ -191,17 +223,18 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return out
 
 
-def predict(langs: list[str], found: np.ndarray, penalty: float) -> tuple[str, float, list[dict]]:
-    """The language, the share of its letters, and the spans of one text, from its words' rows."""
-    letters = found[:, -1]
+def predict(langs: list[str], found: np.ndarray, penalty: float) -> tuple[str, float, float, list[dict]]:
+    """The language, the shares of letters that are evidence for it and for any label, and the spans of one text, from its words' rows."""
+    letters, k = found[:, -1], len(langs)
     if not langs or not letters.sum():
-        return "und", 0.0, []
-    labels = viterbi(found[:, :-1], penalty)
-    shares = np.bincount(labels, letters, len(langs)) / letters.sum(dtype=np.float64)
-    top = int(shares.argmax())
+        return "und", 0.0, 0.0, []
+    labels = viterbi(found[:, :k], penalty)
+    total = letters.sum(dtype=np.float64)
+    top = int(np.bincount(labels, letters, k).argmax())
+    shares = np.bincount(labels, letters * found[np.arange(len(labels)), k + labels], k) / total
     starts = np.flatnonzero(np.diff(labels, prepend=-1))
     spans = [{"start": a, "end": b, "lang": langs[labels[a]]} for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(labels)])]
-    return langs[top], min(1.0, float(shares[top])), spans
+    return langs[top], min(1.0, float(shares[top])), min(1.0, float(shares.sum())), spans
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
@@ -214,20 +247,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             got = [predict(known.model.langs, x, penalty) for x in known.of(utf8(batch.column(1)))]
-            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), span))]
+            cols = [pa.array([g[i] for g in got], t) for i, t in ((0, pa.string()), (1, pa.float64()), (3, span))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "lang_pred", "score", "spans"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def in_a_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """The input's rows whose text has a language with at least that share of its letters."""
+    """The input's rows of whose text's letters at least that part of the usual share are evidence for languages."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(shipped.value)
         for batch in batches:
             got = [predict(known.model.langs, x, penalty) for x in known.of(utf8(batch.column(batch.schema.get_field_index(text_col))))]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _ in got], pa.bool_()))
+            yield batch.filter(pa.array([share > 0 and share >= least * known.model.usual for _, _, share, _ in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
