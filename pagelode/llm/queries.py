@@ -69,8 +69,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct fingerprints within 3 bits, by operator 10's block tables."""
-    return simhash.near(simhash.fingerprints(documents(spark, sf_dir)), 3)
+    """Documents with their classes of equal fingerprints, and links of classes within 3 bits, by operator 10's block tables."""
+    return simhash.classes(simhash.fingerprints(documents(spark, sf_dir)), 3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

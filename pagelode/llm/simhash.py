@@ -7,7 +7,8 @@ bit is set if more weight is for it than against it. A text without words has fi
 Search: two fingerprints within radius r differ in at most r of b blocks, so in some choice of b - r
 blocks they are equal. One table for each choice of blocks, keyed by their bits, therefore meets every
 pair within the radius; blocks are chosen so that a key has more bits than the count of fingerprints
-needs. Only distinct fingerprints are tabled.
+needs. Only distinct fingerprints are tabled: documents with equal ones are a class, named by its
+smallest doc_id, and classes are linked.
 """
 
 from __future__ import annotations
@@ -85,6 +86,20 @@ def near(prints: DataFrame, radius: int = 3) -> DataFrame:
     return met.select("a", "b", distance.alias("distance")).distinct()
 
 
+def classes(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """doc_id, class_id, distance: every document with its class, at 0, and every link of two classes by their ids, the larger as doc_id.
+
+    prints: doc_id, fingerprint (long). Null fingerprints have no class.
+    """
+    scratch = Scratch(prints.sparkSession, "classes")
+    prints = scratch.save(prints.select("doc_id", "fingerprint").where("fingerprint is not null"), "prints")
+    own = scratch.save(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "classes")
+    members = prints.join(own, "fingerprint").select("doc_id", "class_id", F.lit(0).alias("distance"))
+    a, b = own.toDF("a", "class_a"), own.toDF("b", "class_b")
+    links = near(own, radius).join(a, "a").join(b, "b")
+    return members.unionByName(links.select(F.greatest("class_a", "class_b").alias("doc_id"), F.least("class_a", "class_b").alias("class_id"), "distance"))
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last third replaced by the first code points of the following document's, as many or all."""
     n = len(text) // 3
