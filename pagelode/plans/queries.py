@@ -766,10 +766,10 @@ def stream_once(spark, sf):
 
 @query("select distinct cast(user_id as string) as page from events")
 def stream_repeating(spark, sf):
-    """A polled list, remembered by count; here more is remembered than there are pages."""
+    """The pages of a whole event stream, each once."""
     from pagelode.streaming import events
 
-    return _streamed(spark, sf, lambda s: events.repeating(s.select(F.col("user_id").cast("string").alias("page")), "page", 100_000))
+    return _streamed(spark, sf, lambda s: events.first_ever(s.select(F.col("user_id").cast("string").alias("page")), ["page"]))
 
 
 # --- platform extras: the tables' own shape ---------------------------------------------------

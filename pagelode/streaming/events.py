@@ -33,6 +33,11 @@ def once(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "10 min
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def first_ever(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once, however late its repeats come: the state holds all keys, spread over the partitions by key."""
+    return events.dropDuplicates(keys)
+
+
 def counts(events: DataFrame, window: str = "1 hour", slide: str | None = None, by: Iterable[str] = (), ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Counts in tumbling or sliding windows, with late events up to the watermark."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
@@ -48,7 +53,7 @@ def repeating(polled: DataFrame, key: str, remember: int = 5000) -> DataFrame:
     """Keys that aren't among the last ones remembered, first in first out; a repeat keeps its place.
 
     The bound is a count over all keys, so the state has one group: for page lists that are polled, not
-    for whole event streams, where once() is the way.
+    for whole event streams, where once() or first_ever() is the way.
     """
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
