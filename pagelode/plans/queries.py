@@ -635,9 +635,20 @@ def visible_text(spark, sf):
 @query("""select l_orderkey as page_id, l_linenumber as line, l_quantity as quantity, min(l_returnflag) over (partition by l_orderkey) as flag from
     (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as rn from lineitem where l_orderkey % 10 = 0) where rn = 1""")
 def table_cells(spark, sf):
-    """A table for each order, with one flag that spans all its rows."""
+    """A table for each tenth order, with one flag that spans all its rows; the whole is in table_cells_whole."""
+    return _table_cells(table(spark, sf, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+@query("""select l_orderkey as page_id, l_linenumber as line, l_quantity as quantity, min(l_returnflag) over (partition by l_orderkey) as flag from
+    (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as rn from lineitem) where rn = 1""")
+def table_cells_whole(spark, sf):
+    """A table for each order, over all of lineitem."""
+    return _table_cells(table(spark, sf, "lineitem"))
+
+
+def _table_cells(items: DataFrame) -> DataFrame:
     first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")).alias("x")
-    own = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey", "l_linenumber").agg(first)
+    own = items.groupBy("l_orderkey", "l_linenumber").agg(first)
     rows = own.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "x"))).alias("r"), F.min("x.l_returnflag").alias("flag"))
     line = lambda r, i: F.concat(F.lit("|-\n| "), r["l_linenumber"].cast("string"), F.lit(" || "), r["x"]["l_quantity"].cast("string"), F.when(i == 0, F.concat(F.lit(' || rowspan="0" | '), F.col("flag"))).otherwise(""), F.lit("\n"))
     text = F.concat(F.lit('{| class="wikitable"\n! line !! quantity !! flag\n'), F.array_join(F.transform("r", line), ""), F.lit("|}"))
@@ -662,7 +673,17 @@ def cosmetic_changes(spark, sf):
 
 @query("select p_partkey as page_id, 'see ' || p_type || ' and ' || p_name || ' or [[' || p_brand || ']]' as text from part where p_name = 'red widget'")
 def unlinks(spark, sf):
-    p = table(spark, sf, "part").where("p_name = 'red widget'")
+    """Only the parts whose two links both go; the whole is in unlinks_whole."""
+    return _unlinks(table(spark, sf, "part").where("p_name = 'red widget'"))
+
+
+@query("select p_partkey as page_id, 'see ' || p_type || ' and ' || case when p_name = 'red widget' then p_name else '[[' || p_name || ']]' end || ' or [[' || p_brand || ']]' as text from part")
+def unlinks_whole(spark, sf):
+    """All parts; the second link stays where it goes elsewhere."""
+    return _unlinks(table(spark, sf, "part"))
+
+
+def _unlinks(p: DataFrame) -> DataFrame:
     text = F.concat(F.lit("see [[Red_widget#x|"), "p_type", F.lit("]] and [["), "p_name", F.lit("]] or [["), "p_brand", F.lit("]]"))
     return p.select(F.col("p_partkey").alias("page_id"), wikitext.unlink("red widget")(text).alias("text"))
 
