@@ -145,11 +145,21 @@ def category_members(spark, sf):
     return listing.category_members(Catalog(spark, sf), "NATION_4", "page", start_sort_key="Customer#000000010", limit=40).select("page_id", "sortkey")
 
 
+@query("select p.page_id, sortkey from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_4' and type = 'page' and sortkey >= 'Customer#000000010'")
+def category_members_whole(spark, sf):
+    return listing.category_members(Catalog(spark, sf), "NATION_4", "page", start_sort_key="Customer#000000010").select("page_id", "sortkey")
+
+
 @query("select p.page_id, ts from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_5' and type = 'file' order by ts, p.page_id limit 10")
 def category_members_by_time(spark, sf):
     return listing.category_members(Catalog(spark, sf), "NATION_5", "file", sort="timestamp", limit=10).select("page_id", "ts")
 
 
+@query("select p.page_id, ts from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_5' and type = 'file'")
+def category_members_by_time_whole(spark, sf):
+    return listing.category_members(Catalog(spark, sf), "NATION_5", "file", sort="timestamp").select("page_id", "ts")
+
+
 @query("select page_id, title from v_page where page_id in (select src_id from v_links where dst_id = 14 union select src_id from v_links where dst_id in (select src_id from v_redirect where dst_id = 14))")
 def backlinks(spark, sf):
     return listing.backlinks(Catalog(spark, sf), 14).select("page_id", "title")
@@ -191,6 +201,11 @@ def all_pages(spark, sf):
     return listing.all_pages(Catalog(spark, sf), 1, start="red/widget 5", end="blue", descending=True, redirects="no", limit=30).select("page_id", "title")
 
 
+@query("select page_id, title from v_page where ns = 1 and title >= 'blue' and title <= 'red/widget 5' and not is_redirect")
+def all_pages_whole(spark, sf):
+    return listing.all_pages(Catalog(spark, sf), 1, start="red/widget 5", end="blue", descending=True, redirects="no").select("page_id", "title")
+
+
 @query("select category, count(*) as size from v_categorylinks where category >= 'NATION_1' and category <= 'NATION_7' group by category having count(*) between 2 and 1000")
 def all_categories(spark, sf):
     return listing.all_categories(Catalog(spark, sf), "NATION_1", "NATION_7", least=2, most=1000)
@@ -211,6 +226,11 @@ def all_transclusion_targets(spark, sf):
     return listing.all_targets(Catalog(spark, sf), "templatelinks", limit=50)
 
 
+@query("select distinct ns, title from v_templatelinks join v_page on page_id = dst_id")
+def all_transclusion_targets_whole(spark, sf):
+    return listing.all_targets(Catalog(spark, sf), "templatelinks")
+
+
 @query("select page_id, title from v_page where (starts_with(title, 'blue/b') or starts_with(title, 'Blue/b')) and ns in (0, 3)")
 def prefix_search(spark, sf):
     return listing.prefix_search(Catalog(spark, sf), "blue/b", [0, 3]).select("page_id", "title")
@@ -221,6 +241,11 @@ def search_text(spark, sf):
     return listing.search(Catalog(spark, sf), "Red economy", sort="none", limit=60).select("page_id")
 
 
+@query("select page_id from v_content where list_contains(regexp_split_to_array(lower(text), '\\W+'), 'red') and list_contains(regexp_split_to_array(lower(text), '\\W+'), 'economy')")
+def search_text_whole(spark, sf):
+    return listing.search(Catalog(spark, sf), "Red economy", sort="none").select("page_id")
+
+
 @query()
 def search_relevance(spark, sf):
     """Ranked by tf * idf; a wiki's own ranking isn't defined outside it."""
@@ -304,11 +329,23 @@ def all_users(spark, sf):
     return listing.all_users({"user": users}, "Customer#000000100", groups=["BUILDING", "FURNITURE"], with_edits_only=True, limit=50).select("name", "edits")
 
 
+@query("select name, edits from v_user where name >= 'Customer#000000100' and grp in ('BUILDING', 'FURNITURE') and edits > 0")
+def all_users_whole(spark, sf):
+    c = Catalog(spark, sf)
+    users = c["user"].withColumn("groups", F.array("grp"))
+    return listing.all_users({"user": users}, "Customer#000000100", groups=["BUILDING", "FURNITURE"], with_edits_only=True).select("name", "edits")
+
+
 @query("select block_id from v_block where user in ('F', 'P') and auto and not temporary order by ts desc, block_id desc limit 100")
 def blocks(spark, sf):
     return listing.blocks(Catalog(spark, sf), ["F", "P"], flags=listing.parse_flags("auto|!temporary"), limit=100).select("block_id")
 
 
+@query("select block_id from v_block where user in ('F', 'P') and auto and not temporary")
+def blocks_whole(spark, sf):
+    return listing.blocks(Catalog(spark, sf), ["F", "P"], flags=listing.parse_flags("auto|!temporary")).select("block_id")
+
+
 @query("select sha1, count(distinct title) as n from v_file group by sha1 having count(distinct title) > 1")
 def duplicate_files(spark, sf):
     return listing.duplicates_of(Catalog(spark, sf)["file"]).select("sha1", F.size("files").cast("long").alias("n"))
@@ -347,6 +384,11 @@ def all_revisions(spark, sf):
     return activity.history(Catalog(spark, sf)["revision"], order="oldest", user="user", limit=100).select("rev_id", "page_id")
 
 
+@query("select rev_id, page_id from v_revision where \"user\" = 'user'")
+def all_revisions_whole(spark, sf):
+    return activity.history(Catalog(spark, sf)["revision"], order="oldest", user="user").select("rev_id", "page_id")
+
+
 @query("select rev_id, size from v_revision where rev_id in (select o_custkey * 100 from orders)")
 def revisions_by_id(spark, sf):
     ids = table(spark, sf, "orders").select((F.col("o_custkey") * 100).alias("rev_id"))
@@ -372,6 +414,11 @@ def recent_changes(spark, sf):
     return activity.recent_changes(Catalog(spark, sf)["recentchanges"], [0, 2], ["click", "view"], flags={"bot": False, "minor": None}, top_only=True, limit=100).select("rc_id", "page_id")
 
 
+@query("select rc_id, page_id from (select *, row_number() over (partition by page_id order by ts desc, rc_id desc) as rn from v_recentchanges where type in ('click', 'view') and ns in (0, 2) and not bot) where rn = 1")
+def recent_changes_whole(spark, sf):
+    return activity.recent_changes(Catalog(spark, sf)["recentchanges"], [0, 2], ["click", "view"], flags={"bot": False, "minor": None}, top_only=True).select("rc_id", "page_id")
+
+
 @query("select rc_id from (select *, row_number() over (partition by page_id order by ts desc, rc_id desc) as rn from v_recentchanges where page_id in (select page_id from v_watchlist where user = '5-LOW')) where rn = 1")
 def watchlist_changes(spark, sf):
     c = Catalog(spark, sf)
@@ -389,6 +436,12 @@ def log_events(spark, sf):
     return activity.log_events(rows, "signup", "big", start="2024-01-05", end="2024-01-20", limit=50).select("log_id", "ts")
 
 
+@query("select log_id, ts from v_log where type = 'signup' and action = 'big' and ts >= '2024-01-05' and ts <= '2024-01-20'")
+def log_events_whole(spark, sf):
+    rows = Catalog(spark, sf)["log"]
+    return activity.log_events(rows, "signup", "big", start="2024-01-05", end="2024-01-20").select("log_id", "ts")
+
+
 @query("select event_id as log_id, case event_type when 'click' then 'move' when 'view' then 'rights' else 'unknown' end as details, nullif(event_id % 4, 0) as rev_id, cast(case when event_type = 'view' then 1 else 0 end as bigint) as n_added, case when event_type = 'click' then 'T' end as target from events where event_id % 6 <> 0")
 def decode_log(spark, sf):
     kind = F.when(F.col("event_type") == "click", "move").when(F.col("event_type") == "view", "rights").otherwise("merge")
