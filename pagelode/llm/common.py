@@ -5,15 +5,20 @@ A *word* is a run of characters other than U+0020 and U+0009 to U+000D.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting to remove an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key of a join with more rows may be dealt over several tasks; so many keys at most, each over so many tasks.
+HOT_ROWS, HOT_KEYS, MOST_SALTS = 1000, 1000, 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,27 +34,65 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables in the shared folder that cut the lineage, so that a lost executor costs no recomputation."""
+    """Tables in the shared folder that cut the lineage, so that a lost executor costs no recomputation.
+
+    A table's shuffle files are of no use once it is written; Spark is told to remove them at the end of
+    the write. clear() deletes the tables of all operators when their results are no longer read.
+    """
+
+    roots: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.roots.append(self.root)
 
     def save(self, df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", compression).parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def settle(self) -> None:
-        """Have the driver collect its garbage, upon which Spark removes the shuffle files of tables that are done."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
+        for name in names:
+            _delete(self.spark, f"{self.root}/{name}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process; results that read them must have been written."""
+    while Scratch.roots:
+        _delete(spark, Scratch.roots.pop())
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row a key. A key with many rows is dealt over several tasks.
+
+    Keys with more than HOT_ROWS rows, at most the HOT_KEYS largest, are found first; any other key
+    then holds less than one in HOT_KEYS of the rows. rows is read twice and should be a saved table,
+    unless counts (keys, count) is given. Null keys meet nothing.
+    """
+    spark = rows.sparkSession
+    found = rows.groupBy(*keys).count() if counts is None else counts.select(*keys, "count")
+    top = found.where(F.col("count") > HOT_ROWS).orderBy(F.desc("count")).limit(HOT_KEYS).collect()
+    if not top:
+        return rows.join(table, keys, how)
+    schema = StructType([rows.schema[k] for k in keys]).add("salts_", "long")
+    hot = F.broadcast(spark.createDataFrame([(*r[:-1], min(MOST_SALTS, r[-1] // HOT_ROWS + 1)) for r in top], schema))
+    others = [c for c in rows.columns if c not in keys]
+    salts = F.coalesce("salts_", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("salt_", F.pmod(F.xxhash64(*others), salts)).drop("salts_")
+    copied = table.join(hot, keys, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts_")
+    return dealt.join(copied, [*keys, "salt_"], how).drop("salt_")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

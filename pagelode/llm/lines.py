@@ -115,7 +115,6 @@ def confirmed(found: DataFrame, lines: DataFrame, powers: DataFrame, scratch: Sc
     good = own.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b")))
     kept = scratch.save(good.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct(), name)
     scratch.drop(f"{name}-sets")
-    scratch.settle()
     return kept
 
 
@@ -126,7 +125,6 @@ def shared_posts(posts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     shared = posts.groupBy("key").count().where("count > 1").select("key", (F.col("count") > 2).alias("many"))
     kept = scratch.save(posts.join(shared, "key"), name)
-    scratch.settle()
     return kept
 
 
@@ -139,14 +137,12 @@ def matched(lines: DataFrame, classes: DataFrame, powers: DataFrame, scratch: Sc
     hubs = posts.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "pos", "map")).alias("hub")).select("key", "hub.*")
     stars = posts.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
     stars = scratch.save(stars, "stars")
-    scratch.settle()
     first = confirmed(stars, lines, powers, scratch, "by-star")
     longer = posts.where("many")
     rest = longer.join(first, KEYS, "left_anti").alias("x").join(longer.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
     rest = scratch.save(rest.join(stars, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "rest")
     scratch.drop("posts-one")
     scratch.drop("posts-two")
-    scratch.settle()
     return first.unionByName(confirmed(rest, lines, powers, scratch, "by-list"))
 
 
@@ -167,7 +163,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     classes = scratch.save(classes.select("s1", "s2", "f.*", "n", "map", "one", "two"), "classes")
     keyed = scratch.save(keyed.select("doc_id", "line_no", "s1", "s2"), "sets-of-lines")
     scratch.drop("keyed")
-    scratch.settle()
     gone = matched(lines, classes.drop("s1", "s2"), powers, scratch).withColumn("gone", F.lit(True))
     firsts = classes.select("s1", "s2", *KEYS).join(gone, ["doc_id", "line_no"], "left").select("s1", "s2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "gone")
     later = (F.col("doc_id") != F.col("d")) | (F.col("line_no") != F.col("l")) | F.col("gone")
