@@ -1,23 +1,27 @@
-"""Substring dedup on a De Bruijn graph of word k-mers.
+"""Substring dedup on a compacted De Bruijn graph of word windows.
 
 A window of WINDOW words is an edge from its first to its last WINDOW - 1 words; an edge is repeated
 if its words start in two documents or more. Every word covered by a window that also starts in a
 document with a smaller id is removed. Windows are judged on the input.
 
-1. Every window has a minimiser: of the GRAM-word grams in it, the one with the least hash. Windows
-   with equal words have equal minimisers, so only grams that are a minimiser in two documents or
-   more can lie in a repeated window. About a fifth of all positions are minimisers, and only these
-   are shuffled.
-2. Documents whose words equal those of a smaller id's are copies: all their words go (if they fill a
-   window) and they take no further part.
-3. The others give the edges of windows whose minimiser is shared, each with its document and place.
-   Repeated edges get source coordinates: their first document and place.
-4. Compaction: in the source, an edge continues the path of the edge one place before it, if that is
-   repeated too and the node between has one repeated edge in and one out. Joining occurrences to
-   paths turns runs of windows into spans.
-5. A span counts where its occurrence moves in step with the source's coordinates and the source is
-   another, smaller document. Spans of a document are merged and cut from its text.
-
+1. Every window has a minimiser: of the GRAM-word grams in it, the one with the least hash. Consecutive
+   windows with one minimiser form a segment, a nonbranching piece of the graph that is one row from
+   here on. Equal windows have equal minimisers, so only segments whose minimiser starts in two
+   documents can hold a repeated window; the others are left out. A document whose words equal those
+   of a smaller id's loses all of them (if they fill a window) and takes no further part.
+2. Segments with equal words are one edge of the compacted graph, with source coordinates: its first
+   document and place. Joins on neighbours give each edge's successors and predecessors over all
+   documents. Where an edge has one successor, and this one predecessor, and both follow each other in
+   the source, they are compacted; a path is such a run, and a row of its own.
+3. Occurrences that move along a path in step with it, in a later document, give one span.
+4. A window can be shared by segments that differ as a whole, at the end of a repeated passage. Edges
+   that share their minimiser with another edge are therefore held against each other window by window,
+   once for each edge and not for each occurrence; hits in step with one source give spans too.
+5. A span is verified: the words at its source coordinates must be the document's words. Verified spans
+   are cut from the text. A minimiser, an edge or a span with many occurrences is dealt over several
+   tasks.
+
+Windows are found by two 64-bit hashes together, and no word goes without the comparison of words.
 Null and blank texts have no words. A null id is neither a source nor cut. Rows with equal ids must
 be equal rows; each gets its row in the result. Other columns are not read. An empty table gives an
 empty table.
@@ -30,15 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.llm.bpe import utf8
-from pagelode.llm.common import Scratch
-from pagelode.llm.hashing import WORDS, windows
+from pagelode.llm.common import Scratch, lookup
+from pagelode.llm.hashing import WORDS, mix, windows
 
 WINDOW = 13
-GRAM = 6
+GRAM = 4
+#: Bits of the map of shared minimisers; it only keeps rows from a join that would drop them.
+MAP_BITS = 1 << 24
 
 
 def minimizers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -56,88 +62,132 @@ def minimizers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tu
     return grams, at
 
 
-def base(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and words_sha256 (of all words joined by a space)."""
+def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """doc_id, n_words, words_sha256 and the segments of every document: three arrays, of minimisers, places of the first window, and hashes of all words with the count of windows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [t.split() for t in utf8(batch.column(1))]
-            sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "words_sha256"])
-
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, words_sha256 string")
-
-
-def gram_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, gram): the distinct minimisers of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+            n, sha, rows = [], [], ([], [], [], [])
+            for text in utf8(batch.column(1)):
+                words = text.split()
+                own = WORDS.of(words)
+                found, at = minimizers(own, window, gram)
+                starts = np.flatnonzero(np.diff(at, prepend=-1))
+                size = np.diff(np.append(starts, len(at)))
+                whole = windows(own, window, 2)
+                n.append(len(words))
+                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                seg = mix(whole[starts] * np.uint64(0x9E3779B97F4A7C15) + whole[starts + size - 1] + size.astype(np.uint64)) if len(at) else whole
+                for held, values in zip(rows, (starts.astype(np.int32), size.astype(np.int16), found[at[starts]].view(np.int64), seg.view(np.int64))):
+                    held.append(values)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows[0]])]), pa.int32())
+            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in rows]
+            types = [pa.int32(), pa.int16(), pa.int64(), pa.int64()]
+            entries = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(flat, types)], names=["start", "n", "gram", "seg"])
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(offsets, entries)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "words_sha256", "segments"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, words_sha256 string, segments array<struct<start:int,n:smallint,gram:bigint,seg:bigint>>")
+
+
+def _map_places(gram: Column) -> tuple[Column, Column]:
+    """The word and the bit of a minimiser in the map."""
+    spot = F.pmod(F.xxhash64(gram), F.lit(MAP_BITS))
+    return F.shiftright(spot, 6).cast("int"), spot.bitwiseAND(F.lit(63)).cast("int")
+
+
+def bit_map(shared: DataFrame) -> DataFrame:
+    """One row with the map of minimisers (gram) as an array of 64-bit words, of a fixed size."""
+    word, bit = _map_places(F.col("gram"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bits = shared.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
+    every = shared.sparkSession.range(MAP_BITS // 64).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
+    held = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(F.transform(held, lambda x: x["bits"]).alias("bits"))
+
+
+def runs(hits: DataFrame, window: int) -> DataFrame:
+    """(doc_id, start, words, source, at): one row for each run of hits (doc_id, start, n, source, at, path) that follow each other in step."""
+    order = Window.partitionBy("doc_id").orderBy("start", "n")
+    moves = F.struct("source", "path", (F.col("start") - F.col("at")).alias("step"))
+    new = (F.col("start") != F.lag(F.col("start") + F.col("n")).over(order)) | (moves != F.lag(moves).over(order))
+    run = F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(order)
+    found = hits.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.first("source").alias("source"), F.min("at").alias("at"))
+    return found.select("doc_id", "start", (F.col("end") - F.col("start") + window - 1).cast("int").alias("words"), "source", "at")
+
+
+def compacted(occurrences: DataFrame) -> DataFrame:
+    """(source, at, path): the repeated edges (source, at) with the place in the source of their path's first edge.
+
+    occurrences: (doc_id, start, n, source, at) of every repeated edge, its source's own included.
+    """
+    order = Window.partitionBy("doc_id").orderBy("start")
+    edge = F.struct("source", "at")
+    follows = F.lead("start").over(order) == F.col("start") + F.col("n")
+    pairs = occurrences.select(edge.alias("edge"), "n", F.when(follows, F.lead(edge).over(order)).alias("next")).where("next is not null")
+    pairs = pairs.groupBy("edge", "next").agg(F.first("n").alias("n"))
+    out = pairs.groupBy("edge").agg(F.min("next").alias("next"), F.first("n").alias("n"), F.count("*").alias("c")).where("c = 1")
+    into = pairs.groupBy("next").agg(F.min("edge").alias("edge"), F.count("*").alias("c")).where("c = 1")
+    links = out.join(into, ["edge", "next"]).where("edge.source = next.source and edge.at + n = next.at").select("next.source", "next.at", F.lit(True).alias("inner"))
+    own = occurrences.where("doc_id = source and start = at").select("source", "at").join(links, ["source", "at"], "left")
+    along = Window.partitionBy("source").orderBy("at")
+    return own.select("source", "at", F.last(F.when(F.col("inner").isNull(), F.col("at")), ignorenulls=True).over(along).alias("path"))
+
+
+def window_rows(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
+    """(key, doc_id, start): a row for every window of the edges (doc_id, start, n), keyed by its words."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0), []
-            for text in utf8(batch.column(1)):
-                grams, at = minimizers(WORDS.of(text.split()), window, gram)
-                found.append(np.unique(grams[at]))
-            each = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(each)), pa.array(flat.view(np.int64))], names=["doc_id", "gram"])
+            for name, text, own in zip(batch.column(0), utf8(batch.column(1)), batch.column(2)):
+                starts, sizes = (own.values.field(k).to_numpy() for k in ("start", "n"))
+                place = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                hashes = windows(WORDS.of(text.split()), window, 2)
+                place = np.flatnonzero(np.isin(hashes, hashes[place]))  # an edge may come again in its first document
+                hashes = hashes[place]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array([name.as_py()] * len(place), batch.column(0).type), pa.array(place, pa.int32())], names=["key", "doc_id", "start"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, gram long")
+    of_doc = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("n").cast("int").alias("n"))).alias("own"))
+    return texts.join(of_doc, "doc_id").select("doc_id", "text", "own").mapInArrow(run, f"key long, doc_id {kind}, start int")
 
 
-def edge_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(u, v, doc_id, pos) of every window whose minimiser is in the document's array ``grams``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def slices(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(source, at, words, slice): the words at the source coordinates (source, at, words), joined by a space."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, text, shared in zip(batch.column(0), utf8(batch.column(1)), batch.column(2)):
-                hashes = WORDS.of(text.split())
-                grams, at = minimizers(hashes, window, gram)
-                place = np.flatnonzero(np.isin(grams[at], shared.values.to_numpy().view(np.uint64)))
-                nodes = windows(hashes, window - 1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[place]), pa.array(nodes[place + 1]), pa.array([name.as_py()] * len(place), batch.column(0).type), pa.array(place, pa.int32())], names=["u", "v", "doc_id", "pos"])
-
-    return docs.select("doc_id", "text", "grams").mapInArrow(run, f"u long, v long, doc_id {kind}, pos int")
-
-
-def paths(edges: DataFrame) -> DataFrame:
-    """(u, v, source, at, path) of every repeated edge: its source's coordinates and its path's first place there."""
-    first = edges.groupBy("u", "v").agg(F.min(F.struct("doc_id", "pos")).alias("s"), F.max("doc_id").alias("last"))
-    repeated = first.where("s.doc_id < last").select("u", "v", F.col("s.doc_id").alias("source"), F.col("s.pos").alias("at"))
-    ends = repeated.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionAll(repeated.select("v", F.lit(0), F.lit(1)))
-    branching = ends.groupBy("node").agg(F.sum("out").alias("o"), F.sum("in").alias("i")).where("o > 1 or i > 1").select(F.col("node").alias("u"), F.lit(True).alias("branch"))
-    run = Window.partitionBy("source").orderBy("at")
-    breaks = (F.col("branch").isNotNull() | (F.col("at") != F.coalesce(F.lag("at").over(run) + 1, F.lit(-1)))).cast("int")
-    start = F.last(F.when(F.col("begins") == 1, F.col("at")), ignorenulls=True).over(run)
-    return repeated.join(branching, "u", "left").withColumn("begins", breaks).withColumn("path", start).select("u", "v", "source", "at", "path")
-
-
-def spans(edges: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, spans): for each document the [first word, end) that a smaller document's paths cover."""
-    hits = edges.join(found, ["u", "v"]).where("source < doc_id")
-    moves = F.col("pos") - F.col("at")
-    run = Window.partitionBy("doc_id").orderBy("pos")
-    steps = hits.select("doc_id", "pos", "source", "path", moves.alias("step"))
-    new = (F.col("pos") != F.coalesce(F.lag("pos").over(run) + 1, F.lit(-1))) | ~F.struct("source", "path", "step").eqNullSafe(F.lag(F.struct("source", "path", "step")).over(run))
-    part = F.sum(F.when(new, 1).otherwise(0)).over(run)
-    pieces = steps.withColumn("part", part).groupBy("doc_id", "part").agg(F.min("pos").alias("start"), (F.max("pos") + window).alias("end"))
-    return pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+            rows = []
+            for name, text, own in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+                found = text.split()
+                rows += [(name, x["at"], x["words"], b" ".join(found[x["at"] : x["at"] + x["words"]])) for x in own]
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            types = [batch.column(0).type, pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["source", "at", "words", "slice"])
+
+    of_doc = wanted.groupBy(F.col("source").alias("doc_id")).agg(F.collect_list(F.struct("at", "words")).alias("own"))
+    return texts.join(of_doc, "doc_id").select("doc_id", "text", "own").mapInArrow(run, f"source {kind}, at int, words int, slice binary")
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept text from doc_id, text and spans."""
+    """doc_id, n_words, n_removed, kept_sha256 and kept text from doc_id, text and spans (start, words, slice).
+
+    A span is cut if the document's words there are those of the slice.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, own in zip(utf8(batch.column(1)), batch.column(2)):
+            for text, own in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
                 found = text.split()
-                keep = np.ones(len(found) + 1, bool)
-                for a, b in zip(own.values.field("start").to_pylist(), own.values.field("end").to_pylist()):
-                    keep[a:b] = False
+                keep = np.ones(len(found), bool)
+                for x in own:
+                    a, b = x["start"], x["start"] + x["words"]
+                    if b" ".join(found[a:b]) == x["slice"]:
+                        keep[a:b] = False
                 left = [w for w, k in zip(found, keep.tolist()) if k]
                 n.append(len(found))
                 gone.append(len(found) - len(left))
@@ -148,39 +198,67 @@ def cut(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
+def repeated_segments(held: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, start, n, gram, seg): the segments whose minimiser starts in two documents or more."""
+    rows = held.where("doc_id is not null").select("doc_id", F.inline("segments"))
+    shared = rows.groupBy("gram").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("count")).where("x < y").select("gram", "count")
+    shared = scratch.save(shared, "minimisers")
+    flags = scratch.save(bit_map(shared), "map")
+    word, bit = _map_places(F.col("gram"))
+    maybe = rows.where(F.call_function("shiftright", F.get(flags.scalar(), word), bit).bitwiseAND(F.lit(1)) == 1)
+    return lookup(maybe, shared.select("gram"), ["gram"], shared)
+
+
+def found_spans(hits: DataFrame, texts: DataFrame, window: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, start, words, source, at): spans of documents that repeat what smaller documents have at their sources."""
+    edges = hits.groupBy("gram", "seg").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.count("*").alias("count"))
+    edges = scratch.save(edges.select("gram", "seg", "n", "count", F.col("f.doc_id").alias("source"), F.col("f.start").alias("at"), F.col("last").alias("last")), "edges")
+    repeated = edges.where("source < last")
+    sources = repeated.select("gram", "seg", "source", "at")
+    occurrences = scratch.save(lookup(hits, sources, ["gram", "seg"], repeated).select("doc_id", "start", "n", "source", "at"), "occurrences")
+    paths = scratch.save(compacted(occurrences), "paths")
+    later = lookup(occurrences, paths, ["source", "at"], repeated).where("doc_id > source")
+    spans = scratch.save(runs(later, window), "path-spans")
+    several = edges.groupBy("gram").agg(F.count("*").alias("count"), F.min("source").alias("x"), F.max("source").alias("y")).where("x < y").select("gram", "count")
+    several = scratch.save(several, "several")
+    mixed = lookup(edges.drop("count"), several, ["gram"], several).select(F.col("source").alias("doc_id"), F.col("at").alias("start"), "n")
+    keyed = scratch.save(window_rows(texts, mixed, window), "windows")
+    firsts = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("count")).where("f.doc_id < last")
+    firsts = scratch.save(firsts.select("key", F.col("f.doc_id").alias("source"), F.col("f.start").alias("at"), "count"), "first-windows")
+    met = lookup(keyed, firsts, ["key"], firsts).where("doc_id > source").select("doc_id", "start", F.lit(1).alias("n"), "source", "at", F.lit(0).alias("path"))
+    scratch.drop("occurrences", "paths", "edges")
+    return spans.unionByName(scratch.save(runs(met, window), "window-spans"))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(digests, texts): doc_id, n_words, n_removed, kept_sha256 of every document; doc_id and kept_text of those cut in part."""
     if not 1 <= gram < window:
         raise ValueError("gram must be below window")
     scratch = Scratch(docs.sparkSession, "substrings")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    whole = scratch.save(base(rows), "base")
-    firsts = whole.where("doc_id is not null").groupBy("words_sha256").agg(F.min("doc_id").alias("first"))
-    whole = whole.join(firsts, "words_sha256", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
+    held = scratch.save(segments(rows, window, gram), "segments")
+    near = scratch.save(repeated_segments(held, scratch), "near")
+    whole = held.select("doc_id", "n_words", "words_sha256")
+    firsts = whole.where("doc_id is not null").groupBy("words_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("count")).where("count > 1")
+    firsts = scratch.save(firsts, "firsts")
+    whole = lookup(whole, firsts.drop("count"), ["words_sha256"], firsts, "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
     whole = scratch.save(whole.drop("first"), "whole")
-    copies = whole.where("copy").select("doc_id").distinct()
-
-    def shared(found: DataFrame) -> DataFrame:
-        return found.groupBy("gram").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("gram")
-
-    grams = gram_rows(rows, window, gram)
-    near = scratch.save(grams.join(shared(grams), "gram").join(copies, "doc_id", "left_anti"), "grams")
-    scratch.settle()
-    of_doc = near.join(shared(near), "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    some = scratch.save(rows.join(of_doc, "doc_id"), "texts")
-    scratch.drop("grams")
-    scratch.settle()
-    edges = scratch.save(edge_rows(some.select("doc_id", "text", "grams"), window, gram), "edges")
-    repeated = scratch.save(paths(edges), "paths")
-    scratch.settle()
-    found = scratch.save(spans(edges, repeated, window), "spans")
-    scratch.drop("edges")
-    scratch.drop("paths")
-    scratch.settle()
-    done = scratch.save(cut(some.join(found, "doc_id")), "cut")
+    scratch.drop("segments", "minimisers", "map")
+    hits = scratch.save(near.join(whole.where("copy").select("doc_id").distinct(), "doc_id", "left_anti"), "hits")
+    scratch.drop("near")
+    # rows with equal ids are equal: one of them is looked at
+    texts = scratch.save(rows.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    hits = hits.distinct()
+    spans = scratch.save(found_spans(scratch.save(hits, "distinct-hits"), texts, window, scratch), "spans")
+    wanted = scratch.save(spans.groupBy("source", "at", "words").count(), "wanted")
+    words = scratch.save(slices(texts, wanted), "slices")
+    verified = lookup(spans, words, ["source", "at", "words"], wanted).groupBy("doc_id").agg(F.collect_list(F.struct("start", "words", "slice")).alias("spans"))
+    done = scratch.save(cut(texts.join(verified, "doc_id")), "cut")
+    scratch.drop("texts", "spans", "wanted", "slices", "hits", "distinct-hits", "windows")
+    again = whole.select("doc_id").join(done, "doc_id")
     empty = hashlib.sha256(b"").hexdigest()
     gone = F.col("copy") & (F.col("n_words") >= window)
-    rest = whole.join(found.select("doc_id"), "doc_id", "left_anti").select(
+    rest = whole.join(done.select("doc_id"), "doc_id", "left_anti").select(
         "doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(gone, F.lit(empty)).otherwise(F.col("words_sha256")).alias("kept_sha256")
     )
-    return done.drop("kept_text").unionByName(rest), done.select("doc_id", "kept_text")
+    return again.drop("kept_text").unionByName(rest), done.select("doc_id", "kept_text")
