@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade. DataFrame operations only.
 
 Each rule is a boolean expression that is true where it rejects. On a bounded sample every rule's
-cost and the share of rows it rejects are measured, and the rules then run by rejection per cost,
-highest first: a later rule is not evaluated for a row that an earlier one has rejected. A row is
+cost and the rows it rejects are measured, and the rules then run by rejection per cost, highest first,
+each rated on what those before it leave: a later rule is not evaluated for a row that an earlier one has rejected. A row is
 kept if no rule rejects it, so the verdict doesn't depend on the order or on the sample.
 
 Null and blank texts have no words. A text is read whole, and no rule groups rows, so repeated rows
@@ -18,10 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import SPACE, Scratch, words_of
+from pagelode.llm.common import SPACE, Scratch, free, words_of
 
-#: Rows that the order of the rules is fitted on.
+#: Rows, about, that the order of the rules is fitted on, and how often a rule is evaluated to time it.
 SAMPLE_ROWS = 2000
+REPEAT = 10
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 
@@ -48,32 +49,33 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Intermediate columns are used more than once, which keeps Spark from evaluating them again.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_w", words_of(F.col(text_col))).withColumn("_lines", worded_lines(text))
+    w_, lines_, h_, p_, at_ = free(docs, "words_", "lines_", "hashes_", "pairs_", "places_")
+    df = docs.withColumn(w_, words_of(F.col(text_col))).withColumn(lines_, worded_lines(text))
     df = df.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
+            "n_words": F.size(w_).cast("long"),
             "word_chars": F.length(text).cast("long") - F.regexp_count(text, F.lit(SPACE)),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_h": F.transform("_w", lambda w: F.xxhash64(w)),
+            "n_dup_lines": (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long"),
+            h_: F.transform(w_, lambda w: F.xxhash64(w)),
         }
-    ).drop("_w", "_lines")
+    ).drop(w_, lines_)
     step = 1
     while step < WINDOW:
-        n = F.greatest(F.size("_h") - step, F.lit(0))
-        df = df.withColumn("_h", F.zip_with(F.slice("_h", 1, n), F.slice("_h", step + 1, n), lambda a, b: F.xxhash64(a, b)))
+        n = F.greatest(F.size(h_) - step, F.lit(0))
+        df = df.withColumn(h_, F.zip_with(F.slice(h_, 1, n), F.slice(h_, step + 1, n), lambda a, b: F.xxhash64(a, b)))
         step *= 2
     pair = "array<struct<h:bigint,i:int>>"
-    pairs = F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    df = df.withColumn("_p", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), pairs).otherwise(F.array().cast(pair)))
+    pairs = F.sort_array(F.transform(h_, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    df = df.withColumn(p_, F.when(F.size(F.array_distinct(h_)) < F.size(h_), pairs).otherwise(F.array().cast(pair)))
 
     def place(p: Column, i: Column) -> Column:
-        return F.when((F.get("_p", i - 1)["h"] == p["h"]) | (F.get("_p", i + 1)["h"] == p["h"]), p["i"])
+        return F.when((F.get(p_, i - 1)["h"] == p["h"]) | (F.get(p_, i + 1)["h"] == p["h"]), p["i"])
 
-    df = df.withColumn("_at", F.sort_array(F.filter(F.transform("_p", place), lambda i: i.isNotNull())))
-    spans = F.transform("_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", i + 1) - p, F.lit(WINDOW))))
+    df = df.withColumn(at_, F.sort_array(F.filter(F.transform(p_, place), lambda i: i.isNotNull())))
+    spans = F.transform(at_, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at_, i + 1) - p, F.lit(WINDOW))))
     total = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", total).drop("_h", "_p", "_at")
+    return df.withColumn("n_repeat_words", total).drop(h_, p_, at_)
 
 
 def base_failed() -> Column:
@@ -99,21 +101,46 @@ RULES = (
 )
 
 
-def fit_order(rows: DataFrame, rules: tuple[Rule, ...], text_col: str = "text") -> list[Rule]:
-    """The rules by rejection per cost, highest first, as measured on at most SAMPLE_ROWS of the rows."""
-    sample = Scratch(rows.sparkSession, "quality").save(rows.limit(SAMPLE_ROWS), "sample")
-    n = sample.count()
-    rated = []
-    for place, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = sample.where(rule.rejects(F.col(text_col))).count()
-        rated.append((-(rejected + 1) / (n + 1) / (time.perf_counter() - began), place, rule))
-    return [rule for *_, rule in sorted(rated, key=lambda x: x[:2])]
+def fit_order(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text") -> list[Rule]:
+    """The rules by rejection per cost as measured on a sample of the documents before any measures.
 
-
-def cascade(rows: DataFrame, rules: tuple[Rule, ...] = RULES, rejected: Column | None = None, text_col: str = "text") -> DataFrame:
-    """The input with kept: true where neither rejected nor any rule holds. rejected: evaluated before the rules."""
+    The sample is a share of the rows, chosen so that about SAMPLE_ROWS come. Each rule's cost is the time of REPEAT evaluations in one job less that of a job without
+    it. The first rule has the most rejections per cost; the next ones are rated on the rows that the
+    rules before it leave.
+    """
+    total = docs.count()
+    share = min(1.0, SAMPLE_ROWS / total) if total else 1.0
+    rows = measures(docs.select(text_col).sample(share, seed=1), text_col)
+    sample = Scratch(docs.sparkSession, "quality").save(rows, "sample")
+    flags = sample.select(*[rule.rejects(F.col(text_col)).cast("int").alias(f"r{i}") for i, rule in enumerate(rules)])
+    seen = flags.groupBy(*flags.columns).count().collect()
+
+    def seconds(column: Column) -> float:
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            sample.select(column.alias("n")).agg(F.sum("n")).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    idle = seconds(F.lit(0))
+    costs = []
+    for rule in rules:
+        # texts that differ keep Spark from evaluating one rule once
+        again = [rule.rejects(F.concat(F.col(text_col), F.lit(" " * k))).cast("int") for k in range(1, REPEAT + 1)]
+        costs.append(max(seconds(sum(again, F.lit(0))) - idle, 1e-6))
+    order: list[int] = []
+    while len(order) < len(rules):
+        open_ = [r for r in seen if not any(r[k] for k in order)]
+        n = sum(r["count"] for r in open_)
+        left = [k for k in range(len(rules)) if k not in order]
+        order.append(max(left, key=lambda k: ((sum(r["count"] for r in open_ if r[k]) + 1) / (n + 1) / costs[k], -k)))
+    return [rules[k] for k in order]
+
+
+def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rejected: Column | None = None, text_col: str = "text") -> DataFrame:
+    """The input with its measures and kept: true where neither rejected nor any rule holds. rejected: evaluated before the rules."""
     verdict = F.when(rejected if rejected is not None else F.lit(False), F.lit(False))
-    for rule in fit_order(rows, rules, text_col):
+    for rule in fit_order(docs, rules, text_col):
         verdict = verdict.when(rule.rejects(F.col(text_col)), F.lit(False))
-    return rows.withColumn("kept", verdict.otherwise(F.lit(True)))
+    return measures(docs, text_col).withColumn("kept", verdict.otherwise(F.lit(True)))

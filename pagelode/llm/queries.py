@@ -38,8 +38,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.measures(documents(spark, sf_dir).select("doc_id", "text"))
-    rows = quality.cascade(rows.withColumn("base_failed", quality.base_failed()), rejected=F.col("base_failed"))
+    rows = quality.cascade(documents(spark, sf_dir).select("doc_id", "text"), rejected=quality.base_failed())
+    rows = rows.withColumn("base_failed", quality.base_failed())
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
