@@ -95,6 +95,17 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame
     return dealt.join(copied, [*keys, "salt_"], how).drop("salt_")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until they clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Scratch, n_words
+from pagelode.llm.common import Scratch, free, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -131,8 +131,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     """The input's rows as often as the mix takes them."""
     scratch = Scratch(docs.sparkSession, "mixing")
     keys = scratch.save(keyed(docs, id_col, text_col, source_col), "keys")
-    sources = plan(keys, scratch, weights, share, most).select(F.col("source").alias("_source"), "whole", "threshold")
-    sources = sources.select("_source", F.struct("whole", "threshold").alias("_plan"))
-    rows = docs.join(sources, F.col(source_col).eqNullSafe(F.col("_source")))
-    often = F.col("_plan.whole") + (doc_key(F.col(id_col)) < F.col("_plan.threshold")).cast("long")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), often.cast("int")))).drop("_source", "_plan", "_copy")
+    own, way, copy = free(docs, "plan_source", "plan", "copy")
+    sources = plan(keys, scratch, weights, share, most).select(F.col("source").alias(own), F.struct("whole", "threshold").alias(way))
+    rows = docs.join(sources, F.col(source_col).eqNullSafe(F.col(own)))
+    often = F.col(way)["whole"] + (doc_key(F.col(id_col)) < F.col(way)["threshold"]).cast("long")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(True), often.cast("int")))).drop(own, way, copy)
