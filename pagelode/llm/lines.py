@@ -10,7 +10,10 @@ by place, has a Jaccard similarity of 0.8 or more with it, whether or not that o
 3. Prefix filter: lines of sizes n and m that reach the similarity share a token among the first
    n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, and two tokens among one more of each. A line is posted
    under the rare tokens of its prefix, and under the pairs of frequent tokens of the longer one: of two
-   shared tokens the first is rare, and then in both prefixes, or both are frequent.
+   shared tokens the first is rare, and then in both prefixes, or both are frequent. Lines of LONG
+   tokens or more are posted under all tokens of their prefix, and pairs are made up to 1.25 LONG only:
+   two lines that reach the similarity are both up to 1.25 LONG, or both from LONG on. So a line of n
+   tokens has n / 5 + 1 single keys and a bounded number of pairs.
 4. Length and positional filters go with the join: the sizes allow the similarity, and so do the
    tokens left after the common one. So does a bitmap: 64 bits hold the parity of the tokens that fall
    on each, and two lines' bitmaps differ in no more bits than their sets differ in tokens.
@@ -28,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Scratch, words_of
+from pagelode.llm.common import Scratch, free, words_of
 
 BUCKETS = 1 << 20
 #: A token is rare if its bucket's power of two is at most so much above the mean bucket's.
@@ -36,6 +39,8 @@ RARE = 2
 #: Buckets of the map that tells which lines a join needs; it only saves work.
 MAP = 1 << 20
 KEYS = ["doc_id", "line_no"]
+#: Lines of so many tokens are held against each other by single tokens.
+LONG = 100
 
 
 def _bucket(hash_: Column) -> Column:
@@ -78,12 +83,17 @@ def tokens(line: Column, powers: str = "powers") -> Column:
 
 
 def singles(keys: Column, bound: int) -> Column:
-    """The rare tokens of the prefix, in order. bound: keys below it are rare."""
-    return F.filter(F.slice(keys, 1, F.floor(F.size(keys) / 5).cast("int") + 1), lambda k: k < bound)  # n - ceil(0.8 n) + 1
+    """The rare tokens of the prefix, in order, or all of a long line's. bound: keys below it are rare.
+
+    A token whose bucket counts one word occurs once in all lines and is left out.
+    """
+    met = F.filter(F.slice(keys, 1, F.floor(F.size(keys) / 5).cast("int") + 1), lambda k: k >= 1 << 58)  # n - ceil(0.8 n) + 1
+    return F.filter(met, lambda k: (k < bound) | (F.size(keys) >= LONG))
 
 
 def pairs(keys: Column, bound: int) -> Column:
-    """Hashes of the pairs of frequent tokens in the prefix longer by one."""
+    """Hashes of the pairs of frequent tokens in the prefix longer by one; none for lines over 1.25 LONG tokens."""
+    keys = F.when(F.size(keys) <= LONG * 5 // 4, keys).otherwise(F.array().cast("array<bigint>"))
     longer = F.slice(keys, 1, F.floor(F.size(keys) / 5).cast("int") + 2)
     own = F.filter(longer, lambda k: k >= bound)
     return F.flatten(F.transform(own, lambda a: F.transform(F.filter(own, lambda b: b > a), lambda b: F.xxhash64(a, b))))
@@ -167,15 +177,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     firsts = classes.select("s1", "s2", *KEYS).join(gone, ["doc_id", "line_no"], "left").select("s1", "s2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "gone")
     later = (F.col("doc_id") != F.col("d")) | (F.col("line_no") != F.col("l")) | F.col("gone")
     removed = keyed.select("doc_id", "line_no", "s1", "s2").join(firsts, ["s1", "s2"]).where(later)
-    removed = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_removed"))
-    lined = docs.drop("n_lines", "n_removed").withColumn("_lines", F.split(F.col(text_col), "\n"))
-    out = lined.join(removed, F.col(id_col) == F.col("_id"), "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed"), lambda i: F.get("_lines", i))
-    whole = F.filter(F.coalesce("_lines", F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    docs = docs.drop("n_lines", "n_removed")
+    own, lines_, gone_ = free(docs, "own_id", "split_lines", "removed_lines")
+    removed = removed.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(gone_))
+    out = docs.withColumn(lines_, F.split(F.col(text_col), "\n")).join(removed, F.col(id_col) == F.col(own), "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), gone_), lambda i: F.get(lines_, i))
+    whole = F.filter(F.coalesce(lines_, F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumns(
         {
-            text_col: F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
+            text_col: F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
             "n_lines": F.size(whole).cast("long"),
-            "n_removed": F.coalesce(F.size("_removed"), F.lit(0)).cast("long"),
+            "n_removed": F.coalesce(F.size(gone_), F.lit(0)).cast("long"),
         }
-    ).drop("_id", "_removed", "_lines")
+    ).drop(own, gone_, lines_)
