@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,13 +142,18 @@ def window_rows(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, text, own in zip(batch.column(0), utf8(batch.column(1)), batch.column(2)):
+            keys, places = [], []
+            for text, own in zip(utf8(batch.column(1)), batch.column(2)):
                 starts, sizes = (own.values.field(k).to_numpy() for k in ("start", "n"))
-                place = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                 hashes = windows(WORDS.of(text.split()), window, 2)
-                place = np.flatnonzero(np.isin(hashes, hashes[place]))  # an edge may come again in its first document
-                hashes = hashes[place]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array([name.as_py()] * len(place), batch.column(0).type), pa.array(place, pa.int32())], names=["key", "doc_id", "start"])
+                place = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                # an edge may come again in its first document
+                place = np.flatnonzero(pc.is_in(pa.array(hashes), value_set=pa.array(hashes[place])).to_numpy(zero_copy_only=False))
+                keys.append(hashes[place])
+                places.append(place)
+            at = pa.array(np.repeat(np.arange(len(places)), [len(x) for x in places]))
+            key, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, places))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(at), pa.array(place, pa.int32())], names=["key", "doc_id", "start"])
 
     of_doc = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("n").cast("int").alias("n"))).alias("own"))
     return texts.join(of_doc, "doc_id").select("doc_id", "text", "own").mapInArrow(run, f"key long, doc_id {kind}, start int")
