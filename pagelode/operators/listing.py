@@ -139,7 +139,8 @@ SEARCH_SORTS = {
 def search(cat: Catalog, query: str, scope: str = "text", namespaces: Iterable[int] = (), sort: str = "relevance", limit: int | None = None) -> DataFrame:
     """Pages whose text or title holds all words of the query, whatever their case.
 
-    Relevance is the sum of tf * idf of the words; a wiki's own ranking isn't defined outside it.
+    Relevance is the sum over the words of tf (share of the page's words) times idf (log of 1 + pages over
+    pages with the word); a wiki's own ranking isn't defined outside it.
     """
     if scope not in ("text", "title", "near_match"):
         raise ValueError("scope must be text, title or near_match")
@@ -156,13 +157,16 @@ def search(cat: Catalog, query: str, scope: str = "text", namespaces: Iterable[i
             raise ValueError(f"sort must be relevance or one of {sorted(SEARCH_SORTS)}")
         column = "ts" if "edit" in sort else "created" if "create" in sort else "page_id"
         return _top(rows.drop("_words"), [SEARCH_SORTS[sort](column), F.col("page_id")], limit)
-    n = cat["content"].count()
-    hits = rows.count() or 1
+    if not words:
+        return _top(rows.withColumn("score", F.lit(0.0)).drop("_words"), [F.col("page_id")], limit)
+    # one aggregate gives the count of pages and how many have each word
+    every = cat["content"].transform(in_namespaces(namespaces)).select(found.alias("_words"))
+    n, *have = every.agg(F.count("*"), *[F.count_if(F.array_contains("_words", w)) for w in words]).collect()[0]
 
     def share(word: str) -> Column:
         return F.size(F.filter("_words", lambda x: x == word)) / F.size("_words")
 
-    score = sum(map(share, words), F.lit(0.0)) * F.log(F.lit((1 + n) / hits))
+    score = sum((share(w) * F.log(F.lit((1 + n) / max(1, df))) for w, df in zip(words, have)), F.lit(0.0))
     return _top(rows.withColumn("score", score).drop("_words"), [F.desc("score"), F.col("page_id")], limit)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -94,22 +95,40 @@ def limited_to(n: int | None, *order: str | Column) -> Transform:
     return lambda df: (df.orderBy(*order) if order else df) if n is None else (df.orderBy(*order) if order else df).limit(n)
 
 
+#: Rows a range that the bounds of chunked() are found on.
+SAMPLE = 100
+
+
 def chunked(size: int, order: str) -> Transform:
     """A chunk number for rows in order; the last chunk may be short.
 
-    Ranks are made in two steps, rows in each range of the order and then the ranges' counts, so that no
-    task sorts all rows.
+    Ties are ordered by a hash of the row. Ranks are made in two steps, rows in each range of the order
+    and then the ranges' counts, so that no task sorts all rows. The ranges' bounds are found once, on a
+    sample of SAMPLE rows a range, and are constants from then on: they balance the tasks, and every row
+    has one range whatever they are. Null comes first.
     """
     if size < 1:
         raise ValueError("size must be positive")
 
     def run(df: DataFrame) -> DataFrame:
-        ranged = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
-        inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-        counts = ranged.groupBy("_range").count()
-        before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = counts.select("_range", before.alias("_start"))
-        out = ranged.withColumn("_in", inside).join(starts, "_range")
-        return out.withColumn("chunk", F.floor((F.col("_start") + F.col("_in")) / size).cast("long")).drop("_range", "_in", "_start")
+        spark = df.sparkSession
+        range_, in_, start_ = (n + "_" * sum(c.lower().startswith(n) for c in df.columns) for n in ("range_no", "in_range", "range_start"))
+        hashed = [c.name for c in df.schema if not isinstance(c.dataType, MapType | VariantType)]
+        key = F.struct(F.col(order).alias("o"), F.xxhash64(*hashed).alias("t"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        total = df.count()
+        share = min(1.0, SAMPLE * parts / total) if total else 1.0
+        found = df.select(key.alias("k")).sample(share, seed=1).sort("k").limit(2 * SAMPLE * parts).collect()
+        kind = df.select(key.alias("k")).schema["k"].dataType
+        cuts = [found[len(found) * i // parts]["k"] for i in range(1, parts)] if len(found) > parts else []
+        bounds = F.array(*[F.struct(F.lit(c["o"]).cast(kind["o"].dataType).alias("o"), F.lit(c["t"]).alias("t")) for c in cuts])
+        at = F.size(F.filter(bounds, lambda c: c <= key)) if cuts else F.lit(0)
+        ranged = df.withColumn(range_, at)
+        inside = F.row_number().over(Window.partitionBy(range_).orderBy(key)) - 1
+        counts = ranged.groupBy(range_).count()
+        before = F.coalesce(F.sum("count").over(Window.orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.select(range_, before.alias(start_))
+        out = ranged.withColumn(in_, inside).join(starts, range_)
+        return out.withColumn("chunk", F.floor((F.col(start_) + F.col(in_)) / size).cast("long")).drop(range_, in_, start_)
 
     return run
