@@ -66,6 +66,7 @@ def to_isbn13(text: Column) -> Column:
 
 def redirect_target(text: Column) -> Column:
     """The target of a page that starts with a redirect; null for other pages."""
+    # fixed value: the form of a redirect
     found = F.trim(F.regexp_extract(text, r"^\s*#[^\s\[]+\s*:?\s*\[\[([^\]|#\n]+)", 1))
     return F.when(found != "", found)
 
@@ -73,7 +74,8 @@ def redirect_target(text: Column) -> Column:
 def project_of(server: Column) -> Column:
     """The project of a server's address: en.wikipedia of https://en.m.wikipedia.org; null outside the known domains."""
     host = F.regexp_replace(F.regexp_replace(F.lower(F.trim(server)), r"^(?:[a-z]+:)?//", ""), r"[:/].*$", "")
-    host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"(^|\.)m\.", "$1")
+    # the mobile label is the third from the end
+    host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"(^|\.)m\.([^.]+\.[^.]+)$", "$1$2")
     known = host.rlike(r"(^|\.)(wikipedia|wiktionary|wikibooks|wikinews|wikiquote|wikisource|wikiversity|wikivoyage|wikimedia|wikidata|mediawiki|wikifunctions)\.org$")
     return F.when(known, F.regexp_replace(host, r"\.org$", ""))
 

@@ -276,7 +276,7 @@ FIXES = {
 
 def fix(name: str) -> Callable[[Column], Column]:
     if name not in FIXES:
-        raise ValueError(f"unknown fix {name!r}; available: {', '.join(sorted(FIXES))}")
+        raise ValueError(f"no fix is named {name!r}: choose from {sorted(FIXES)}")
     return replace_text(*FIXES[name])
 
 

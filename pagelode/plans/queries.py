@@ -785,7 +785,11 @@ def _scratch(spark: SparkSession) -> str:
     import tempfile
     import uuid
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.gettempdir()
     return f"{shared.rstrip('/')}/pagelode-{uuid.uuid4().hex}"
 
 

@@ -44,7 +44,7 @@ def sparql_tsv(spark: SparkSession, path: str) -> DataFrame:
     names = [n.lstrip("?") for n in header[0][0].split("\t")] if header else []
     cells = F.transform(F.split("value", "\t"), term)
     row = F.map_from_arrays(F.array(*map(F.lit, names)), cells) if names else F.lit(None)
-    body = lines.where(~F.col("value").startswith("?") & (F.col("value") != ""))
+    body = lines.where((F.col("value") != header[0][0]) & (F.col("value") != "")) if header else lines.where("false")
     return body.select(F.map_filter(row, lambda k, v: v.isNotNull()).alias("row"))
 
 
