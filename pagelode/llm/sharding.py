@@ -38,10 +38,15 @@ class Node:
         return sum(c.weight for c in self.children) if self.children else self.own_weight
 
 
-def tree(shards: int, regions: int = 2, racks: int = 2) -> Node:
-    """Shards 0 to shards - 1 of weight 1, dealt in turn to the racks of the regions."""
+def tree(shards: int, regions: int = 2, racks: int = 2, first: int = 8) -> Node:
+    """Shards 0 to shards - 1 of weight 1: the first ones dealt in turn to the racks of the regions, later ones grown().
+
+    So there is one layout for each count from ``first`` on, and each further shard takes rows only into itself.
+    """
     if shards < 1:
         raise ValueError("at least one shard")
+    if shards > first:
+        return grown(tree(shards - 1, regions, racks, first), shards - 1)
     leaves = [Node(f"shard{i}", (), i) for i in range(shards)]
     at = [[leaves[i] for i in range(shards) if i % (regions * racks) == k] for k in range(regions * racks)]
     tops = [
