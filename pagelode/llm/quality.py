@@ -22,7 +22,7 @@ from pagelode.llm.common import SPACE, Scratch, free, words_of
 
 #: Rows, about, that the order of the rules is fitted on, and how often a rule is evaluated to time it.
 SAMPLE_ROWS = 2000
-REPEAT = 10
+REPEAT = 3
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 
@@ -117,7 +117,7 @@ def fit_order(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text")
 
     def seconds(column: Column) -> float:
         took = []
-        for _ in range(3):
+        for _ in range(2):
             began = time.perf_counter()
             sample.select(column.alias("n")).agg(F.sum("n")).collect()
             took.append(time.perf_counter() - began)
