@@ -30,7 +30,8 @@ empty table.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,45 +45,71 @@ from pagelode.llm.hashing import WORDS, mix, windows
 
 WINDOW = 13
 GRAM = 4
+#: Words that are hashed and compared at a time.
+TOGETHER = 1 << 17
 #: Bits of the map of shared minimisers; it only keeps rows from a join that would drop them.
 MAP_BITS = 1 << 24
 
 
 def minimizers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The gram hashes of a document's words, and for each window the place of its least one."""
+    """The gram hashes of words, and for each window the place of its least one, the first among equals."""
     grams = windows(hashes, gram, 1)
-    n = len(hashes) - window + 1
-    if n < 1:
+    if len(hashes) < window:
         return grams, np.zeros(0, np.int64)
-    least, at = grams[:n].copy(), np.arange(n)
-    for k in range(1, window - gram + 1):
-        other = grams[k : k + n]
-        less = other < least
-        least[less] = other[less]
-        at[less] = (np.arange(n) + k)[less]
+    least, at, have, need = grams, np.arange(len(grams)), 1, window - gram + 1
+    while have < need:
+        step = min(have, need - have)
+        less = least[step:] < least[:-step]
+        least, at = np.where(less, least[step:], least[:-step]), np.where(less, at[step:], at[:-step])
+        have += step
     return grams, at
 
 
+def groups(texts: Iterable[bytes]) -> Iterator[list[list[bytes]]]:
+    """The words of each text, in groups of texts with TOGETHER words or somewhat more."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.split())
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def joined(docs: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes of documents one after the other, where each document begins, and the document and place of every window inside one."""
+    sizes = np.array([len(words) for words in docs])
+    first = np.cumsum(sizes) - sizes
+    own = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(docs)), np.uint64, sizes.sum())
+    count = np.maximum(sizes - window + 1, 0)
+    doc = np.repeat(np.arange(len(docs)), count)
+    place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    return own, first, doc, place
+
+
 def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """doc_id, n_words, words_sha256 and the segments of every document: three arrays, of minimisers, places of the first window, and hashes of all words with the count of windows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sha, rows = [], [], ([], [], [], [])
-            for text in utf8(batch.column(1)):
-                words = text.split()
-                own = WORDS.of(words)
+            n, sha, counts, rows = [], [], [], ([], [], [], [])
+            for docs in groups(utf8(batch.column(1))):
+                own, first, doc, place = joined(docs, window)
                 found, at = minimizers(own, window, gram)
+                at, whole = at[place], windows(own, window, 2)
                 starts = np.flatnonzero(np.diff(at, prepend=-1))
                 size = np.diff(np.append(starts, len(at)))
-                whole = windows(own, window, 2)
-                n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                seg = mix(whole[starts] * np.uint64(0x9E3779B97F4A7C15) + whole[starts + size - 1] + size.astype(np.uint64)) if len(at) else whole
-                for held, values in zip(rows, (starts.astype(np.int32), size.astype(np.int16), found[at[starts]].view(np.int64), seg.view(np.int64))):
+                begin, of = place[starts], doc[starts]
+                seg = mix(whole[begin] * np.uint64(0x9E3779B97F4A7C15) + whole[begin + size - 1] + size.astype(np.uint64))
+                n += map(len, docs)
+                sha += [hashlib.sha256(b" ".join(words)).hexdigest() for words in docs]
+                counts.append(np.bincount(of, minlength=len(docs)))
+                for held, values in zip(rows, ((begin - first[of]).astype(np.int32), size.astype(np.int16), found[at[starts]].view(np.int64), seg.view(np.int64))):
                     held.append(values)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows[0]])]), pa.int32())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts)) if counts else []]).astype(np.int32))
             flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in rows]
             types = [pa.int32(), pa.int16(), pa.int64(), pa.int64()]
             entries = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(flat, types)], names=["start", "n", "gram", "seg"])
@@ -142,18 +169,26 @@ def window_rows(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places = [], []
-            for text, own in zip(utf8(batch.column(1)), batch.column(2)):
-                starts, sizes = (own.values.field(k).to_numpy() for k in ("start", "n"))
-                hashes = windows(WORDS.of(text.split()), window, 2)
-                place = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            keys, owners, places, row = [], [], [], 0
+            lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            bounds, edges_ = np.append(0, np.cumsum(lengths)), batch.column(2).flatten()
+            starts, sizes = (edges_.field(k).to_numpy() for k in ("start", "n"))
+            for docs in groups(utf8(batch.column(1))):
+                own, first, doc, place = joined(docs, window)
+                some = slice(bounds[row], bounds[row + len(docs)])
+                size, of = sizes[some], np.repeat(np.arange(len(docs)), lengths[row : row + len(docs)])
+                begin = starts[some] + first[of]
+                wanted = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
                 # an edge may come again in its first document
-                place = np.flatnonzero(pc.is_in(pa.array(hashes), value_set=pa.array(hashes[place])).to_numpy(zero_copy_only=False))
-                keys.append(hashes[place])
-                places.append(place)
-            at = pa.array(np.repeat(np.arange(len(places)), [len(x) for x in places]))
-            key, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, places))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(at), pa.array(place, pa.int32())], names=["key", "doc_id", "start"])
+                hashes, salt = windows(own, window, 2), mix(np.arange(len(docs), dtype=np.uint64))
+                value_set = pa.array(hashes[wanted] ^ salt[np.repeat(of, size)])
+                hit = np.flatnonzero(pc.is_in(pa.array(hashes[place] ^ salt[doc]), value_set=value_set).to_numpy(zero_copy_only=False))
+                keys.append(hashes[place[hit]])
+                owners.append(doc[hit] + row)
+                places.append(place[hit] - first[doc[hit]])
+                row += len(docs)
+            key, at, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, owners, places))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(at)), pa.array(place, pa.int32())], names=["key", "doc_id", "start"])
 
     of_doc = edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("n").cast("int").alias("n"))).alias("own"))
     return texts.join(of_doc, "doc_id").select("doc_id", "text", "own").mapInArrow(run, f"key long, doc_id {kind}, start int")
