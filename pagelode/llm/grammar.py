@@ -2,9 +2,11 @@
 
 Documents are dealt by id range and sorted; each task cuts its run of documents into shards of
 about SHARD_TOKENS ids, a document never being split. In a shard the frequent pairs of adjacent
-symbols are replaced by new symbols, round by round: counts of all pairs are taken (by a hash
-first, exactly for those that may be frequent), and where marked pairs overlap the more frequent
-one wins. A shard is one row of a Parquet table:
+symbols are replaced by new symbols, round by round, until no pair is frequent: counts of all pairs
+are taken (by a hash first, exactly for those that may be frequent), and where frequent pairs overlap
+the more frequent one wins, of equal ones the one with the greater hash, and in a run of one symbol
+every other one. A third of a long repeat goes in a round, so rounds grow with its logarithm.
+A shard is one row of a Parquet table:
 
     part, shard         its place; parts and shards in order hold ascending ids
     part_start          ids before it in its part
@@ -40,9 +42,8 @@ from pagelode.llm.common import Scratch
 
 END_ID = 1
 SHARD_TOKENS = 1 << 18
-#: A pair gets a rule if it occurs so often in a shard; rounds end with the first that finds none.
+#: A pair gets a rule if it occurs so often in a shard; rounds end when no pair does.
 FREQUENT = 24
-ROUNDS = 6
 
 
 class LibraryEncoder(dict):
@@ -89,36 +90,52 @@ def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def compress(ids: np.ndarray, frequent: int = FREQUENT, rounds: int = ROUNDS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def chosen(rank: np.ndarray) -> np.ndarray:
+    """The places of ranks above both neighbours', and every other place of a run of equal ones if its ends are; 0 is never chosen."""
+    start = np.flatnonzero(np.diff(rank, prepend=rank[0] + 1))
+    each = rank[start]
+    size = np.diff(np.append(start, len(rank)))
+    after, before = np.append(each[1:], 0), np.append(0, each[:-1])
+    # a run that ends below its neighbour gives up the place beside it
+    first, last = start + (each < before), start + size - (each < after)
+    count = np.where(each > 0, np.maximum(last - first + 1, 0) // 2, 0)
+    return np.repeat(first - 2 * (np.cumsum(count) - count), count) + 2 * np.arange(count.sum())
+
+
+def compress(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """base, rules (n x 2), rule lengths and symbols that decompress() turns into the ids again."""
     base = int(ids.max()) + 1 if len(ids) else 0
     symbols = ids.astype(np.uint64)
-    rules, lengths, n = [], [], 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    rules, lengths = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+    while len(symbols) > 1:
         pairs = symbols[:-1] << np.uint64(32) | symbols[1:]
         slots = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
         maybe = np.flatnonzero(np.bincount(slots, minlength=1 << 18)[slots] >= frequent)
-        kinds, of, counts = np.unique(pairs[maybe], return_inverse=True, return_counts=True)
-        weight = np.zeros(len(pairs) + 2, np.int64)
-        counted = counts[of]
-        weight[maybe + 1] = np.where(counted >= frequent, counted, 0)
-        here, left, right = weight[1:-1], weight[:-2], weight[2:]
-        chosen = (here > 0) & (here > left) & (here >= right)
-        at = np.flatnonzero(chosen)
-        if not len(at):
+        coded = pa.array(pairs[maybe]).dictionary_encode()
+        of, kinds = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        counts = np.bincount(of)
+        often = np.flatnonzero(counts >= frequent)
+        if not len(often):
             break
-        used, new = np.unique(pairs[at], return_inverse=True)
-        symbols[at] = new.astype(np.uint64) + np.uint64(base + n)
+        # the rank of a frequent pair among all of the round: by count, then by hash
+        often = often[np.lexsort((kinds[often] * np.uint64(0x9E3779B97F4A7C15), counts[often]))]
+        ranks = np.zeros(len(kinds), np.int64)
+        ranks[often] = np.arange(1, len(often) + 1)
+        rank = np.zeros(len(pairs), np.int64)
+        rank[maybe] = ranks[of]
+        at = chosen(rank)
+        # the most frequent pair is chosen at half its places or more; the others wait if they get less
+        kept = np.bincount(rank[at], minlength=len(often) + 1) * 2 >= frequent
+        at = at[kept[rank[at]]]
+        new, pair = (np.cumsum(kept) - 1)[rank[at]], kinds[often[np.flatnonzero(kept) - 1]]
+        symbols[at] = new.astype(np.uint64) + np.uint64(base + len(rules))
         symbols = np.delete(symbols, at + 1)
-        rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], 1))
-        before = np.concatenate([np.zeros(0, np.int64), *lengths])
-        size = lambda s: np.where(s < base, 1, before[np.maximum(s.astype(np.int64) - base, 0)] if len(before) else 1)
-        lengths.append(size(rules[-1][:, 0]) + size(rules[-1][:, 1]))
-        n += len(used)
-    flat = np.concatenate([np.zeros((0, 2), np.uint64), *rules])
-    return base, flat.astype("<u4"), np.concatenate([np.zeros(0, np.int64), *lengths]).astype("<u4"), symbols.astype("<u4")
+        both = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1)
+        each = np.ones(both.shape, np.int64)
+        old = both >= base
+        each[old] = lengths[both[old].astype(np.int64) - base]
+        rules, lengths = np.concatenate([rules, both]), np.append(lengths, each.sum(1))
+    return base, rules.astype("<u4"), lengths.astype("<u4"), symbols.astype("<u4")
 
 
 def decompress(base: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:

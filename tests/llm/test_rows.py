@@ -70,6 +70,20 @@ def test_token_files(spark, library):
     assert grammar.round_trip(docs.limit(0), vocabulary()).count() == 0
 
 
+def test_grammar_ends_only_when_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    passage = rng.permutation(60).astype("<u4")
+    inputs = [np.tile(passage, 400), np.zeros(3000, "<u4"), np.tile(np.array([1, 1, 2], "<u4"), 500), rng.zipf(1.5, 6000).clip(0, 50).astype("<u4")]
+    inputs += [rng.integers(0, rng.integers(1, 6), rng.integers(0, 400)).astype("<u4") for _ in range(40)]
+    for x in inputs:
+        base, rules, lengths, symbols = grammar.compress(x, 12)
+        assert (grammar.decompress(base, rules, lengths, symbols) == x).all()
+        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+        assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < 12
+    # a passage that comes 400 times becomes rules that stand for all of it
+    assert grammar.compress(inputs[0], 12)[2].max() >= 60
+
+
 def test_grammar_compresses_and_reads_anywhere():
     rng = np.random.default_rng(1)
     ids = np.concatenate([np.tile([5, 6, 7, 5, 6], 500), rng.zipf(1.3, 5000) % 900, [3]]).astype("<u4")
