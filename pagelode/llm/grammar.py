@@ -91,27 +91,32 @@ def library(path: str) -> LibraryEncoder:
 
 
 def chosen(rank: np.ndarray) -> np.ndarray:
-    """The places of ranks above both neighbours', and every other place of a run of equal ones if its ends are; 0 is never chosen."""
-    start = np.flatnonzero(np.diff(rank, prepend=rank[0] + 1))
-    each = rank[start]
-    size = np.diff(np.append(start, len(rank)))
-    after, before = np.append(each[1:], 0), np.append(0, each[:-1])
-    # a run that ends below its neighbour gives up the place beside it
-    first, last = start + (each < before), start + size - (each < after)
-    count = np.where(each > 0, np.maximum(last - first + 1, 0) // 2, 0)
-    return np.repeat(first - 2 * (np.cumsum(count) - count), count) + 2 * np.arange(count.sum())
+    """The places of ranks above both neighbours', and every other place of a run of equal ones that its neighbours leave; 0 is never chosen."""
+    wide = np.zeros(len(rank) + 2, rank.dtype)
+    wide[1:-1] = rank
+    before, after = wide[:-2], wide[2:]
+    tied = np.flatnonzero(rank[1:] == rank[:-1])
+    tied = tied[rank[tied] > 0]
+    alone = np.flatnonzero((rank > before) & (rank > after))
+    if not len(tied):
+        return alone
+    # runs of ties; one that ends below its neighbour gives up the place beside it
+    begins = np.flatnonzero(np.diff(tied, prepend=-2) > 1)
+    start, end = tied[begins], tied[np.append(begins[1:], len(tied)) - 1] + 1
+    first, last = start + (rank[start] < before[start]), end - (rank[end] < after[end])
+    count = (last - first) // 2 + 1
+    return np.sort(np.append(alone, np.repeat(first - 2 * (np.cumsum(count) - count), count) + 2 * np.arange(count.sum())))
 
 
 def compress(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """base, rules (n x 2), rule lengths and symbols that decompress() turns into the ids again."""
     base = int(ids.max()) + 1 if len(ids) else 0
-    symbols = ids.astype(np.uint64)
-    rules, lengths = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
-    while len(symbols) > 1:
-        pairs = symbols[:-1] << np.uint64(32) | symbols[1:]
-        slots = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        maybe = np.flatnonzero(np.bincount(slots, minlength=1 << 18)[slots] >= frequent)
-        coded = pa.array(pairs[maybe]).dictionary_encode()
+    symbols = ids.astype("<u4")
+    rules, lengths = np.zeros((0, 2), "<u4"), np.zeros(0, np.int64)
+    slots = ((symbols[:-1] * np.uint32(0x9E3779B1) ^ symbols[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(14)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(slots, minlength=1 << 18)[slots] >= frequent)
+    while len(maybe):
+        coded = pa.array(symbols[maybe].astype(np.uint64) << np.uint64(32) | symbols[maybe + 1]).dictionary_encode()
         of, kinds = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         counts = np.bincount(of)
         often = np.flatnonzero(counts >= frequent)
@@ -119,36 +124,51 @@ def compress(ids: np.ndarray, frequent: int = FREQUENT) -> tuple[int, np.ndarray
             break
         # the rank of a frequent pair among all of the round: by count, then by hash
         often = often[np.lexsort((kinds[often] * np.uint64(0x9E3779B97F4A7C15), counts[often]))]
-        ranks = np.zeros(len(kinds), np.int64)
+        ranks = np.zeros(len(kinds), np.int32)
         ranks[often] = np.arange(1, len(often) + 1)
-        rank = np.zeros(len(pairs), np.int64)
+        rank = np.zeros(len(symbols), np.int32)
         rank[maybe] = ranks[of]
         at = chosen(rank)
         # the most frequent pair is chosen at half its places or more; the others wait if they get less
         kept = np.bincount(rank[at], minlength=len(often) + 1) * 2 >= frequent
         at = at[kept[rank[at]]]
-        new, pair = (np.cumsum(kept) - 1)[rank[at]], kinds[often[np.flatnonzero(kept) - 1]]
-        symbols[at] = new.astype(np.uint64) + np.uint64(base + len(rules))
-        symbols = np.delete(symbols, at + 1)
-        both = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1)
+        first = base + len(rules)
+        symbols[at] = (first + np.cumsum(kept) - 1)[rank[at]]
+        left = np.ones(len(symbols), bool)
+        left[at + 1] = False
+        symbols = symbols[left]
+        pair = kinds[often[np.flatnonzero(kept) - 1]]
+        both = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype("<u4")
         each = np.ones(both.shape, np.int64)
         old = both >= base
         each[old] = lengths[both[old].astype(np.int64) - base]
         rules, lengths = np.concatenate([rules, both]), np.append(lengths, each.sum(1))
-    return base, rules.astype("<u4"), lengths.astype("<u4"), symbols.astype("<u4")
+        # only pairs with a new symbol and those that were frequent can be frequent now
+        new, was = symbols >= first, rank[left] > 0
+        maybe = np.flatnonzero(was[:-1] | new[:-1] | new[1:])
+    return base, rules, lengths.astype("<u4"), symbols
 
 
 def decompress(base: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for: symbols are replaced by their two parts until none is new."""
-    out = symbols
-    while len(out) and (new := out >= base).any():
-        sizes = np.where(new, 2, 1)
-        ends = np.cumsum(sizes)
-        grown = np.empty(ends[-1], out.dtype)
-        grown[ends[~new] - 1] = out[~new]
-        both = rules[out[new].astype(np.int64) - base]
+    """The ids that symbols stand for: every rule is expanded once, and each symbol copies its ids from there."""
+    expanded = rules.reshape(-1)
+    while (new := expanded >= base).any():
+        # symbols are replaced by their two parts until none is new
+        ends = np.cumsum(np.where(new, 2, 1))
+        grown = np.empty(ends[-1], expanded.dtype)
+        grown[ends[~new] - 1] = expanded[~new]
+        both = rules[expanded[new].astype(np.int64) - base]
         grown[ends[new] - 2], grown[ends[new] - 1] = both[:, 0], both[:, 1]
-        out = grown
+        expanded = grown
+    new = np.flatnonzero(symbols >= base)
+    of = symbols[new].astype(np.int64) - base
+    size = np.ones(len(symbols), np.int64)
+    size[new] = lengths[of]
+    begin = np.cumsum(size) - size
+    out = np.repeat(symbols, size)
+    begin, size, source = begin[new], size[new], (np.cumsum(lengths, dtype=np.int64) - lengths)[of]
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin, size) + within] = expanded[np.repeat(source, size) + within]
     return out
 
 
