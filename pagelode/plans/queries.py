@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.functions import dates, scalars, titles, wikitext
-from pagelode.operators import activity, entities, listing, pageset, runs, timeseries
+from pagelode.operators import activity, entities, listing, lookups, pageset, runs, timeseries
 from pagelode.plans.wiki import Catalog, with_views
 from pagelode.session import table
 
@@ -906,3 +907,97 @@ def revision_scores(spark, sf):
     scores = table(spark, sf, "labels").select(F.col("doc_id").alias("rev_id"), F.col("quality").cast("double").alias("probability"), F.lit(None).cast("string").alias("reason"))
     out = wikis.scored(Catalog(spark, sf)["revision"].select("rev_id"), scores)
     return out.select("rev_id", "result.score", "result.unscorable_reason")
+
+
+# --- lookups of pages and files ---------------------------------------------------------------
+
+
+@query("select cast(null as bigint) as page_id, ns, title from (values (0, 'Main Page'), (4, 'About')) as t(ns, title)")
+def literal_pages(spark, sf):
+    return lookups.literal(spark, [(0, "Main Page"), (4, "About")])
+
+
+@query("select page_id, ns, title from v_page where 1 = 0")
+def no_pages(spark, sf):
+    return lookups.literal(spark)
+
+
+@query("""select p.page_id, p.title, f.file_id from v_page p left join (select *, row_number() over (partition by title order by ts desc, file_id desc) as rn from v_file) f
+    on f.title = replace(p.title, '/', ' ') and rn = 1 where p.ns = 1""")
+def file_info(spark, sf):
+    """The newest upload of the file that a page's title names, nulls without one."""
+    asked = Catalog(spark, sf)["page"].where("ns = 1").select("page_id", F.col("title").alias("name"), F.replace("title", F.lit("/"), F.lit(" ")).alias("title"))
+    return lookups.files(asked, Catalog(spark, sf)).select("page_id", F.col("name").alias("title"), "file_id")
+
+
+@query("select page_id, title from v_page where page_id in (select src_id from v_imagelinks where dst_id = 7) and ns in (0, 1, 3)")
+def file_usage(spark, sf):
+    return lookups.file_usage(Catalog(spark, sf), 7, [0, 1, 3]).select("page_id", "title")
+
+
+@query("select page_id, title from v_page where page_id in (select dst_id from v_imagelinks where src_id = 3)")
+def files_on(spark, sf):
+    return listing.links_from(Catalog(spark, sf), 3, "imagelinks").select("page_id", "title")
+
+
+@query("select distinct ns, title from v_imagelinks join v_page on page_id = dst_id")
+def all_file_usages(spark, sf):
+    return listing.all_targets(Catalog(spark, sf), "imagelinks")
+
+
+@query("select title, wiki, page_id from v_globalusage where wiki <> 'wiki0' and title in (select title from v_file where file_id % 4 = 0)")
+def global_usage(spark, sf):
+    c = Catalog(spark, sf)
+    return lookups.global_usage(c["file"].where("file_id % 4 = 0"), c, own="wiki0")
+
+
+@query("select title, ts, file_id from v_deleted_files where title >= 'b' and title <= 's' and title like 'r%'")
+def deleted_files(spark, sf):
+    return lookups.deleted_files(Catalog(spark, sf), "b", "s", "r")
+
+
+@query("select distinct prefix, title from v_iwlinks where page_id = 7")
+def interwiki_links(spark, sf):
+    return lookups.interwiki_links(Catalog(spark, sf), 7)
+
+
+@query("select page_id, action, level, cast(expiry as varchar) as expiry from v_protections where (expiry is null or expiry > date '1997-01-01') and page_id in (select page_id from v_page where ns = 1)")
+def protections(spark, sf):
+    c = Catalog(spark, sf)
+    return lookups.protections(c["page"].where("ns = 1"), c, datetime.date(1997, 1, 1)).withColumn("expiry", F.col("expiry").cast("string"))
+
+
+@query("select t.category, count(c.category) as size from (select distinct category from v_tracking) t left join v_categorylinks c on c.category = t.category group by t.category")
+def tracking_categories(spark, sf):
+    return lookups.tracking_categories(Catalog(spark, sf))
+
+
+@query("select p.page_id, p.title, a.value from v_page p left join (select * from v_attributes where name = 'item') a on a.page_id = p.page_id where p.ns = 2")
+def wikibase_items(spark, sf):
+    c = Catalog(spark, sf)
+    return lookups.attributes(c["page"].where("ns = 2").select("page_id", "title"), c, "item")
+
+
+@query("select p.page_id, p.title, a.value from v_page p left join (select * from v_attributes where name = 'extract') a on a.page_id = p.page_id where p.ns = 0")
+def extracts(spark, sf):
+    c = Catalog(spark, sf)
+    return lookups.attributes(c["page"].where("ns = 0").select("page_id", "title"), c, "extract")
+
+
+@query("select page_id, level from v_proofread where page_id in (select page_id from v_page where is_redirect)")
+def proofread_quality(spark, sf):
+    c = Catalog(spark, sf)
+    return lookups.proofread_quality(c["page"].where("is_redirect"), c)
+
+
+@query("""select p.page_id, i.index_id from v_page p left join (select dst_id, min(src_id) as index_id from v_templatelinks where src_id in (select page_id from v_page where ns = 3) group by dst_id) i
+    on i.dst_id = p.page_id where p.ns = 2""")
+def index_of(spark, sf):
+    c = Catalog(spark, sf)
+    return lookups.index_of(c["page"].where("ns = 2"), c, 3)
+
+
+@query("""select page_id, title, try_cast(nullif(regexp_extract(title, '/([0-9]{1,9})$', 1), '') as int) as number from v_page
+    where ns = 2 and page_id in (select dst_id from v_templatelinks where src_id = 3)""")
+def pages_of(spark, sf):
+    return lookups.pages_of(Catalog(spark, sf), 3, 2)

@@ -31,6 +31,14 @@ VIEWS = {
     "user": "select c_custkey as user_id, c_name as name, c_mktsegment as grp, cast(floor(c_acctbal) as bigint) as edits from {customer}",
     "block": "select o_orderkey as block_id, o_orderdate as ts, o_orderstatus as user, o_totalprice > 250000 as auto, o_custkey % 2 = 0 as temporary from {orders}",
     "file": "select p_partkey as file_id, p_name as title, p_size as ts, concat(p_brand, p_type) as sha1 from {part}",
+    "imagelinks": "select l_suppkey as src_id, l_partkey as dst_id from {lineitem} where l_returnflag = 'R'",
+    "globalusage": "select p_name as title, concat('wiki', cast(p_size % 5 as string)) as wiki, p_partkey as page_id from {part}",
+    "deleted_files": "select p_name as title, p_size as ts, p_partkey as file_id from {part} where p_partkey % 6 = 1",
+    "iwlinks": "select doc_id % 40 as page_id, lang as prefix, source as title from {documents}",
+    "protections": "select o_custkey as page_id, o_orderpriority as action, o_orderstatus as level, case when o_orderkey % 3 = 0 then cast(null as date) else cast(o_orderdate as date) end as expiry from {orders}",
+    "tracking": "select n_name as category from {nation} where n_nationkey % 2 = 0 union all select r_name as category from {region}",
+    "attributes": "select doc_id as page_id, 'item' as name, source as value from {documents} where doc_id % 3 = 0 union all select doc_id as page_id, 'extract' as name, lang as value from {documents}",
+    "proofread": "select p_partkey as page_id, cast(p_size % 5 as int) as level from {part} where p_size % 4 = 2",
     "geo": "select c_custkey as page_id, (c_custkey * 37 % 1800) / 10.0 - 90 as lat, (c_custkey * 91 % 3600) / 10.0 - 180 as lon from {customer}",
     "triage": "select o_orderkey as page_id, o_orderdate as ts, o_orderstatus = 'F' as reviewed from {orders}",
     "views": "select 'en.wikipedia' as project, cast(user_id as string) as title, case when event_id % 3 = 0 then 'mobile-web' else 'desktop' end as access, "
