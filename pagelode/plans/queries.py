@@ -253,6 +253,55 @@ def search_relevance(spark, sf):
     return listing.search(Catalog(spark, sf), "widget standard", limit=20).select("page_id", "score")
 
 
+@query("""with w as (select page_id, regexp_split_to_array(lower(text), '\\W+') as words from v_content),
+    n as (select count(*) + 1.0 as n, greatest(1, count(*) filter (where list_contains(words, 'widget'))) as a, greatest(1, count(*) filter (where list_contains(words, 'standard'))) as b from w)
+    select page_id, round(cast(len(list_filter(words, lambda x: x = 'widget')) as double) / len(words) * ln(n / a) + cast(len(list_filter(words, lambda x: x = 'standard')) as double) / len(words) * ln(n / b), 6) as score
+    from w, n where list_contains(words, 'widget') and list_contains(words, 'standard')""")
+def search_relevance_whole(spark, sf):
+    return listing.search(Catalog(spark, sf), "widget standard").select("page_id", F.round("score", 6).alias("score"))
+
+
+@query("select page_id, title from v_content where list_contains(regexp_split_to_array(lower(title), '\\W+'), 'red') and list_contains(regexp_split_to_array(lower(title), '\\W+'), '3')")
+def search_title(spark, sf):
+    return listing.search(Catalog(spark, sf), "Red 3", scope="title", sort="none").select("page_id", "title")
+
+
+@query("select page_id, title from v_content where lower(title) = (select lower(title) from v_content where page_id = 7)")
+def search_near_match(spark, sf):
+    c = Catalog(spark, sf)
+    title = c["content"].where("page_id = 7").first().title
+    return listing.search(c, title.upper(), scope="near_match").select("page_id", "title")
+
+
+@query("""select page_id, ts from (select c.page_id, p_size as ts from v_content c join part on p_partkey = c.page_id where list_contains(regexp_split_to_array(lower(text), '\\W+'), 'red'))
+    order by ts desc, page_id limit 25""")
+def search_last_edited(spark, sf):
+    """The 25 hits that were edited last."""
+    c = Catalog(spark, sf)
+    edits = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_size").alias("ts"))
+    return listing.search({"content": c["content"].join(edits, "page_id")}, "red", sort="last_edit_desc", limit=25).select("page_id", "ts")
+
+
+@query("select page_id, title from v_page where not is_redirect and page_id not in (select src_id from v_links)")
+def dead_end_pages(spark, sf):
+    return listing.special_page(Catalog(spark, sf), "Deadendpages").select("page_id", "title")
+
+
+@query("select page_id, title from v_page where not is_redirect and page_id not in (select page_id from v_categorylinks)")
+def uncategorized_pages(spark, sf):
+    return listing.special_page(Catalog(spark, sf), "Uncategorizedpages").select("page_id", "title")
+
+
+@query("select page_id, len from v_page where not is_redirect order by len, page_id limit 25")
+def shortest_pages(spark, sf):
+    return listing.special_page(Catalog(spark, sf), "Shortpages", 25).select("page_id", "len")
+
+
+@query("select page_id, len from v_page where not is_redirect order by len desc, page_id limit 25")
+def longest_pages(spark, sf):
+    return listing.special_page(Catalog(spark, sf), "Longpages", 25).select("page_id", "len")
+
+
 @query("select page_id, title from v_page where not is_redirect and page_id not in (select dst_id from v_links)")
 def lonely_pages(spark, sf):
     return listing.special_page(Catalog(spark, sf), "Lonelypages").select("page_id", "title")
