@@ -10,7 +10,7 @@ concatenated, they give it back. Offsets count code points.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -163,12 +163,40 @@ def params_map(params: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], F.trim(p["value"]))))
 
 
-def templates(table: DataFrame, name: str | None = None) -> DataFrame:
-    """Templates with their key and parameters; a name is compared by key."""
+#: Core parser functions (any name with a leading # is one too) and variables; a wiki's own are given as parameters.
+FUNCTIONS = ("anchorencode", "canonicalurl", "filepath", "formatnum", "fullurl", "gender", "grammar", "int", "lc", "lcfirst", "localurl", "ns", "nse", "padleft", "padright", "plural", "uc", "ucfirst", "urlencode")
+VARIABLES = ("BASEPAGENAME", "CURRENTDAY", "CURRENTMONTH", "CURRENTTIME", "CURRENTTIMESTAMP", "CURRENTYEAR", "FULLPAGENAME", "NAMESPACE", "NAMESPACENUMBER", "PAGENAME", "REVISIONID", "REVISIONUSER", "ROOTPAGENAME", "SITENAME", "SUBPAGENAME", "TALKPAGENAME")
+_SUBST = r"^(?i)(?:(?:safe)?subst|msg|msgnw|raw)\s*:\s*"
+
+
+def _called(functions: Iterable[str], variables: Iterable[str]) -> tuple[Column, Column]:
+    """The name of the parser function or variable that a template node calls, null for a template, and what follows its colon."""
+    title = F.trim(F.regexp_replace(F.trim("name"), _SUBST, ""))
+    head, colon = F.trim(F.substring_index(title, ":", 1)), F.instr(title, ":")
+    named = head.startswith("#") | F.lower(head).isin(list(functions)) | head.isin(list(variables))
+    bare = title.isin(list(variables)) & (F.coalesce(F.size("params"), F.lit(0)) <= 0)
+    name = F.when(F.when(colon > 0, named).otherwise(bare), head)
+    return name, F.when(name.isNotNull() & (colon > 0), F.trim(F.substr(title, colon + F.lit(1))))
+
+
+def parser_functions(table: DataFrame, functions: Iterable[str] = FUNCTIONS, variables: Iterable[str] = VARIABLES) -> DataFrame:
+    """Template nodes that call a parser function or a variable, with function and argument (null without a colon).
+
+    A variable's name with parameters and no colon is a template. Null names call nothing.
+    """
+    name, argument = _called(functions, variables)
+    return table.where("kind = 'template'").withColumns({"function": name, "argument": argument}).where("function is not null")
+
+
+def templates(table: DataFrame, name: str | Iterable[str] | None = None) -> DataFrame:
+    """Templates with their key and parameters; one name or several are compared by key, and calls of parser functions are then left out."""
     from pagelode.functions.titles import template_key
 
     own = table.where("kind = 'template'").withColumn("key", template_key(F.col("name"))).withColumn("args", params_map(F.col("params")))
-    return own if name is None else own.where(F.col("key") == template_key(F.lit(name)))
+    if name is None:
+        return own
+    names = [name] if isinstance(name, str) else list(name)
+    return own.where(F.col("key").isin([template_key(F.lit(n)) for n in names]) & _called(FUNCTIONS, VARIABLES)[0].isNull()) if names else own.limit(0)
 
 
 def wikilinks(table: DataFrame) -> DataFrame:

@@ -261,9 +261,9 @@ def search_relevance_whole(spark, sf):
     return listing.search(Catalog(spark, sf), "widget standard").select("page_id", F.round("score", 6).alias("score"))
 
 
-@query("select page_id, title from v_content where list_contains(regexp_split_to_array(lower(title), '\\W+'), 'red') and list_contains(regexp_split_to_array(lower(title), '\\W+'), '3')")
+@query("select page_id, title from v_content where list_contains(regexp_split_to_array(lower(title), '\\W+'), 'red') and list_contains(regexp_split_to_array(lower(title), '\\W+'), 'widget')")
 def search_title(spark, sf):
-    return listing.search(Catalog(spark, sf), "Red 3", scope="title", sort="none").select("page_id", "title")
+    return listing.search(Catalog(spark, sf), "Red widget", scope="title", sort="none").select("page_id", "title")
 
 
 @query("select page_id, title from v_content where lower(title) = (select lower(title) from v_content where page_id = 7)")
@@ -708,6 +708,21 @@ def templates(spark, sf):
     return own.select("page_id", arg("1").alias("first"), arg("brand").alias("brand"), arg("size").alias("size"))
 
 
+@query("select p_partkey as page_id, 'Part' as key from part union all select p_partkey, 'Small' from part")
+def templates_named(spark, sf):
+    """Calls of any of several templates, nested ones included."""
+    return wikitext.templates(wikitext.node_table(_parts(spark, sf), "page_id"), ["part", "Template:small", "none"]).select("page_id", "key")
+
+
+@query("""select p_partkey as page_id, '#if' as function, cast(p_size as varchar) as argument from part union all select p_partkey, 'lc', p_brand from part
+    union all select p_partkey, 'PAGENAME', null from part union all select p_partkey, 'uc', p_name from part""")
+def parser_functions(spark, sf):
+    """Calls of parser functions and variables; a variable's name with parameters is a template."""
+    text = F.format_string("{{#if: %d |a|b}} {{lc:%s}} {{PAGENAME}} {{PAGENAME|x}} {{subst:uc: %s }} {{lc}} {{plain|y=1}}", "p_size", "p_brand", "p_name")
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), text.alias("text"))
+    return wikitext.parser_functions(wikitext.node_table(pages, "page_id")).select("page_id", "function", "argument")
+
+
 @query("select p_partkey as page_id, p_name as target, 'top' as fragment, p_type as label from part union all select p_partkey, ':Category:' || p_type, null, null from part")
 def wikilinks(spark, sf):
     return wikitext.wikilinks(wikitext.node_table(_parts(spark, sf), "page_id")).select("page_id", "target", "fragment", "label")
