@@ -95,6 +95,32 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame
     return dealt.join(copied, [*keys, "salt_"], how).drop("salt_")
 
 
+#: Bits of a map of keys.
+MAP_BITS = 1 << 24
+
+
+def _map_places(key: Column) -> tuple[Column, Column]:
+    """The word and the bit of a key in a map."""
+    spot = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    return F.shiftright(spot, 6).cast("int"), spot.bitwiseAND(F.lit(63)).cast("int")
+
+
+def bit_map(keys: DataFrame, key: str) -> DataFrame:
+    """One row with a map of keys as an array of 64-bit words, of a fixed size; it only keeps rows from a join that would drop them."""
+    word, bit = _map_places(F.col(key))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bits = keys.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
+    every = keys.sparkSession.range(MAP_BITS // 64).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
+    held = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(F.transform(held, lambda x: x["bits"]).alias("bits"))
+
+
+def in_map(flags: DataFrame, key: Column) -> Column:
+    """Whether a key may be in the map; false means that it isn't."""
+    word, bit = _map_places(key)
+    return F.call_function("shiftright", F.get(flags.scalar(), word), bit).bitwiseAND(F.lit(1)) == 1
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores added until they clash with no column of df."""
     taken = {c.lower() for c in df.columns}

@@ -71,4 +71,10 @@ select k.doc_id, k.size, cast(p.own as bigint) as source_size, p.target,
 from k join p on p.source is not distinct from k.source join cum on cum.source is not distinct from k.source and cum.key = k.key
 """
 
-SQL = {"op1_minhash": OP1, "op2_substring_dedup": OP2, "op5_quality_rules": OP5, "op8_mixing": OP8}
+OP12 = r"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(d.t) as text_sha256 from d join g on g.t = d.t
+"""
+
+SQL = {"op1_minhash": OP1, "op2_substring_dedup": OP2, "op5_quality_rules": OP5, "op8_mixing": OP8, "op12_exact_dedup": OP12}

@@ -36,19 +36,17 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.llm.bpe import utf8
-from pagelode.llm.common import Scratch, lookup
+from pagelode.llm.common import Scratch, bit_map, in_map, lookup
 from pagelode.llm.hashing import WORDS, mix, windows
 
 WINDOW = 13
 GRAM = 4
 #: Words that are hashed and compared at a time.
 TOGETHER = 1 << 17
-#: Bits of the map of shared minimisers; it only keeps rows from a join that would drop them.
-MAP_BITS = 1 << 24
 
 
 def minimizers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -119,22 +117,6 @@ def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_words long, words_sha256 string, segments array<struct<start:int,n:smallint,gram:bigint,seg:bigint>>")
 
 
-def _map_places(gram: Column) -> tuple[Column, Column]:
-    """The word and the bit of a minimiser in the map."""
-    spot = F.pmod(F.xxhash64(gram), F.lit(MAP_BITS))
-    return F.shiftright(spot, 6).cast("int"), spot.bitwiseAND(F.lit(63)).cast("int")
-
-
-def bit_map(shared: DataFrame) -> DataFrame:
-    """One row with the map of minimisers (gram) as an array of 64-bit words, of a fixed size."""
-    word, bit = _map_places(F.col("gram"))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-    bits = shared.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
-    every = shared.sparkSession.range(MAP_BITS // 64).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
-    held = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
-    return every.agg(F.transform(held, lambda x: x["bits"]).alias("bits"))
-
-
 def runs(hits: DataFrame, window: int) -> DataFrame:
     """(doc_id, start, words, source, at): one row for each run of hits (doc_id, start, n, source, at, path) that follow each other in step."""
     order = Window.partitionBy("doc_id").orderBy("start", "n")
@@ -244,9 +226,8 @@ def repeated_segments(held: DataFrame, scratch: Scratch) -> DataFrame:
     rows = held.where("doc_id is not null").select("doc_id", F.inline("segments"))
     shared = rows.groupBy("gram").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("count")).where("x < y").select("gram", "count")
     shared = scratch.save(shared, "minimisers")
-    flags = scratch.save(bit_map(shared), "map")
-    word, bit = _map_places(F.col("gram"))
-    maybe = rows.where(F.call_function("shiftright", F.get(flags.scalar(), word), bit).bitwiseAND(F.lit(1)) == 1)
+    flags = scratch.save(bit_map(shared, "gram"), "map")
+    maybe = rows.where(in_map(flags, F.col("gram")))
     return lookup(maybe, shared.select("gram"), ["gram"], shared)
 
 
