@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, cuckoo, grammar, language, lines, minhash, mixing, quality, sharding, simhash, substrings
+from pagelode.llm import bpe, cuckoo, grammar, language, lines, minhash, mixing, quality, sharding, simhash, spelling, substrings
 from pagelode.llm.common import documents
 from pagelode.llm.sql import SQL
 
@@ -68,6 +68,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.against_next(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.dedup(documents(spark, sf_dir))
 
@@ -80,7 +84,7 @@ def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash, op2_substring_dedup, op3_token_binary, op4_line_dedup, op5_quality_rules,
-        op6_sharding, op7_bpe, op8_mixing, op9_language_id, op10_simhash, op12_exact_dedup, near_fingerprints,
+        op6_sharding, op7_bpe, op8_mixing, op9_language_id, op10_simhash, op11_spelling_variants, op12_exact_dedup, near_fingerprints,
     )
 }
 
