@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import bpe, cuckoo, grammar, language, lines, minhash, mixing, quality, sharding, simhash, spelling, substrings
+from pagelode.llm import alignment, bpe, cuckoo, grammar, language, lines, minhash, mixing, quality, sharding, simhash, spelling, substrings
 from pagelode.llm.common import documents
 from pagelode.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
 
 
-def vocabulary() -> str:
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def vocabulary() -> str:
+    return tokenizer("word_bpe_49k.json")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +81,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.dedup(documents(spark, sf_dir))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their classes of equal fingerprints, and links of classes within 3 bits, by operator 10's block tables."""
     return simhash.classes(simhash.fingerprints(documents(spark, sf_dir)), 3)
@@ -84,7 +93,7 @@ def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash, op2_substring_dedup, op3_token_binary, op4_line_dedup, op5_quality_rules,
-        op6_sharding, op7_bpe, op8_mixing, op9_language_id, op10_simhash, op11_spelling_variants, op12_exact_dedup, near_fingerprints,
+        op6_sharding, op7_bpe, op8_mixing, op9_language_id, op10_simhash, op11_spelling_variants, op12_exact_dedup, op13_alignment, near_fingerprints,
     )
 }
 
