@@ -12,7 +12,8 @@ differ by exactly one inserted, deleted or replaced code point.
    same place; if right, they are equal from its start, at places that differ by the lengths' difference.
    A word is therefore posted under the start of the word up to each such bigram and under its end from
    there, and only words with one posting in common and lengths apart by 1 at most meet.
-4. Words that meet are verified by their edit distance inside the join, so that no other pair leaves it.
+4. Words that meet are compared by a bitmap of their letters and verified by their edit distance, both
+   inside the join, so that no other pair leaves it.
 5. A word's form is the near word of the largest count; roots are found by doubling steps along the
    forms, which rise by a factor each, so that the rounds are few.
 
@@ -94,15 +95,25 @@ def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): all pairs of distinct words (word) within one edit, a before b; words have a bigram at least."""
     at = prefixes(words.select("word"), scratch)
     size = F.char_length("word")
-    left = at.select("word", size.alias("size"), F.lit("<").alias("side"), F.substr("word", F.lit(1), F.col("pos") + GRAM - 1).alias("part"))
-    right = at.select("word", size.alias("size"), F.lit(">").alias("side"), F.substr("word", F.col("pos"), size).alias("part"))
-    posts = scratch.save(left.unionByName(right).distinct(), "posts")
-    shared = scratch.save(posts.groupBy("side", "part").count().where("count > 1"), "post-counts")
-    met = scratch.save(posts.join(shared, ["side", "part"]).drop("count"), "met")
-    x, y = met.alias("x"), met.alias("y")
-    same = (F.col("x.side") == F.col("y.side")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.word") < F.col("y.word"))
-    close = (F.abs(F.col("x.size") - F.col("y.size")) <= EDITS) & (F.levenshtein(F.col("x.word"), F.col("y.word"), EDITS) == EDITS)
-    return scratch.save(x.join(y, same & close).select(F.col("x.word").alias("a"), F.col("y.word").alias("b")).distinct(), "pairs")
+    left = at.select("word", F.lit("<").alias("side"), F.substr("word", F.lit(1), F.col("pos") + GRAM - 1).alias("part"))
+    right = at.select("word", F.lit(">").alias("side"), F.substr("word", F.col("pos"), size).alias("part"))
+    # a word is posted under its own length, and as the longer one of two under the length below
+    lengths = F.array(F.struct(size.alias("size"), F.lit(False).alias("longer")), F.struct((size - 1).alias("size"), F.lit(True).alias("longer")))
+    posts = left.unionByName(right).distinct().select("word", letters(F.col("word")).alias("map"), "side", "part", F.inline(lengths))
+    posts = scratch.save(posts.select(F.xxhash64("side", "part", "size").alias("key"), "longer", "word", "map"), "posts")
+    shared = scratch.save(posts.groupBy("key").count().where("count > 1"), "post-counts")
+    met = scratch.save(posts.join(shared.select("key"), "key"), "met")
+    x, y = met.where("not longer").alias("x"), met.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("y.longer") | (F.col("x.word") < F.col("y.word")))
+    close = (F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map"))) <= 2 * EDITS) & (F.levenshtein(F.col("x.word"), F.col("y.word"), EDITS) == EDITS)
+    found = x.join(y, same & close).select(F.least("x.word", "y.word").alias("a"), F.greatest("x.word", "y.word").alias("b"))
+    return scratch.save(found.distinct(), "pairs")
+
+
+def letters(word: Column) -> Column:
+    """For each of 64 bits whether an odd count of code points falls on it: one edit changes two bits at most."""
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseXOR(one(c)))
 
 
 def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
