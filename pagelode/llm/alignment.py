@@ -5,8 +5,9 @@ into groups; inside a group every A token is linked with every B token whose byt
 
 1. A text is cut into units, each a run of white space and what follows it up to the next space. Neither
    tokenizer has a token that goes from a letter to a space, so a unit's tokens are those of the whole
-   text; a worker encodes a unit once and remembers its groups. The vocabulary of B is checked for this
-   when it is loaded.
+   text; a worker encodes a unit once and remembers its groups. Inside a unit, a word and the marks behind
+   it are parts with the same property, and it is parts that are encoded. The vocabulary of B is checked
+   for both when it is loaded.
 2. Distinct groups are interned, and their links are expanded once for each distinct group. A block of
    documents is one row: the distinct groups of each document with their frequencies, as numbers in the
    block's own dictionary, the dictionary, and in how many of its documents each id pair is linked. A
@@ -24,13 +25,14 @@ whatever their names. An empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import os
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +42,16 @@ from pagelode.llm.common import Scratch, lookup
 
 #: A block ends at so many groups, or with one document that has more.
 BLOCK_GROUPS = 1 << 17
-#: Units that a worker remembers before it starts afresh, between two blocks.
-REMEMBER = 200_000
-#: A unit ends before a space that follows something other than white space.
-CUT = regex.compile(r"(?<=[^\s\x1c-\x1f▁]) ")
-BYTE = regex.compile(r"<0x([0-9A-F]{2})>")
+#: Units and their parts that a worker remembers before it starts afresh, between two blocks.
+REMEMBER = 800_000
+#: Bytes of texts whose new units are encoded together.
+TOGETHER = 1 << 20
+#: A unit ends before a space that follows something other than white space; most texts have no other space.
+CUT = re.compile(r"(?<=[^\s▁]) ")
+NOT_CUT = re.compile(r"[\s▁] ")
+#: Inside a unit a part ends between a letter and one of these marks, and between a mark and a line's end.
+PART = re.compile(r'(?<=[A-Za-zÀ-ÖØ-öø-ɏА-я])(?=[.,;:!?"()\n-])|(?<=[.,;:!?])(?=\n)')
+BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 class Tokens:
@@ -54,6 +61,7 @@ class Tokens:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         byte = {c: b for b, c in enumerate(byte_letters())}
@@ -62,39 +70,58 @@ class Tokens:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of B goes from a letter to a space: texts can't be cut into units")
+        #: whether no piece of B goes across the end of a part
+        self.parts = not any(PART.search(p) for p in pieces)
         self.b_bytes = [bytes.fromhex(m[1]) if (m := BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
 
-    def encode(self, unit: str) -> tuple[list[int], list[int], bool]:
-        """A's and B's ids of a unit, which begins with a space, and whether both give its bytes."""
-        a = self.a.encode(unit, add_special_tokens=False).ids
-        # B adds a space, but not to nothing: a text's last space is encoded behind a word
-        b = self.b.encode(unit[1:]) if len(unit) > 1 else self.b.encode("a ")[len(self.b.encode("a")) :]
-        raw = unit.encode()
-        return a, b, b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+    def encode(self, parts: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
+        """A's and B's ids of each part and whether both give its bytes."""
+        a = self.a.encode_batch(parts, add_special_tokens=False)
+        # B adds a space: the one that a part begins with, but not to nothing; other parts stand behind a line's end, which joins nothing
+        spaced = [p[1:] if p[:1] == " " and len(p) > 1 else ("a " if p == " " else "\n" + p) for p in parts]
+        skip = {" ": len(self.b.encode("a"))}
+        line = len(self.b.encode("\n"))
+        for part, x, y in zip(parts, a, self.b.encode(spaced, num_threads=1)):
+            own, other, raw = x.ids, y[skip.get(part, 0 if part[:1] == " " else line) :], part.encode()
+            yield own, other, b"".join(map(self.a_bytes.__getitem__, own)) == raw and b"".join(map(self.b_bytes.__getitem__, other)) == raw
+
+    def steps(self, a: Sequence[int], b: Sequence[int]) -> Iterator[tuple[int, int, bool]]:
+        """The places of the tokens whose bytes overlap, in order, and whether both end there; both have as many bytes."""
+        size_a, size_b = self.a_bytes, self.b_bytes
+        i = j = 0
+        x, y = len(size_a[a[0]]), len(size_b[b[0]])
+        while True:
+            yield i, j, x == y
+            here = x <= y
+            if y <= x:
+                j += 1
+                if j == len(b):
+                    return
+                y += len(size_b[b[j]])
+            if here:
+                i += 1
+                x += len(size_a[a[i]])
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
         """The groups of ids between the places where tokens of both end."""
-        ends_a, ends_b = np.cumsum([len(self.a_bytes[x]) for x in a]), np.cumsum([len(self.b_bytes[x]) for x in b])
-        both = np.intersect1d(ends_a, ends_b)
-        at_a, at_b = np.searchsorted(ends_a, both) + 1, np.searchsorted(ends_b, both) + 1
-        out, i, j = [], 0, 0
-        for p, q in zip(at_a.tolist(), at_b.tolist()):
-            out.append((tuple(a[i:p]), tuple(b[j:q])))
-            i, j = p, q
+        out, p, q = [], 0, 0
+        for i, j, end in self.steps(a, b):
+            if end:
+                out.append((tuple(a[p : i + 1]), tuple(b[q : j + 1])))
+                p, q = i + 1, j + 1
         return out
 
     def links(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
         """The pairs of ids of a group's tokens whose bytes overlap, one for each pair of tokens."""
-        if len(a) == 1 or len(b) == 1:
-            return [(x, y) for x in a for y in b]
-        ends_a, ends_b = np.cumsum([len(self.a_bytes[x]) for x in a]).tolist(), np.cumsum([len(self.b_bytes[x]) for x in b]).tolist()
-        i = j = 0
-        out = []
-        while i < len(a) and j < len(b):
-            out.append((a[i], b[j]))
-            here, there = ends_a[i], ends_b[j]
-            i, j = i + (here <= there), j + (there <= here)
-        return out
+        return [(a[i], b[j]) for i, j, _ in self.steps(a, b)]
+
+
+def cut(text: str) -> list[str]:
+    """The units of a text, each without the space that it begins with; the first begins with the one before the text."""
+    if NOT_CUT.search(" " + text):
+        first, *rest = CUT.split(" " + text)
+        return [first[1:], *rest]
+    return text.split(" ")
 
 
 @lru_cache(maxsize=1)
@@ -102,6 +129,12 @@ def loaded(a_path: str, b_path: str) -> Tokens:
     return Tokens(a_path, b_path)
 
 
+@lru_cache(maxsize=1)
+def dictionary(a_path: str, b_path: str) -> Dictionary:
+    """The worker's own: what it remembers changes no result."""
+    return Dictionary(loaded(a_path, b_path))
+
+
 def key_of(a: tuple[int, ...], b: tuple[int, ...]) -> str:
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
@@ -120,18 +153,29 @@ class Dictionary(dict):
 
     def start(self) -> None:
         self.clear()
+        self.parts: dict[str, tuple] = {}  # by text, what units has
         self.units: list[tuple[list[int], int, int, str, bool]] = []  # groups, A tokens, B tokens, digest text, whether exact
         self.group_no: dict[tuple, int] = {}
         self.groups: list[tuple[str, int, list[int]]] = []  # key, links, distinct pairs
         self.pair_no: dict[tuple[int, int], int] = {}
         self.pairs: list[tuple[int, int]] = []
 
-    def __missing__(self, unit: str) -> int:
-        a, b, exact = self.tokens.encode(unit)
-        own = [self.group(g) for g in self.tokens.groups(a, b)] if exact else []
-        self.units.append((own, len(a), len(b), ";".join(self.groups[g][0] for g in own), exact))
-        got = self[unit] = len(self.units) - 1
-        return got
+    def learn(self, units: Iterable[str]) -> None:
+        """Takes in the units that aren't known yet, from their parts; new parts are encoded together."""
+        split = PART.split if self.tokens.parts else lambda unit: [unit]
+        new = {u: split(" " + u) for u in dict.fromkeys(units) if u not in self}
+        parts = [p for p in dict.fromkeys(chain.from_iterable(new.values())) if p not in self.parts]
+        for part, (a, b, exact) in zip(parts, self.tokens.encode(parts) if parts else ()):
+            own = [self.group(g) for g in self.tokens.groups(a, b)] if exact else []
+            self.parts[part] = own, len(a), len(b), ";".join([self.groups[g][0] for g in own]), exact
+        for unit, pieces in new.items():
+            self[unit] = len(self.units)
+            found = list(map(self.parts.__getitem__, pieces))
+            if len(found) == 1:
+                self.units.append(found[0])
+            else:
+                own, a, b, text, exact = zip(*found)
+                self.units.append((list(chain.from_iterable(own)), sum(a), sum(b), ";".join(text), all(exact)))
 
     def group(self, g: tuple) -> int:
         got = self.group_no.get(g)
@@ -167,24 +211,37 @@ BLOCK = "block long, documents array<struct<doc_id:{kind},n_a:long,n_b:long,n_gr
 def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """A row for each block of documents (doc_id, text): see BLOCK. entry and times have size values a document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    most, together, remember = BLOCK_GROUPS, TOGETHER, REMEMBER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Dictionary(loaded(a_path, b_path))
+        own = dictionary(a_path, b_path)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             names, texts = batch.column(0), utf8(batch.column(1))
             units: list[list[int]] = []
-            first = held = 0
+            first = held = ahead = 0
+            parts: list[list[str]] = []
             for at, raw in enumerate(texts):
-                found = [own[u if k == 0 else " " + u] for k, u in enumerate(CUT.split(" " + raw.decode()))] if raw else []
-                exact = all(own.units[u][4] for u in found)
+                if at == ahead:  # the next texts' units, so that new ones are encoded together
+                    if len(own) + len(own.parts) >= remember:
+                        if units:
+                            yield block(number, names[first:at], units, own)
+                            number, first, held, units = number + 1, at, 0, []
+                        own.start()
+                    size, parts = 0, []
+                    while ahead < len(texts) and size < together:
+                        size += len(texts[ahead])
+                        parts.append(cut(texts[ahead].decode()) if texts[ahead] else [])
+                        ahead += 1
+                    own.learn(chain.from_iterable(parts))
+                    parts.reverse()
+                found = list(map(own.__getitem__, parts.pop()))
+                exact = all([own.units[u][4] for u in found])
                 units.append(found if exact else [])
-                held += sum(len(own.units[u][0]) for u in units[-1])
-                if held >= BLOCK_GROUPS or at == len(texts) - 1:
+                held += sum([len(own.units[u][0]) for u in units[-1]])
+                if held >= most or at == len(texts) - 1:
                     yield block(number, names[first : at + 1], units, own)
                     number, first, held, units = number + 1, at + 1, 0, []
-                    if len(own) >= REMEMBER:
-                        own.start()
 
     def block(number: int, names: pa.Array, units: list[list[int]], own: Dictionary) -> pa.RecordBatch:
         sizes = np.fromiter(map(len, units), np.int64, len(units))

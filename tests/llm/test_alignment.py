@@ -82,6 +82,8 @@ def plain(rows, libraries):
 
 def test_alignment_is_that_of_whole_texts(spark, libraries, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK_GROUPS", 200)
+    monkeypatch.setattr(alignment, "TOGETHER", 3000)
+    monkeypatch.setattr(alignment, "REMEMBER", 500)
     real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     docs = table(spark, TEXTS + real).unionAll(table(spark, ["same id", "other text"], 3)).unionAll(spark.createDataFrame([(None, "no id here", 1, "", "", 0)] * 2, SCHEMA)).repartition(4)
     rows = docs.collect()
