@@ -137,7 +137,9 @@ SEARCH_SORTS = {
 
 
 def search(cat: Catalog, query: str, scope: str = "text", namespaces: Iterable[int] = (), sort: str = "relevance", limit: int | None = None) -> DataFrame:
-    """Pages whose text or title holds all words of the query, whatever their case.
+    """Pages whose text or title holds all words of the query, whatever their case and script, by a scan of the texts.
+
+    operators/search.py answers the same from an index.
 
     Relevance is the sum over the words of tf (share of the page's words) times idf (log of 1 + pages over
     pages with the word); a wiki's own ranking isn't defined outside it.
@@ -148,7 +150,7 @@ def search(cat: Catalog, query: str, scope: str = "text", namespaces: Iterable[i
     if scope == "near_match":
         return _top(rows.where(F.lower("title") == query.lower()), [F.col("page_id")], limit)
     words = query.lower().split()
-    found = F.split(F.lower(F.coalesce(F.col("text" if scope == "text" else "title"), F.lit(""))), r"\W+")
+    found = F.split(F.lower(F.coalesce(F.col("text" if scope == "text" else "title"), F.lit(""))), r"[^\p{L}\p{M}\p{N}_]+")
     rows = rows.withColumn("_words", found)
     for w in words:
         rows = rows.where(F.array_contains("_words", w))

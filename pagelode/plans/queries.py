@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.functions import dates, scalars, titles, wikitext
-from pagelode.operators import activity, entities, listing, lookups, pageset, runs, timeseries
+from pagelode.operators import activity, edits, entities, listing, lookups, pageset, runs, search, timeseries
 from pagelode.plans.wiki import Catalog, with_views
 from pagelode.session import table
 
@@ -237,49 +237,89 @@ def prefix_search(spark, sf):
     return listing.prefix_search(Catalog(spark, sf), "blue/b", [0, 3]).select("page_id", "title")
 
 
-@query("select page_id from v_content where list_contains(regexp_split_to_array(lower(text), '\\W+'), 'red') and list_contains(regexp_split_to_array(lower(text), '\\W+'), 'economy') order by page_id limit 60")
+_INDEXES: dict[tuple, search.Index] = {}
+
+
+def _index(spark, sf, view: str) -> search.Index:
+    """The index of a view's pages, built once a session; building writes tables when the query is planned."""
+    key = spark.sparkContext.applicationId, sf, view
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build(search.of_pages(Catalog(spark, sf)[view]), _scratch(spark))
+    return _INDEXES[key]
+
+
+def _holds(column: str, *words: str) -> str:
+    """SQL for a text that has all words, in any script."""
+    return " and ".join(f"list_contains(regexp_split_to_array(lower({column}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), '{w}')" for w in words)
+
+
+@query(f"select page_id from v_content where {_holds('text', 'red', 'economy')}")
 def search_text(spark, sf):
-    return listing.search(Catalog(spark, sf), "Red economy", sort="none", limit=60).select("page_id")
+    return search.search(_index(spark, sf, "content"), Catalog(spark, sf)["content"], "Red economy", sort="none").select("page_id")
 
 
-@query("select page_id from v_content where list_contains(regexp_split_to_array(lower(text), '\\W+'), 'red') and list_contains(regexp_split_to_array(lower(text), '\\W+'), 'economy')")
+@query(f"select page_id from v_content where {_holds('text', 'red', 'economy')}")
 def search_text_whole(spark, sf):
+    """The same by a scan."""
     return listing.search(Catalog(spark, sf), "Red economy", sort="none").select("page_id")
 
 
 @query()
 def search_relevance(spark, sf):
-    """Ranked by tf * idf; a wiki's own ranking isn't defined outside it."""
-    return listing.search(Catalog(spark, sf), "widget standard", limit=20).select("page_id", "score")
+    """The top of the ranking by tf * idf; a wiki's own ranking isn't defined outside it."""
+    return search.search(_index(spark, sf, "content"), Catalog(spark, sf)["content"], "widget standard", limit=20).select("page_id", "score")
 
 
-@query("""with w as (select page_id, regexp_split_to_array(lower(text), '\\W+') as words from v_content),
+@query("""with w as (select page_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x <> '') as words from v_content),
     n as (select count(*) + 1.0 as n, greatest(1, count(*) filter (where list_contains(words, 'widget'))) as a, greatest(1, count(*) filter (where list_contains(words, 'standard'))) as b from w)
     select page_id, round(cast(len(list_filter(words, lambda x: x = 'widget')) as double) / len(words) * ln(n / a) + cast(len(list_filter(words, lambda x: x = 'standard')) as double) / len(words) * ln(n / b), 6) as score
     from w, n where list_contains(words, 'widget') and list_contains(words, 'standard')""")
 def search_relevance_whole(spark, sf):
-    return listing.search(Catalog(spark, sf), "widget standard").select("page_id", F.round("score", 6).alias("score"))
+    return search.search(_index(spark, sf, "content"), Catalog(spark, sf)["content"], "widget standard").select("page_id", F.round("score", 6).alias("score"))
 
 
-@query("select page_id, title from v_content where list_contains(regexp_split_to_array(lower(title), '\\W+'), 'red') and list_contains(regexp_split_to_array(lower(title), '\\W+'), 'widget')")
+@query(f"select page_id, title from v_content where {_holds('title', 'red', 'widget')}")
 def search_title(spark, sf):
-    return listing.search(Catalog(spark, sf), "Red widget", scope="title", sort="none").select("page_id", "title")
+    return search.search(_index(spark, sf, "content"), Catalog(spark, sf)["content"], "Red widget", scope="title", sort="none").select("page_id", "title")
 
 
-@query("select page_id, title from v_content where lower(title) = (select lower(title) from v_content where page_id = 7)")
+@query("select page_id, title from v_article where lower(title) = 'café noir 7'")
 def search_near_match(spark, sf):
-    c = Catalog(spark, sf)
-    title = c["content"].where("page_id = 7").first().title
-    return listing.search(c, title.upper(), scope="near_match").select("page_id", "title")
+    return search.search(_index(spark, sf, "article"), Catalog(spark, sf)["article"], "CAFÉ NOIR 7", scope="near_match").select("page_id", "title")
 
 
-@query("""select page_id, ts from (select c.page_id, p_size as ts from v_content c join part on p_partkey = c.page_id where list_contains(regexp_split_to_array(lower(text), '\\W+'), 'red'))
-    order by ts desc, page_id limit 25""")
+@query(f"select page_id, ts from v_article where {_holds('text', 'für')} order by ts desc, page_id limit 25")
 def search_last_edited(spark, sf):
     """The 25 hits that were edited last."""
-    c = Catalog(spark, sf)
-    edits = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_size").alias("ts"))
-    return listing.search({"content": c["content"].join(edits, "page_id")}, "red", sort="last_edit_desc", limit=25).select("page_id", "ts")
+    return search.search(_index(spark, sf, "article"), Catalog(spark, sf)["article"], "für", sort="last_edit_desc", limit=25).select("page_id", "ts")
+
+
+@query(f"select page_id, created from v_article where {_holds('text', 'noir', 'café')} and ns in (1, 2) order by created, page_id limit 25")
+def search_first_created(spark, sf):
+    """The 25 oldest hits in two namespaces."""
+    return search.search(_index(spark, sf, "article"), Catalog(spark, sf)["article"], "noir CAFÉ", namespaces=[1, 2], sort="create_asc", limit=25).select("page_id", "created")
+
+
+@query(f"select page_id, title from v_article where {_holds('text', 'москва', 'дом')}")
+def search_cyrillic(spark, sf):
+    return search.search(_index(spark, sf, "article"), Catalog(spark, sf)["article"], "МОСКВА, дом!", sort="title").select("page_id", "title")
+
+
+@query(f"select page_id, title from v_article where {_holds('title', 'café', 'noir')}")
+def search_accents_by_scan(spark, sf):
+    return listing.search({"content": Catalog(spark, sf)["article"]}, "café NOIR", scope="title", sort="none").select("page_id", "title")
+
+
+@query("select page_id from v_article where regexp_matches(lower(text), '(^|[^\\p{L}\\p{M}\\p{N}_])un[^\\p{L}\\p{M}\\p{N}_]+café[^\\p{L}\\p{M}\\p{N}_]+noir($|[^\\p{L}\\p{M}\\p{N}_])')")
+def search_phrase(spark, sf):
+    """Words that follow each other, by their positions."""
+    return search.search(_index(spark, sf, "article"), Catalog(spark, sf)["article"], "un café noir", phrase=True).select("page_id")
+
+
+@query("""select ns, w as token, count(distinct page_id) as docs, count(*) as occurrences from (select page_id, ns, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+')) as w from v_article) where w <> '' group by ns, w""")
+def search_counts(spark, sf):
+    """The counts beside the postings, of all words."""
+    return _index(spark, sf, "article").counts.where("field = 'text'").select("ns", "token", "docs", "occurrences")
 
 
 @query("select page_id, title from v_page where not is_redirect and page_id not in (select src_id from v_links)")
@@ -668,6 +708,39 @@ def entity_statements(spark, sf):
     return entities.exploded(_entities(spark, sf)).select("id", "pos", "snaktype", "value")
 
 
+@query("""with e as (select c_custkey as k, c_custkey % 4 as f, 'Café ' || n_name as en_label, c_mktsegment || ' дом' as alias, n_name || ' maison' as mul_label from customer join nation on n_nationkey = c_nationkey)
+    select 'Q' || cast(k as string) as id, case when f = 1 then mul_label when f <> 3 then en_label end as label, case when f = 2 then 'in English' end as description,
+    case when f = 1 then 'mul' else 'en' end as language, f = 3 as is_alias from e
+    where case f when 0 then list_contains(regexp_split_to_array(lower(en_label), '[^\\p{L}\\p{M}\\p{N}_]+'), 'france') when 1 then list_contains(regexp_split_to_array(lower(mul_label), '[^\\p{L}\\p{M}\\p{N}_]+'), 'france')
+    when 2 then list_contains(regexp_split_to_array(lower(en_label), '[^\\p{L}\\p{M}\\p{N}_]+'), 'france') else alias = 'FRANCE' end""")
+def entity_search(spark, sf):
+    """Labels and aliases of customers' entities in English, falling back to the labels for all languages."""
+    return search.search_entities(*_named_entities(spark, sf), "France").select("id", "label", "description", "language", "is_alias")
+
+
+@query("select 'Q' || cast(c_custkey as string) as id, cast(null as string) as label, 'en' as language, true as is_alias from customer where c_custkey % 4 = 3 and c_mktsegment = 'BUILDING'")
+def entity_search_alias(spark, sf):
+    return search.search_entities(*_named_entities(spark, sf), "ДОМ building").select("id", "label", "language", "is_alias")
+
+
+def _named_entities(spark, sf):
+    """(index, entities): a fourth have an English label, a fourth one for all languages, a fourth a description too, a fourth only aliases."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    k = F.col("c_custkey") % 4
+    en = F.concat(F.lit('"en":{"language":"en","value":"Café '), "n_name", F.lit('"}'))
+    of_all = F.concat(F.lit('"mul":{"language":"mul","value":"'), "n_name", F.lit(' maison"}'))
+    alias = F.concat(F.lit('"en":[{"language":"en","value":"other"},{"language":"en","value":"'), "c_mktsegment", F.lit(' дом"}]'))
+    json = F.concat(
+        F.format_string('{"type":"item","id":"Q%d","labels":{', "c_custkey"), F.when(k == 1, of_all).when(k == 3, "").otherwise(en), F.lit('},"descriptions":{'),
+        F.when(k == 2, '"en":{"language":"en","value":"in English"}').otherwise(""), F.lit('},"aliases":{'), F.when(k == 3, alias).otherwise(""), F.lit("}}"),
+    )
+    found = entities.decode(c.select(json.alias("json")))
+    key = spark.sparkContext.applicationId, sf, "entities"
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build(search.of_entities(found), _scratch(spark))
+    return _INDEXES[key], found
+
+
 @query("select c_custkey as page_id, case when c_custkey % 10 <> 9 then 'Q' || cast(c_custkey as string) end as entity_id from customer")
 def entities_of_pages(spark, sf):
     pages = table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), F.col("c_name").alias("title"))
@@ -814,6 +887,102 @@ def set_parameters(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), text.alias("text"))
 
 
+def _varied(spark, sf, *text) -> tuple[DataFrame, DataFrame]:
+    """(pages, nodes): a page for each part, its text put together from columns, parsed once and written."""
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]).alias("text"))
+    path = _scratch(spark)
+    wikitext.whole_table(pages, "page_id").write.parquet(path)
+    return pages, spark.read.parquet(path)
+
+
+def _turn(*texts):
+    """One of several texts, by the part's size."""
+    k = F.col("p_size") % len(texts)
+    out = F
+    for i, t in enumerate(texts):
+        out = out.when(k == i, F.lit(t) if isinstance(t, str) else t)
+    return out
+
+
+@query("""select p_partkey as page_id, 'a ' || case p_size % 4 when 0 then '[' || p_brand || ']' when 1 then '{{box|[' || p_brand || ']|n=' || p_name || '}}' when 2 then '[[' || p_name || '|[' || p_brand || '] {{small|y}}]]' else p_name end || ' z' as text from part""")
+def node_replace(spark, sf):
+    """A template replaced wherever it stands, in templates and links too, by another text on each page."""
+    pages, nodes = _varied(spark, sf, "a ", _turn("{{small|x}}", F.concat(F.lit("{{box|{{small|x}}|n="), "p_name", F.lit("}}")), F.concat(F.lit("[["), "p_name", F.lit("|{{small|x}} {{small|y}}]]")), F.col("p_name")), " z")
+    brands = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("["), "p_brand", F.lit("]")).alias("brand"))
+    return edits.applied(pages, nodes, edits.of_nodes(nodes.join(brands, "page_id"), edits.like("{{small|x}}", "template"), F.col("brand")))
+
+
+@query("""select p_partkey as page_id, case p_size % 4 when 0 then p_name || ' z' when 1 then ' ' || p_name || ' z' when 2 then '[[' || p_name || '|  ]] z' else ' z' end as text from part""")
+def node_remove(spark, sf):
+    """Templates and comments removed; one inside another goes with it."""
+    pages, nodes = _varied(spark, sf, _turn(F.col("p_name"), F.concat(F.lit("{{box|{{small|x}}<!-- c -->}} "), "p_name"), F.concat(F.lit("[["), "p_name", F.lit("|{{small|x}} <!-- d --> {{a}}]]")), F.concat(F.lit("<!-- {{b}} "), "p_brand", F.lit(" -->"))), " z")
+    return edits.applied(pages, nodes, edits.of_nodes(nodes, F.col("kind").isin("template", "comment"), None))
+
+
+@query("""select p_partkey as page_id, case p_size % 4 when 0 then '{{ Box new |size= 9 |b=' || p_name || '}}' when 1 then '{{Box new|{{Box new|size=9}}|size=9}}' when 2 then '{{other|{{Box new|1|size=' || p_name || '|size=9}}}}' else p_name end as text from part""")
+def map_templates(spark, sf):
+    """Templates of a name, nested ones too, renamed, one parameter set and one dropped."""
+    pages, nodes = _varied(spark, sf, _turn(F.concat(F.lit("{{ box |size= 3 |b="), "p_name", F.lit("|gone=1}}")), "{{Template:Box|{{box|gone={{x}}}}}}", F.concat(F.lit("{{other|{{Box|1|size="), "p_name", F.lit("|size=4|gone=}}}}")), F.col("p_name")))
+    return edits.applied(pages, nodes, edits.map_templates(nodes, ["box"], rename="Box new", parameters={"size": "9", "gone": None}))
+
+
+@query("""select p_partkey as page_id, upper(p_name) || case p_size % 4 when 0 then ' <{{<{{S|X}}>|K=' || upper(p_brand) || '}}>' when 1 then ' [[' || upper(p_type) || '|L <{{T}}>]]' when 2 then ' <nowiki>a</nowiki>!' else chr(10) || '== H <{{Z}}> ==' || chr(10) end as text from part""")
+def map_nodes(spark, sf):
+    """Text in capitals, templates in angle brackets, from the inside out; comments go, raw tags get a mark."""
+    pages, nodes = _varied(spark, sf, F.col("p_name"), _turn(F.concat(F.lit(" {{{{s|x}}|k="), "p_brand", F.lit("}}")), F.concat(F.lit(" [["), "p_type", F.lit("|l {{t}}]]<!-- c -->")), " <nowiki>a</nowiki>", "\n== h {{z}} ==\n"))
+    change = lambda kind, name, raw: F.when(kind == "text", F.upper(raw)).when(kind == "template", F.concat(F.lit("<"), raw, F.lit(">"))).when(kind == "comment", "").when(kind == "tag", F.concat(raw, F.lit("!"))).otherwise(raw)
+    return edits.map_nodes(nodes, change).select("page_id", "text")
+
+
+def _scoped(spark, sf) -> DataFrame:
+    k = F.col("p_size")
+    own = lambda m, *t: F.when(k % m == 0, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in t])).otherwise("")
+    return _varied(
+        spark, sf, F.concat(F.lit("P"), "p_partkey"), own(2, "{{T|K=", F.col("p_brand"), "[[X|V]]}}"), own(3, "[[", F.col("p_name"), "|L]]"), own(5, "<!--", F.col("p_type"), "-->"),
+        own(2, '<nowiki class="A">', F.col("p_name"), "</nowiki>"), own(3, "{{{N|D}}}"), own(7, "[http://a.b E]"), "\nQ\n", own(3, "== ", F.col("p_brand"), "{{U}} =="),
+    )
+
+
+_SCOPES = {"prose": {}, "templates": {"templates": True}, "link_targets": {"link_targets": True}, "comments": {"comments": True}, "raw_tags": {"raw_tags": True}, "tag_attributes": {"raw_tags": True, "tag_attributes": True}, "no_headings": {"headings": False}}
+
+
+@query("""with s as (select unnest(['prose', 'templates', 'link_targets', 'comments', 'raw_tags', 'tag_attributes', 'no_headings']) as scope)
+    select p_partkey as page_id, scope, 'P' || cast(p_partkey as string) || case when p_size % 2 = 0 and scope = 'templates' then 'TK' || p_brand || 'V' else '' end
+    || case when p_size % 3 = 0 then case when scope = 'link_targets' then p_name else '' end || 'L' else '' end || case when p_size % 5 = 0 and scope = 'comments' then p_type else '' end
+    || case when p_size % 2 = 0 then case when scope = 'tag_attributes' then 'A' else '' end || case when scope in ('raw_tags', 'tag_attributes') then p_name else '' end else '' end
+    || case when p_size % 3 = 0 then case when scope = 'templates' then 'N' else '' end || 'D' else '' end || case when p_size % 7 = 0 then 'E' else '' end || chr(10) || 'Q' || chr(10)
+    || case when p_size % 3 = 0 and scope <> 'no_headings' then ' ' || p_brand || case when scope = 'templates' then 'U' else '' end || ' ' else '' end as text from part, s""")
+def text_scopes(spark, sf):
+    """The text of each page in seven scopes, the pieces joined in order."""
+    nodes = _scoped(spark, sf)[1]
+    out = None
+    for name, flags in _SCOPES.items():
+        own = edits.text_in(nodes, edits.Scope(**flags))
+        own = own.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "").alias("text")).select("page_id", F.lit(name).alias("scope"), "text")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""with s as (select unnest(['prose', 'templates', 'link_targets', 'comments', 'raw_tags', 'tag_attributes', 'no_headings']) as scope) select p_partkey as page_id, scope from part, s
+    where p_size % 2 = 0 and scope in ('raw_tags', 'tag_attributes') and contains(p_name, 'red') or p_size % 3 = 0 and scope = 'link_targets' and contains(p_name, 'red') or p_size % 5 = 0 and scope = 'comments' and contains(p_type, 'red')
+    or p_size % 3 = 0 and scope <> 'no_headings' and contains(p_brand, 'red') or p_size % 2 = 0 and scope = 'templates' and contains(p_brand, 'red')""")
+def contains_text(spark, sf):
+    """The pages that have a word in each of seven scopes."""
+    nodes = _scoped(spark, sf)[1]
+    out = None
+    for name, flags in _SCOPES.items():
+        own = edits.contains_text(nodes, "red", edits.Scope(**flags)).select("page_id", F.lit(name).alias("scope"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""select p_partkey as page_id, replace(p_name, 'red', '$1\\') || ' {{t|' || p_name || '}} [[' || p_name || '|' || replace(p_name, 'red', '$1\\') || ']]' as text from part""")
+def replace_text(spark, sf):
+    """A word replaced in prose, by a literal text."""
+    pages, nodes = _varied(spark, sf, F.col("p_name"), " {{t|", F.col("p_name"), "}} [[", F.col("p_name"), "|", F.col("p_name"), "]]")
+    return edits.applied(pages, nodes, edits.replace_text(nodes, "red", "$1\\"))
+
+
 # --- runs -------------------------------------------------------------------------------------
 
 

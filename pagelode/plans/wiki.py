@@ -15,6 +15,8 @@ VIEWS = {
     "p_partkey % 7 = 0 as is_redirect, cast(p_size as bigint) as len from {part}",
     "content": "select p_partkey as page_id, cast(p_size % 4 as int) as ns, concat(case when p_partkey % 3 = 0 then p_name else replace(p_name, ' ', '/') end, ' ', cast(p_partkey % 700 as string)) as title, "
     "concat(p_name, ' of ', p_brand, ' and ', p_type) as text from {part} where p_partkey % 5 <> 3",
+    "article": "select doc_id as page_id, cast(doc_id % 4 as int) as ns, concat(case doc_id % 3 when 0 then 'Москва ' when 1 then 'Café Noir ' else 'Plain ' end, cast(doc_id % 50 as string)) as title, "
+    "concat(coalesce(text, ''), case when doc_id % 5 = 0 then ' Москва и её ДОМ' when doc_id % 7 = 0 then ' un Café noir' when doc_id % 11 = 0 then ' noir café' else '' end) as text, n_chars as ts, doc_id % 97 as created from {documents}",
     "links": "select l_suppkey as src_id, l_partkey as dst_id from {lineitem} where l_partkey % 9 <> 4",
     "templatelinks": "select l_suppkey as src_id, l_partkey as dst_id from {lineitem} where l_returnflag = 'A'",
     "redirect": "select p_partkey as src_id, cast(p_partkey % 50 as bigint) as dst_id from {part} where p_partkey % 7 = 0",
