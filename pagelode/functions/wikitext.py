@@ -22,7 +22,11 @@ TOKEN = re.compile(
     r"|\[(?:https?:|ftp:|mailto:)?//[^\s\[\]<>\"]+[^\]\n]*\]|&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]+);",
     re.S,
 )
-SCHEMA = "array<struct<id:int, parent:int, depth:int, kind:string, start:int, end:int, name:string, level:int, params:array<struct<name:string, value:string>>, raw:string>>"
+MARK = r"\{\{|\[|<|&|(?m)^="
+SCHEMA = "array<struct<id:int, parent:int, depth:int, kind:string, start:int, end:int, name:string, level:int, params:array<struct<name:string, value:string, start:int, end:int>>, slots:array<struct<role:string, start:int, end:int>>, raw:string>>"
+#: Kinds of nodes that hold others; all others are leaves.
+CONTAINERS = ("template", "argument", "wikilink", "heading")
+ATTRIBUTE = re.compile(r"""=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>/]+))""")
 
 
 def scan(text: str) -> list[tuple]:
@@ -87,55 +91,100 @@ def scan(text: str) -> list[tuple]:
     return sorted(out, key=lambda n: (n[0], -n[1]))
 
 
-def params_of(text: str, start: int, end: int, bars: tuple[int, ...]) -> list[dict]:
-    """Named and numbered parameters in order; the last of a name counts, which is for queries to choose."""
+def params_of(text: str, end: int, bars: tuple[int, ...]) -> list[dict]:
+    """Named and numbered parameters in order, with their spans; the last of a name counts, which is for queries to choose."""
     out, number = [], 0
     for a, b in zip(bars, (*bars[1:], end - 2)):
         value = text[a + 1 : b]
         name, eq, rest = value.partition("=")
         if eq and not re.search(r"[\[{]", name):
-            out.append({"name": name.strip(), "value": rest.strip()})
+            out.append({"name": name.strip(), "value": rest.strip(), "start": a + 1, "end": b})
         else:
             number += 1
-            out.append({"name": str(number), "value": value})
+            out.append({"name": str(number), "value": value, "start": a + 1, "end": b})
     return out
 
 
+def slots_of(text: str, start: int, end: int, kind: str, level: int | None, bars: tuple[int, ...]) -> list[tuple[str, int, int]]:
+    """The spans inside a node that are text and not markup, each with its role, in order; empty ones are left out."""
+    out: list[tuple[str, int, int]] = []
+    if kind == "template":
+        out.append(("name", start + 2, bars[0] if bars else end - 2))
+        for a, b in zip(bars, (*bars[1:], end - 2)):
+            name, eq, _ = text[a + 1 : b].partition("=")
+            if eq and not re.search(r"[\[{]", name):
+                out += [("key", a + 1, a + 1 + len(name)), ("value", a + 2 + len(name), b)]
+            else:
+                out.append(("value", a + 1, b))
+    elif kind == "wikilink":
+        out.append(("target", start + 2, bars[0] if bars else end - 2))
+        if bars:
+            out.append(("label", bars[0] + 1, end - 2))
+    elif kind == "argument":
+        out.append(("name", start + 3, bars[0] if bars else end - 3))
+        if bars:
+            out.append(("default", bars[0] + 1, end - 3))
+    elif kind == "heading":
+        out.append(("title", start + level, end - level))
+    elif kind == "comment":
+        out.append(("contents", start + 4, end - 3 if text.endswith("-->", start + 4, end) else end))
+    elif kind == "extlink":
+        if m := re.search(r"\s+", text[start:end]):
+            out.append(("title", start + m.end(), end - 1))
+    elif kind == "tag":
+        head = text.index(">", start) + 1
+        out += [("attribute", m.start(k), m.end(k)) for m in ATTRIBUTE.finditer(text, start, head - 1) if (k := m.lastindex)]
+        if head < end:
+            out.append(("contents", head, text.rindex("</", start, end)))
+    return [x for x in out if x[1] < x[2]]
+
+
 def flat(text: str) -> list[dict]:
     """The node table of one text, in order, with text for all that lies between."""
     out: list[dict] = []
-    open_: list[tuple[int, int, list]] = [(-1, len(text), [0])]  # id, end, where its next text begins
+    # id, end, where its next text begins, its slots, and the first of them that isn't past
+    open_: list[list] = [[-1, len(text), 0, [("body", 0, len(text))], 0]]
 
-    def put(kind: str, start: int, end: int, **more: object) -> int:
-        base = dict.fromkeys(["name", "level", "params"]) | {"id": len(out), "parent": open_[-1][0], "depth": len(open_) - 1, "kind": kind, "start": start, "end": end, "raw": text[start:end]}
-        out.append(base | more)
-        return len(out) - 1
+    def put(kind: str, start: int, end: int, name: str | None, level: int | None, params: list | None, slots: list) -> None:
+        own = [{"role": r, "start": a, "end": b} for r, a, b in slots]
+        out.append({"id": len(out), "parent": open_[-1][0], "depth": len(open_) - 1, "kind": kind, "start": start, "end": end, "name": name, "level": level, "params": params, "slots": own, "raw": text[start:end]})
 
     def text_to(end: int) -> None:
-        at = open_[-1][2]
-        if at[0] < end:
-            put("text", at[0], end)
-        at[0] = end
+        top = open_[-1]
+        start = top[2]
+        if start < end:
+            slots, k = top[3], top[4]
+            while k < len(slots) and slots[k][2] <= start:
+                k += 1
+            top[4] = k
+            own = []
+            while k < len(slots) and slots[k][1] < end:
+                role, a, b = slots[k]
+                own.append((role, max(a, start), min(b, end)))
+                k += 1
+            put("text", start, end, None, None, None, own)
+        top[2] = end
 
     for start, end, kind, name, level, bars in scan(text):
         while start >= open_[-1][1]:
             text_to(open_[-1][1])
             done = open_.pop()[1]
-            open_[-1][2][0] = done
+            open_[-1][2] = done
         if end > open_[-1][1]:
             continue  # crosses the end of what it stands in
         text_to(start)
-        params = params_of(text, start, end, bars) if kind in ("template", "wikilink") else None
-        me = put(kind, start, end, name=name, level=level, params=params)
-        if kind in ("template", "argument", "wikilink", "heading"):
-            open_.append((me, end, [start]))
+        params = params_of(text, end, bars) if kind in ("template", "wikilink") else None
+        slots = slots_of(text, start, end, kind, level, bars)
+        put(kind, start, end, name, level, params, slots)
+        if kind in CONTAINERS:
+            open_.append([len(out) - 1, end, start, slots, 0])
         else:
-            open_[-1][2][0] = end
+            open_[-1][2] = end
     while open_:
         text_to(open_[-1][1])
         done = open_.pop()[1]
         if open_:
-            open_[-1][2][0] = done
+            open_[-1][2] = done
     return out
 
 
@@ -145,14 +194,24 @@ def nodes(text: Column) -> Column:
 
 
 def node_table(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """A row for each node. Texts without any mark are not sent to the parser."""
-    marked = F.when(F.col(text_col).rlike(r"\{\{|\[|<|&|(?m)^="), nodes(F.col(text_col)))
+    """A row for each node. Texts without any mark are not sent to the parser and have no rows."""
+    marked = F.when(F.col(text_col).rlike(MARK), nodes(F.col(text_col)))
     return df.select(id_col, F.explode(marked).alias("n")).select(id_col, "n.*")
 
 
+def whole_table(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """node_table() with the one text node of texts without any mark too; null and empty texts have no rows."""
+    size = F.char_length(text_col)
+    body = F.struct(F.lit("body").alias("role"), F.lit(0).alias("start"), size.alias("end"))
+    one = {"id": F.lit(0), "parent": F.lit(-1), "depth": F.lit(0), "kind": F.lit("text"), "start": F.lit(0), "end": size, "name": F.lit(None), "level": F.lit(None), "params": F.lit(None), "slots": F.array(body), "raw": F.col(text_col)}
+    plain = F.array(F.struct(*[c.alias(k) for k, c in one.items()])).cast(SCHEMA)
+    found = F.when(F.col(text_col) == "", None).when(F.col(text_col).rlike(MARK), nodes(F.col(text_col))).otherwise(plain)
+    return df.where(F.col(text_col).isNotNull()).select(id_col, F.explode(found).alias("n")).select(id_col, "n.*")
+
+
 def serialized(node_array: Column) -> Column:
     """The source, from the leaves."""
-    leaves = F.filter(node_array, lambda n: ~n["kind"].isin("template", "argument", "wikilink", "heading"))
+    leaves = F.filter(node_array, lambda n: ~n["kind"].isin(*CONTAINERS))
     return F.array_join(F.transform(leaves, lambda n: n["raw"]), "")
 
 
