@@ -22,14 +22,16 @@ FORMATS = [
 ]
 
 
-def _month(language: str, name: Column) -> Column:
-    pairs = [F.lit(x) for i, names in enumerate(MONTHS[language], 1) for n in names.split("|") for x in (n, i)]
+def _month(all_names: list[str], name: Column) -> Column:
+    pairs = [F.lit(x) for i, names in enumerate(all_names, 1) for n in names.split("|") for x in (n, i)]
     return F.try_element_at(F.create_map(*pairs), F.lower(F.rtrim(name, F.lit("."))))
 
 
 def without_comments(text: Column) -> Column:
-    """Comments go; an unclosed one runs to the end."""
-    return F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", " ")
+    """Comments become as many blanks, so that places stay; an unclosed one runs to the end."""
+    comment = r"(?s)<!--.*?(?:-->|\z)"
+    blanks = F.transform(F.regexp_extract_all(text, F.lit(comment), 0), lambda c: F.repeat(F.lit(" "), F.char_length(c)))
+    return F.array_join(F.flatten(F.zip_with(F.split(text, comment), blanks, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
 def _int(text: Column) -> Column:
@@ -39,28 +41,39 @@ def _int(text: Column) -> Column:
     return F.translate(text, digits, "0123456789" * len(zeros)).try_cast("int")
 
 
-def signatures(text: Column, languages: list[str] | None = None, zone: str = "UTC") -> Column:
-    """array<struct<ts, text, language>> of all signature times; unknown months and impossible dates are left out.
+def signatures(text: Column, languages: list[str] | None = None, zone: str = "UTC", formats: list[tuple[str, str, str]] | None = None, months: dict[str, list[str]] | None = None) -> Column:
+    """array<struct<start, end, ts, text, language>> of all signature times in order of place; unknown months and impossible dates are left out.
 
-    Times are wall clock in zone. By format, then by place in the text.
+    Times are wall clock in zone; start and end count code points. formats are (language, pattern, order of
+    its groups) as in FORMATS, and months the names of languages that MONTHS lacks. Hits at one place
+    are in order of formats.
     """
     masked = without_comments(F.coalesce(text, F.lit("")))
-    own = [f for f in FORMATS if not languages or f[0] in languages]
-    return F.concat(*[_of_format(masked, zone, *f) for f in own])
+    own = [f for f in (FORMATS if formats is None else formats) if not languages or f[0] in languages]
+    found = F.concat(*[_of_format(masked, zone, i, MONTHS | (months or {}), *f) for i, f in enumerate(own)])
+    order = lambda s: F.struct(s["start"], s["rank"])
+    placed = F.array_sort(found, lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0))
+    return F.transform(placed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["ts"].alias("ts"), s["text"].alias("text"), s["language"].alias("language")))
 
 
-def _of_format(masked: Column, zone: str, language: str, pattern: str, order: str) -> Column:
+def _of_format(masked: Column, zone: str, rank: int, months: dict[str, list[str]], language: str, pattern: str, order: str) -> Column:
     def read(hit: Column) -> Column:
-        part = {k: F.regexp_extract(hit, pattern, i + 1) for i, k in enumerate(order)}
-        at = F.try_make_timestamp(_int(part["y"]), _month(language, part["M"]), _int(part["d"]), _int(part["h"]), _int(part["i"]), F.lit(0))
-        return F.struct(F.to_utc_timestamp(at, zone).alias("ts"), hit.alias("text"), F.lit(language).alias("language"))
+        part = {k: F.regexp_extract(hit["text"], pattern, i + 1) for i, k in enumerate(order)}
+        at = F.try_make_timestamp(_int(part["y"]), _month(months[language], part["M"]), _int(part["d"]), _int(part["h"]), _int(part["i"]), F.lit(0))
+        end = hit["start"] + F.char_length(hit["text"])
+        return F.struct(hit["start"].alias("start"), end.alias("end"), F.to_utc_timestamp(at, zone).alias("ts"), hit["text"].alias("text"), F.lit(language).alias("language"), F.lit(rank).alias("rank"))
 
+    # a hit begins after all that stands between hits before it, and those hits
     hits = F.regexp_extract_all(masked, F.lit(f"({pattern})"), 1)
-    return F.filter(F.transform(hits, read), lambda s: s["ts"].isNotNull())
+    sizes = F.zip_with(F.slice(F.split(masked, pattern), 1, F.size(hits)), hits, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("text")))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.char_length(x["text"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["text"].alias("text")))).alias("out"))
+    placed = F.aggregate(sizes, empty, step)["out"]
+    return F.filter(F.transform(placed, read), lambda s: s["ts"].isNotNull())
 
 
 def latest(signed: Column) -> Column:
-    """The latest signature, the first of equal times."""
+    """The latest signature, the one that stands first among equal times."""
     best = F.array_max(F.transform(signed, lambda s, i: F.struct(s["ts"].alias("ts"), (-i).alias("place"))))
     return F.get(signed, -best["place"])
 
@@ -101,7 +114,7 @@ def days_in(month: Column) -> Column:
 def parse_day_title(title: Column, language: str = "en") -> Column:
     """struct<month, day> of a day page's title; null for all else."""
     name = F.regexp_extract(title, r"(\p{L}{3,})", 1)
-    month = _month(language, name)
+    month = _month(MONTHS[language], name)
     day = _int(F.regexp_extract(F.replace(title, name, F.lit("")), r"(\p{Nd}{1,2})", 1))
     ok = month.isNotNull() & day.between(1, days_in(month)) & day_title(month, day, language).eqNullSafe(title)
     return F.when(ok, F.struct(month.alias("month"), day.alias("day")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.operators.listing import _between, _top, show
@@ -18,9 +18,12 @@ def _ordered(df: DataFrame, order: str, ts: str, id_col: str, limit: int | None)
     return _top(df, [by(ts), by(id_col)], limit)
 
 
-def history(revisions: DataFrame, page_id: int | None = None, order: str = "newest", start: object | None = None, end: object | None = None, user: str | None = None, exclude_user: str | None = None, limit: int | None = None) -> DataFrame:
-    """Revisions of a page, or of all; a hidden (null) user is nobody's and excluded by no name."""
-    rows = revisions.where(_between("ts", start, end))
+def history(revisions: DataFrame, page_id: int | None = None, order: str = "newest", start: object | None = None, end: object | None = None, user: str | None = None, exclude_user: str | None = None, namespaces: Iterable[int] = (), limit: int | None = None) -> DataFrame:
+    """Revisions of a page, or of all; a hidden (null) user is nobody's and excluded by no name.
+
+    Deleted revisions are a table of their own with the same columns. Namespaces need a column ns.
+    """
+    rows = revisions.where(_between("ts", start, end)).transform(in_namespaces(namespaces))
     if page_id is not None:
         rows = rows.where(F.col("page_id") == page_id)
     if user is not None:
@@ -34,6 +37,36 @@ def by_id(revisions: DataFrame, ids: DataFrame) -> DataFrame:
     return revisions.join(ids.select("rev_id"), "rev_id", "left_semi")
 
 
+def content_at(revisions: DataFrame, asked: DataFrame, width: int | float | None = None) -> DataFrame:
+    """asked (page_id, at, ...) with the columns of the page's last revision at or before that time; null where none is.
+
+    revisions: page_id, ts, rev_id, ...; the larger rev_id wins among equal times. Times are numbers or
+    timestamps. A page's time is cut into ranges of a width (a 4096th of all time if none is given), so a
+    page with a third of all revisions is dealt over its ranges: inside a range the last revision is carried
+    from row to row, and what a range begins with is the last of the ranges before it, of which a page has a
+    bounded count. Only ids are carried; the contents are joined at the end. Null times are never met.
+    """
+    number = lambda c: F.col(c).cast("double")
+    own = revisions.where("page_id is not null and ts is not null and rev_id is not null").select("page_id", number("ts").alias("t"), "rev_id")
+    wanted = asked.where("page_id is not null and at is not null").select("page_id", number("at").alias("t")).distinct()
+    if width is None:
+        low, high = own.agg(F.min("t"), F.max("t")).first()
+        width = max((high - low) / 4096, 1e-9) if low is not None else 1.0
+    at = F.floor(F.col("t") / F.lit(float(width))).alias("range")
+    own, wanted = own.select("*", at), wanted.select("*", at)
+    last = own.groupBy("page_id", "range").agg(F.max(F.struct("t", "rev_id")).alias("last"))
+    ranges = last.unionByName(wanted.select("page_id", "range").distinct(), allowMissingColumns=True).groupBy("page_id", "range").agg(F.max("last").alias("last"))
+    before = Window.partitionBy("page_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begin = ranges.select("page_id", "range", F.max("last").over(before).alias("begin"))
+    inside = Window.partitionBy("page_id", "range").orderBy("t", F.col("rev_id").isNull(), "rev_id")
+    rows = own.unionByName(wanted, allowMissingColumns=True)
+    met = rows.withColumn("here", F.last("rev_id", ignorenulls=True).over(inside)).where("rev_id is null").join(begin, ["page_id", "range"])
+    found = met.select("page_id", "t", F.coalesce("here", "begin.rev_id").alias("rev_id"))
+    content = revisions.drop(*[c for c in asked.columns if c not in ("rev_id",)]).dropDuplicates(["rev_id"])
+    out = asked.withColumn("t", number("at")).join(found, ["page_id", "t"], "left").drop("t")
+    return out.join(content, "rev_id", "left")
+
+
 def latest_of(rows: DataFrame, by: list[str], ts: str, id_col: str) -> DataFrame:
     """The newest row of each group, found by a partial aggregate; the larger id wins a tie."""
     rest = [c for c in rows.columns if c not in (*by, ts, id_col)]
@@ -106,8 +139,6 @@ def decode_log(json: DataFrame, column: str = "json") -> DataFrame:
 
 def compare(revisions: DataFrame) -> DataFrame:
     """For each revision with one before it: lines added and removed, as bags of lines."""
-    from pyspark.sql import Window
-
     run = Window.partitionBy("page_id").orderBy("rev_id")
     pairs = revisions.select("page_id", "rev_id", "text", F.lag("text").over(run).alias("before"), F.lag("rev_id").over(run).alias("parent_id")).where("parent_id is not null")
     lines = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n")

@@ -6,6 +6,8 @@ Values stay text, with their JSON, since amounts and years go beyond Spark's num
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,19 +82,62 @@ def value_text(datavalue: Column) -> Column:
     )
 
 
+def _quoted(text: Column) -> Column:
+    """A string as JSON."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+
+
+def _object(*fields: tuple[str, Column]) -> Column:
+    """A JSON object of columns of JSON; null ones are left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields]), F.lit("}"))
+
+
+def _keyed(map_: Column, value: Callable[[Column], Column]) -> Column:
+    """A JSON object of a map whose order stays."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(map_), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), value(e["value"]))), ","), F.lit("}"))
+
+
+def _listed(values: Column, value: Callable[[Column], Column]) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(values, value), ","), F.lit("]"))
+
+
+def _snak(s: Column) -> Column:
+    return _object(("snaktype", _quoted(s["snaktype"])), ("property", _quoted(s["property"])), ("datatype", _quoted(s["datatype"])), ("datavalue", s["datavalue"]))
+
+
+def _statement(s: Column) -> Column:
+    snaks = lambda m: _keyed(m, lambda v: _listed(v, _snak))
+    references = _listed(s["references"], lambda r: _object(("snaks", snaks(r["snaks"]))))
+    return _object(("type", F.lit('"statement"')), ("id", _quoted(s["id"])), ("rank", _quoted(F.coalesce(s["rank"], F.lit("normal")))), ("mainsnak", _snak(s["mainsnak"])), ("qualifiers", snaks(s["qualifiers"])), ("references", references))
+
+
 def encode(entities: DataFrame) -> DataFrame:
-    """(id, json): labels, descriptions, aliases, claims and sitelinks of decoded entities."""
+    """(id, json): labels, descriptions, aliases, claims and sitelinks of decoded entities.
+
+    Statements keep their order, and in them qualifiers and references theirs; values are written as the
+    JSON that they were read as. Null parts are left out, so that decode() gives the same entity again.
+    """
     named = lambda c: F.transform_values(c, lambda k, v: F.struct(k.alias("language"), v.alias("value")))
-    return entities.select(
-        "id",
-        F.to_json(
-            F.struct(
-                F.col("kind").alias("type"), "id", named("labels").alias("labels"), named("descriptions").alias("descriptions"),
-                F.transform_values("aliases", lambda k, v: F.transform(v, lambda x: F.struct(k.alias("language"), x.alias("value")))).alias("aliases"),
-                F.transform_values("sitelinks", lambda k, v: F.struct(k.alias("site"), v.alias("title"))).alias("sitelinks"),
-            )
-        ).alias("json"),
+    aliases = F.transform_values("aliases", lambda k, v: F.transform(v, lambda x: F.struct(k.alias("language"), x.alias("value"))))
+    links = F.transform_values("sitelinks", lambda k, v: F.struct(k.alias("site"), v.alias("title")))
+    json = _object(
+        ("type", _quoted(F.col("kind"))), ("id", _quoted(F.col("id"))), ("labels", F.to_json(named("labels"))), ("descriptions", F.to_json(named("descriptions"))), ("aliases", F.to_json(aliases)),
+        ("claims", _keyed(F.col("statements"), lambda v: _listed(v, _statement))), ("sitelinks", F.to_json(links)),
     )
+    return entities.select("id", json.alias("json"))
+
+
+def statement_rows(entities: DataFrame) -> DataFrame:
+    """(id, place, property, pos, statement): a row for each statement, with the places of its property and in it."""
+    own = entities.select("id", F.posexplode(F.map_entries("statements")).alias("place", "e"))
+    return own.select("id", "place", F.col("e.key").alias("property"), F.posexplode("e.value").alias("pos", "statement"))
+
+
+def from_statement_rows(rows: DataFrame) -> DataFrame:
+    """(id, statements) from rows as statement_rows() has them, in any order: statements of a property by pos, properties by place."""
+    lists = rows.groupBy("id", "property").agg(F.min("place").alias("place"), F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("statement").alias("v"))), lambda a, b: a["pos"] - b["pos"]), lambda x: x["v"]["statement"]).alias("own"))
+    entries = F.array_sort(F.collect_list(F.struct("place", F.struct("property", "own").alias("v"))), lambda a, b: a["place"] - b["place"])
+    return lists.groupBy("id").agg(F.map_from_entries(F.transform(entries, lambda x: x["v"])).alias("statements"))
 
 
 def for_pages(pages: DataFrame, entities: DataFrame, site: str) -> DataFrame:

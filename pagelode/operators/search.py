@@ -19,6 +19,7 @@ words finds nothing.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -26,6 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelode.operators.entities import label
 from pagelode.operators.pageset import in_namespaces
@@ -72,7 +74,7 @@ def build(texts: DataFrame, path: str, buckets: int = BUCKETS) -> Index:
     _write(counted, f"{path}/counts", ["token", "field"])
     per_doc = texts.groupBy("field", "ns").agg(F.countDistinct("doc_id").alias("docs"), F.sum(F.size(own)).alias("words"))
     per_doc.write.parquet(f"{path}/docs")
-    spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/info")
+    spark.createDataFrame([(buckets, rows.schema.json(), counted.schema.json())], "buckets int, postings string, counts string").write.parquet(f"{path}/info")
     return open_(spark, path)
 
 
@@ -81,8 +83,10 @@ def _write(rows: DataFrame, path: str, order: list[str]) -> None:
 
 
 def open_(spark: SparkSession, path: str) -> Index:
-    buckets = spark.read.parquet(f"{path}/info").first().buckets
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/docs"), buckets)
+    info = spark.read.parquet(f"{path}/info").first()
+    # the schemas are given, as an empty table has no file to read them from
+    postings, counts = (spark.read.schema(StructType.fromJson(json.loads(info[k]))).parquet(f"{path}/{k}") for k in ("postings", "counts"))
+    return Index(postings, counts, spark.read.parquet(f"{path}/docs"), info.buckets)
 
 
 def of_pages(pages: DataFrame) -> DataFrame:

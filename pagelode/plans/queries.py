@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import dates, scalars, titles, wikitext
@@ -322,6 +322,14 @@ def search_counts(spark, sf):
     return _index(spark, sf, "article").counts.where("field = 'text'").select("ns", "token", "docs", "occurrences")
 
 
+@query("""select a.event_id, r.rev_id, md5(r.text) as digest from (select event_id, event_id % 60 as page_id, cast(event_id % 7 as int) - 1 as at from events) a asof left join v_revision r on a.page_id = r.page_id and a.at >= r.ts""")
+def content_as_of(spark, sf):
+    """The text that a page had at a time, for a page and a time of each event."""
+    e = table(spark, sf, "events").select("event_id", (F.col("event_id") % 60).alias("page_id"), ((F.col("event_id") % 7).cast("int") - 1).alias("at"))
+    found = activity.content_at(Catalog(spark, sf)["revision"].select("page_id", "ts", "rev_id", "text"), e, width=2)
+    return found.select("event_id", "rev_id", F.md5("text").alias("digest"))
+
+
 @query("select page_id, title from v_page where not is_redirect and page_id not in (select src_id from v_links)")
 def dead_end_pages(spark, sf):
     return listing.special_page(Catalog(spark, sf), "Deadendpages").select("page_id", "title")
@@ -655,6 +663,27 @@ def signatures(spark, sf):
     return out.select("event_id", F.col("signature.ts").cast("timestamp_ntz").alias("ts"), F.col("signature.language").alias("language"))
 
 
+@query("""with c as (select length('<!-- 10:00, 1 May 2020 (UTC) -->') + 3 as n) select event_id, cast(unnest(case when event_id % 2 = 0 then [n, n + 28] else [2, 31] end) as int) as start, unnest(case when event_id % 2 = 0 then ['fr', 'en'] else ['en', 'fr'] end) as language,
+    make_timestamp(2024, 5, day(ts), hour(ts), minute(ts), 0) as ts from events, c""")
+def signature_offsets(spark, sf):
+    """Where signature times stand, in order of place and not of format; a comment before them counts by its length."""
+    part = lambda f: F.date_format("ts", f)
+    en, fr = F.concat(part("HH:mm, dd"), F.lit(" May 2024 (UTC)")), F.concat(part("dd"), F.lit(" mai 2024 à "), part("HH:mm"), F.lit(" (UTC)"))
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("<!-- 10:00, 1 May 2020 (UTC) --> é "), fr, F.lit(" | "), en)).otherwise(F.concat(F.lit("é "), en, F.lit(" and "), fr))
+    own = table(spark, sf, "events").select("event_id", F.explode(dates.signatures(text, ["en", "fr"])).alias("s"))
+    return own.select("event_id", "s.start", "s.language", F.col("s.ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""select event_id, 'en' as language from events where event_id % 3 = 0 union all select event_id, 'fr' from events where event_id % 3 <> 0""")
+def latest_signatures(spark, sf):
+    """The latest time of a text; of equal times the one that stands first, whatever its format."""
+    day = F.when(F.col("event_id") % 3 == 1, "06").otherwise("05")
+    en, fr = F.lit("10:00, 05 May 2024 (UTC)"), F.concat(day, F.lit(" mai 2024 à 10:00 (UTC)"))
+    text = F.when(F.col("event_id") % 3 == 2, F.concat(fr, F.lit(" "), en)).otherwise(F.concat(en, F.lit(" "), fr))
+    own = table(spark, sf, "events").select("event_id", dates.latest(dates.signatures(text, ["en", "fr"])).alias("s"))
+    return own.select("event_id", "s.language")
+
+
 @query("select p_partkey as page_id, case when p_size % 12 in (1, 3, 5, 8, 10) and p_partkey % 32 = 31 or p_size % 12 = 1 and p_partkey % 32 = 30 or p_partkey % 32 = 0 then null else cast(p_size % 12 + 1 as int) end as month, case when p_size % 12 in (1, 3, 5, 8, 10) and p_partkey % 32 = 31 or p_size % 12 = 1 and p_partkey % 32 = 30 or p_partkey % 32 = 0 then null else cast(p_partkey % 32 as int) end as day from part")
 def day_titles(spark, sf):
     month, day = (F.col("p_size") % 12 + 1).cast("int"), (F.col("p_partkey") % 32).cast("int")
@@ -741,6 +770,17 @@ def _named_entities(spark, sf):
     return _INDEXES[key], found
 
 
+@query("""select 'Q' || cast(c_custkey as string) as id, cast(pos as int) as pos, case when pos = 0 and c_custkey % 3 = 0 then 'novalue' when pos = 0 and c_custkey % 3 = 1 then 'somevalue' else 'value' end as snaktype,
+    case when pos = 1 or c_custkey % 3 = 2 then '+' || cast(c_custkey as string) end as value, c_name as title from customer, range(0, 2) r(pos) where c_custkey % 10 <> 9""")
+def written_entities(spark, sf):
+    """Entities written as JSON with their claims and decoded from it, their statements taken apart and grouped again on the way."""
+    own = _entities(spark, sf)
+    grouped = entities.from_statement_rows(entities.statement_rows(own))
+    again = entities.decode(entities.encode(own.drop("statements").join(grouped, "id")).drop("id"))
+    titles_ = again.select("id", F.try_element_at("sitelinks", F.lit("enwiki")).alias("title"))
+    return entities.exploded(again).select("id", "pos", "snaktype", "value").join(titles_, "id")
+
+
 @query("select c_custkey as page_id, case when c_custkey % 10 <> 9 then 'Q' || cast(c_custkey as string) end as entity_id from customer")
 def entities_of_pages(spark, sf):
     pages = table(spark, sf, "customer").select(F.col("c_custkey").alias("page_id"), F.col("c_name").alias("title"))
@@ -1036,7 +1076,23 @@ def read_dump(spark, sf):
     d = table(spark, sf, "documents")
     rows = d.select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % 3).cast("int").alias("ns"), F.concat("source", F.col("doc_id").cast("string")).alias("title"), "text")
     dump.write(rows.repartition(4), path, "bzip2")
-    return dump.pages(spark, path, [0, 1]).select("page_id", "ns", "title", F.md5("text").alias("digest"))
+    return dump.read(spark, path, [0, 1]).saved(f"{path}-pages").select("page_id", "ns", "title", F.md5("text").alias("digest"))
+
+
+@query("select doc_id as page_id, cast(row_number() over (order by doc_id) as int) as nth from documents")
+def ordered_dump(spark, sf):
+    """The pages of a dump numbered as a sequential read meets them, from their splits and places."""
+    from pagelode.sources import dump
+
+    path = _scratch(spark)
+    d = table(spark, sf, "documents")
+    rows = d.select(F.col("doc_id").alias("page_id"), F.lit(0).alias("ns"), F.col("doc_id").cast("string").alias("title"), "text")
+    dump.write(rows.repartitionByRange(4, "page_id").sortWithinPartitions("page_id"), path)
+    own = dump.read(spark, path).saved(f"{path}-pages")
+    # ranks over all rows in two steps: inside a split, then over the splits' counts
+    inside = own.withColumn("own", F.row_number().over(Window.partitionBy("file", "block").orderBy("place")))
+    splits = own.groupBy("file", "block").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(splits, ["file", "block"]).select("page_id", (F.col("own") + F.col("before")).cast("int").alias("nth"))
 
 
 @query("select event_id, cast(user_id as string) as title, event_id % 2 = 0 as is_bot from events where event_id % 7 <> 0")
