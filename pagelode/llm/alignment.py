@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from pagelode.llm.bpe import byte_letters, utf8
 from pagelode.llm.common import Scratch, lookup
 
-#: A block ends at so many groups, or with one document that has more.
-BLOCK_GROUPS = 1 << 17
+#: A block ends at so many units, or with one document that has more.
+BLOCK_UNITS = 1 << 17
 #: Units and their parts that a worker remembers before it starts afresh, between two blocks.
 REMEMBER = 800_000
 #: Bytes of texts whose new units are encoded together.
@@ -83,7 +83,8 @@ class Tokens:
         line = len(self.b.encode("\n"))
         for part, x, y in zip(parts, a, self.b.encode(spaced, num_threads=1)):
             own, other, raw = x.ids, y[skip.get(part, 0 if part[:1] == " " else line) :], part.encode()
-            yield own, other, b"".join(map(self.a_bytes.__getitem__, own)) == raw and b"".join(map(self.b_bytes.__getitem__, other)) == raw
+            # A's tokens are bytes of the text in order: if none is missing, all are there
+            yield own, other, sum([len(self.a_bytes[i]) for i in own]) == len(raw) and b"".join(map(self.b_bytes.__getitem__, other)) == raw
 
     def steps(self, a: Sequence[int], b: Sequence[int]) -> Iterator[tuple[int, int, bool]]:
         """The places of the tokens whose bytes overlap, in order, and whether both end there; both have as many bytes."""
@@ -104,6 +105,8 @@ class Tokens:
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
         """The groups of ids between the places where tokens of both end."""
+        if len(a) == 1 or len(b) == 1:
+            return [(tuple(a), tuple(b))]
         out, p, q = [], 0, 0
         for i, j, end in self.steps(a, b):
             if end:
@@ -113,6 +116,8 @@ class Tokens:
 
     def links(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[int, int]]:
         """The pairs of ids of a group's tokens whose bytes overlap, one for each pair of tokens."""
+        if len(a) == 1 or len(b) == 1:
+            return [(x, y) for x in a for y in b]
         return [(a[i], b[j]) for i, j, _ in self.steps(a, b)]
 
 
@@ -153,6 +158,7 @@ class Dictionary(dict):
 
     def start(self) -> None:
         self.clear()
+        self.inexact: set[int] = set()
         self.parts: dict[str, tuple] = {}  # by text, what units has
         self.units: list[tuple[list[int], int, int, str, bool]] = []  # groups, A tokens, B tokens, digest text, whether exact
         self.group_no: dict[tuple, int] = {}
@@ -176,6 +182,8 @@ class Dictionary(dict):
             else:
                 own, a, b, text, exact = zip(*found)
                 self.units.append((list(chain.from_iterable(own)), sum(a), sum(b), ";".join(text), all(exact)))
+            if not self.units[-1][4]:
+                self.inexact.add(self[unit])
 
     def group(self, g: tuple) -> int:
         got = self.group_no.get(g)
@@ -211,7 +219,7 @@ BLOCK = "block long, documents array<struct<doc_id:{kind},n_a:long,n_b:long,n_gr
 def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """A row for each block of documents (doc_id, text): see BLOCK. entry and times have size values a document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    most, together, remember = BLOCK_GROUPS, TOGETHER, REMEMBER
+    most, together, remember = BLOCK_UNITS, TOGETHER, REMEMBER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = dictionary(a_path, b_path)
@@ -236,9 +244,8 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     own.learn(chain.from_iterable(parts))
                     parts.reverse()
                 found = list(map(own.__getitem__, parts.pop()))
-                exact = all([own.units[u][4] for u in found])
-                units.append(found if exact else [])
-                held += sum([len(own.units[u][0]) for u in units[-1]])
+                units.append(found if own.inexact.isdisjoint(found) else [])
+                held += len(units[-1])
                 if held >= most or at == len(texts) - 1:
                     yield block(number, names[first : at + 1], units, own)
                     number, first, held, units = number + 1, at + 1, 0, []

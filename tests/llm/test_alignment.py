@@ -81,7 +81,7 @@ def plain(rows, libraries):
 
 
 def test_alignment_is_that_of_whole_texts(spark, libraries, monkeypatch):
-    monkeypatch.setattr(alignment, "BLOCK_GROUPS", 200)
+    monkeypatch.setattr(alignment, "BLOCK_UNITS", 100)
     monkeypatch.setattr(alignment, "TOGETHER", 3000)
     monkeypatch.setattr(alignment, "REMEMBER", 500)
     real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
