@@ -10,10 +10,11 @@ document with a smaller id is removed. Windows are judged on the input.
    documents can hold a repeated window; the others are left out. A document whose words equal those
    of a smaller id's loses all of them (if they fill a window) and takes no further part.
 2. Segments with equal words are one edge of the compacted graph, with source coordinates: its first
-   document and place. Joins on neighbours give each edge's successors and predecessors over all
-   documents. Where an edge has one successor, and this one predecessor, and both follow each other in
-   the source, they are compacted; a path is such a run, and a row of its own.
-3. Occurrences that move along a path in step with it, in a later document, give one span.
+   document and place. Neighbours give each edge's successors and predecessors over all occurrences, an
+   end counting as one. Where one edge is always followed by another, and this one always comes after
+   it, both are compacted; a nonbranching path is one row, with its source coordinates and length.
+3. Wherever a path's first edge occurs, the whole path does. So only occurrences of first edges are joined
+   with the paths, and each of them in a later document gives one span.
 4. A window can be shared by segments that differ as a whole, at the end of a repeated passage. Edges
    that share their minimiser with another edge are therefore held against each other window by window,
    once for each edge and not for each occurrence; hits in step with one source give spans too.
@@ -118,31 +119,35 @@ def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def runs(hits: DataFrame, window: int) -> DataFrame:
-    """(doc_id, start, words, source, at): one row for each run of hits (doc_id, start, n, source, at, path) that follow each other in step."""
-    order = Window.partitionBy("doc_id").orderBy("start", "n")
-    moves = F.struct("source", "path", (F.col("start") - F.col("at")).alias("step"))
-    new = (F.col("start") != F.lag(F.col("start") + F.col("n")).over(order)) | (moves != F.lag(moves).over(order))
+    """(doc_id, start, words, source, at): one row for each run of windows (doc_id, start, source, at) that follow each other in step."""
+    order = Window.partitionBy("doc_id").orderBy("start")
+    moves = F.struct("source", (F.col("start") - F.col("at")).alias("step"))
+    new = (F.col("start") != F.lag("start").over(order) + 1) | (moves != F.lag(moves).over(order))
     run = F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(order)
-    found = hits.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.first("source").alias("source"), F.min("at").alias("at"))
-    return found.select("doc_id", "start", (F.col("end") - F.col("start") + window - 1).cast("int").alias("words"), "source", "at")
+    found = hits.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.count("*").alias("n"), F.first("source").alias("source"), F.min("at").alias("at"))
+    return found.select("doc_id", "start", (F.col("n") + window - 1).cast("int").alias("words"), "source", "at")
 
 
 def compacted(occurrences: DataFrame) -> DataFrame:
-    """(source, at, path): the repeated edges (source, at) with the place in the source of their path's first edge.
+    """(source, at, n): the paths, a row each, with the source coordinates of the first edge and the count of windows.
 
-    occurrences: (doc_id, start, n, source, at) of every repeated edge, its source's own included.
+    occurrences: (doc_id, start, n, source, at) of every repeated edge, its source's own included. Edge f
+    continues the path of e if f follows every occurrence of e, and e comes before every occurrence of f.
+    Wherever a path's first edge occurs, the whole path does, its source included; so a path's edges lie in
+    step in one document, and their order there is the path.
     """
     order = Window.partitionBy("doc_id").orderBy("start")
     edge = F.struct("source", "at")
-    follows = F.lead("start").over(order) == F.col("start") + F.col("n")
-    pairs = occurrences.select(edge.alias("edge"), "n", F.when(follows, F.lead(edge).over(order)).alias("next")).where("next is not null")
-    pairs = pairs.groupBy("edge", "next").agg(F.first("n").alias("n"))
-    out = pairs.groupBy("edge").agg(F.min("next").alias("next"), F.first("n").alias("n"), F.count("*").alias("c")).where("c = 1")
-    into = pairs.groupBy("next").agg(F.min("edge").alias("edge"), F.count("*").alias("c")).where("c = 1")
-    links = out.join(into, ["edge", "next"]).where("edge.source = next.source and edge.at + n = next.at").select("next.source", "next.at", F.lit(True).alias("inner"))
-    own = occurrences.where("doc_id = source and start = at").select("source", "at").join(links, ["source", "at"], "left")
+    after = F.when(F.lead("start").over(order) == F.col("start") + F.col("n"), F.lead(edge).over(order))
+    before = F.when(F.lag(F.col("start") + F.col("n")).over(order) == F.col("start"), F.lag(edge).over(order))
+    sole = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
+    edges = occurrences.select("source", "at", "n", after.alias("after"), before.alias("before"))
+    edges = edges.groupBy("source", "at").agg(F.first("n").alias("n"), sole("after").alias("after"), sole("before").alias("before"))
     along = Window.partitionBy("source").orderBy("at")
-    return own.select("source", "at", F.last(F.when(F.col("inner").isNull(), F.col("at")), ignorenulls=True).over(along).alias("path"))
+    # the edge before in the source is the one that this edge is always after, and that is always before this one
+    joined_on = (F.col("before") == F.lag(edge).over(along)) & (F.lag("after").over(along) == edge)
+    path = F.sum(F.when(F.coalesce(joined_on, F.lit(False)), 0).otherwise(1)).over(along)
+    return edges.withColumn("path", path).groupBy("source", "path").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n")).drop("path")
 
 
 def window_rows(texts: DataFrame, edges: DataFrame, window: int) -> DataFrame:
@@ -239,15 +244,16 @@ def found_spans(hits: DataFrame, texts: DataFrame, window: int, scratch: Scratch
     sources = repeated.select("gram", "seg", "source", "at")
     occurrences = scratch.save(lookup(hits, sources, ["gram", "seg"], repeated).select("doc_id", "start", "n", "source", "at"), "occurrences")
     paths = scratch.save(compacted(occurrences), "paths")
-    later = lookup(occurrences, paths, ["source", "at"], repeated).where("doc_id > source")
-    spans = scratch.save(runs(later, window), "path-spans")
+    # occurrences of first edges alone meet the paths; the others are inside
+    heads = lookup(occurrences.drop("n"), paths, ["source", "at"], repeated).where("doc_id > source")
+    spans = scratch.save(heads.select("doc_id", "start", (F.col("n") + window - 1).cast("int").alias("words"), "source", "at"), "path-spans")
     several = edges.groupBy("gram").agg(F.count("*").alias("count"), F.min("source").alias("x"), F.max("source").alias("y")).where("x < y").select("gram", "count")
     several = scratch.save(several, "several")
     mixed = lookup(edges.drop("count"), several, ["gram"], several).select(F.col("source").alias("doc_id"), F.col("at").alias("start"), "n")
     keyed = scratch.save(window_rows(texts, mixed, window), "windows")
     firsts = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("count")).where("f.doc_id < last")
     firsts = scratch.save(firsts.select("key", F.col("f.doc_id").alias("source"), F.col("f.start").alias("at"), "count"), "first-windows")
-    met = lookup(keyed, firsts, ["key"], firsts).where("doc_id > source").select("doc_id", "start", F.lit(1).alias("n"), "source", "at", F.lit(0).alias("path"))
+    met = lookup(keyed, firsts, ["key"], firsts).where("doc_id > source").select("doc_id", "start", "source", "at")
     scratch.drop("occurrences", "paths", "edges")
     return spans.unionByName(scratch.save(runs(met, window), "window-spans"))
 

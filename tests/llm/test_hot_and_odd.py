@@ -34,16 +34,22 @@ def test_one_layout_for_each_count():
     assert sharding.tree(9) == sharding.grown(sharding.tree(8), 8) and sharding.tree(11) == sharding.grown(sharding.tree(10), 10)
 
 
-def test_paths_save_rows(spark):
+def test_paths_save_rows(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(400))
-    texts = [f"start{i} " * 20 + passage + f" end{i}" * 20 for i in range(30)]
+    texts = [f"start{i} " * 20 + passage + f" end{i}" * 20 for i in range(30)] + [" ".join(f"p{i}" for i in range(100, 200)) + " z" * 30]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     scratch = Scratch(spark, "test")
     hits = scratch.save(substrings.repeated_segments(scratch.save(substrings.segments(rows, 13, 4), "segments"), scratch), "hits")
     spans = scratch.save(substrings.found_spans(hits, rows, 13, scratch), "spans")
-    assert hits.count() > 10 * spans.count()  # one row a span, not one a segment
-    occurrences = hits.groupBy("gram", "seg").agg(F.min(F.struct("doc_id", "start")).alias("f")).join(hits, ["gram", "seg"]).select("doc_id", "start", "n", F.col("f.doc_id").alias("source"), F.col("f.start").alias("at"))
-    alone = occurrences.where("doc_id > source").withColumn("path", F.col("at"))
-    assert substrings.runs(alone, 13).count() > 5 * spans.count()  # each edge a path of its own
+    # one row a path and document, not one an edge: the passage is cut only where document 30 leaves it
+    assert hits.count() > 10 * spans.count()
     removed = {r.doc_id: r.n_removed for r in substrings.dedup(rows)[0].collect()}
-    assert removed[0] == 0 and all(n >= 400 for d, n in removed.items() if d)
+    assert removed[0] == 0 and all(n >= 400 for d, n in removed.items() if 0 < d < 30) and removed[30] >= 100
+
+    def each_edge(occurrences):  # without compaction: the joins then carry a row for each edge
+        return occurrences.where("doc_id = source and start = at").select("source", "at", F.col("n").cast("int").alias("n"))
+
+    monkeypatch.setattr(substrings, "compacted", each_edge)
+    loose = scratch.save(substrings.found_spans(hits, rows, 13, scratch), "loose")
+    assert loose.count() > 5 * spans.count()
+    assert {r.doc_id: r.n_removed for r in substrings.dedup(rows)[0].collect()} == removed
