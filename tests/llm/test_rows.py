@@ -125,7 +125,7 @@ def test_quality(spark):
 def test_quality_verdict_holds_in_any_order(spark, monkeypatch):
     rows_ = quality.measures(table(spark, ODD))
     one = quality.cascade(rows_).select("doc_id", "kept").collect()
-    monkeypatch.setattr(quality, "fit_order", lambda rows, rules, text_col: list(reversed(rules)))
+    monkeypatch.setattr(quality, "fit_order", lambda rows, rules, text_col, rejected: list(reversed(rules)))
     assert Counter(one) == Counter(quality.cascade(rows_).select("doc_id", "kept").collect())
 
 
