@@ -28,6 +28,8 @@ from pagelode.llm.hashing import WORDS, windows
 
 BITS = 64
 TERM = 2
+#: Ids sampled for each range.
+SAMPLED = 40
 
 
 def fingerprint(text: bytes, term: int = TERM) -> int:
@@ -109,20 +111,22 @@ def edited(text: str, following: str) -> str:
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", term: int = TERM) -> DataFrame:
     """Every document's fingerprint held against its edited text's and the next document's, in descending id.
 
-    Ids are cut into ranges of about equal counts, sorted in each, and read in one pass. What follows a
-    range's last document is the next range's first, whose row is dealt to both; these are found from
-    ids alone, one for each range. Null ids come last, in a range of their own; rows with equal ids are
-    ordered by text.
+    Ids of any type with an order are cut into ranges of about equal counts by a sample of about SAMPLED ids
+    a range, sorted in each, and read in one pass. What follows a range's last document is the next
+    range's first, whose row is dealt to both; these are found from ids alone, one for each range. Null
+    ids come last, in a range of their own; rows with equal ids are ordered by text and are in one range,
+    as ids are meant to differ. Null text is empty. Other columns aren't read, whatever their names. An
+    empty table gives an empty table.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / parts for i in range(1, parts)]
-    found = rows.approxQuantile("doc_id", shares, 0.1 / parts) if shares else []
-    cuts = sorted({x for x in found or [] if x is not None}, reverse=True)
+    sampled = rows.select("doc_id").where("doc_id is not null").sample(min(1.0, SAMPLED * parts / max(1, rows.count())), seed=1)
+    found = sorted(r["doc_id"] for r in sampled.collect())
+    cuts = sorted({found[i * len(found) // parts] for i in range(1, parts)}, reverse=True) if found else []
     # range 0 has the largest ids; a null id is after all
-    spots = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    spots = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind}>")
     at = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(spots, lambda c: F.col("doc_id") < c)))
     ranged = rows.withColumn("range", at)
     tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
