@@ -172,8 +172,18 @@ def decompress(base: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.nd
     return out
 
 
+def reached(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The numbers of the rules that symbols use, themselves or through other rules, ascending."""
+    found = new = np.unique(symbols[symbols >= base]).astype(np.int64) - base
+    while len(new):
+        parts = rules[new].reshape(-1)
+        new = np.setdiff1d(parts[parts >= base].astype(np.int64) - base, found)
+        found = np.union1d(found, new)
+    return found
+
+
 def decode_range(row: dict, start: int, stop: int) -> np.ndarray:
-    """Ids start to stop of one shard's row, expanding only the symbols that cover them."""
+    """Ids start to stop of one shard's row. Only the symbols that cover them are expanded, and of the rules only those that these symbols use."""
     rules, lengths = np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["rule_lengths"], "<u4")
     symbols, base = np.frombuffer(row["symbols"], "<u4"), row["base"]
     each = np.ones(len(symbols), np.int64)
@@ -182,7 +192,13 @@ def decode_range(row: dict, start: int, stop: int) -> np.ndarray:
     ends = np.cumsum(each)
     first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
     skipped = int(ends[first - 1]) if first else 0
-    return decompress(base, rules, lengths, symbols[first : last + 1])[start - skipped : stop - skipped]
+    some = symbols[first : last + 1]
+    used = reached(base, rules, some)
+
+    def renumbered(x: np.ndarray) -> np.ndarray:
+        return np.where(x >= base, base + np.searchsorted(used, x.astype(np.int64) - base), x).astype("<u4")
+
+    return decompress(base, renumbered(rules[used]), lengths[used], renumbered(some))[start - skipped : stop - skipped]
 
 
 SHARDS = "part int, shard int, part_start long, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, base long, rules binary, rule_lengths binary, symbols binary"

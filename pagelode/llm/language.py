@@ -254,13 +254,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def in_a_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """The input's rows of whose text's letters at least that part of the usual share are evidence for languages."""
+    """The input's rows of whose text's letters at least that part of the usual share are evidence for languages.
+
+    Where nothing was learned, as no row has a label, there is no evidence against a text: all with a letter
+    stay. Null texts and texts without letters go. An empty table gives an empty table.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(shipped.value)
         for batch in batches:
-            got = [predict(known.model.langs, x, penalty) for x in known.of(utf8(batch.column(batch.schema.get_field_index(text_col))))]
+            texts = utf8(batch.column(batch.schema.get_field_index(text_col)))
+            if not known.model.langs:
+                yield batch.filter(pa.array([any(c.isalpha() for c in t.decode()) for t in texts], pa.bool_()))
+                continue
+            got = [predict(known.model.langs, x, penalty) for x in known.of(texts)]
             yield batch.filter(pa.array([share > 0 and share >= least * known.model.usual for _, _, share, _ in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
