@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelode.functions.scalars import placed_matches
+
 # Month names as wikis write them, in calendar order, other spellings after a bar.
 MONTHS = {
     "en": "january february march april may june july august september october november december".split(),
@@ -63,12 +65,7 @@ def _of_format(masked: Column, zone: str, rank: int, months: dict[str, list[str]
         end = hit["start"] + F.char_length(hit["text"])
         return F.struct(hit["start"].alias("start"), end.alias("end"), F.to_utc_timestamp(at, zone).alias("ts"), hit["text"].alias("text"), F.lit(language).alias("language"), F.lit(rank).alias("rank"))
 
-    # a hit begins after all that stands between hits before it, and those hits
-    hits = F.regexp_extract_all(masked, F.lit(f"({pattern})"), 1)
-    sizes = F.zip_with(F.slice(F.split(masked, pattern), 1, F.size(hits)), hits, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("text")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.char_length(x["text"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["text"].alias("text")))).alias("out"))
-    placed = F.aggregate(sizes, empty, step)["out"]
+    placed = placed_matches(masked, pattern)
     return F.filter(F.transform(placed, read), lambda s: s["ts"].isNotNull())
 
 

@@ -177,3 +177,13 @@ def message(templates: Column, language: Column, fallback: list[str], count: Col
     filled = F.replace(own, F.regexp_extract(own, r"(\{\{PLURAL:\$1\|[^}]*\}\})", 1), form)
     chosen = F.when(own.rlike(r"\{\{PLURAL:\$1\|"), filled).otherwise(own)
     return F.replace(chosen, F.lit("$1"), count.cast("string"))
+
+
+def placed_matches(text: Column, pattern: str) -> Column:
+    """array<struct<start, text>> of a pattern's matches in order; start counts code points. Null for null."""
+    # a match begins after all that stands between matches before it, and those matches
+    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    sizes = F.zip_with(F.slice(F.split(text, pattern), 1, F.size(hits)), hits, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("text")))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.char_length(x["text"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["text"].alias("text")))).alias("out"))
+    return F.aggregate(sizes, empty, step)["out"]

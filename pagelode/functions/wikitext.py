@@ -346,13 +346,6 @@ def _prose(n: dict, text: str) -> bool:
     return n["depth"] == 0 or (n["depth"] == 1 and n["raw"].strip("=") != "" and text[n["start"] - 1 : n["start"]] != "[" and not n["raw"].startswith(("[[", "{{")))
 
 
-def replace_text(pattern: str, replacement: str | Callable[[re.Match], str]) -> Callable[[Column], Column]:
-    """Replacement in prose; a string replacement is literal."""
-    own = re.compile(pattern)
-    to = replacement if callable(replacement) else (lambda m: replacement)
-    return rewriter(lambda t: in_prose(t, lambda s: own.sub(to, s)))
-
-
 # The fixes by name, pattern and literal replacement.
 FIXES = {
     "extra-spaces": (r"(?<=\S) {2,}(?=\S)", " "),
@@ -361,12 +354,6 @@ FIXES = {
 }
 
 
-def fix(name: str) -> Callable[[Column], Column]:
-    if name not in FIXES:
-        raise ValueError(f"no fix is named {name!r}: choose from {sorted(FIXES)}")
-    return replace_text(*FIXES[name])
-
-
 def outside_raw(text: Column, change: Callable[[Column], Column]) -> Column:
     """A text with all but its comments and raw tags changed, by built-in functions."""
     raw = rf"(?is)<!--.*?(?:-->|\z)|<({RAW})\b[^<>]*?(?:/>|>.*?</\1\s*>)"
@@ -401,46 +388,6 @@ def would_change(text: Column, passes: tuple[str, ...] = SAFE) -> Column:
     return cosmetic(text, passes) != text
 
 
-def unlink(target: str, fold_first: bool = True) -> Callable[[Column], Column]:
-    """Links to a page become their label or target; a fragment doesn't count."""
-
-    def norm(t: str) -> str:
-        t = re.sub(r"[\s_]+", " ", t.split("#")[0].lstrip(":")).strip()
-        return t[:1].upper() + t[1:] if fold_first else t
-
-    def change(text: str) -> str:
-        spans = []
-        for n in flat(text):
-            if n["kind"] == "wikilink" and norm(n["name"]) == norm(target):
-                bar = n["raw"].find("|")
-                spans += [(n["start"], n["start"] + (bar + 1 if bar >= 0 else 2)), (n["end"] - 2, n["end"])]
-        return "".join(_outside(text, spans))
-
-    return rewriter(change)
-
-
-def with_parameter(template: str, name: str, value: str) -> Callable[[Column], Column]:
-    """Sets a parameter of all templates of a name: the last one of that name, or a new one at the end."""
-    key = lambda t: re.sub(r"[\s_]+", " ", t).strip()[:1].upper() + re.sub(r"[\s_]+", " ", t).strip()[1:]
-
-    def change(text: str) -> str:
-        for n in reversed([n for n in scan(text) if n[2] == "template" and key(n[3]) == key(template)]):
-            start, end, *_, bars = n
-            at = end - 2
-            own = [(a, b) for a, b in zip(bars, (*bars[1:], end - 2)) if text[a + 1 : b].partition("=")[0].strip() == name and "=" in text[a + 1 : b]]
-            if own:
-                a, b = own[-1]
-                old = text[a + 1 : b]
-                head, _, rest = old.partition("=")
-                lead, trail = rest[: len(rest) - len(rest.lstrip())], rest[len(rest.rstrip()) :]
-                text = text[: a + 1] + f"{head}={lead}{value}{trail if rest.strip() else ''}" + text[b:]
-            else:
-                text = text[:at] + f"|{name}={value}" + text[at:]
-        return text
-
-    return rewriter(change)
-
-
 def add_category(text: Column, name: str) -> Column:
     """Adds a category at the end, unless it is there."""
     import re as _re
@@ -539,77 +486,6 @@ def proofread_parts(text: Column) -> Column:
     return F.when(text.rlike(form), F.struct(got(1).alias("header"), got(2).alias("body"), got(3).alias("footer"))).otherwise(F.struct(F.lit("").alias("header"), text.alias("body"), F.lit("").alias("footer")))
 
 
-def without_parameter(template: str, name: str) -> Callable[[Column], Column]:
-    """Takes a named parameter out of all templates of a name."""
-    fold = lambda t: re.sub(r"[\s_]+", " ", t).strip()
-    want = fold(template)
-
-    def change(text: str) -> str:
-        own = [n for n in scan(text) if n[2] == "template" and fold(n[3])[:1].upper() + fold(n[3])[1:] == want[:1].upper() + want[1:]]
-        spans = [(a, b) for n in own for a, b in zip(n[5], (*n[5][1:], n[1] - 2)) if text[a + 1 : b].partition("=")[0].strip() == name and "=" in text[a + 1 : b]]
-        return "".join(_outside(text, spans))
-
-    return rewriter(change)
-
-
-def headings_of(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, level, title) of the headings outside of templates and links."""
-    return [(n["start"], n["end"], n["level"], n["name"]) for n in flat(text) if n["kind"] == "heading" and n["depth"] == 0]
-
-
-def replace_section(title: str, content: str) -> Callable[[Column], Column]:
-    """Gives the first section of a title other content; its heading stays, its subsections go."""
-
-    def change(text: str) -> str:
-        heads = headings_of(text)
-        for i, (_, end, level, name) in enumerate(heads):
-            if name == title:
-                stop = next((s for s, _, deep, _ in heads[i + 1 :] if deep <= level), len(text))
-                return text[:end] + "\n" + content.strip("\n") + "\n" + text[stop:]
-        return text
-
-    return rewriter(change)
-
-
-def _without_empty(text: str) -> str:
-    heads = headings_of(text)
-    ends = [s for s, *_ in heads[1:]] + [len(text)]
-    bare = [not text[e:stop].strip() for (_, e, *_), stop in zip(heads, ends)]
-    gone = []
-    for i, (start, _, level, _) in enumerate(heads):
-        below = []
-        for j in range(i + 1, len(heads)):
-            if heads[j][2] <= level:
-                break
-            below.append(bare[j])
-        if bare[i] and all(below):
-            gone.append((start, ends[i]))
-    return "".join(_outside(text, gone))
-
-
-#: Takes out sections with nothing in them, not even in their subsections.
-without_empty_sections = rewriter(_without_empty)
-
-# The named entities that stay, as they are markup or a space that is meant.
-KEPT_ENTITIES = {"lt", "gt", "amp", "quot", "nbsp"}
-
-
-def _decoded(text: str) -> str:
-    import html
-
-    def one(n: dict) -> str:
-        name, got = n["name"], html.unescape(n["raw"])
-        if name in KEPT_ENTITIES or len(got) != 1 or ord(got) < 128 or got.isspace() or not got.isprintable():
-            return n["raw"]
-        return got
-
-    return "".join(one(n) if n["kind"] == "entity" else n["raw"] for n in flat(text) if n["kind"] not in ("template", "argument", "wikilink", "heading"))
-
-
-#: Writes HTML entities as characters where that can't be read as markup or as a space.
-decoded_entities = rewriter(_decoded)
-
-
 def sorted_language_links(languages: tuple[str, ...]) -> Callable[[Column], Column]:
     """Puts a page's language links in order of code, each in a slot that one held before."""
 
@@ -622,19 +498,3 @@ def sorted_language_links(languages: tuple[str, ...]) -> Callable[[Column], Colu
         return "".join(out) + text[at:]
 
     return rewriter(change)
-
-
-def reformatted_isbns(text: str) -> str:
-    """Valid ten-digit ISBNs in prose as their thirteen digits."""
-
-    def one(m: re.Match) -> str:
-        d = re.sub(r"[-\s]", "", m[2]).upper()
-        if len(d) != 10 or sum((10 - i) * (10 if c == "X" else int(c)) for i, c in enumerate(d)) % 11:
-            return m[0]
-        stem = "978" + d[:9]
-        return f"{m[1]}{stem}{(10 - sum(int(c) * (1, 3)[i % 2] for i, c in enumerate(stem)) % 10) % 10}"
-
-    return in_prose(text, lambda s: re.sub(r"\b(ISBN:? )((?:\d[- ]?){9}[\dXx])\b", one, s))
-
-
-isbns_as_13 = rewriter(reformatted_isbns)

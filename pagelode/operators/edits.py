@@ -17,8 +17,9 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelode.functions.scalars import placed_matches, to_isbn13
 from pagelode.functions.titles import template_key
-from pagelode.functions.wikitext import CONTAINERS, templates
+from pagelode.functions.wikitext import CONTAINERS, FIXES, templates
 
 
 def of_nodes(nodes: DataFrame, where: Column, text: Column | str | None, id_col: str = "page_id") -> DataFrame:
@@ -215,6 +216,20 @@ def rewritten(nodes: DataFrame, change: Callable[[Column], Column], scope: Scope
     return text_in(nodes, scope, id_col).withColumn("new", change(F.col("text"))).where("new != text").select(id_col, "start", "end", F.col("new").alias("text"))
 
 
+def fixed(*names: str) -> Callable[[Column], Column]:
+    """The fixes of some names, one after the other, for rewritten()."""
+    for name in names:
+        if name not in FIXES:
+            raise ValueError(f"no fix is named {name!r}: choose from {sorted(FIXES)}")
+
+    def change(text: Column) -> Column:
+        for name in names:
+            text = F.regexp_replace(text, *FIXES[name])
+        return text
+
+    return change
+
+
 def unlink(nodes: DataFrame, target: str, fold_first: bool = True, id_col: str = "page_id") -> DataFrame:
     """Edits that take the link off a page's mentions: the label or target stays, with what is inside it."""
     norm = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.substring_index(t, "#", 1), r"^\s*:", ""), r"[\s_]+", " "))
@@ -223,3 +238,67 @@ def unlink(nodes: DataFrame, target: str, fold_first: bool = True, id_col: str =
     own = nodes.where((F.col("kind") == "wikilink") & (fold(F.col("name")) == fold(F.lit(target))))
     before = own.select(id_col, "start", kept.alias("end"), F.lit("").alias("text"))
     return before.unionByName(own.select(id_col, (F.col("end") - 2).alias("start"), "end", F.lit("").alias("text")))
+
+
+def replace_matches(nodes: DataFrame, pattern: str, change: Callable[[Column], Column], scope: Scope = PROSE, id_col: str = "page_id") -> DataFrame:
+    """Edits of the matches of a pattern in scope, each by what a function of the match gives; null leaves it."""
+    hit = F.explode(placed_matches(F.col("text"), pattern)).alias("m")
+    own = text_in(nodes, scope, id_col).select(id_col, "start", hit).select(id_col, (F.col("start") + F.col("m.start")).alias("start"), F.col("m.text").alias("hit"))
+    return own.withColumn("text", change(F.col("hit"))).where("text != hit").select(id_col, "start", (F.col("start") + F.char_length("hit")).alias("end"), "text")
+
+
+def isbns_as_13(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Edits that write valid ten-digit ISBNs in prose as their thirteen digits."""
+    head = lambda m: F.regexp_extract(m, r"^ISBN:? ", 0)
+    return replace_matches(nodes, r"\bISBN:? (?:\d[- ]?){9}[\dXx]\b", lambda m: F.concat(head(m), to_isbn13(F.regexp_replace(m, r"^ISBN:? ", ""))), id_col=id_col)
+
+
+def _sections(nodes: DataFrame, id_col: str) -> DataFrame:
+    """The sections of pages' top level: idx, level, title, start, body (where the heading ends), next (heading's start, or the page's end) and stop (where its subsections end too)."""
+    ends = nodes.groupBy(id_col).agg(F.max("end").alias("page_end"))
+    own = nodes.where("kind = 'heading' and depth = 0").select(id_col, "level", F.col("name").alias("title"), "start", F.col("end").alias("body")).join(ends, id_col)
+    run = Window.partitionBy(id_col).orderBy("start")
+    rest = run.rowsBetween(1, Window.unboundedFollowing)
+    stop = F.coalesce(*[F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("start"))).over(rest)) for k in range(1, 7)], "page_end")
+    return own.withColumns({"idx": F.row_number().over(run), "next": F.coalesce(F.lead("start").over(run), "page_end"), "stop": stop})
+
+
+def replace_section(nodes: DataFrame, title: str, content: Column | str, id_col: str = "page_id") -> DataFrame:
+    """Edits that give the first section of a title other content; its heading stays, its subsections go."""
+    new = F.lit(content) if isinstance(content, str) else content
+    first = _sections(nodes, id_col).where(F.col("title") == title).groupBy(id_col).agg(F.min(F.struct("start", "body", "stop")).alias("s"))
+    text = F.concat(F.lit("\n"), F.regexp_replace(new, r"^\n+|\n+$", ""), F.lit("\n"))
+    return first.select(id_col, F.col("s.body").alias("start"), F.col("s.stop").alias("end"), text.alias("text"))
+
+
+def drop_empty_sections(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Edits that take out sections with nothing in them, not even in their subsections. A comment is something."""
+    own = _sections(nodes, id_col)
+    inside = nodes.where((F.col("depth") == 0) & (F.col("kind") != "heading") & F.col("raw").rlike(r"\S")).select(id_col, F.col("end").alias("at"), F.lit(True).alias("full"))
+    # what stands before the next heading and ends after this one's belongs to this section
+    places = own.select(id_col, F.col("body").alias("at"), "start").unionByName(inside, allowMissingColumns=True)
+    order = Window.partitionBy(id_col).orderBy("at", F.col("start").isNull())
+    full = places.withColumn("start", F.last("start", ignorenulls=True).over(order)).where("full and start is not null").select(id_col, "start").distinct().withColumn("full", F.lit(True))
+    rest = Window.partitionBy(id_col).orderBy("start").rowsBetween(0, Window.unboundedFollowing)
+    marked = own.join(full, [id_col, "start"], "left").withColumn("filled", F.min(F.when(F.col("full"), F.col("start"))).over(rest))
+    gone = marked.where("filled is null or filled >= stop")
+    return gone.select(id_col, "start", F.col("next").alias("end"), F.lit("").alias("text"))
+
+
+def decode_entities(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Edits that write HTML entities as characters where that can't be read as markup or as a space: printable ones above ASCII.
+
+    Names are those of HTML 5 that stand for one character, a table of fixed size.
+    """
+    from html import unescape
+    from html.entities import html5
+
+    fits = lambda c: len(c) == 1 and ord(c) >= 128 and c.isprintable() and not c.isspace()
+    named = [(k[:-1], c) for k, c in html5.items() if k.endswith(";") and fits(c)]
+    named += [(f"#{n}", c) for n in range(128, 160) if fits(c := unescape(f"&#{n};"))]  # these mean other characters
+    table = F.broadcast(nodes.sparkSession.createDataFrame(named, "key string, named string"))
+    number = F.when(F.col("name").rlike("^#[xX]"), F.conv(F.substring("name", 3, 9), 16, 10)).when(F.col("name").startswith("#"), F.substring("name", 2, 9)).try_cast("long")
+    own = nodes.where("kind = 'entity'").select(id_col, "start", "end", "raw", number.alias("n"), F.when(number.isNotNull(), F.concat(F.lit("#"), number.cast("string"))).otherwise(F.col("name")).alias("key"))
+    code = F.when(F.col("n").between(160, 0x10FFFF) & ~F.col("n").between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex("n"), 8, "0")), "UTF-32"))
+    char = F.coalesce("named", F.when(code.rlike(r"^[\p{L}\p{M}\p{N}\p{P}\p{S}]$"), code))
+    return own.join(table, "key", "left").withColumn("text", char).where("text is not null").select(id_col, "start", "end", "text")

@@ -18,11 +18,15 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, also: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query by its name, and by another one that it had."""
+
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = with_views(sql)
+        for name in (f.__name__, also):
+            if name:
+                QUERIES[name] = f
+                if sql:
+                    SQL[name] = with_views(sql)
         return f
 
     return add
@@ -141,23 +145,13 @@ def source_specs(spark, sf):
 # --- listing queries --------------------------------------------------------------------------
 
 
-@query("select p.page_id, sortkey from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_4' and type = 'page' and sortkey >= 'Customer#000000010' order by sortkey, p.page_id limit 40")
+@query("select p.page_id, sortkey from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_4' and type = 'page' and sortkey >= 'Customer#000000010'", also="category_members_whole")
 def category_members(spark, sf):
-    return listing.category_members(Catalog(spark, sf), "NATION_4", "page", start_sort_key="Customer#000000010", limit=40).select("page_id", "sortkey")
-
-
-@query("select p.page_id, sortkey from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_4' and type = 'page' and sortkey >= 'Customer#000000010'")
-def category_members_whole(spark, sf):
     return listing.category_members(Catalog(spark, sf), "NATION_4", "page", start_sort_key="Customer#000000010").select("page_id", "sortkey")
 
 
-@query("select p.page_id, ts from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_5' and type = 'file' order by ts, p.page_id limit 10")
+@query("select p.page_id, ts from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_5' and type = 'file'", also="category_members_by_time_whole")
 def category_members_by_time(spark, sf):
-    return listing.category_members(Catalog(spark, sf), "NATION_5", "file", sort="timestamp", limit=10).select("page_id", "ts")
-
-
-@query("select p.page_id, ts from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_5' and type = 'file'")
-def category_members_by_time_whole(spark, sf):
     return listing.category_members(Catalog(spark, sf), "NATION_5", "file", sort="timestamp").select("page_id", "ts")
 
 
@@ -197,13 +191,8 @@ def external_links_on(spark, sf):
     return listing.outside_links_on(Catalog(spark, sf), 7, "externallinks")
 
 
-@query("select page_id, title from v_page where ns = 1 and title >= 'blue' and title <= 'red/widget 5' and not is_redirect order by title desc, page_id limit 30")
+@query("select page_id, title from v_page where ns = 1 and title >= 'blue' and title <= 'red/widget 5' and not is_redirect", also="all_pages_whole")
 def all_pages(spark, sf):
-    return listing.all_pages(Catalog(spark, sf), 1, start="red/widget 5", end="blue", descending=True, redirects="no", limit=30).select("page_id", "title")
-
-
-@query("select page_id, title from v_page where ns = 1 and title >= 'blue' and title <= 'red/widget 5' and not is_redirect")
-def all_pages_whole(spark, sf):
     return listing.all_pages(Catalog(spark, sf), 1, start="red/widget 5", end="blue", descending=True, redirects="no").select("page_id", "title")
 
 
@@ -222,13 +211,8 @@ def all_redirect_targets(spark, sf):
     return listing.all_targets(Catalog(spark, sf), "redirect", unique=False, start="green")
 
 
-@query("select distinct ns, title from v_templatelinks join v_page on page_id = dst_id order by title, ns limit 50")
+@query("select distinct ns, title from v_templatelinks join v_page on page_id = dst_id", also="all_transclusion_targets_whole")
 def all_transclusion_targets(spark, sf):
-    return listing.all_targets(Catalog(spark, sf), "templatelinks", limit=50)
-
-
-@query("select distinct ns, title from v_templatelinks join v_page on page_id = dst_id")
-def all_transclusion_targets_whole(spark, sf):
     return listing.all_targets(Catalog(spark, sf), "templatelinks")
 
 
@@ -420,27 +404,15 @@ def template_names(spark, sf):
     return listing.template_names(Catalog(spark, sf), 21)
 
 
-@query("select name, edits from v_user where name >= 'Customer#000000100' and grp in ('BUILDING', 'FURNITURE') and edits > 0 order by name limit 50")
+@query("select name, edits from v_user where name >= 'Customer#000000100' and grp in ('BUILDING', 'FURNITURE') and edits > 0", also="all_users_whole")
 def all_users(spark, sf):
-    c = Catalog(spark, sf)
-    users = c["user"].withColumn("groups", F.array("grp"))
-    return listing.all_users({"user": users}, "Customer#000000100", groups=["BUILDING", "FURNITURE"], with_edits_only=True, limit=50).select("name", "edits")
-
-
-@query("select name, edits from v_user where name >= 'Customer#000000100' and grp in ('BUILDING', 'FURNITURE') and edits > 0")
-def all_users_whole(spark, sf):
     c = Catalog(spark, sf)
     users = c["user"].withColumn("groups", F.array("grp"))
     return listing.all_users({"user": users}, "Customer#000000100", groups=["BUILDING", "FURNITURE"], with_edits_only=True).select("name", "edits")
 
 
-@query("select block_id from v_block where user in ('F', 'P') and auto and not temporary order by ts desc, block_id desc limit 100")
+@query("select block_id from v_block where user in ('F', 'P') and auto and not temporary", also="blocks_whole")
 def blocks(spark, sf):
-    return listing.blocks(Catalog(spark, sf), ["F", "P"], flags=listing.parse_flags("auto|!temporary"), limit=100).select("block_id")
-
-
-@query("select block_id from v_block where user in ('F', 'P') and auto and not temporary")
-def blocks_whole(spark, sf):
     return listing.blocks(Catalog(spark, sf), ["F", "P"], flags=listing.parse_flags("auto|!temporary")).select("block_id")
 
 
@@ -477,13 +449,8 @@ def history(spark, sf):
     return activity.history(Catalog(spark, sf)["revision"], 3, start=1, end=5, exclude_user="assistant", limit=10).select("rev_id", "size")
 
 
-@query("select rev_id, page_id from v_revision where \"user\" = 'user' order by ts, rev_id limit 100")
+@query("select rev_id, page_id from v_revision where \"user\" = 'user'", also="all_revisions_whole")
 def all_revisions(spark, sf):
-    return activity.history(Catalog(spark, sf)["revision"], order="oldest", user="user", limit=100).select("rev_id", "page_id")
-
-
-@query("select rev_id, page_id from v_revision where \"user\" = 'user'")
-def all_revisions_whole(spark, sf):
     return activity.history(Catalog(spark, sf)["revision"], order="oldest", user="user").select("rev_id", "page_id")
 
 
@@ -507,13 +474,8 @@ def compare_revisions(spark, sf):
     return activity.compare(Catalog(spark, sf)["revision"]).select("rev_id", "parent_id", "added", "removed")
 
 
-@query("select rc_id, page_id from (select *, row_number() over (partition by page_id order by ts desc, rc_id desc) as rn from v_recentchanges where type in ('click', 'view') and ns in (0, 2) and not bot) where rn = 1 order by ts desc, rc_id desc limit 100")
+@query("select rc_id, page_id from (select *, row_number() over (partition by page_id order by ts desc, rc_id desc) as rn from v_recentchanges where type in ('click', 'view') and ns in (0, 2) and not bot) where rn = 1", also="recent_changes_whole")
 def recent_changes(spark, sf):
-    return activity.recent_changes(Catalog(spark, sf)["recentchanges"], [0, 2], ["click", "view"], flags={"bot": False, "minor": None}, top_only=True, limit=100).select("rc_id", "page_id")
-
-
-@query("select rc_id, page_id from (select *, row_number() over (partition by page_id order by ts desc, rc_id desc) as rn from v_recentchanges where type in ('click', 'view') and ns in (0, 2) and not bot) where rn = 1")
-def recent_changes_whole(spark, sf):
     return activity.recent_changes(Catalog(spark, sf)["recentchanges"], [0, 2], ["click", "view"], flags={"bot": False, "minor": None}, top_only=True).select("rc_id", "page_id")
 
 
@@ -528,14 +490,8 @@ def contributions(spark, sf):
     return activity.contributions(Catalog(spark, sf)["revision"], "assistant").select("rev_id", "is_top")
 
 
-@query("select log_id, ts from v_log where type = 'signup' and action = 'big' and ts >= '2024-01-05' and ts <= '2024-01-20' order by ts desc, log_id desc limit 50")
+@query("select log_id, ts from v_log where type = 'signup' and action = 'big' and ts >= '2024-01-05' and ts <= '2024-01-20'", also="log_events_whole")
 def log_events(spark, sf):
-    rows = Catalog(spark, sf)["log"]
-    return activity.log_events(rows, "signup", "big", start="2024-01-05", end="2024-01-20", limit=50).select("log_id", "ts")
-
-
-@query("select log_id, ts from v_log where type = 'signup' and action = 'big' and ts >= '2024-01-05' and ts <= '2024-01-20'")
-def log_events_whole(spark, sf):
     rows = Catalog(spark, sf)["log"]
     return activity.log_events(rows, "signup", "big", start="2024-01-05", end="2024-01-20").select("log_id", "ts")
 
@@ -864,15 +820,8 @@ def visible_text(spark, sf):
 
 
 @query("""select l_orderkey as page_id, l_linenumber as line, l_quantity as quantity, min(l_returnflag) over (partition by l_orderkey) as flag from
-    (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as rn from lineitem where l_orderkey % 10 = 0) where rn = 1""")
+    (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as rn from lineitem) where rn = 1""", also="table_cells_whole")
 def table_cells(spark, sf):
-    """A table for each tenth order, with one flag that spans all its rows; the whole is in table_cells_whole."""
-    return _table_cells(table(spark, sf, "lineitem").where("l_orderkey % 10 = 0"))
-
-
-@query("""select l_orderkey as page_id, l_linenumber as line, l_quantity as quantity, min(l_returnflag) over (partition by l_orderkey) as flag from
-    (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as rn from lineitem) where rn = 1""")
-def table_cells_whole(spark, sf):
     """A table for each order, over all of lineitem."""
     return _table_cells(table(spark, sf, "lineitem"))
 
@@ -888,12 +837,11 @@ def _table_cells(items: DataFrame) -> DataFrame:
     return out.select("page_id", F.col("0").cast("int").alias("line"), F.col("1").cast("double").alias("quantity"), F.col("2").alias("flag"))
 
 
-@query("select p_partkey as page_id, p_name || ' 1990–1995… ok {{x|1990-1995...}} ' || p_brand as text from part")
+@query("""select p_partkey as page_id, p_name || ' 1990–1995… ok {{x|1990-1995...}} ' || case p_size % 3 when 0 then p_brand || '… a' when 1 then '[[' || p_brand || '...|b c]]' else '<nowiki>a   b...</nowiki>' end as text from part""")
 def fixes(spark, sf):
-    text = F.concat("p_name", F.lit("   1990-1995... ok {{x|1990-1995...}} "), "p_brand")
-    for name in ("extra-spaces", "date-ranges", "ellipsis"):
-        text = wikitext.fix(name)(text)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), text.alias("text"))
+    """Fixes of prose by name; templates, link targets and raw tags stay."""
+    pages, nodes = _varied(spark, sf, F.col("p_name"), "   1990-1995... ok {{x|1990-1995...}} ", _turn(F.concat("p_brand", F.lit("...   a")), F.concat(F.lit("[["), "p_brand", F.lit("...|b   c]]")), "<nowiki>a   b...</nowiki>"))
+    return edits.applied(pages, nodes, edits.rewritten(nodes, edits.fixed("extra-spaces", "date-ranges", "ellipsis")))
 
 
 @query("select p_partkey as page_id, p_name || chr(10) || chr(10) || chr(10) || '[[' || p_brand || ']] <pre>a  ' || chr(10) || chr(10) || chr(10) || chr(10) || '</pre>' as text from part")
@@ -902,29 +850,19 @@ def cosmetic_changes(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), wikitext.cosmetic(text).alias("text"))
 
 
-@query("select p_partkey as page_id, 'see ' || p_type || ' and ' || p_name || ' or [[' || p_brand || ']]' as text from part where p_name = 'red widget'")
+@query("select p_partkey as page_id, 'see ' || p_type || ' and ' || case when p_name = 'red widget' then p_name else '[[' || p_name || ']]' end || ' or [[' || p_brand || ']]' as text from part", also="unlinks_whole")
 def unlinks(spark, sf):
-    """Only the parts whose two links both go; the whole is in unlinks_whole."""
-    return _unlinks(table(spark, sf, "part").where("p_name = 'red widget'"))
-
-
-@query("select p_partkey as page_id, 'see ' || p_type || ' and ' || case when p_name = 'red widget' then p_name else '[[' || p_name || ']]' end || ' or [[' || p_brand || ']]' as text from part")
-def unlinks_whole(spark, sf):
-    """All parts; the second link stays where it goes elsewhere."""
-    return _unlinks(table(spark, sf, "part"))
-
-
-def _unlinks(p: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("see [[Red_widget#x|"), "p_type", F.lit("]] and [["), "p_name", F.lit("]] or [["), "p_brand", F.lit("]]"))
-    return p.select(F.col("p_partkey").alias("page_id"), wikitext.unlink("red widget")(text).alias("text"))
+    """Links to a page taken off, by label or target; links elsewhere stay."""
+    pages, nodes = _varied(spark, sf, "see [[Red_widget#x|", F.col("p_type"), "]] and [[", F.col("p_name"), "]] or [[", F.col("p_brand"), "]]")
+    return edits.applied(pages, nodes, edits.unlink(nodes, "red widget"))
 
 
 @query("select p_partkey as page_id, '{{box|a|size= 9 |x=1}} {{Box|size=9}} [[Category:' || p_type || ']]' as text from part")
 def set_parameters(spark, sf):
-    text = F.concat(F.lit("{{box|a|size= 3 |x=1}} {{Box}} [[category:old]]"))
-    text = wikitext.with_parameter("Box", "size", "9")(text)
-    text = F.replace(wikitext.change_category(text, "old", "NEW"), F.lit("category:NEW"), F.concat(F.lit("Category:"), F.col("p_type")))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), text.alias("text"))
+    pages, nodes = _varied(spark, sf, "{{box|a|size= 3 |x=1}} {{Box}} [[category:old]]")
+    own = edits.applied(pages, nodes, edits.set_parameter(nodes, ["Box"], "size", "9"))
+    own = own.join(table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), "p_type"), "page_id")
+    return own.select("page_id", F.replace(wikitext.change_category(F.col("text"), "old", "NEW"), F.lit("category:NEW"), F.concat(F.lit("Category:"), F.col("p_type"))).alias("text"))
 
 
 def _varied(spark, sf, *text) -> tuple[DataFrame, DataFrame]:
@@ -1163,21 +1101,36 @@ def orders_by_nation(spark, sf):
 
 @query("select p_partkey as page_id, case when p_size % 2 = 0 then '== A ==' || chr(10) || '=== B ===' || chr(10) || p_name else '== C ==' || chr(10) || p_type end as text from part")
 def empty_sections(spark, sf):
-    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("== A ==\n=== B ===\n"), "p_name")).otherwise(F.concat(F.lit("== A ==\n\n=== B ===\n\n== C ==\n"), "p_type"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), wikitext.without_empty_sections(text).alias("text"))
+    pages, nodes = _varied(spark, sf, _turn(F.concat(F.lit("== A ==\n=== B ===\n"), "p_name"), F.concat(F.lit("== A ==\n\n=== B ===\n\n== C ==\n"), "p_type")))
+    return edits.applied(pages, nodes, edits.drop_empty_sections(nodes))
 
 
 @query("select p_partkey as page_id, 'é &lt; &#124; &nbsp; – ' || p_name as text from part")
 def html_entities(spark, sf):
-    text = F.concat(F.lit("&eacute; &lt; &#124; &nbsp; &#8211; "), "p_name")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), wikitext.decoded_entities(text).alias("text"))
+    pages, nodes = _varied(spark, sf, "&eacute; &lt; &#124; &nbsp; &#8211; ", F.col("p_name"))
+    return edits.applied(pages, nodes, edits.decode_entities(nodes))
 
 
 @query("select p_partkey as page_id, '{{box|a|x=1}} == no' || chr(10) || '== H ==' || chr(10) || p_name || chr(10) || '== I ==' || chr(10) || 'z' as text from part")
 def section_replacements(spark, sf):
-    text = F.concat(F.lit("{{box|a|size=3|x=1}} == no\n== H ==\nold\n=== deep ===\nold\n== I ==\nz"))
-    text = F.replace(wikitext.replace_section("H", "NEW")(wikitext.without_parameter("Box", "size")(text)), F.lit("NEW"), F.col("p_name"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), text.alias("text"))
+    pages, nodes = _varied(spark, sf, "{{box|a|size=3|x=1}} == no\n== H ==\nold\n=== deep ===\nold\n== I ==\nz")
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), "p_name")
+    new = edits.replace_section(nodes, "H", "NEW").drop("text").join(names, "page_id").withColumn("text", F.concat(F.lit("\n"), "p_name", F.lit("\n"))).drop("p_name")
+    return edits.applied(pages, nodes, new.unionByName(edits.drop_parameter(nodes, ["Box"], "size")))
+
+
+@query("""with t as (select *, lpad(cast(p_partkey as string), 9, '0') as s from part), w as (select *, list_sum(list_transform(range(1, 10), lambda i: (11 - i) * cast(s[i] as int))) as r, list_sum(list_transform(range(1, 10), lambda i: cast(s[i] as int) * case i % 2 when 1 then 3 else 1 end)) + 9 + 3 * 7 + 8 as q from t),
+    c as (select *, case (11 - r % 11) % 11 when 10 then 'X' else cast((11 - r % 11) % 11 as string) end as d from w)
+    select p_partkey as page_id, p_name || ' ISBN ' || case when p_size % 2 = 0 then '978' || s || cast((10 - q % 10) % 10 as string) else s || case d when '1' then '2' else '1' end end || ', {{x|ISBN ' || s || d || '}}' as text from c""")
+def isbn_rewrites(spark, sf):
+    """Valid ISBNs of ten digits in prose, written with thirteen; wrong ones and those in templates stay."""
+    s = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    r = sum(((11 - i) * F.substring(s, i, 1).cast("int") for i in range(1, 10)), F.lit(0))
+    check = (11 - r % 11) % 11
+    d = F.when(check == 10, "X").otherwise(check.cast("string"))
+    wrong = F.when(d == "1", "2").otherwise("1")
+    pages, nodes = _varied(spark, sf, F.col("p_name"), " ISBN ", s, F.when(F.col("p_size") % 2 == 0, d).otherwise(wrong), ", {{x|ISBN ", s, d, "}}")
+    return edits.applied(pages, nodes, edits.isbns_as_13(nodes))
 
 
 @query("select n_nationkey, 'de' as language from nation where n_regionkey = 2 and n_nationkey % 3 <> 0")
