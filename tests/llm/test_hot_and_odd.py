@@ -50,6 +50,7 @@ def test_paths_save_rows(spark, monkeypatch):
         return occurrences.where("doc_id = source and start = at").select("source", "at", F.col("n").cast("int").alias("n"))
 
     monkeypatch.setattr(substrings, "compacted", each_edge)
-    loose = scratch.save(substrings.found_spans(hits, rows, 13, scratch), "loose")
+    other = Scratch(spark, "loose")
+    loose = other.save(substrings.found_spans(hits, rows, 13, other), "loose")
     assert loose.count() > 5 * spans.count()
     assert {r.doc_id: r.n_removed for r in substrings.dedup(rows)[0].collect()} == removed
