@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -222,32 +223,60 @@ def params_map(params: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], F.trim(p["value"]))))
 
 
-#: Core parser functions (any name with a leading # is one too) and variables; a wiki's own are given as parameters.
-FUNCTIONS = ("anchorencode", "canonicalurl", "filepath", "formatnum", "fullurl", "gender", "grammar", "int", "lc", "lcfirst", "localurl", "ns", "nse", "padleft", "padright", "plural", "uc", "ucfirst", "urlencode")
-VARIABLES = ("BASEPAGENAME", "CURRENTDAY", "CURRENTMONTH", "CURRENTTIME", "CURRENTTIMESTAMP", "CURRENTYEAR", "FULLPAGENAME", "NAMESPACE", "NAMESPACENUMBER", "PAGENAME", "REVISIONID", "REVISIONUSER", "ROOTPAGENAME", "SITENAME", "SUBPAGENAME", "TALKPAGENAME")
-_SUBST = r"^(?i)(?:(?:safe)?subst|msg|msgnw|raw)\s*:\s*"
+# The core's names of parser functions and variables, by whether their case counts.
+_PAGES = "ARTICLEPAGENAME ARTICLESPACE BASEPAGENAME FULLPAGENAME NAMESPACE PAGENAME ROOTPAGENAME SUBJECTPAGENAME SUBJECTSPACE SUBPAGENAME TALKPAGENAME TALKSPACE".split()
+_BOTH = "#bcp47 #contentmodel #dir #isbn CASCADINGSOURCES NAMESPACENUMBER NUMBEROFACTIVEUSERS NUMBEROFADMINS NUMBEROFARTICLES NUMBEROFEDITS NUMBEROFFILES NUMBEROFPAGES NUMBEROFUSERS REVISIONDAY REVISIONDAY2 REVISIONID REVISIONMONTH REVISIONMONTH1 REVISIONTIMESTAMP REVISIONUSER REVISIONYEAR".split()
+_FUNCTIONS = "#FORMAL #interlanguagelink #interwikilink CATEGORYSORT DEFAULTCATEGORYSORT DEFAULTSORT DEFAULTSORTKEY DISPLAYTITLE NUMBERINGROUP NUMINGROUP PAGESINCAT PAGESINCATEGORY PAGESIZE PROTECTIONEXPIRY PROTECTIONLEVEL".split()
+_FUNCTIONS_ANY_CASE = "#language anchorencode bidi canonicalurl canonicalurle filepath formatnum fullurl fullurle gender grammar int lc lcfirst localurl localurle ns nse padleft padright pageid plural uc ucfirst urlencode".split()
+_VARIABLES = "! = CONTENTLANG CONTENTLANGUAGE CURRENTVERSION DIRECTIONMARK DIRMARK PAGELANGUAGE REVISIONSIZE SITENAME USERLANGUAGE".split()
+_TIMES = "DAY DAY2 DAYNAME DOW HOUR MONTH MONTH1 MONTH2 MONTHABBREV MONTHNAME MONTHNAMEGEN TIME TIMESTAMP WEEK YEAR".split()
+_VARIABLES_ANY_CASE = "#language articlepath pageid scriptpath server servername stylepath".split()
+#: Page names come with an E behind too, times with CURRENT and LOCAL before.
+_SHARED = [*_BOTH, *_PAGES, *(f"{n}E" for n in _PAGES)]
 
 
-def _called(functions: Iterable[str], variables: Iterable[str]) -> tuple[Column, Column]:
-    """The name of the parser function or variable that a template node calls, null for a template, and what follows its colon."""
-    title = F.trim(F.regexp_replace(F.trim("name"), _SUBST, ""))
-    head, colon = F.trim(F.substring_index(title, ":", 1)), F.instr(title, ":")
-    named = head.startswith("#") | F.lower(head).isin(list(functions)) | head.isin(list(variables))
-    bare = title.isin(list(variables)) & (F.coalesce(F.size("params"), F.lit(0)) <= 0)
-    name = F.when(F.when(colon > 0, named).otherwise(bare), head)
-    return name, F.when(name.isNotNull() & (colon > 0), F.trim(F.substr(title, colon + F.lit(1))))
+@dataclass(frozen=True)
+class MagicWords:
+    """Names of parser functions and variables; a wiki's own are given in place of the core's. Any name with a leading # is a function too."""
 
+    functions: tuple[str, ...] = (*_SHARED, *_FUNCTIONS)
+    functions_any_case: tuple[str, ...] = tuple(_FUNCTIONS_ANY_CASE)
+    variables: tuple[str, ...] = (*_SHARED, *_VARIABLES, *(f"{when}{n}" for when in ("CURRENT", "LOCAL") for n in _TIMES))
+    variables_any_case: tuple[str, ...] = tuple(_VARIABLES_ANY_CASE)
 
-def parser_functions(table: DataFrame, functions: Iterable[str] = FUNCTIONS, variables: Iterable[str] = VARIABLES) -> DataFrame:
+
+CORE = MagicWords()
+
+
+def _named(name: Column, exact: tuple[str, ...], any_case: tuple[str, ...]) -> Column:
+    return name.isin(*exact) | F.lower(name).isin(*any_case)
+
+
+def _called(words: MagicWords) -> tuple[Column, Column]:
+    """The name of the parser function or variable that a template node calls, null for a template, and what follows its colon.
+
+    One substitution prefix goes, then two modifiers at most; their colons follow them directly. A
+    variable is one without parameters only. A colon may be full-width.
+    """
+    title = F.trim(F.regexp_replace(F.trim("name"), r"^(?i)(?:safe)?subst:", ""))
+    variable = (F.coalesce(F.size("params"), F.lit(0)) <= 0) & _named(title, words.variables, words.variables_any_case)
+    bare = F.regexp_replace(title, r"^(?i)(?:(?:msg|msgnw|raw):){1,2}", "")
+    head, colon = F.regexp_extract(bare, r"^([^:\uFF1A]+)[:\uFF1A]", 1), F.regexp_instr(bare, F.lit(r"[:\uFF1A]"))
+    function = bare.startswith("#") | _named(head, words.functions, words.functions_any_case)
+    name = F.when(function | variable, F.trim(F.when(colon > 0, F.substr(bare, F.lit(1), colon - 1)).otherwise(bare)))
+    return name, F.when(name.isNotNull() & (colon > 0), F.trim(F.substr(bare, colon + F.lit(1), F.char_length(bare))))
+
+
+def parser_functions(table: DataFrame, words: MagicWords = CORE) -> DataFrame:
     """Template nodes that call a parser function or a variable, with function and argument (null without a colon).
 
     A variable's name with parameters and no colon is a template. Null names call nothing.
     """
-    name, argument = _called(functions, variables)
+    name, argument = _called(words)
     return table.where("kind = 'template'").withColumns({"function": name, "argument": argument}).where("function is not null")
 
 
-def templates(table: DataFrame, name: str | Iterable[str] | None = None) -> DataFrame:
+def templates(table: DataFrame, name: str | Iterable[str] | None = None, words: MagicWords = CORE) -> DataFrame:
     """Templates with their key and parameters; one name or several are compared by key, and calls of parser functions are then left out."""
     from pagelode.functions.titles import template_key
 
@@ -255,7 +284,7 @@ def templates(table: DataFrame, name: str | Iterable[str] | None = None) -> Data
     if name is None:
         return own
     names = [name] if isinstance(name, str) else list(name)
-    return own.where(F.col("key").isin([template_key(F.lit(n)) for n in names]) & _called(FUNCTIONS, VARIABLES)[0].isNull()) if names else own.limit(0)
+    return own.where(F.col("key").isin([template_key(F.lit(n)) for n in names]) & _called(words)[0].isNull()) if names else own.limit(0)
 
 
 def wikilinks(table: DataFrame) -> DataFrame:

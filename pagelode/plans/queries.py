@@ -792,6 +792,15 @@ def parser_functions(spark, sf):
     return wikitext.parser_functions(wikitext.node_table(pages, "page_id")).select("page_id", "function", "argument")
 
 
+@query("""select p_partkey as page_id, case p_size % 6 when 0 then 'DEFAULTSORT' when 1 then 'NUMBEROFARTICLES' when 2 then 'ServerName' when 3 then 'LOCALMONTHNAME' when 4 then 'FullURL' else 'TALKPAGENAMEE' end as function,
+    case p_size % 6 when 0 then p_name when 4 then p_brand when 5 then p_type end as argument from part""")
+def magic_words(spark, sf):
+    """Names whose case counts and names whose case doesn't; lower-case names of the first kind are templates."""
+    call = _turn(F.concat(F.lit("{{DEFAULTSORT:"), "p_name", F.lit("}}{{defaultsort:x}}")), "{{NUMBEROFARTICLES}}{{numberofarticles}}", "{{ServerName}}{{SITEname}}", "{{ SafeSubst: LOCALMONTHNAME }}{{LOCALMONTHNAME|1}}", F.concat(F.lit("{{raw:MSG:FullURL："), "p_brand", F.lit("|x}}")), F.concat(F.lit("{{TALKPAGENAMEE: "), "p_type", F.lit(" }}{{raw: lc}}")))
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), call.alias("text"))
+    return wikitext.parser_functions(wikitext.node_table(pages, "page_id")).select("page_id", "function", "argument")
+
+
 @query("select p_partkey as page_id, p_name as target, 'top' as fragment, p_type as label from part union all select p_partkey, ':Category:' || p_type, null, null from part")
 def wikilinks(spark, sf):
     return wikitext.wikilinks(wikitext.node_table(_parts(spark, sf), "page_id")).select("page_id", "target", "fragment", "label")
