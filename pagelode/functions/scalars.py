@@ -147,38 +147,6 @@ def quality_level(level: Column) -> Column:
     return F.get(F.array(*map(F.lit, names)), level.cast("int"))
 
 
-# Plural rules of languages by class, as CLDR states them for whole numbers.
-PLURALS = {
-    "one_other": ("en de es it nl sv da", lambda n: F.when(n == 1, 0).otherwise(1)),
-    "zero_one": ("fr pt", lambda n: F.when(n <= 1, 0).otherwise(1)),
-    "none": ("ja zh ko vi th id", lambda n: F.lit(0)),
-    "east_slavic": ("ru uk be", lambda n: F.when((n % 10 == 1) & (n % 100 != 11), 0).when((n % 10).between(2, 4) & ~(n % 100).between(12, 14), 1).otherwise(2)),
-    "polish": ("pl", lambda n: F.when(n == 1, 0).when((n % 10).between(2, 4) & ~(n % 100).between(12, 14), 1).otherwise(2)),
-    "czech": ("cs sk", lambda n: F.when(n == 1, 0).when(n.between(2, 4), 1).otherwise(2)),
-    "arabic": ("ar", lambda n: F.when(n == 0, 0).when(n == 1, 1).when(n == 2, 2).when((n % 100).between(3, 10), 3).when((n % 100).between(11, 99), 4).otherwise(5)),
-}
-
-
-def plural_index(count: Column, language: Column) -> Column:
-    """Which plural form a count takes; languages without a rule here take the English one."""
-    n = F.abs(count)
-    out = None
-    for langs, rule in PLURALS.values():
-        hit = language.isin(langs.split())
-        out = F.when(hit, rule(n)) if out is None else out.when(hit, rule(n))
-    return out.otherwise(PLURALS["one_other"][1](n)).cast("int")
-
-
-def message(templates: Column, language: Column, fallback: list[str], count: Column) -> Column:
-    """A message of map<language, text> by a chain of languages, with {{PLURAL:$1|a|b...}} and $1 filled in."""
-    own = F.coalesce(*[F.try_element_at(templates, x) for x in (language, *map(F.lit, fallback))])
-    forms = F.split(F.regexp_extract(own, r"\{\{PLURAL:\$1\|([^}]*)\}\}", 1), r"\|")
-    form = F.get(forms, F.least(plural_index(count, language), F.size(forms) - 1))
-    filled = F.replace(own, F.regexp_extract(own, r"(\{\{PLURAL:\$1\|[^}]*\}\})", 1), form)
-    chosen = F.when(own.rlike(r"\{\{PLURAL:\$1\|"), filled).otherwise(own)
-    return F.replace(chosen, F.lit("$1"), count.cast("string"))
-
-
 def placed_matches(text: Column, pattern: str) -> Column:
     """array<struct<start, text>> of a pattern's matches in order; start counts code points. Null for null."""
     # a match begins after all that stands between matches before it, and those matches

@@ -597,11 +597,31 @@ def refs(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), scalars.ref_of(full, F.col("p_size") % 2).alias("title"), scalars.subject_ns(ns).alias("subject"), scalars.talk_ns(ns).alias("talk"))
 
 
-@query("select p_partkey as page_id, cast(case when p_size % 10 = 1 and p_size % 100 <> 11 then 0 when p_size % 10 between 2 and 4 and not p_size % 100 between 12 and 14 then 1 else 2 end as int) as ru, cast(case when p_size <= 1 then 0 else 1 end as int) as fr, cast(p_size as string) || case when p_size = 1 then ' page' else ' pages' end as text from part")
+@query("""select p_partkey as page_id, cast(case when p_size % 10 = 1 and p_size % 100 <> 11 then 0 when p_size % 10 between 2 and 4 and not p_size % 100 between 12 and 14 then 1 else 2 end as int) as ru, cast(case when p_size <= 1 then 0 else 2 end as int) as fr,
+    cast(case when p_size = 1 then 0 when p_size between 2 and 4 then 1 else 3 end as int) as cs, cast(case when p_size = 0 then 0 when p_size = 1 then 1 when p_size = 2 then 2 when p_size % 100 between 3 and 10 then 3 when p_size % 100 between 11 and 99 then 4 else 5 end as int) as ar,
+    cast(case when p_size % 10 = 1 and p_size % 100 <> 11 then 0 when p_size % 10 between 2 and 9 and not p_size % 100 between 11 and 19 then 1 else 3 end as int) as lt, cast(0 as int) as ja, cast(null as int) as qqx from part""")
 def plurals(spark, sf):
-    n = F.col("p_size")
-    text = scalars.message(F.create_map(F.lit("en"), F.lit("$1 {{PLURAL:$1|page|pages}}")), F.lit("de"), ["en"], n)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), scalars.plural_index(n, F.lit("ru")).alias("ru"), scalars.plural_index(n, F.lit("fr")).alias("fr"), text.alias("text"))
+    from pagelode.functions import plurals
+
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), *[plurals.index(F.col("p_size"), x).alias(x) for x in ("ru", "fr", "cs", "ar", "lt", "ja", "qqx")])
+
+
+@query("""select p_partkey as page_id, case p_partkey % 4 when 0 then 'de' when 1 then 'no' when 2 then 'en' end as tried, case p_partkey % 4
+    when 0 then cast(p_size as string) || case when p_size = 1 then ' Seite' else ' Seiten' end || ' von ' || p_brand when 1 then p_brand || ' har ' || cast(p_size as string) || case when p_size = 1 then ' side' else ' sider' end
+    when 2 then p_brand || ': ' || case when p_size = 1 then '[[page|a page]]' else cast(p_size as string) || ' {{pages|x}}' end || ' and ' || case when p_size = 1 then 'it' else 'they' end end as text from part""")
+def messages(spark, sf):
+    """A message in a language that has it, one of its fallbacks, or English, with several plurals and arguments."""
+    from pagelode.operators import messages
+
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey") % 4
+    bundles = p.select(F.explode(F.array(*[F.struct(F.lit(a).alias("language"), F.lit(b).alias("key"), F.lit(c).alias("text")) for a, b, c in (
+        ("de", "found", "$1 {{PLURAL:$1|Seite|Seiten}} von $2"), ("no", "found", "$2 har $1 {{plural: $1 |side|sider}}"), ("en", "found", "$2: {{PLURAL:$1|[[page|a page]]|$1 {{pages|x}}}} and {{PLURAL:$1|it|they}}"), ("en", "other", "x"),
+    )])).alias("b")).select("b.*").distinct()
+    edges = p.select(F.explode(F.array(*[F.struct(F.lit(a).alias("language"), F.lit(b).alias("fallback"), F.lit(c).alias("rank")) for a, b, c in (("nn", "nb", 0), ("nn", "no", 1), ("nb", "no", 0))])).alias("e")).select("e.*").distinct()
+    asked = p.select(F.col("p_partkey").alias("page_id"), F.when(k == 3, "none").otherwise("found").alias("key"), F.when(k == 0, "de").when(k == 1, "nn").otherwise("ru").alias("language"), F.array(F.col("p_size").cast("string"), F.col("p_brand")).alias("arguments"))
+    found = messages.texts(asked, bundles, edges)
+    return found.select("page_id", "tried", messages.expanded(F.col("template"), F.col("tried"), F.col("arguments")).alias("text"))
 
 
 @query("select event_id, date_trunc('minute', ts) as ts, case event_id % 4 when 0 then 'en' when 1 then 'fr' when 2 then 'de' else 'es' end as language from events")
