@@ -53,11 +53,12 @@ def dry_run(
     transform is a column with the new text (null: no edit), or a function from batches of (ns, title,
     text) to a frame with columns new_text and skip_reason. Outcomes: missing, skipped, unchanged,
     pending; a failing function fails the job. pins: (revision_id) of revisions that were seen and
-    left as they are. Pages that are finished take no part. create_missing gives absent pages a text.
+    left as they are. Pages that are finished take no part; a limit takes the first ones by key.
+    create_missing gives absent pages a text.
     """
     names = key(source)
     rows = source.join(finished.select(*names), names, "left_anti") if finished is not None else source
-    rows = rows.limit(limit) if limit is not None else rows
+    rows = rows.orderBy(*names).limit(limit) if limit is not None else rows
     have = contents.select(*names, "text", *[c for c in ("revision_id", "page_id") if c in contents.columns and c not in rows.columns], F.lit(True).alias("_there"))
     rows = rows.join(have, names, "left")
     rows = rows.join(denied.select("page_id", "denied"), "page_id", "left") if denied is not None else rows.withColumn("denied", F.lit(None).cast("string"))

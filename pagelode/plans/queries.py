@@ -32,6 +32,11 @@ def query(sql: str | None = None, also: str | None = None) -> Callable[[Query],
     return add
 
 
+def _holds(column: str, *words: str) -> str:
+    """SQL for a text that has all words, in any script."""
+    return " and ".join(f"list_contains(regexp_split_to_array(lower({column}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), '{w}')" for w in words)
+
+
 PAGE = ("page_id", "ns", "title")
 
 # --- flagship ---------------------------------------------------------------------------------
@@ -142,6 +147,16 @@ def source_specs(spark, sf):
     return parse_all(spark, Catalog(spark, sf), ["cat:NATION_3", "prefix:small"]).select("ns", "title")
 
 
+@query(f"""select distinct ns, title from (select p.ns, p.title from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_3' and type = 'subcat'
+    union all select p.ns, p.title from v_categorylinks c join v_page p on p.page_id = c.page_id where category = 'NATION_4' and type = 'file' union all select ns, title from v_page where page_id in (select page_id from v_revision where "user" = 'user')
+    union all select ns, title from v_page where not is_redirect and page_id not in (select page_id from v_categorylinks) union all select ns, title from v_content where {_holds('text', 'red', 'economy')})""")
+def source_spec_kinds(spark, sf):
+    """Page sets of five more kinds of specs, each page once."""
+    from pagelode.sources.specs import parse_all
+
+    return parse_all(spark, Catalog(spark, sf), ["subcats:NATION_3", "catfiles:NATION_4", "usercontribs:user", "special:Uncategorizedpages", "search:red economy"]).select("ns", "title")
+
+
 # --- listing queries --------------------------------------------------------------------------
 
 
@@ -232,11 +247,6 @@ def _index(spark, sf, view: str) -> search.Index:
     return _INDEXES[key]
 
 
-def _holds(column: str, *words: str) -> str:
-    """SQL for a text that has all words, in any script."""
-    return " and ".join(f"list_contains(regexp_split_to_array(lower({column}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), '{w}')" for w in words)
-
-
 @query(f"select page_id from v_content where {_holds('text', 'red', 'economy')}")
 def search_text(spark, sf):
     return search.search(_index(spark, sf, "content"), Catalog(spark, sf)["content"], "Red economy", sort="none").select("page_id")

@@ -7,27 +7,36 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelode.functions import titles
 from pagelode.operators import activity, listing, pageset
 from pagelode.sources.results import title_file
 
 RECENT = 100
 
 
-def _id(cat: listing.Catalog, title: str) -> int:
-    row = cat["page"].where(F.col("title") == title).orderBy("page_id").limit(1).collect()
+def _page(cat: listing.Catalog, title: str, default_ns: int = 0) -> DataFrame:
+    """The page that a title names: its prefix gives the namespace, and its first letter may be either case."""
+    t = titles.parse_one(title, {k.lower(): v for k, v in titles.NAMESPACES.items()}, frozenset(), frozenset(), False, default_ns)
+    if t["kind"] != "local":
+        raise ValueError(f"{title!r} is no title of a page here: {t['reason'] or t['kind']}")
+    return cat["page"].where((F.col("ns") == t["ns"]) & F.col("title").isin(t["text"], t["text"][:1].upper() + t["text"][1:]))
+
+
+def _id(cat: listing.Catalog, title: str, default_ns: int = 0) -> int:
+    row = _page(cat, title, default_ns).orderBy("page_id").limit(1).collect()
     if not row:
         raise ValueError(f"no page titled {title!r}")
     return row[0]["page_id"]
 
 
 KINDS: dict[str, Callable[[SparkSession, listing.Catalog, str], DataFrame]] = {
-    "page": lambda s, c, a: c["page"].where(F.col("title") == a),
+    "page": lambda s, c, a: _page(c, a),
     "cat": lambda s, c, a: listing.category_members(c, a, "page"),
     "subcats": lambda s, c, a: listing.category_members(c, a, "subcat"),
     "catfiles": lambda s, c, a: listing.category_members(c, a, "file"),
     "links": lambda s, c, a: listing.links_from(c, _id(c, a)),
     "backlinks": lambda s, c, a: listing.backlinks(c, _id(c, a)),
-    "transcludes": lambda s, c, a: listing.transclusions(c, _id(c, a)),
+    "transcludes": lambda s, c, a: listing.transclusions(c, _id(c, a, 10)),
     "search": lambda s, c, a: listing.search(c, a),
     "prefix": lambda s, c, a: listing.all_pages(c, prefix=a),
     "allpages": lambda s, c, a: listing.all_pages(c, start=a or None),
