@@ -114,10 +114,9 @@ def fit_order(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text",
     """
     total = docs.count()
     share = min(1.0, SAMPLE_ROWS / total) if total else 1.0
-    rows = measures(docs.select(text_col).sample(share, seed=1), text_col)
-    if rejected is not None:
-        rows = rows.where(~F.coalesce(rejected, F.lit(False)))
-    sample = Scratch(docs.sparkSession, "quality").save(rows, "sample")
+    sample = Scratch(docs.sparkSession, "quality").save(measures(docs.select(text_col).sample(share, seed=1), text_col), "sample")
+    if rejected is not None:  # on the written table: a filter above measures() would evaluate them over and over
+        sample = sample.where(~F.coalesce(rejected, F.lit(False)))
     flags = [rule.rejects(F.col(text_col)).cast("int").alias(f"r{i}") for i, rule in enumerate(rules)]
     chars = F.coalesce(F.char_length(text_col), F.lit(0)).alias("chars")
     # a row for each set of rules that reject, at most as many as the sample has
