@@ -110,7 +110,7 @@ def fit_order(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text",
     A rule's cost on a row is one, and the text's characters for each time that it reads the text; a clock
     would give another order each time. The first rule has the most rejections per cost; the next ones
     are rated, rejections and cost, on the rows that the rules before them leave. Rules without a
-    rejection come last, the cheaper first. An empty table leaves the order by cost.
+    rejection come last, the cheaper first; ties go by name. An empty table leaves the order by cost.
     """
     total = docs.count()
     share = min(1.0, SAMPLE_ROWS / total) if total else 1.0
@@ -126,11 +126,11 @@ def fit_order(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text",
         open_ = [r for r in seen if not any(r[k] for k in order)]
         n, size = sum(r["n"] for r in open_), sum(r["chars"] for r in open_)
 
-        def rate(k: int) -> tuple[float, float, int]:
+        def rate(k: int) -> tuple[float, int, str]:
             cost = n + rules[k].passes * size + 1 + rules[k].passes  # noqa: B023  used in this turn
-            return sum(r["n"] for r in open_ if r[k]) / cost, -cost, -k  # noqa: B023
+            return -sum(r["n"] for r in open_ if r[k]) / cost, cost, rules[k].name  # noqa: B023
 
-        order.append(max((k for k in range(len(rules)) if k not in order), key=rate))
+        order.append(min((k for k in range(len(rules)) if k not in order), key=rate))
     return [rules[k] for k in order]
 
 
