@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelode.operators.diffs import with_parent
 from pagelode.operators.listing import _between, _top, show
 from pagelode.operators.pageset import in_namespaces
 
@@ -94,9 +95,10 @@ def watchlist_changes(changes: DataFrame, watched: DataFrame, all_revisions: boo
 
 
 def contributions(revisions: DataFrame, user: str, start: object | None = None, end: object | None = None, limit: int | None = None) -> DataFrame:
-    """A user's revisions with is_top: whether each is its page's newest."""
-    tops = revisions.groupBy("page_id").agg(F.max(F.struct("ts", "rev_id"))["rev_id"].alias("_top"))
-    rows = revisions.where((F.col("user") == user) & _between("ts", start, end)).join(tops, "page_id")
+    """A user's revisions with is_top: whether each is its page's newest. Only pages that the user has are aggregated."""
+    own = revisions.where((F.col("user") == user) & _between("ts", start, end))
+    theirs = revisions.select("page_id", "ts", "rev_id").join(own.select("page_id").distinct(), "page_id", "left_semi")
+    rows = own.join(theirs.groupBy("page_id").agg(F.max(F.struct("ts", "rev_id"))["rev_id"].alias("_top")), "page_id")
     return _ordered(rows.withColumn("is_top", F.col("rev_id") == F.col("_top")).drop("_top"), "newest", "ts", "rev_id", limit)
 
 
@@ -139,8 +141,7 @@ def decode_log(json: DataFrame, column: str = "json") -> DataFrame:
 
 def compare(revisions: DataFrame) -> DataFrame:
     """For each revision with one before it: lines added and removed, as bags of lines."""
-    run = Window.partitionBy("page_id").orderBy("rev_id")
-    pairs = revisions.select("page_id", "rev_id", "text", F.lag("text").over(run).alias("before"), F.lag("rev_id").over(run).alias("parent_id")).where("parent_id is not null")
+    pairs = with_parent(revisions.select("page_id", "rev_id", "text"), before="text").where("parent_id is not null")
     lines = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n")
     both = pairs.select("page_id", "rev_id", "parent_id", F.explode(F.concat(F.transform(lines("text"), lambda x: F.struct(x.alias("line"), F.lit(1).alias("sign"))), F.transform(lines("before"), lambda x: F.struct(x.alias("line"), F.lit(-1).alias("sign"))))).alias("x"))
     net = both.groupBy("page_id", "rev_id", "parent_id", "x.line").agg(F.sum("x.sign").alias("n"))

@@ -19,6 +19,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelode.operators.diffs import with_parent
 from pagelode.operators.pageset import in_namespaces
 
 Catalog = Mapping[str, DataFrame]
@@ -319,5 +320,5 @@ def new_page_stats(rows: DataFrame) -> DataFrame:
 
 def with_size_change(revisions: DataFrame) -> DataFrame:
     """Adds parent_id and size_change: the size less that of the page's revision before."""
-    run = Window.partitionBy("page_id").orderBy("rev_id")
-    return revisions.withColumn("parent_id", F.lag("rev_id").over(run)).withColumn("size_change", F.col("size") - F.coalesce(F.lag("size").over(run), F.lit(0)))
+    before = "size_before" + "_" * sum(c.lower().startswith("size_before") for c in revisions.columns)
+    return with_parent(revisions, **{before: "size"}).withColumn("size_change", F.col("size") - F.coalesce(before, F.lit(0))).drop(before)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import dates, scalars, titles, wikitext
-from pagelode.operators import activity, edits, entities, listing, lookups, pageset, runs, search, timeseries
+from pagelode.operators import activity, diffs, edits, entities, listing, lookups, pageset, runs, search, timeseries
 from pagelode.plans.wiki import Catalog, with_views
 from pagelode.session import table
 
@@ -484,6 +484,36 @@ def compare_revisions(spark, sf):
     return activity.compare(Catalog(spark, sf)["revision"]).select("rev_id", "parent_id", "added", "removed")
 
 
+def _versions(spark, sf):
+    return diffs.with_parent(Catalog(spark, sf)["version"], before="text").where("parent_id is not null").select("rev_id", "before", F.col("text").alias("after"))
+
+
+@query("""with r as (select rev_id, text, lag(text) over (partition by page_id order by rev_id) as before from v_version)
+    select rev_id, md5(text) as text_md5, cast(len(string_split(text, chr(10))) - len(string_split(before, chr(10))) as bigint) as line_change, text = before as same from r where before is not null""")
+def hunks_applied(spark, sf):
+    """The hunks of each document's second version applied to its first."""
+    pairs = _versions(spark, sf)
+    found = diffs.hunks(pairs)
+    change = found.groupBy("rev_id").agg(F.sum((F.size("added") - F.size("removed")).cast("long")).alias("line_change"))
+    out = diffs.applied(pairs, found).join(change, "rev_id", "left")
+    return out.select("rev_id", F.md5("text").alias("text_md5"), F.coalesce("line_change", F.lit(0)).alias("line_change"), F.col("line_change").isNull().alias("same"))
+
+
+@query()
+def revision_hunks(spark, sf):
+    """Hunks of each revision against the one before; held against a plain version in the tests."""
+    pairs = diffs.with_parent(Catalog(spark, sf)["revision"], before="text").where("parent_id is not null").select("rev_id", "before", F.col("text").alias("after"))
+    found = diffs.hunks(pairs)
+    return found.select("rev_id", "at", "to", F.size("removed").alias("n_removed"), F.size("added").alias("n_added"), F.md5(F.to_json(F.struct("removed", "added"))).alias("lines_md5"))
+
+
+@query()
+def unified_diffs(spark, sf):
+    """Unified diffs of each document's two versions; held against a plain version in the tests."""
+    pairs = _versions(spark, sf)
+    return diffs.unified(pairs, diffs.hunks(pairs)).select("rev_id", F.md5("diff").alias("diff_md5"), F.length("diff").alias("n_chars"))
+
+
 @query("select rc_id, page_id from (select *, row_number() over (partition by page_id order by ts desc, rc_id desc) as rn from v_recentchanges where type in ('click', 'view') and ns in (0, 2) and not bot) where rn = 1", also="recent_changes_whole")
 def recent_changes(spark, sf):
     return activity.recent_changes(Catalog(spark, sf)["recentchanges"], [0, 2], ["click", "view"], flags={"bot": False, "minor": None}, top_only=True).select("rc_id", "page_id")

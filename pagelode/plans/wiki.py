@@ -28,6 +28,8 @@ VIEWS = {
     "watchlist": "select o_custkey as page_id, o_orderpriority as user from {orders}",
     "protected_titles": "select cast(p_size % 4 as int) as ns, p_name as title, p_type as level from {part} where p_partkey % 11 = 0",
     "revision": "select conv_id * 100 + turn as rev_id, conv_id as page_id, turn as ts, case when role = 'system' then cast(null as string) else role end as user, cast(length(text) as bigint) as size, text from {conversations}",
+    "version": "select doc_id * 2 as rev_id, doc_id as page_id, coalesce(text, '') as text from {documents} union all "
+    "select doc_id * 2 + 1 as rev_id, doc_id as page_id, concat('Version of ', source, chr(10), replace(coalesce(text, ''), '. ', concat('.', chr(10))), case when doc_id % 3 = 0 then concat(chr(10), lang) else '' end) as text from {documents}",
     "recentchanges": "select event_id as rc_id, ts, user_id as page_id, cast(user_id % 10 as string) as user, event_type as type, cast(event_id % 3 as int) as ns, event_id % 5 = 0 as bot, event_id % 2 = 0 as minor, value from {events}",
     "log": "select event_id as log_id, ts, event_type as type, case when value > 20 then 'big' else 'small' end as action, user_id as user from {events}",
     "user": "select c_custkey as user_id, c_name as name, c_mktsegment as grp, cast(floor(c_acctbal) as bigint) as edits from {customer}",
