@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelode.functions import jsons, scalars
 from pagelode.operators.diffs import with_parent
 from pagelode.operators.listing import _between, _top, show
 from pagelode.operators.pageset import in_namespaces
@@ -94,48 +95,73 @@ def watchlist_changes(changes: DataFrame, watched: DataFrame, all_revisions: boo
     return recent_changes(own, top_only=not all_revisions, **kw)
 
 
-def contributions(revisions: DataFrame, user: str, start: object | None = None, end: object | None = None, limit: int | None = None) -> DataFrame:
-    """A user's revisions with is_top: whether each is its page's newest. Only pages that the user has are aggregated."""
-    own = revisions.where((F.col("user") == user) & _between("ts", start, end))
+def contributions(revisions: DataFrame, user: str, start: object | None = None, end: object | None = None, limit: int | None = None, namespaces: Iterable[int] = (), flags: Mapping[str, bool | None] | None = None, tag: str | None = None) -> DataFrame:
+    """A user's revisions with is_top: whether each is its page's newest. Only pages that the user has are aggregated.
+
+    Namespaces, flags and tag need the columns ns, those named and tags; the flag top asks for is_top.
+    """
+    asked = dict(flags or {})
+    top = asked.pop("top", None)
+    own = revisions.where((F.col("user") == user) & _between("ts", start, end) & show(asked)).transform(in_namespaces(namespaces))
+    if tag is not None:
+        own = own.where(F.array_contains("tags", tag))
     theirs = revisions.select("page_id", "ts", "rev_id").join(own.select("page_id").distinct(), "page_id", "left_semi")
     rows = own.join(theirs.groupBy("page_id").agg(F.max(F.struct("ts", "rev_id"))["rev_id"].alias("_top")), "page_id")
-    return _ordered(rows.withColumn("is_top", F.col("rev_id") == F.col("_top")).drop("_top"), "newest", "ts", "rev_id", limit)
+    rows = rows.withColumn("is_top", F.col("rev_id") == F.col("_top")).drop("_top")
+    return _ordered(rows if top is None else rows.where(F.col("is_top") == top), "newest", "ts", "rev_id", limit)
 
 
-def log_events(events: DataFrame, kind: str | None = None, action: str | None = None, user: object | None = None, order: str = "newest", start: object | None = None, end: object | None = None, limit: int | None = None) -> DataFrame:
-    rows = events.where(_between("ts", start, end))
-    for column, value in (("type", kind), ("action", action), ("user", user)):
+def log_events(events: DataFrame, kind: str | None = None, action: str | None = None, user: object | None = None, order: str = "newest", start: object | None = None, end: object | None = None, limit: int | None = None, page_id: object | None = None, namespaces: Iterable[int] = ()) -> DataFrame:
+    rows = events.where(_between("ts", start, end)).transform(in_namespaces(namespaces))
+    for column, value in (("type", kind), ("action", action), ("user", user), ("page_id", page_id)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
     return _ordered(rows, order, "ts", "log_id", limit)
 
 
-LOG_SCHEMA = """type string, action string, logid long, pageid long, ns int, title string, user string, timestamp string,
-    revid long, old_revid long, newlen long, oldlen long, bot boolean, minor boolean,
-    params struct<target_ns:int, target_title:string, suppressredirect:boolean, duration:string, expiry:string, flags:array<string>,
-        oldgroups:array<string>, newgroups:array<string>, details:array<struct<type:string, level:string, expiry:string>>,
-        curid:long, previd:long, auto:boolean, img_sha1:string, img_timestamp:string, userid:long>"""
+LOG_DETAILS = ("move", "block", "upload", "protect", "rights", "patrol")
 
 
 def decode_log(json: DataFrame, column: str = "json") -> DataFrame:
     """Log entries from JSON, decoded tolerantly: a field of the wrong shape is null, rows without a title go.
 
-    details names the variant; revision 0 is null; a missing time is the epoch; groups gone and new keep
-    repeats. The parameters of unknown types stay as JSON in raw.
+    details names the variant, one of LOG_DETAILS, "none" (no parameters) or "unknown"; a move without a
+    target is one of the last two. Columns of other variants are null. Revision 0 is null; a missing time is
+    the epoch; groups gone and new keep repeats; a block is partial only if it says that it isn't sitewide,
+    and has no expiry if it never ends; protections without an action go. The parameters of unknown types
+    stay as texts in fields, and as JSON in raw.
     """
-    e = json.withColumn("e", F.from_json(column, LOG_SCHEMA)).withColumn("raw", F.get_json_object(column, "$.params")).where("e.title is not null")
-    known = F.create_map(*[F.lit(x) for p in {"move": "move", "block": "block", "rights": "rights", "protect": "protect", "patrol": "patrol", "upload": "upload", "newusers": "new_user"}.items() for x in p])
-    variant = F.coalesce(F.element_at(known, F.col("e.type")), F.lit("unknown"))
-    less = lambda a, b: F.filter(F.col(a), lambda x: ~F.array_contains(F.coalesce(F.col(b), F.array().cast("array<string>")), x))
-    positive = lambda c: F.nullif(F.col(c), F.lit(0))
-    return e.select(
-        F.col("e.logid").alias("log_id"), F.col("e.type").alias("type"), F.col("e.action").alias("action"), F.col("e.ns").alias("ns"), F.col("e.title").alias("title"), F.col("e.user").alias("user"),
-        F.coalesce(F.try_to_timestamp("e.timestamp"), F.timestamp_seconds(F.lit(0))).alias("ts"),
-        positive("e.revid").alias("rev_id"), positive("e.old_revid").alias("old_rev_id"), (F.col("e.newlen") - F.col("e.oldlen")).alias("size_change"),
-        F.coalesce("e.bot", F.lit(False)).alias("is_bot"), F.coalesce("e.minor", F.lit(False)).alias("is_minor"),
-        variant.alias("details"), F.col("e.params.target_title").alias("target"), F.col("e.params.duration").alias("duration"),
-        less("e.params.newgroups", "e.params.oldgroups").alias("groups_added"), less("e.params.oldgroups", "e.params.newgroups").alias("groups_removed"),
-        F.when(variant == "unknown", F.col("raw")).alias("raw"),
+    e = json.select(F.get_json_object(column, "$.params").alias("params_text"), jsons.parse(column).alias("e")).withColumn("p", jsons.obj(F.col("e"), "params"))
+    own, params = F.col("e"), F.col("p")
+    rows = e.withColumns({"type": jsons.string(own, "type"), "title": jsons.string(own, "title"), "target": jsons.string(params, "target_title"), "fields": F.coalesce(jsons.texts(params), F.create_map().cast("map<string,string>"))})
+    rows = rows.where("title is not null")
+    empty = F.coalesce(F.size(F.try_variant_get(params, "$", "map<string,variant>")) == 0, F.lit(True))
+    other = F.when(empty, F.lit("none")).otherwise(F.lit("unknown"))
+    named = F.col("type").isin(*LOG_DETAILS) & ((F.col("type") != "move") | (F.trim(F.coalesce("target", F.lit(""))) != ""))
+    rows = rows.withColumn("details", F.when(named, F.col("type")).otherwise(other))
+    rows = rows.withColumns({"before": jsons.strings(params, "oldgroups"), "after": jsons.strings(params, "newgroups")})
+    less = lambda a, b: F.filter(F.col(a), lambda x: ~F.array_contains(F.col(b), x))
+    positive = lambda c: F.nullif(c, F.lit(0).cast("long"))
+    only = lambda kind, c: F.when(F.col("details") == kind, c)
+
+    def protection(x: Column) -> Column:
+        expiry = jsons.string(x, "expiry")
+        never = expiry.isNull() | F.coalesce(scalars.is_never(expiry), F.lit(False))
+        return F.struct(jsons.string(x, "type").alias("action"), F.coalesce(jsons.string(x, "level"), F.lit("")).alias("level"), F.when(~never, scalars.parse_timestamp(expiry)).alias("expiry"), jsons.flag(x, "cascade").alias("cascading"))
+
+    protections = F.filter(F.transform(jsons.objects(params, "details"), protection), lambda x: x["action"].isNotNull())
+    return rows.select(
+        jsons.long(own, "logid").alias("log_id"), "type", jsons.string(own, "action").alias("action"), jsons.integer(own, "ns").alias("ns"), "title", jsons.string(own, "user").alias("user"),
+        F.coalesce(jsons.time(own, "timestamp"), F.timestamp_seconds(F.lit(0))).alias("ts"), jsons.string(own, "comment").alias("comment"), jsons.strings(own, "tags").alias("tags"),
+        positive(jsons.long(own, "revid")).alias("rev_id"), positive(jsons.long(own, "old_revid")).alias("old_rev_id"), (jsons.long(own, "newlen") - jsons.long(own, "oldlen")).alias("size_change"),
+        jsons.flag(own, "bot").alias("is_bot"), jsons.flag(own, "minor").alias("is_minor"), "details",
+        only("move", F.col("target")).alias("target"), only("move", jsons.flag(params, "suppressredirect")).alias("suppressed_redirect"),
+        only("block", jsons.string(params, "duration")).alias("duration"), only("block", jsons.time(params, "expiry")).alias("expiry"), only("block", jsons.strings(params, "flags")).alias("flags"),
+        only("block", F.coalesce(~jsons.boolean(params, "sitewide"), F.lit(False))).alias("is_partial"), only("upload", jsons.string(params, "img_sha1")).alias("sha1"),
+        only("protect", protections).alias("protections"), only("protect", jsons.string(params, "description")).alias("description"),
+        only("rights", less("after", "before")).alias("groups_added"), only("rights", less("before", "after")).alias("groups_removed"),
+        only("patrol", F.coalesce(jsons.long(params, "curid"), F.lit(0).cast("long"))).alias("patrolled"), only("patrol", positive(jsons.long(params, "previd"))).alias("previous"), only("patrol", jsons.flag(params, "auto")).alias("automatic"),
+        only("unknown", F.col("fields")).alias("fields"), only("unknown", F.col("params_text")).alias("raw"),
     )
 
 

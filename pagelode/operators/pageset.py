@@ -96,7 +96,7 @@ def limited_to(n: int | None, *order: str | Column) -> Transform:
 
 
 #: Rows a range that the bounds of chunked() are found on.
-SAMPLE = 100
+SAMPLE = 20
 
 
 def chunked(size: int, order: str) -> Transform:
@@ -122,7 +122,9 @@ def chunked(size: int, order: str) -> Transform:
         kind = df.select(key.alias("k")).schema["k"].dataType
         cuts = [found[len(found) * i // parts]["k"] for i in range(1, parts)] if len(found) > parts else []
         bounds = F.array(*[F.struct(F.lit(c["o"]).cast(kind["o"].dataType).alias("o"), F.lit(c["t"]).alias("t")) for c in cuts])
-        at = F.size(F.filter(bounds, lambda c: c <= key)) if cuts else F.lit(0)
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+        taken = lambda n, s: F.when((n + s <= len(cuts)) & (F.get(bounds, n + s - 1) <= key), n + s).otherwise(n)
+        at = F.aggregate(steps, F.lit(0), taken) if cuts else F.lit(0)  # bounds up to the key, by halving
         ranged = df.withColumn(range_, at)
         inside = F.row_number().over(Window.partitionBy(range_).orderBy(key)) - 1
         counts = ranged.groupBy(range_).count()

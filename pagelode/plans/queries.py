@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions import dates, scalars, titles, wikitext
-from pagelode.operators import activity, diffs, edits, entities, listing, lookups, pageset, runs, search, timeseries
+from pagelode.operators import activity, diffs, edits, entities, extensions, listing, lookups, pageset, runs, search, timeseries
 from pagelode.plans.wiki import Catalog, with_views
 from pagelode.session import table
 
@@ -1312,3 +1312,117 @@ def index_of(spark, sf):
     where ns = 2 and page_id in (select dst_id from v_templatelinks where src_id = 3)""")
 def pages_of(spark, sf):
     return lookups.pages_of(Catalog(spark, sf), 3, 2)
+
+
+# --- extensions -------------------------------------------------------------------------------
+
+
+@query("select lint_id, category, page_id, ns, title from v_lint join v_page using (page_id) where category = 'missing-end-tag'")
+def lint_errors(spark, sf):
+    return extensions.lint_errors(Catalog(spark, sf), "missing-end-tag").select("lint_id", "category", "page_id", "ns", "title")
+
+
+@query("select note_id, ts, type from v_notification where \"user\" = '3' and read is distinct from true")
+def notifications(spark, sf):
+    return extensions.notifications(Catalog(spark, sf), "3", unread_only=True).select("note_id", "ts", "type")
+
+
+@query("""with s as (select page_id, rev_id as stable_id, max(level) as level from v_review where (page_id, rev_id) in (select (page_id, rev_id) from v_revision) group by page_id, rev_id
+    qualify row_number() over (partition by page_id order by rev_id desc) = 1)
+    select s.page_id, stable_id, cast(level as bigint) as level, max(rev_id) as latest_id, min_by(ts, rev_id) filter (rev_id > stable_id) as pending_since, count(*) filter (rev_id > stable_id) as n_pending
+    from s join v_revision r on r.page_id = s.page_id group by all""")
+def flagged(spark, sf):
+    c = Catalog(spark, sf)
+    return extensions.flagged(c["revision"].select("page_id"), c).withColumn("level", F.col("level").cast("long"))
+
+
+@query("""select filter_id, case when not private then pattern end as pattern, private as hidden, (select count(*) from v_filter_hit h where h.filter_id = f.filter_id) as n_hits from v_filter f where enabled and not deleted""")
+def abuse_filters(spark, sf):
+    found = extensions.abuse_filters(Catalog(spark, sf), {"enabled": True, "deleted": False})
+    return found.select("filter_id", "pattern", (F.size("redacted") == 1).alias("hidden"), "n_hits")
+
+
+@query("select page_id, ts, creator from v_triage where ns = 1 and not reviewed and not is_redirect and creator in ('1-URGENT', '2-HIGH', '5-LOW') and creator <> '5-LOW'")
+def new_pages(spark, sf):
+    return extensions.new_pages(Catalog(spark, sf), 1, creators=["1-URGENT", "2-HIGH", "5-LOW"], hide_own="5-LOW").select("page_id", "ts", "creator")
+
+
+@query("""select count(*) as pages, count(*) filter (reviewed) as reviewed, count(*) filter (not reviewed) as unreviewed, min(ts) filter (not reviewed) as oldest, count(*) filter (not reviewed and creator = '2-HIGH') as matching
+    from v_triage where ns = 2""")
+def triage_backlog(spark, sf):
+    return extensions.backlog(Catalog(spark, sf), 2, ["2-HIGH"])
+
+
+@query("""with a as (select name, wiki, sum(edits) as edits, max(attached) as attached, min(ts) as ts from v_account group by name, wiki),
+    u as (select name, min_by(wiki, (ts, wiki)) filter (attached) as home, min(ts) filter (attached) as registered, cast(sum(edits) filter (attached) as bigint) as edits, string_agg(wiki, ' ' order by wiki) filter (attached) as merged,
+          string_agg(wiki, ' ' order by wiki) filter (not attached) as unattached from a group by name)
+    select u.name, home, registered, edits, merged, coalesce(unattached, '') as unattached, coalesce(g.groups, '') as groups from u
+    left join (select name, string_agg(distinct grp, ' ' order by grp) as groups from v_global_groups group by name) g on g.name = u.name where home is not null""")
+def global_users(spark, sf):
+    c = Catalog(spark, sf)
+    out = extensions.global_users(c["account"].select("name"), c)
+    return out.withColumns({n: F.array_join(n, " ") for n in ("groups", "merged", "unattached")})
+
+
+@query("""with x as (select distinct title from v_shared_file union select distinct replace(title, 'a', 'o') from v_file)
+    select x.title, coalesce((select max('local') from v_file f where f.title = x.title), (select min(repository) from v_shared_file s where s.title = x.title)) as repository from x""")
+def file_repositories(spark, sf):
+    c = Catalog(spark, sf)
+    asked = c["shared_file"].select("title").union(c["file"].select(F.replace("title", F.lit("a"), F.lit("o")).alias("title"))).distinct()
+    return extensions.repositories_of(asked, c)
+
+
+# --- logs and contributions with all arguments ------------------------------------------------
+
+
+@query("""select rev_id from (select *, rev_id = max(rev_id) over (partition by page_id) as is_top from v_revision) where "user" = 'assistant' and ns in (0, 2) and minor and not "new" and tag = 'assistant' and is_top""")
+def contributions_shown(spark, sf):
+    c = Catalog(spark, sf)
+    rows = c["revision"].withColumn("tags", F.array("tag", F.lit("all")))
+    return activity.contributions(rows, "assistant", namespaces=[0, 2], flags={"minor": True, "new": False, "top": True}, tag="assistant").select("rev_id")
+
+
+@query("select log_id, ts from v_log where type = 'view' and page_id = 7 and ns in (0, 1)")
+def log_events_of_page(spark, sf):
+    return activity.log_events(Catalog(spark, sf)["log"], "view", page_id=7, namespaces=[0, 1], order="oldest").select("log_id", "ts")
+
+
+#: Log entries without their id, by remainder; # stands for the event's id.
+_LOGS = (
+    '"type":"move","title":"A","params":{"target_title":"B#","target_ns":"4","suppressredirect":true}',
+    '"type":"move","title":"A","params":{}',
+    '"type":"block","title":"A","params":{"duration":"# hours","expiry":"2024-01-02T03:04:05Z","flags":["nocreate",null,7,{}],"sitewide":"false"}',
+    '"type":"block","title":"A","params":{"duration":"infinity","expiry":"infinity","flags":"x"}',
+    '"type":"upload","title":"A","params":{"img_sha1":"s#"}',
+    '"type":"protect","title":"A","params":{"description":"d#","details":[{"type":"edit","level":"sysop","expiry":"20240102030405","cascade":true},{"level":"x"},9,{"type":"move","expiry":"infinite"}]}',
+    '"type":"rights","title":"A","params":{"oldgroups":["a","b"],"newgroups":["b","c","c","#"]}',
+    '"type":"patrol","title":"A","params":{"curid":"#","previd":0,"auto":"true"}',
+    '"type":"merge","title":"A","params":{"x":#,"y":[1],"z":null}',
+    '"type":"delete","title":"A"',
+    '"type":"delete","title":null',
+)
+
+
+@query("""select event_id as log_id, ['move', 'none', 'block', 'block', 'upload', 'protect', 'rights', 'patrol', 'unknown', 'none'][n + 1] as details,
+    case n when 0 then 'B' || event_id || ' true' when 2 then event_id || ' hours 2024-01-02 03:04:05 nocreate,7 true' when 3 then 'infinity never  false' when 4 then 's' || event_id
+    when 5 then 'd' || event_id || ' edit/sysop/2024-01-02 03:04:05/true move//never/false' when 6 then '+c,c,' || event_id || ' -a' when 7 then event_id || ' none true' when 8 then 'x=' || event_id else '' end as told
+    from (select event_id, cast(event_id % 11 as int) as n from events) where n < 10""")
+def log_variants(spark, sf):
+    """Every variant of a log entry's parameters, written with the events' ids and decoded."""
+    own = F.col("event_id").cast("string")
+    made = F.replace(F.get(F.array(*map(F.lit, _LOGS)), (F.col("event_id") % 11).cast("int")), F.lit("#"), own)
+    out = activity.decode_log(table(spark, sf, "events").select(F.concat(F.lit('{"logid":"'), own, F.lit('",'), made, F.lit("}")).alias("json")))
+    until = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("never"))
+    guard = lambda x: F.concat_ws("/", x["action"], x["level"], until(x["expiry"]), x["cascading"])
+    spaced = lambda *c: F.concat_ws(" ", *c)
+    told = {
+        "move": spaced("target", "suppressed_redirect"),
+        "block": spaced("duration", until(F.col("expiry")), F.array_join("flags", ","), "is_partial"),
+        "upload": F.col("sha1"),
+        "protect": spaced("description", F.array_join(F.transform("protections", guard), " ")),
+        "rights": spaced(F.concat(F.lit("+"), F.array_join("groups_added", ",")), F.concat(F.lit("-"), F.array_join("groups_removed", ","))),
+        "patrol": spaced("patrolled", F.coalesce(F.col("previous").cast("string"), F.lit("none")), "automatic"),
+        "unknown": F.concat_ws(",", F.transform(F.map_entries("fields"), lambda x: F.concat_ws("=", x["key"], x["value"]))),
+    }
+    text = F.coalesce(*[F.when(F.col("details") == k, c) for k, c in told.items()], F.lit(""))
+    return out.select("log_id", "details", text.alias("told"))
