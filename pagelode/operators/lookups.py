@@ -31,6 +31,11 @@ def literal(spark, titles: Iterable[tuple[int, str]] = ()) -> DataFrame:
     return spark.createDataFrame([(None, ns, title) for ns, title in titles], PAGE_SCHEMA)
 
 
+def found(asked: DataFrame, cat: Catalog) -> DataFrame:
+    """(page_id, ns, title) of asked titles (a literal set), a row for each page of that title, with a null id if none has it."""
+    return asked.select("ns", "title").join(cat["page"].select("page_id", "ns", "title"), ["ns", "title"], "left").select("page_id", "ns", "title")
+
+
 def files(asked: DataFrame, cat: Catalog) -> DataFrame:
     """The asked titles with the newest upload of each, nulls where there is none."""
     return asked.join(latest_file(cat["file"]), "title", "left")

@@ -1223,14 +1223,23 @@ def revision_scores(spark, sf):
 # --- lookups of pages and files ---------------------------------------------------------------
 
 
-@query("select cast(null as bigint) as page_id, ns, title from (values (0, 'Main Page'), (4, 'About')) as t(ns, title)")
+#: Titles of the smaller tables, and one that no table has.
+_LITERAL = ((0, "cold widget 0"), (1, "large widget 3"), (1, "hot gear 3"), (2, "small/bolt 5"), (4, "About"))
+
+
+@query("""select p.page_id, t.ns, t.title, count(l.src_id) as n_links from (values (0, 'cold widget 0'), (1, 'large widget 3'), (1, 'hot gear 3'), (2, 'small/bolt 5'), (4, 'About')) as t(ns, title)
+    left join v_page p on p.ns = t.ns and p.title = t.title left join v_links l on l.dst_id = p.page_id group by all""")
 def literal_pages(spark, sf):
-    return lookups.literal(spark, [(0, "Main Page"), (4, "About")])
+    """Titles given as text, found among the pages, with the links to each."""
+    c = Catalog(spark, sf)
+    counts = c["links"].groupBy(F.col("dst_id").alias("page_id")).agg(F.count("src_id").alias("n_links"))
+    found = lookups.found(lookups.literal(spark, _LITERAL), c)
+    return found.join(counts, "page_id", "left").select(*PAGE, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 @query("select page_id, ns, title from v_page where 1 = 0")
 def no_pages(spark, sf):
-    return lookups.literal(spark)
+    return lookups.found(lookups.literal(spark), Catalog(spark, sf))
 
 
 @query("""select p.page_id, p.title, f.file_id from v_page p left join (select *, row_number() over (partition by title order by ts desc, file_id desc) as rn from v_file) f
