@@ -1,6 +1,6 @@
 """Language identification: script ranges narrow the candidates, Viterbi labels the spans.
 
-The model is learned from the rows given: for each language the log shares of three-letter pieces of
+The model is learned from all labelled rows given: for each language the log shares of three-letter pieces of
 words (the pieces of " word "), and which scripts it is written in. A word's script, by ranges of code
 points, leaves the languages that use it as candidates; its pieces give a score for each. Viterbi then
 finds the languages of a text's words that score best when every switch costs PENALTY. The prediction
@@ -9,7 +9,7 @@ is the language with the most letters.
 A word is evidence for its label if the language uses its script and its pieces have a higher mean
 score than letters drawn evenly from the language's own would have, and than a piece never seen. The
 score is the share of a text's letters that are evidence for the prediction. What is kept as text in a
-language has evidence for any languages, in a share that is held against labelled rows.
+language has evidence for any languages, in a share that is held against that of all labelled rows.
 
 A text without letters, or null, is "und" with score 0, as is every text if nothing was learned. A
 word whose script no language uses scores alike for all and is evidence for none. Texts are read whole. Equal scores go to the
@@ -20,29 +20,29 @@ rows get equal results. Input columns other than those named are not read.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagelode.llm.bpe import utf8
-from pagelode.llm.common import Scratch
+from pagelode.llm.common import Scratch, free
 
-#: Documents of each language that the model is fitted on, at most about so many.
-TRAIN_DOCS = 3000
 #: Pieces kept for each language, the most frequent.
 PIECES = 20_000
 PENALTY = 10.0
 #: A language uses a script if so large a share of its learned words is in it.
 USES = 0.02
 REMEMBER = 300_000
-#: Documents of each language whose evidence tells what is usual, at most about so many, and the quantile taken.
-USUAL_DOCS = 500
+#: The quantile of labelled texts' evidence that tells what is usual, and the parts of a share that it is counted in.
 USUAL = 0.002
+GRID = 10_000
 
 # First code point of ranges of scripts.
 SCRIPTS = [
@@ -77,38 +77,42 @@ class Model:
     uses: dict[str, set[str]] = field(default_factory=dict)
     #: The mean piece score that a word must exceed to be evidence for each language.
     floors: tuple[float, ...] = ()
-    #: The share of letters that are evidence in all but the worst of labelled texts.
-    usual: float = 1.0
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """A model of the rows' languages from a bounded sample, chosen by the id's hash."""
-    labelled = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return Model([])
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, TRAIN_DOCS / n))]), F.col("lang"))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20))
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of the rows' languages from every labelled row; words are counted before their pieces."""
+    labelled = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("text is not null and lang is not null")
+
+    def counts(words: dict[str, Counter], texts: Counter) -> pa.RecordBatch:
+        seen: Counter = Counter({(lang, "text", ""): n for lang, n in texts.items()})
+        for lang, own in words.items():
+            for word, n in own.items():
+                if word := bare(word):
+                    seen[lang, "script", script(word[0])] += n
+                    for piece in pieces(word):
+                        seen[lang, "piece", piece] += n
+        return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in seen], pa.string()) for i in range(3)], pa.array(seen.values(), pa.int64())], names=["lang", "kind", "value", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        words, texts = defaultdict(Counter), Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                for word, n in Counter(map(bare, text.split())).items():
-                    if word:
-                        seen[lang, "script", script(word[0])] += n
-                        for piece in pieces(word):
-                            seen[lang, "piece", piece] += n
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in keys], pa.string()) for i in range(3)], pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "kind", "value", "n"])
-
-    found = chosen.select("lang", "text").mapInArrow(run, "lang string, kind string, value string, n long").groupBy("lang", "kind", "value").agg(F.sum("n").alias("n"))
+                texts[lang] += 1
+                words[lang].update(text.split())
+            if sum(map(len, words.values())) > REMEMBER:
+                yield counts(words, texts)
+                words, texts = defaultdict(Counter), Counter()
+        yield counts(words, texts)
+
+    found = labelled.mapInArrow(run, "lang string, kind string, value string, n long").groupBy("lang", "kind", "value").agg(F.sum("n").alias("n"))
     found = Scratch(rows.sparkSession, "language").save(found, "counts")
-    model = Model(sorted(counts))
+    model = Model(sorted(r["lang"] for r in found.where("kind = 'text'").collect()))
+    if not model.langs:
+        return model
     of: dict[str, dict[str, int]] = {}
     for lang in model.langs:
         own = found.where(F.col("lang") == lang)
@@ -122,23 +126,15 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     model.weights = {p: tuple(float(np.log((of[x].get(p, 0) + 0.5) / t)) for x, t in zip(model.langs, totals)) for p in set().union(*of.values())}
     model.unseen = tuple(float(np.log(0.5 / t)) for t in totals)
     model.floors = tuple(max(u, -3 * float(np.log(max(1, len(set().union(*of[x])))))) for x, u in zip(model.langs, model.unseen))
-    own = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, USUAL_DOCS / n))]), F.col("lang"))
-    model.usual = usual(chosen.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < own * (1 << 20)).select("text"), model)
     return model
 
 
-def usual(texts: DataFrame, model: Model) -> float:
-    """A low quantile of the texts' shares of letters that are evidence; texts without letters don't count."""
-    shipped = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Scores(shipped.value)
-        for batch in batches:
-            got = [predict(known.model.langs, x, PENALTY) for x in known.of(utf8(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array([share for lang, _, share, _ in got if lang != "und"], pa.float64())], names=["share"])
-
-    shares = [r["share"] for r in texts.mapInArrow(run, "share double").collect()]
-    return float(np.quantile(shares, USUAL, method="lower")) if shares else 1.0
+def usual(shares: DataFrame, share: str) -> float:
+    """A low quantile of the rows' shares, in whole parts of GRID, from the count of each; null shares don't count. 1 without rows."""
+    counts = sorted(shares.where(F.col(share).isNotNull()).groupBy(F.floor(F.col(share) * GRID).alias("part")).count().collect())
+    rank = int(USUAL * (sum(n for _, n in counts) - 1))
+    below = accumulate(n for _, n in counts)
+    return next((part / GRID for (part, _), n in zip(counts, below) if n > rank), 1.0)
 
 
 class Scores(dict):
@@ -173,8 +169,10 @@ class Scores(dict):
             sums = np.maximum(sums - sums.max(1, keepdims=True), -4 * PENALTY)
             rows[lettered, :k] = np.where(users.any(1)[:, None], sums, 0)
             rows[lettered, -1] = sizes
-        start = len(self.matrix)
-        self.matrix = np.concatenate([self.matrix, rows])
+        start = len(self)
+        if start + len(words) > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix[:start], np.zeros((start + len(words), rows.shape[1]), np.float32)])
+        self.matrix[start : start + len(words)] = rows
         self.update(zip(words, range(start, start + len(words))))
 
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -188,7 +186,7 @@ class Scores(dict):
             new = met.difference(self)
             if new and len(self) + len(new) > REMEMBER:
                 self.clear()
-                self.matrix, new = self.matrix[:0], met
+                new = met
             if new:
                 self.learn(list(new))
             for words in split:
@@ -253,22 +251,28 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
-def in_a_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+def in_a_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", penalty: float = PENALTY, lang_col: str = "lang") -> DataFrame:
     """The input's rows of whose text's letters at least that part of the usual share are evidence for languages.
 
-    Where nothing was learned, as no row has a label, there is no evidence against a text: all with a letter
-    stay. Null texts and texts without letters go. An empty table gives an empty table.
+    Usual is what all labelled rows of the input have; the shares are written beside the rows, so that each
+    text is judged once. Where nothing was learned, as no row has a label, there is no evidence against a
+    text: all with a letter stay. Null texts and texts without letters go. An empty table gives an empty table.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    (name,) = free(docs, "share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(shipped.value)
         for batch in batches:
             texts = utf8(batch.column(batch.schema.get_field_index(text_col)))
-            if not known.model.langs:
-                yield batch.filter(pa.array([any(c.isalpha() for c in t.decode()) for t in texts], pa.bool_()))
-                continue
-            got = [predict(known.model.langs, x, penalty) for x in known.of(texts)]
-            yield batch.filter(pa.array([share > 0 and share >= least * known.model.usual for _, _, share, _ in got], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            if known.model.langs:
+                got = [predict(known.model.langs, x, penalty) for x in known.of(texts)]
+                shares = [None if lang == "und" else share for lang, _, share, _ in got]
+            else:
+                shares = [1.0 if any(c.isalpha() for c in t.decode()) else None for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shares, pa.float64())], names=[*batch.schema.names, name])
+
+    judged = Scratch(docs.sparkSession, "language").save(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])), "shares")
+    labelled = judged.where(F.col(lang_col).isNotNull()) if lang_col in docs.columns else judged.limit(0)
+    bound = least * usual(labelled, name)
+    return judged.where((F.col(name) > 0) & (F.col(name) >= bound)).drop(name)
