@@ -19,9 +19,8 @@ rows get equal results. Input columns other than those named are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -54,14 +53,9 @@ SCRIPTS = [
 _STARTS = [s for s, _ in SCRIPTS]
 
 
-def script(letter: str) -> str:
-    return SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]
-
-
-def bare(word: bytes) -> str:
-    """A word's letters in lower case."""
-    text = word.decode().lower()
-    return text if text.isalpha() else "".join(c for c in text if c.isalpha())
+def bare(words: Iterable[bytes]) -> list[str]:
+    """Each word's letters in lower case; words have no spaces."""
+    return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in b" ".join(words).decode().lower().split(" ")]
 
 
 def pieces(word: str) -> Iterator[str]:
@@ -69,6 +63,17 @@ def pieces(word: str) -> Iterator[str]:
     return (padded[i : i + 3] for i in range(len(padded) - 2))
 
 
+def coded(words: list[str]) -> np.ndarray:
+    """The pieces of words of letters, one word after the other, each as a number of three code points of 21 bits."""
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    return (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[c[1:-1] != 32]
+
+
+def first_letters(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The place in SCRIPTS of each word's first letter, from the words' pieces and lengths."""
+    return np.searchsorted(_STARTS, codes[np.cumsum(sizes) - sizes] >> 21 & 0x1FFFFF, "right") - 1
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -88,14 +93,17 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     labelled = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("text is not null and lang is not null")
 
     def counts(words: dict[str, Counter], texts: Counter) -> pa.RecordBatch:
-        seen: Counter = Counter({(lang, "text", ""): n for lang, n in texts.items()})
+        rows = [(lang, "text", "", n) for lang, n in texts.items()]
         for lang, own in words.items():
-            for word, n in own.items():
-                if word := bare(word):
-                    seen[lang, "script", script(word[0])] += n
-                    for piece in pieces(word):
-                        seen[lang, "piece", piece] += n
-        return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in seen], pa.string()) for i in range(3)], pa.array(seen.values(), pa.int64())], names=["lang", "kind", "value", "n"])
+            found, n = bare(own), np.fromiter(own.values(), np.int64, len(own))
+            n, found = n[list(map(bool, found))], [w for w in found if w]
+            if found:
+                codes, sizes = coded(found), np.array(list(map(len, found)))
+                rows += [(lang, "script", SCRIPTS[i][1], m) for i, m in enumerate(np.bincount(first_letters(codes, sizes), n).astype(np.int64).tolist()) if m]
+                sums = pa.table({"code": codes, "n": np.repeat(n, sizes)}).group_by("code").aggregate([("n", "sum")])
+                rows += [(lang, "piece", "".join(chr(c >> k & 0x1FFFFF) for k in (42, 21, 0)), m) for c, m in zip(sums["code"].to_pylist(), sums["n_sum"].to_pylist())]
+        cols = zip(*rows) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()])], names=["lang", "kind", "value", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, texts = defaultdict(Counter), Counter()
@@ -143,25 +151,27 @@ class Scores(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.piece = {p: i for i, p in enumerate(model.weights)}
-        self.weights = np.array([*model.weights.values(), model.unseen or (0.0,) * len(model.langs)], np.float32).reshape(len(model.weights) + 1, len(model.langs))
-        self.uses = {s: np.array([x in own for x in model.langs]) for s, own in model.uses.items()}
+        # pieces in the order of their codes; no piece has the last
+        codes = np.array([ord(p[0]) << 42 | ord(p[1]) << 21 | ord(p[2]) for p in model.weights] + [-1 + (1 << 63)], np.int64)
+        weights = np.array([*model.weights.values(), model.unseen or (0.0,) * len(model.langs)], np.float32).reshape(len(codes), len(model.langs))
+        order = np.argsort(codes)
+        self.codes, self.weights = codes[order], weights[order]
+        self.users = np.array([[x in model.uses.get(s, ()) for x in model.langs] for _, s in SCRIPTS])
         self.floors = np.array(model.floors, np.float32)
         self.matrix = np.zeros((0, 2 * len(model.langs) + 1), np.float32)
 
     def learn(self, words: list[bytes]) -> None:
         """Score words that are new, all at once."""
-        found = [bare(w) for w in words]
+        found = bare(words)
         rows = np.zeros((len(words), self.matrix.shape[1]), np.float32)
         lettered = np.array([i for i, w in enumerate(found) if w], np.int64)
         if len(lettered):
             own = [found[i] for i in lettered.tolist()]
-            known, unseen = self.piece.get, len(self.weights) - 1
-            flat = [known(p, unseen) for w in own for p in pieces(w)]
-            sizes = np.array(list(map(len, own)))
+            codes, sizes = coded(own), np.array(list(map(len, own)))
+            at = np.searchsorted(self.codes, codes)
+            flat = np.where(self.codes[at] == codes, at, len(self.codes) - 1)
             sums = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
-            none = np.zeros(len(self.model.langs), bool)
-            users = np.array([self.uses.get(script(w[0]), none) for w in own])
+            users = self.users[first_letters(codes, sizes)]
             k = len(self.model.langs)
             rows[lettered, k:-1] = users & (sums > self.floors * sizes[:, None])
             kept = np.where(users, sums, np.inf).min(1)
