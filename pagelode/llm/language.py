@@ -216,19 +216,19 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     np.cumsum(scores - scores[:, best : best + 1], axis=0, out=gain[1:])
     if n == 0 or (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
         return np.full(n, best)
-    came = np.empty((n, k), np.int32)
-    value = scores[0].astype(np.float64)
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(value.argmax())
-        moved = value[top] - penalty
-        came[t] = np.where(value >= moved, stay, top)
-        value = np.maximum(value, moved) + scores[t]
-    out = np.empty(n, np.int64)
-    out[-1] = value.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = came[t, out[t]]
-    return out
+    # few languages: plain lists cost less than array calls for each word
+    value, came = scores[0].tolist(), []
+    for row in scores[1:].tolist():
+        most = max(value)
+        top, moved = value.index(most), most - penalty
+        came.append([i if v >= moved else top for i, v in enumerate(value)])
+        value = [(v if v >= moved else moved) + x for v, x in zip(value, row)]
+    at = value.index(max(value))
+    out = [at]
+    for back in reversed(came):
+        at = back[at]
+        out.append(at)
+    return np.array(out[::-1], np.int64)
 
 
 def predict(langs: list[str], found: np.ndarray, penalty: float) -> tuple[str, float, float, list[dict]]:
