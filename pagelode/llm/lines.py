@@ -15,8 +15,10 @@ by place, has a Jaccard similarity of 0.8 or more with it, whether or not that o
    two lines that reach the similarity are both up to 1.25 LONG, or both from LONG on. So a line of n
    tokens has n / 5 + 1 single keys and a bounded number of pairs.
 4. Length and positional filters go with the join: the sizes allow the similarity, and so do the
-   tokens left after the common one. So does a bitmap: 64 bits hold the parity of the tokens that fall
-   on each, and two lines' bitmaps differ in no more bits than their sets differ in tokens.
+   tokens left after the common one. So does a bitmap: its bits hold the parity of the tokens that fall
+   on each, and two lines' bitmaps differ in no more bits than their sets differ in tokens. Long lines
+   have 128 or 256 bits, as 64 tell little of them. These fold to 64, which go with the join; the pairs
+   that are left are held against the whole ones.
 5. Stars first: each posting list is held against its first line. A line that is confirmed needs no
    other match; only the others are held against the earlier lines of their posting lists. A list of
    two lines has no other pair than that of its star.
@@ -29,16 +31,19 @@ changed nor matched. Repeated rows get equal results. An empty table gives an em
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import Scratch, free, words_of
+from pagelode.llm.common import Scratch, bit_map, free, in_map
 
 BUCKETS = 1 << 20
 #: A token is rare if its bucket's power of two is at most so much above the mean bucket's.
 RARE = 2
-#: Buckets of the map that tells which lines a join needs; it only saves work.
-MAP = 1 << 20
+#: Lines of so many tokens have bitmaps of 128 and of 256 bits; shorter ones of 64.
+WIDE, WIDEST = 80, 160
+MAPS = ["m0", "m1", "m2", "m3"]
 KEYS = ["doc_id", "line_no"]
 #: Posting lists are held against themselves in so many parts, one after the other, which need less disk.
 PARTS = 4
@@ -46,6 +51,14 @@ PARTS = 4
 LONG = 100
 
 
+def spaced(text: Column) -> Column:
+    """The text with all white space but line breaks as spaces; most texts have no other and are not rewritten."""
+    out, odd = text, F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        out, odd = F.replace(out, F.lit(c), F.lit(" ")), odd | F.contains(text, F.lit(c))
+    return F.when(odd, out).otherwise(text)
+
+
 def _bucket(hash_: Column) -> Column:
     """The first 20 bits of a hash."""
     return F.shiftrightunsigned(hash_, 44).cast("int")
@@ -60,7 +73,8 @@ def dense(found: DataFrame, size: int, default: int) -> DataFrame:
 
 def rarity(docs: DataFrame) -> DataFrame:
     """One row with the power of two of each bucket's count of words."""
-    words = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
+    lines = docs.select(F.explode(F.split(spaced(F.col("text")), "\n")).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("word")).where("word != ''")
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
     return dense(counts.select("bucket", F.floor(F.log2("count")).alias("value")), BUCKETS, 0)
 
@@ -73,16 +87,21 @@ def rare_below(powers: DataFrame) -> int:
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of all lines with a word."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """(doc_id, line_no, line) of all lines with a word; white space is spaces."""
+    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    return lines.where(F.trim("line") != "")
+
+
+def hashes(line: Column) -> Column:
+    """The hashes of a line's distinct words, in no order."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
 def tokens(line: Column, powers: str = "powers") -> Column:
     """The sorted keys of a line's distinct words; powers: the column with rarity()'s array."""
-    hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
-    key = F.transform(hashes, lambda h: F.shiftleft(F.get(F.col(powers), _bucket(h)).cast("bigint"), 58).bitwiseOR(F.shiftrightunsigned(h, 6)))
-    return F.sort_array(F.array_distinct(key))
+    # no key is null, and Spark is told so: it sorts such arrays as plain numbers
+    power = lambda h: F.coalesce(F.get(F.col(powers), _bucket(h)).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.sort_array(F.transform(hashes(line), lambda h: F.shiftleft(power(h), 58).bitwiseOR(F.shiftrightunsigned(h, 6))))
 
 
 def singles(keys: Column, bound: int) -> Column:
@@ -112,9 +131,34 @@ def _may_match() -> Column:
     return sizes & earlier & apart & ((F.col("x.pos") < 0) | (room >= need))
 
 
-def bitmap(keys: Column) -> Column:
-    """For each of 64 bits whether an odd count of tokens falls on it."""
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
+def bitmap(keys: Column) -> list[Column]:
+    """MAPS: for each of 64, 128 or 256 bits whether an odd count of tokens falls on it; null beyond a line's width."""
+
+    def part(i: int, parts: int) -> Column:
+        here = lambda k: F.lit(1).cast("bigint") if parts == 1 else (F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(parts - 1)) == i).cast("bigint")
+        return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", here(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    n = F.size(keys)
+    narrow = [F.when(n < WIDE, part(0, 1)).when(n < WIDEST, part(0, 2)).otherwise(part(0, 4)), F.when(n >= WIDEST, part(1, 4)).when(n >= WIDE, part(1, 2))]
+    return [m.alias(name) for m, name in zip([*narrow, *(F.when(n >= WIDEST, part(i, 4)) for i in (2, 3))], MAPS)]
+
+
+def folded() -> Column:
+    """The bitmap of 64 bits of a line of any width."""
+    return reduce(Column.bitwiseXOR, (F.coalesce(m, F.lit(0).cast("bigint")) for m in MAPS))
+
+
+def closer(found: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (KEYS and n of x and y, apart) that the wide bitmaps of long lines leave, without n; apart counts their bits where both have them."""
+    both = found.join(maps.toDF("x_doc", "x_line", *(f"x_{m}" for m in MAPS)), ["x_doc", "x_line"], "left")
+    both = both.join(maps.toDF("y_doc", "y_line", *(f"y_{m}" for m in MAPS)), ["y_doc", "y_line"], "left")
+    none = F.lit(0).cast("bigint")
+    a, b, c, d = (F.coalesce(F.col(f"x_{m}"), none).bitwiseXOR(F.coalesce(F.col(f"y_{m}"), none)) for m in MAPS)
+    widest = F.bit_count(a) + F.bit_count(b) + F.bit_count(c) + F.bit_count(d)
+    wide = F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(d))
+    bits = F.when(F.col("x_m2").isNotNull() & F.col("y_m2").isNotNull(), widest).when(F.col("x_m1").isNotNull() & F.col("y_m1").isNotNull(), wide).otherwise(F.col("apart"))
+    room = F.col("x_n") + F.col("y_n") - 2 * F.ceil((F.col("x_n") + F.col("y_n")) * 4 / 9)
+    return both.withColumn("apart", bits).where(F.col("apart") <= room).select("x_doc", "x_line", "y_doc", "y_line", "apart")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,13 +168,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return good.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).distinct()
 
 
-def confirmed(found: DataFrame, lines: DataFrame, powers: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def confirmed(found: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The lines x of pairs (x_doc, x_line, y_doc, y_line, apart) that reach the similarity, from whole token sets; the closest pair of each line first."""
-    spot = F.pmod(F.xxhash64(*KEYS), F.lit(MAP)).cast("int")
     ends = found.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).unionAll(found.select("y_doc", "y_line"))
-    flags = scratch.save(dense(ends.groupBy(spot.alias("bucket")).agg(F.lit(1).alias("value")), MAP, 0), f"{name}-flags")
-    some = lines.where(F.get(flags.scalar(), spot) == 1).withColumn("powers", powers.scalar())
-    sets = scratch.save(some.select(*KEYS, tokens(F.col("line")).alias("tokens")), f"{name}-sets")
+    # one map of documents and of lines: texts without a line that is needed are not split
+    flags = scratch.save(bit_map(ends.select(F.explode(F.array(F.xxhash64("doc_id"), F.xxhash64(*KEYS))).alias("key")), "key"), f"{name}-flags")
+    some = split_lines(rows.where(in_map(flags, F.xxhash64("doc_id")))).where(in_map(flags, F.xxhash64(*KEYS)))
+    sets = scratch.save(some.select(*KEYS, hashes(F.col("line")).alias("tokens")), f"{name}-sets")
     closest = found.groupBy("x_doc", "x_line").agg(F.min(F.struct("apart", "y_doc", "y_line")).alias("y")).select("x_doc", "x_line", "y.y_doc", "y.y_line")
     first = scratch.save(verified(closest, sets), f"{name}-closest")
     others = found.drop("apart").join(first.toDF("x_doc", "x_line"), ["x_doc", "x_line"], "left_anti")
@@ -149,29 +193,35 @@ def shared_posts(posts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return kept
 
 
-def matched(lines: DataFrame, classes: DataFrame, powers: DataFrame, scratch: Scratch) -> DataFrame:
+def matched(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, line_no) of the classes' first lines that have an earlier match. Drops the scratch table of classes."""
+    maps = scratch.save(classes.where("m1 is not null").select(*KEYS, *MAPS), "maps")
+    classes = classes.withColumn("map", folded())
     one = classes.select(*KEYS, "n", "map", F.posexplode("one").alias("pos", "key"))
     two = classes.select(*KEYS, "n", "map", F.lit(-1).alias("pos"), F.explode("two").alias("key"))
     posts = shared_posts(one, scratch, "posts-one").unionByName(shared_posts(two, scratch, "posts-two"))
     # the posts have all that is needed of the classes
     scratch.drop("classes")
     apart = F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map"))).alias("apart")
-    names = [F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line"), apart]
+    names = [F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line"), F.col("x.n").alias("x_n"), F.col("y.n").alias("y_n"), apart]
     hubs = posts.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "pos", "map")).alias("hub")).select("key", "hub.*")
     stars = posts.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
+    stars = closer(scratch.save(stars, "met"), maps)
     stars = scratch.save(stars, "stars")
-    first = confirmed(stars, lines, powers, scratch, "by-star")
+    scratch.drop("met")
+    first = confirmed(stars, rows, scratch, "by-star")
     longer = posts.where("many")
     rest = None
     for part in range(PARTS):
         own = longer.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)) == part)
         met = own.join(first, KEYS, "left_anti").alias("x").join(own.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
+        met = closer(scratch.save(met, f"met-{part}"), maps)
         met = scratch.save(met, f"rest-{part}")
+        scratch.drop(f"met-{part}")
         rest = met if rest is None else rest.unionByName(met)
     rest = scratch.save(rest.distinct().join(stars, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "rest")
-    scratch.drop("posts-one", "posts-two", "stars", *[f"rest-{part}" for part in range(PARTS)])
-    return first.unionByName(confirmed(rest, lines, powers, scratch, "by-list"))
+    scratch.drop("posts-one", "posts-two", "stars", "maps", *[f"rest-{part}" for part in range(PARTS)])
+    return first.unionByName(confirmed(rest, rows, scratch, "by-list"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,16 +233,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     powers = scratch.save(rarity(rows), "rarity")
     bound = rare_below(powers)
-    lines = split_lines(rows)
-    keyed = lines.withColumn("powers", powers.scalar()).select("doc_id", "line_no", tokens(F.col("line")).alias("t"))
-    keyed = keyed.select("doc_id", "line_no", F.size("t").alias("n"), bitmap(F.col("t")).alias("map"), F.xxhash64("t").alias("s1"), F.xxhash64("t", F.lit(1)).alias("s2"), singles(F.col("t"), bound).alias("one"), pairs(F.col("t"), bound).alias("two"))
+    keyed = split_lines(rows).withColumn("powers", powers.scalar()).select("doc_id", "line_no", tokens(F.col("line")).alias("t"))
+    keyed = keyed.select("doc_id", "line_no", F.size("t").alias("n"), *bitmap(F.col("t")), F.xxhash64("t").alias("s1"), F.xxhash64("t", F.lit(1)).alias("s2"), singles(F.col("t"), bound).alias("one"), pairs(F.col("t"), bound).alias("two"))
     keyed = scratch.save(keyed, "keyed")
-    classes = keyed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("one").alias("one"), F.first("two").alias("two"))
-    classes = scratch.save(classes.select("s1", "s2", "f.*", "n", "map", "one", "two"), "classes")
+    classes = keyed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in MAPS), F.first("one").alias("one"), F.first("two").alias("two"))
+    classes = scratch.save(classes.select("s1", "s2", "f.*", "n", *MAPS, "one", "two"), "classes")
     heads = scratch.save(classes.select("s1", "s2", *KEYS), "heads")
     keyed = scratch.save(keyed.select("doc_id", "line_no", "s1", "s2"), "sets-of-lines")
     scratch.drop("keyed")
-    gone = matched(lines, classes.drop("s1", "s2"), powers, scratch).withColumn("gone", F.lit(True))
+    gone = matched(rows, classes.drop("s1", "s2"), scratch).withColumn("gone", F.lit(True))
     firsts = heads.join(gone, ["doc_id", "line_no"], "left").select("s1", "s2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "gone")
     later = (F.col("doc_id") != F.col("d")) | (F.col("line_no") != F.col("l")) | F.col("gone")
     removed = keyed.select("doc_id", "line_no", "s1", "s2").join(firsts, ["s1", "s2"]).where(later)
@@ -201,7 +250,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     removed = removed.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(gone_))
     out = docs.withColumn(lines_, F.split(F.col(text_col), "\n")).join(removed, F.col(id_col) == F.col(own), "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), gone_), lambda i: F.get(lines_, i))
-    whole = F.filter(F.coalesce(lines_, F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    whole = F.filter(F.split(spaced(F.coalesce(F.col(text_col), F.lit(""))), "\n"), lambda x: F.trim(x) != "")
     return out.withColumns(
         {
             text_col: F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
