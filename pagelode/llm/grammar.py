@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from pagelode.llm.bpe import REMEMBER, Splitter, byte_letters, utf8
 from pagelode.llm.common import Scratch
+from pagelode.llm.hashing import HELD
 
 END_ID = 1
 SHARD_TOKENS = 1 << 18
@@ -90,6 +91,9 @@ def library(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+HELD["grammar"] = library.cache_clear
+
+
 def chosen(rank: np.ndarray) -> np.ndarray:
     """The places of ranks above both neighbours', and every other place of a run of equal ones that its neighbours leave; 0 is never chosen."""
     wide = np.zeros(len(rank) + 2, rank.dtype)

@@ -32,6 +32,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagelode.llm.bpe import utf8
 from pagelode.llm.common import Scratch, free
+from pagelode.llm.hashing import only
 
 #: Pieces kept for each language, the most frequent.
 PIECES = 20_000
@@ -106,6 +107,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()])], names=["lang", "kind", "value", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language")
         words, texts = defaultdict(Counter), Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
@@ -251,6 +253,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language")
         known = Scores(shipped.value)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
@@ -272,6 +275,7 @@ def in_a_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: s
     (name,) = free(docs, "share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language")
         known = Scores(shipped.value)
         for batch in batches:
             texts = utf8(batch.column(batch.schema.get_field_index(text_col)))

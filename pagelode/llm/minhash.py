@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pagelode.llm.bpe import utf8
 from pagelode.llm.common import Scratch, lookup
 from pagelode.llm.components import components
-from pagelode.llm.hashing import WORDS, mix, windows
+from pagelode.llm.hashing import WORDS, mix, only, windows
 
 BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
@@ -79,6 +79,7 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words")
         for batch in batches:
             n, digest, keys = [], [], []
             for text in utf8(batch.column(1)):
