@@ -47,12 +47,13 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         Scratch.roots.append(self.root)
 
-    def save(self, df: DataFrame, name: str, compression: str = "lz4") -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "lz4", dictionary: bool = True) -> DataFrame:
+        """dictionary: whether Parquet tries to number equal values; tables of hashes have none."""
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.option("compression", compression).parquet(path)
+            df.write.option("compression", compression).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)

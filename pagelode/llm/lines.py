@@ -17,11 +17,11 @@ by place, has a Jaccard similarity of 0.8 or more with it, whether or not that o
 4. Length and positional filters go with the join: the sizes allow the similarity, and so do the
    tokens left after the common one. So does a bitmap: its bits hold the parity of the tokens that fall
    on each, and two lines' bitmaps differ in no more bits than their sets differ in tokens. Long lines
-   have 128 or 256 bits, as 64 tell little of them. These fold to 64, which go with the join; the pairs
-   that are left are held against the whole ones.
-5. Stars first: each posting list is held against its first line. A line that is confirmed needs no
-   other match; only the others are held against the earlier lines of their posting lists. A list of
-   two lines has no other pair than that of its star.
+   have 128 or 256 bits, as 64 tell little of them. Up to 128 go with the join; pairs of the longest
+   lines that are left are held against all 256.
+5. Stars first: posting lists of more than STARRED lines, under the first STARS keys of each, are held
+   against their first line. A line that is confirmed needs no other match; only the others are held
+   against the earlier lines of all their posting lists.
 6. Jaccard is verified on whole token sets. One match is enough, so each line's pair with the closest
    bitmaps goes first; only lines that it doesn't confirm carry their sets to all their pairs.
 
@@ -46,9 +46,15 @@ WIDE, WIDEST = 80, 160
 MAPS = ["m0", "m1", "m2", "m3"]
 KEYS = ["doc_id", "line_no"]
 #: Posting lists are held against themselves in so many parts, one after the other, which need less disk.
-PARTS = 4
+PARTS = 2
 #: Lines of so many tokens are held against each other by single tokens.
 LONG = 100
+#: Single keys and pairs of a line that are held against the first line of their posting lists.
+STARS = 3
+#: Lists of more lines have a star.
+STARRED = 20
+#: White space within lines.
+BLANK = " \t\x0b\x0c\r"
 
 
 def spaced(text: Column) -> Column:
@@ -73,8 +79,7 @@ def dense(found: DataFrame, size: int, default: int) -> DataFrame:
 
 def rarity(docs: DataFrame) -> DataFrame:
     """One row with the power of two of each bucket's count of words."""
-    lines = docs.select(F.explode(F.split(spaced(F.col("text")), "\n")).alias("line"))
-    words = lines.select(F.explode(F.split("line", " ")).alias("word")).where("word != ''")
+    words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word")).where("word != ''")
     counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
     return dense(counts.select("bucket", F.floor(F.log2("count")).alias("value")), BUCKETS, 0)
 
@@ -121,14 +126,22 @@ def pairs(keys: Column, bound: int) -> Column:
     return F.flatten(F.transform(own, lambda a: F.transform(F.filter(own, lambda b: b > a), lambda b: F.xxhash64(a, b))))
 
 
+def _apart() -> Column:
+    """Bits in which the bitmaps of x and y differ: of 128 where both are long, else of 64."""
+    low, high = F.col("x.m0").bitwiseXOR(F.col("y.m0")), F.col("x.m1").bitwiseXOR(F.col("y.m1"))
+    wide = (F.col("x.n") >= WIDE) & (F.col("y.n") >= WIDE)
+    return F.when(wide, F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
+
+
 def _may_match() -> Column:
-    """Length and positional filters of x (this line) and y (an earlier one)."""
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * 4 / 9)
+    """Length, bitmap and positional filters of x (this line) and y (an earlier one), in whole numbers and the cheapest first."""
+    both = F.col("x.n") + F.col("y.n")  # 4 / 9 of these must be common, and 1 / 9 may differ
     room = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1)
     sizes = (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
-    earlier = F.struct("y.doc_id", "y.line_no") < F.struct("x.doc_id", "x.line_no")
-    apart = F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map"))) <= F.col("x.n") + F.col("y.n") - 2 * need
-    return sizes & earlier & apart & ((F.col("x.pos") < 0) | (room >= need))
+    # x is open; said of both sides, so that the two are one plan and Spark moves the posts once
+    open_ = F.col("x.open") + F.col("y.open") > F.col("y.open")
+    earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | ((F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no")))
+    return sizes & open_ & (9 * _apart() <= both) & ((F.col("x.pos") < 0) | (9 * room >= 4 * both)) & earlier
 
 
 def bitmap(keys: Column) -> list[Column]:
@@ -143,22 +156,21 @@ def bitmap(keys: Column) -> list[Column]:
     return [m.alias(name) for m, name in zip([*narrow, *(F.when(n >= WIDEST, part(i, 4)) for i in (2, 3))], MAPS)]
 
 
-def folded() -> Column:
-    """The bitmap of 64 bits of a line of any width."""
-    return reduce(Column.bitwiseXOR, (F.coalesce(m, F.lit(0).cast("bigint")) for m in MAPS))
+def narrow() -> list[Column]:
+    """The bitmaps as posts carry them, m0 and m1: of 128 bits from WIDE tokens on, else of 64 in m0."""
+    m = [F.coalesce(F.col(name), F.lit(0).cast("bigint")) for name in MAPS]
+    return [m[0].bitwiseXOR(m[2]).alias("m0"), m[1].bitwiseXOR(m[3]).alias("m1")]
 
 
 def closer(found: DataFrame, maps: DataFrame) -> DataFrame:
-    """Pairs (KEYS and n of x and y, apart) that the wide bitmaps of long lines leave, without n; apart counts their bits where both have them."""
-    both = found.join(maps.toDF("x_doc", "x_line", *(f"x_{m}" for m in MAPS)), ["x_doc", "x_line"], "left")
-    both = both.join(maps.toDF("y_doc", "y_line", *(f"y_{m}" for m in MAPS)), ["y_doc", "y_line"], "left")
-    none = F.lit(0).cast("bigint")
-    a, b, c, d = (F.coalesce(F.col(f"x_{m}"), none).bitwiseXOR(F.coalesce(F.col(f"y_{m}"), none)) for m in MAPS)
-    widest = F.bit_count(a) + F.bit_count(b) + F.bit_count(c) + F.bit_count(d)
-    wide = F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(d))
-    bits = F.when(F.col("x_m2").isNotNull() & F.col("y_m2").isNotNull(), widest).when(F.col("x_m1").isNotNull() & F.col("y_m1").isNotNull(), wide).otherwise(F.col("apart"))
-    room = F.col("x_n") + F.col("y_n") - 2 * F.ceil((F.col("x_n") + F.col("y_n")) * 4 / 9)
-    return both.withColumn("apart", bits).where(F.col("apart") <= room).select("x_doc", "x_line", "y_doc", "y_line", "apart")
+    """Pairs (KEYS and n of x and y, apart) that the 256 bits of the longest lines leave, without n; apart counts those bits where both have them. maps: KEYS and MAPS of these lines."""
+    names = ["x_doc", "x_line", "y_doc", "y_line", "apart"]
+    longest = F.least("x_n", "y_n") >= WIDEST
+    both = found.where(longest).drop("apart").join(maps.toDF("x_doc", "x_line", *(f"x_{m}" for m in MAPS)), ["x_doc", "x_line"])
+    both = both.join(maps.toDF("y_doc", "y_line", *(f"y_{m}" for m in MAPS)), ["y_doc", "y_line"])
+    bits = reduce(Column.__add__, (F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in MAPS))
+    left = both.withColumn("apart", bits).where(9 * F.col("apart") <= F.col("x_n") + F.col("y_n"))
+    return found.where(~longest).select(*names).unionByName(left.select(*names))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,44 +195,44 @@ def confirmed(found: DataFrame, rows: DataFrame, scratch: Scratch, name: str) ->
     return first.unionByName(rest)
 
 
-def shared_posts(posts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The posts under keys that more than one line has; many: more than two have it.
+def posted(classes: DataFrame, most: int | None = None) -> DataFrame:
+    """A row for each key that a class is posted under; pos is -1 under pairs. most: so many of the first singles and pairs only."""
+    cut = lambda keys: F.col(keys) if most is None else F.slice(keys, 1, most)
+    columns = [*KEYS, "n", "open", *narrow()]
+    return classes.select(*columns, F.posexplode(cut("one")).alias("pos", "key")).unionByName(classes.select(*columns, F.lit(-1).alias("pos"), F.explode(cut("two")).alias("key")))
 
-    Single tokens and pairs never meet: one after the other, they need less disk.
-    """
-    shared = posts.groupBy("key").count().where("count > 1").select("key", (F.col("count") > 2).alias("many"))
-    kept = scratch.save(posts.join(shared, "key"), name)
-    return kept
+
+def met(x: DataFrame, y: DataFrame) -> DataFrame:
+    """The pairs of posts x and y that the filters leave, once each."""
+    names = [F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line")]
+    found = x.alias("x").join(y.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match())
+    return found.select(*names, F.col("x.n").alias("x_n"), F.col("y.n").alias("y_n"), _apart().alias("apart")).distinct()
 
 
 def matched(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, line_no) of the classes' first lines that have an earlier match. Drops the scratch table of classes."""
-    maps = scratch.save(classes.where("m1 is not null").select(*KEYS, *MAPS), "maps")
-    classes = classes.withColumn("map", folded())
-    one = classes.select(*KEYS, "n", "map", F.posexplode("one").alias("pos", "key"))
-    two = classes.select(*KEYS, "n", "map", F.lit(-1).alias("pos"), F.explode("two").alias("key"))
-    posts = shared_posts(one, scratch, "posts-one").unionByName(shared_posts(two, scratch, "posts-two"))
-    # the posts have all that is needed of the classes
-    scratch.drop("classes")
-    apart = F.bit_count(F.col("x.map").bitwiseXOR(F.col("y.map"))).alias("apart")
-    names = [F.col("x.doc_id").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc_id").alias("y_doc"), F.col("y.line_no").alias("y_line"), F.col("x.n").alias("x_n"), F.col("y.n").alias("y_n"), apart]
-    hubs = posts.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "pos", "map")).alias("hub")).select("key", "hub.*")
-    stars = posts.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
-    stars = closer(scratch.save(stars, "met"), maps)
-    stars = scratch.save(stars, "stars")
-    scratch.drop("met")
+    maps = scratch.save(classes.where(F.col("n") >= WIDEST).select(*KEYS, *MAPS), "maps")
+    few = posted(classes.withColumn("open", F.lit(1)), STARS)
+    # only long posting lists have stars; a map tells which these are
+    long_ = scratch.save(bit_map(few.groupBy("key").count().where(F.col("count") > STARRED), "key"), "long")
+    few = few.where(in_map(long_, F.col("key")))
+    hubs = few.groupBy("key").agg(F.min(F.struct(*KEYS, "n", "open", "pos", "m0", "m1")).alias("hub")).select("key", "hub.*")
+    stars = scratch.save(closer(met(few, hubs), maps), "stars")
     first = confirmed(stars, rows, scratch, "by-star")
-    longer = posts.where("many")
-    rest = None
+    # lines that the map tells to be open are; the others are looked up
+    flags = scratch.save(bit_map(first.select(F.xxhash64(*KEYS).alias("key")), "key"), "confirmed")
+    may = in_map(flags, F.xxhash64(*KEYS))
+    looked = classes.where(may).join(first.withColumn("open", F.lit(0)), KEYS, "left").withColumn("open", F.coalesce("open", F.lit(1)))
+    marked = classes.where(~may).withColumn("open", F.lit(1)).unionByName(scratch.save(looked, "looked-up"))
+    lists = None
     for part in range(PARTS):
-        own = longer.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)) == part)
-        met = own.join(first, KEYS, "left_anti").alias("x").join(own.alias("y"), F.col("x.key") == F.col("y.key")).where(_may_match()).select(*names).distinct()
-        met = closer(scratch.save(met, f"met-{part}"), maps)
-        met = scratch.save(met, f"rest-{part}")
-        scratch.drop(f"met-{part}")
-        rest = met if rest is None else rest.unionByName(met)
-    rest = scratch.save(rest.distinct().join(stars, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "rest")
-    scratch.drop("posts-one", "posts-two", "stars", "maps", *[f"rest-{part}" for part in range(PARTS)])
+        posts = posted(marked).where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)) == part)
+        found = scratch.save(met(posts, posts), f"met-{part}")
+        lists = found if lists is None else lists.unionByName(found)
+    scratch.drop("classes", "looked-up", "confirmed", "long")
+    rest = closer(lists.distinct(), maps).join(stars, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti")
+    rest = scratch.save(rest, "rest")
+    scratch.drop("stars", "maps", *[f"met-{part}" for part in range(PARTS)])
     return first.unionByName(confirmed(rest, rows, scratch, "by-list"))
 
 
@@ -235,9 +247,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     bound = rare_below(powers)
     keyed = split_lines(rows).withColumn("powers", powers.scalar()).select("doc_id", "line_no", tokens(F.col("line")).alias("t"))
     keyed = keyed.select("doc_id", "line_no", F.size("t").alias("n"), *bitmap(F.col("t")), F.xxhash64("t").alias("s1"), F.xxhash64("t", F.lit(1)).alias("s2"), singles(F.col("t"), bound).alias("one"), pairs(F.col("t"), bound).alias("two"))
-    keyed = scratch.save(keyed, "keyed")
+    keyed = scratch.save(keyed, "keyed", dictionary=False)
     classes = keyed.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in MAPS), F.first("one").alias("one"), F.first("two").alias("two"))
-    classes = scratch.save(classes.select("s1", "s2", "f.*", "n", *MAPS, "one", "two"), "classes")
+    classes = scratch.save(classes.select("s1", "s2", "f.*", "n", *MAPS, "one", "two"), "classes", dictionary=False)
     heads = scratch.save(classes.select("s1", "s2", *KEYS), "heads")
     keyed = scratch.save(keyed.select("doc_id", "line_no", "s1", "s2"), "sets-of-lines")
     scratch.drop("keyed")
@@ -248,9 +260,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     docs = docs.drop("n_lines", "n_removed")
     own, lines_, gone_ = free(docs, "own_id", "split_lines", "removed_lines")
     removed = removed.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(gone_))
-    out = docs.withColumn(lines_, F.split(F.col(text_col), "\n")).join(removed, F.col(id_col) == F.col(own), "left")
+    # texts are split behind the join, so that it moves them once
+    out = docs.join(removed, F.col(id_col) == F.col(own), "left").withColumn(lines_, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), gone_), lambda i: F.get(lines_, i))
-    whole = F.filter(F.split(spaced(F.coalesce(F.col(text_col), F.lit(""))), "\n"), lambda x: F.trim(x) != "")
+    whole = F.filter(F.col(lines_), lambda x: F.btrim(x, F.lit(BLANK)) != "")
     return out.withColumns(
         {
             text_col: F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
