@@ -19,8 +19,7 @@ by place, has a Jaccard similarity of 0.8 or more with it, whether or not that o
    on each, and two lines' bitmaps differ in no more bits than their sets differ in tokens. Long lines
    have 128 or 256 bits, as 64 tell little of them. Up to 128 go with the join; pairs of the longest
    lines that are left are held against all 256.
-5. Stars first: posting lists of more than STARRED lines, under the first STARS keys of each, are held
-   against their first line. A line that is confirmed needs no other match; only the others are held
+5. Stars first: the lines of posting lists of more than STARRED are held against HUBS of their lines, the first ones of as many parts. A line that is confirmed needs no other match; only the others are held
    against the earlier lines of all their posting lists.
 6. Jaccard is verified on whole token sets. One match is enough, so each line's pair with the closest
    bitmaps goes first; only lines that it doesn't confirm carry their sets to all their pairs.
@@ -49,10 +48,10 @@ KEYS = ["doc_id", "line_no"]
 PARTS = 2
 #: Lines of so many tokens are held against each other by single tokens.
 LONG = 100
-#: Single keys and pairs of a line that are held against the first line of their posting lists.
-STARS = 3
 #: Lists of more lines have a star.
 STARRED = 20
+#: A star has so many hubs at most.
+HUBS = 16
 #: White space within lines.
 BLANK = " \t\x0b\x0c\r"
 
@@ -195,11 +194,10 @@ def confirmed(found: DataFrame, rows: DataFrame, scratch: Scratch, name: str) ->
     return first.unionByName(rest)
 
 
-def posted(classes: DataFrame, most: int | None = None) -> DataFrame:
-    """A row for each key that a class is posted under; pos is -1 under pairs. most: so many of the first singles and pairs only."""
-    cut = lambda keys: F.col(keys) if most is None else F.slice(keys, 1, most)
+def posted(classes: DataFrame) -> DataFrame:
+    """A row for each key that a class is posted under; pos is -1 under pairs."""
     columns = [*KEYS, "n", "open", *narrow()]
-    return classes.select(*columns, F.posexplode(cut("one")).alias("pos", "key")).unionByName(classes.select(*columns, F.lit(-1).alias("pos"), F.explode(cut("two")).alias("key")))
+    return classes.select(*columns, F.posexplode("one").alias("pos", "key")).unionByName(classes.select(*columns, F.lit(-1).alias("pos"), F.explode("two").alias("key")))
 
 
 def met(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -212,11 +210,12 @@ def met(x: DataFrame, y: DataFrame) -> DataFrame:
 def matched(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, line_no) of the classes' first lines that have an earlier match. Drops the scratch table of classes."""
     maps = scratch.save(classes.where(F.col("n") >= WIDEST).select(*KEYS, *MAPS), "maps")
-    few = posted(classes.withColumn("open", F.lit(1)), STARS)
+    few = posted(classes.withColumn("open", F.lit(1)))
     # only long posting lists have stars; a map tells which these are
     long_ = scratch.save(bit_map(few.groupBy("key").count().where(F.col("count") > STARRED), "key"), "long")
     few = few.where(in_map(long_, F.col("key")))
-    hubs = few.groupBy("key").agg(F.min(F.struct(*KEYS, "n", "open", "pos", "m0", "m1")).alias("hub")).select("key", "hub.*")
+    # near copies are not all like their first line: of each list, the first lines of HUBS parts are hubs
+    hubs = few.groupBy("key", F.pmod(F.xxhash64(*KEYS), F.lit(HUBS)).alias("dealt")).agg(F.min(F.struct(*KEYS, "n", "open", "pos", "m0", "m1")).alias("hub")).select("key", "hub.*")
     stars = scratch.save(closer(met(few, hubs), maps), "stars")
     first = confirmed(stars, rows, scratch, "by-star")
     # lines that the map tells to be open are; the others are looked up
