@@ -45,7 +45,7 @@ WIDE, WIDEST = 80, 160
 MAPS = ["m0", "m1", "m2", "m3"]
 KEYS = ["doc_id", "line_no"]
 #: Posting lists are held against themselves in so many parts, one after the other, which need less disk.
-PARTS = 2
+PARTS = 4
 #: Lines of so many tokens are held against each other by single tokens.
 LONG = 100
 #: Lists of more lines have a star.
@@ -213,10 +213,16 @@ def matched(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     few = posted(classes.withColumn("open", F.lit(1)))
     # only long posting lists have stars; a map tells which these are
     long_ = scratch.save(bit_map(few.groupBy("key").count().where(F.col("count") > STARRED), "key"), "long")
-    few = few.where(in_map(long_, F.col("key")))
-    # near copies are not all like their first line: of each list, the first lines of HUBS parts are hubs
-    hubs = few.groupBy("key", F.pmod(F.xxhash64(*KEYS), F.lit(HUBS)).alias("dealt")).agg(F.min(F.struct(*KEYS, "n", "open", "pos", "m0", "m1")).alias("hub")).select("key", "hub.*")
-    stars = scratch.save(closer(met(few, hubs), maps), "stars")
+    here = [F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)) == part for part in range(PARTS)]
+    near = None
+    for part in range(PARTS):
+        own = few.where(here[part] & in_map(long_, F.col("key")))
+        # near copies are not all like their first line: of each list, the first lines of HUBS parts are hubs
+        hubs = own.groupBy("key", F.pmod(F.xxhash64(*KEYS), F.lit(HUBS)).alias("dealt")).agg(F.min(F.struct(*KEYS, "n", "open", "pos", "m0", "m1")).alias("hub")).select("key", "hub.*")
+        found = scratch.save(met(own, hubs), f"near-{part}")
+        near = found if near is None else near.unionByName(found)
+    stars = scratch.save(closer(near.distinct(), maps), "stars")
+    scratch.drop(*[f"near-{part}" for part in range(PARTS)])
     first = confirmed(stars, rows, scratch, "by-star")
     # lines that the map tells to be open are; the others are looked up
     flags = scratch.save(bit_map(first.select(F.xxhash64(*KEYS).alias("key")), "key"), "confirmed")
@@ -225,7 +231,7 @@ def matched(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     marked = classes.where(~may).withColumn("open", F.lit(1)).unionByName(scratch.save(looked, "looked-up"))
     lists = None
     for part in range(PARTS):
-        posts = posted(marked).where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)) == part)
+        posts = posted(marked).where(here[part])
         found = scratch.save(met(posts, posts), f"met-{part}")
         lists = found if lists is None else lists.unionByName(found)
     scratch.drop("classes", "looked-up", "confirmed", "long")
