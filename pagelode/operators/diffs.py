@@ -76,42 +76,41 @@ def _same_ahead(a: Column, b: Column) -> Column:
     return F.when(other == 0, n).otherwise(other - 1)
 
 
-def _trimmed(open_: DataFrame) -> DataFrame:
-    """Pieces without the lines that both sides begin or end with; equal pieces go."""
+def _trimmed(pieces: DataFrame) -> DataFrame:
+    """Pieces without the lines that both sides begin or end with; equal pieces go, and final ones stay as they are."""
     cut = lambda c, n: F.slice(c, n + 1, F.size(c) - n)
-    a, b = F.col("a"), F.col("b")
-    ahead = open_.withColumn("same", _same_ahead(a, b))
-    rest = ahead.select("k", (F.col("at") + F.col("same")).alias("at"), (F.col("to") + F.col("same")).alias("to"), cut(a, F.col("same")).alias("a"), cut(b, F.col("same")).alias("b"))
-    behind = rest.withColumn("same", _same_ahead(F.reverse(a), F.reverse(b)))
-    keep = lambda c: F.slice(c, 1, F.size(c) - F.col("same"))
-    return behind.select("k", "at", "to", keep(a).alias("a"), keep(b).alias("b")).where((F.size("a") > 0) | (F.size("b") > 0))
+    a, b, same = F.col("a"), F.col("b"), F.col("same")
+    # equal pieces are told by their lines: a filter on what is left would be pushed below, and all cuts made again for it
+    ahead = pieces.where(a != b).withColumn("same", F.when(F.col("final"), 0).otherwise(_same_ahead(a, b)))
+    rest = ahead.select("k", (F.col("at") + same).alias("at"), (F.col("to") + same).alias("to"), cut(a, same).alias("a"), cut(b, same).alias("b"), "final")
+    behind = rest.withColumn("same", F.when(F.col("final"), 0).otherwise(_same_ahead(F.reverse(a), F.reverse(b))))
+    keep = lambda c: F.slice(c, 1, F.size(c) - same)
+    out = behind.select("k", "at", "to", keep(a).alias("a"), keep(b).alias("b"), "final")
+    return out.withColumn("final", F.col("final") | (F.size("a") == 0) | (F.size("b") == 0))
 
 
 def _anchors(pieces: DataFrame) -> DataFrame:
     """(k, at, to, chain): the lines that each side of a piece has once, in a longest order that both share."""
-    side = lambda c, old: pieces.select("k", "at", "to", F.lit(old).alias("old"), F.posexplode(c).alias("place", "line"))
-    once = side("a", True).unionAll(side("b", False)).groupBy("k", "at", "to", "line").agg(
-        F.count_if("old").alias("n_a"), F.count_if(~F.col("old")).alias("n_b"), F.min(F.when(F.col("old"), F.col("place"))).alias("i"), F.min(F.when(~F.col("old"), F.col("place"))).alias("j")
-    )
+    each = pieces.select("k", "at", "to", F.size("a").alias("n"), F.posexplode(F.concat("a", "b")).alias("place", "line"))
+    old = F.col("place") < F.col("n")
+    once = each.groupBy("k", "at", "to", "line").agg(F.count_if(old).alias("n_a"), F.count_if(~old).alias("n_b"), F.min(F.when(old, F.col("place"))).alias("i"), F.min(F.when(~old, F.col("place") - F.col("n"))).alias("j"))
     met = once.where("n_a = 1 and n_b = 1").groupBy("k", "at", "to").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("met"))
     return met.withColumn("kept", _rising(F.col("met.j"))).select("k", "at", "to", F.transform("kept", lambda p: F.get("met", p)).alias("chain"))
 
 
-def _split(pieces: DataFrame) -> DataFrame:
-    """Pieces cut at their anchors; final ones have none, or lines on one side only."""
-    found = pieces.join(_anchors(pieces.where((F.size("a") > 0) & (F.size("b") > 0))), ["k", "at", "to"], "left")
+def _split(open_: DataFrame) -> DataFrame:
+    """Open pieces cut at their anchors; final ones have none, or lines on one side only."""
+    # dealt once by what names a piece: its lines are counted and its anchors joined where it is. Nothing here is
+    # null; as the filter says so, Spark adds none of its own to one reader and lets both read one exchange
+    pieces = open_.where(" and ".join(f"{c} is not null" for c in open_.columns)).repartition("k", "at", "to")
+    found = pieces.join(_anchors(pieces), ["k", "at", "to"], "left")
     ends = F.concat(F.coalesce("chain", F.array().cast("array<struct<i:int,j:int>>")), F.array(F.struct(F.size("a").alias("i"), F.size("b").alias("j"))))
     found = found.withColumn("ends", ends)
     begin = lambda p, c: F.when(p == 0, F.lit(0)).otherwise(F.get("ends", p - 1)[c] + 1)
     parts = F.transform("ends", lambda e, p: F.struct(begin(p, "i").alias("i"), begin(p, "j").alias("j"), e["i"].alias("i_end"), e["j"].alias("j_end")))
     part = found.select("k", "at", "to", "a", "b", F.col("chain").isNull().alias("final"), F.explode(parts).alias("p"))
     slice_ = lambda c, x: F.slice(c, F.col(f"p.{x}") + 1, F.col(f"p.{x}_end") - F.col(f"p.{x}"))
-    return _trimmed_or_final(part.select("k", (F.col("at") + F.col("p.i")).alias("at"), (F.col("to") + F.col("p.j")).alias("to"), slice_("a", "i").alias("a"), slice_("b", "j").alias("b"), "final"))
-
-
-def _trimmed_or_final(part: DataFrame) -> DataFrame:
-    cut = _trimmed(part.where(~F.col("final")).drop("final")).withColumn("final", (F.size("a") == 0) | (F.size("b") == 0))
-    return part.where("final").unionByName(cut)
+    return _trimmed(part.select("k", (F.col("at") + F.col("p.i")).alias("at"), (F.col("to") + F.col("p.j")).alias("to"), slice_("a", "i").alias("a"), slice_("b", "j").alias("b"), "final"))
 
 
 def hunks(pairs: DataFrame, key: str = "rev_id", before: str = "before", after: str = "after") -> DataFrame:
@@ -121,10 +120,10 @@ def hunks(pairs: DataFrame, key: str = "rev_id", before: str = "before", after:
     that rises on both sides cuts the texts, and the pieces between are cut again by lines that are single
     inside them, until no piece has any. What two pieces begin and end with alike is no part of a hunk.
     Each round works on the pieces still open and is cut from its lineage; runs jobs when called. The key
-    names one pair each; a null key has no hunks.
+    names one pair each; a null key has no hunks. Pairs that another step reads too are best settled before.
     """
-    start = pairs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.lit(0).alias("at"), F.lit(0).alias("to"), lines(before).alias("a"), lines(after).alias("b"))
-    state = settled(_trimmed(start).withColumn("final", (F.size("a") == 0) | (F.size("b") == 0)))
+    start = pairs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.lit(0).alias("at"), F.lit(0).alias("to"), lines(before).alias("a"), lines(after).alias("b"), F.lit(False).alias("final"))
+    state = settled(_trimmed(start))
     done = state.where("final")
     open_ = state.where("not final").drop("final")
     while not open_.isEmpty():
