@@ -134,14 +134,15 @@ def hunks(pairs: DataFrame, key: str = "rev_id", before: str = "before", after:
 
 
 def applied(pairs: DataFrame, found: DataFrame, key: str = "rev_id", before: str = "before") -> DataFrame:
-    """(key, text): the old texts of the pairs with their hunks applied."""
-    lists = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "removed", "added"))).alias("h"))
-    rows = pairs.where(F.col(key).isNotNull()).select(key, lines(before).alias("own")).join(lists, key, "left")
-    rows = rows.withColumn("h", F.coalesce("h", F.array().cast(lists.schema["h"].dataType)))
+    """(key, text, line_change): the old texts of the pairs with their hunks applied, and how many lines they gain; null without hunks."""
+    gain = (F.size("added") - F.size("removed")).cast("long")
+    lists = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "removed", "added"))).alias("h"), F.sum(gain).alias("line_change"))
+    rows = pairs.where(F.col(key).isNotNull()).select(key, F.col(before).alias("before")).join(lists, key, "left")
+    rows = rows.select(key, "line_change", lines("before").alias("own"), F.coalesce("h", F.array().cast(lists.schema["h"].dataType)).alias("h"))
     end = lambda p: F.when(p <= 0, F.lit(0)).otherwise(F.get("h", p - 1)["at"] + F.size(F.get("h", p - 1)["removed"]))
     changed = F.flatten(F.transform("h", lambda x, p: F.concat(F.slice("own", end(p) + 1, x["at"] - end(p)), x["added"])))
     tail = F.slice("own", end(F.size("h")) + 1, F.size("own") - end(F.size("h")))
-    return rows.select(key, F.array_join(F.concat(changed, tail), "\n").alias("text"))
+    return rows.select(key, F.array_join(F.concat(changed, tail), "\n").alias("text"), "line_change")
 
 
 def unified(pairs: DataFrame, found: DataFrame, key: str = "rev_id", before: str = "before", title: str = "page", context: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import dates, scalars, titles, wikitext
 from pagelode.operators import activity, diffs, edits, entities, extensions, listing, lookups, pageset, runs, search, timeseries
 from pagelode.plans.wiki import Catalog, with_views
-from pagelode.session import table
+from pagelode.session import settled, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,10 +492,8 @@ def _versions(spark, sf):
     select rev_id, md5(text) as text_md5, cast(len(string_split(text, chr(10))) - len(string_split(before, chr(10))) as bigint) as line_change, text = before as same from r where before is not null""")
 def hunks_applied(spark, sf):
     """The hunks of each document's second version applied to its first."""
-    pairs = _versions(spark, sf)
-    found = diffs.hunks(pairs)
-    change = found.groupBy("rev_id").agg(F.sum((F.size("added") - F.size("removed")).cast("long")).alias("line_change"))
-    out = diffs.applied(pairs, found).join(change, "rev_id", "left")
+    pairs = settled(_versions(spark, sf))
+    out = diffs.applied(pairs, diffs.hunks(pairs))
     return out.select("rev_id", F.md5("text").alias("text_md5"), F.coalesce("line_change", F.lit(0)).alias("line_change"), F.col("line_change").isNull().alias("same"))
 
 

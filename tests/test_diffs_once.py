@@ -1,11 +1,13 @@
-"""Pairs of texts are trimmed and cut once."""
+"""Pairs of texts are read, trimmed and cut once, and odd rows stay as they were."""
 
+import hashlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagelode.operators import diffs
+from pagelode.plans.queries import QUERIES
 
 
 @pytest.fixture()
@@ -45,3 +47,19 @@ def test_a_round_deals_its_pieces_once(spark, tmp_path, plain_plans):
     assert names == ["k, at, to", "k, at, to"] and plan.count("FileScan") == 1  # the pieces, and their chains, which have no text
     got = sorted((r.k, r["at"], r["to"], r.a, r.b, r.final) for r in out.where("k = 1").collect())
     assert got == [(1, 0, 0, ["a"], ["x"], False), (1, 3, 3, [], ["y"], True)]
+
+
+def test_the_query_reads_its_pairs_once_and_keeps_odd_rows(spark, tmp_path):
+    rows = [(1, "One. Two. One", "en", "s"), (1, "One. Two. One", "en", "s"), (2, None, "fr", "s"), (3, "", None, "s"), (None, "x. y", "en", "s"), (4, "a. b", "de", None), (6, "Z\nZ. Z", "de", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["hunks_applied"](spark, str(tmp_path))
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    md5 = lambda x: x if x is None else hashlib.md5(x.encode()).hexdigest()
+    got = sorted((r.rev_id, r.text_md5, r.line_change, r.same) for r in out.collect())
+    # of a document that comes twice, the first version follows itself; the second's hunks also meet its own copy, whose first line is its title
+    new = "Version of s\nOne.\nTwo.\nOne"
+    want = [
+        (2, md5("One. Two. One"), 0, True), (3, md5(new), 3, False), (3, md5("\n".join(new.split("\n") + new.split("\n")[1:])), 3, False),
+        (5, md5("Version of s\n"), 1, False), (7, md5(""), 0, True), (9, md5(""), 0, False), (13, md5("Version of t\nZ\nZ.\nZ\nde"), 3, False),
+    ]
+    assert got == sorted(want), got
