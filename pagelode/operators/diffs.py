@@ -34,16 +34,23 @@ def with_parent(revisions: DataFrame, **carried: str) -> DataFrame:
     rows = revisions.drop(*[n for n in added if n not in carried.values()])
     bounds = rows.agg(F.struct(F.min("rev_id").alias("low"), F.max("rev_id").alias("high")).alias("b")).scalar()
     share = (F.col("rev_id") - bounds["low"]).cast("double") / (bounds["high"] - bounds["low"] + 1).cast("double")
-    range_ = "range_" + "_" * sum(c.lower().startswith("range_") for c in rows.columns)
+    key_ = "key_" + "_" * sum(c.lower().startswith("key_") for c in rows.columns)
     end_ = "end_" + "_" * sum(c.lower().startswith("end_") for c in rows.columns)
-    ranged = rows.withColumn(range_, F.floor(share * RANGES))
-    last = ranged.where(F.col(range_).isNotNull() & F.col("page_id").isNotNull()).groupBy("page_id", range_).agg(F.max_by(F.struct(*sources.values()), "rev_id").alias("last"))
-    ends = last.select("page_id", range_, F.lag("last").over(Window.partitionBy("page_id").orderBy(range_)).alias(end_))
-    inside = Window.partitionBy("page_id", range_).orderBy("rev_id")
-    own = F.struct(*sources.values())
-    here = ranged.withColumn("here" + end_, F.when(F.col("page_id").isNotNull() & F.col("rev_id").isNotNull(), F.lag(own).over(inside)))
-    both = here.join(ends, ["page_id", range_], "left").withColumn(end_, F.coalesce("here" + end_, end_))
-    return both.select(*[F.col(c) for c in rows.columns if c not in added], *[F.col(f"{end_}.p{i}").alias(n) for i, n in enumerate(added)])
+    page, range_, next_ = F.col(f"{key_}.page_id"), F.col(f"{key_}.range"), F.col("next" + end_)
+    # the key is a struct, which is never null: joins add no filter on it, and both readers of the rows share one exchange
+    ranged = rows.withColumn(key_, F.struct("page_id", F.floor(share * RANGES).alias("range")))
+    # column by column, as a struct of them would be made before the exchange and move beside them
+    inside = Window.partitionBy(key_).orderBy("rev_id")
+    was = F.struct(*[F.lag(c).over(inside).alias(f"p{i}") for i, c in enumerate(added.values())])
+    known = page.isNotNull() & F.col("rev_id").isNotNull() & F.lag("rev_id").over(inside).isNotNull()
+    here = ranged.withColumn("here" + end_, F.when(known, was))
+    # only ids are read to tell which ranges of a page have another one behind them; few have where revisions lie close
+    held = ranged.where(page.isNotNull() & range_.isNotNull()).select(key_).distinct()
+    followed = held.withColumn("next" + end_, F.lead(range_).over(Window.partitionBy(page).orderBy(range_))).where(next_.isNotNull())
+    last = ranged.join(followed, key_).groupBy(key_, next_).agg(F.max_by(F.struct(*sources.values()), "rev_id").alias(end_))
+    ends = last.select(F.struct(page.alias("page_id"), next_.alias("range")).alias(key_), end_)
+    both = here.join(ends, key_, "left").withColumn(end_, F.coalesce("here" + end_, end_))
+    return both.select(*[page.alias(c) if c == "page_id" else F.col(c) for c in rows.columns if c not in added], *[F.col(f"{end_}.p{i}").alias(n) for i, n in enumerate(added)])
 
 
 def lines(text: str | Column) -> Column:

@@ -1,4 +1,4 @@
-"""Pairs of texts are read, trimmed and cut once, and odd rows stay as they were."""
+"""Pairs of texts are met, trimmed and cut once, and odd rows stay as they were."""
 
 import hashlib
 import re
@@ -49,6 +49,26 @@ def test_a_round_deals_its_pieces_once(spark, tmp_path, plain_plans):
     assert got == [(1, 0, 0, ["a"], ["x"], False), (1, 3, 3, [], ["y"], True)]
 
 
+def test_texts_meet_their_parents_in_one_exchange(spark, tmp_path, plain_plans):
+    rows = [(p, p * 10 + i, f"text {p} {i}") for p in range(20) for i in range(4)] + [(7, 9000 + i, f"late {i}") for i in range(3)]
+    spark.createDataFrame(rows, "page_id long, rev_id long, text string").repartition(3).write.parquet(f"{tmp_path}/r")
+    out = diffs.with_parent(spark.read.parquet(f"{tmp_path}/r"), before="text")
+    plan = plain_plans(out)
+    assert len([x for x in plan.split("\n") if "FileScan" in x and "text:string" in x]) == 1
+    want, last = {}, {}
+    for page, rev, text in sorted(rows):
+        want[rev], last[page] = last.get(page, (None, None)), (rev, text)
+    assert {r.rev_id: (r.parent_id, r.before) for r in out.collect()} == want
+
+
+def test_odd_rows_and_parents(spark):
+    rows = [(None, 1, "a"), (None, 2, "b"), (1, None, "c"), (1, 3, None), (1, 3, None), (1, 70000, "e"), (2, 70001, ""), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, rev_id long, text string")
+    got = sorted(map(str, ((r.page_id, r.rev_id, r.text, r.parent_id, r.before) for r in diffs.with_parent(df, before="text").collect())))
+    want = [(None, 1, "a", None, None), (None, 2, "b", None, None), (1, None, "c", None, None), (1, 3, None, None, None), (1, 3, None, 3, None), (1, 70000, "e", 3, None), (2, 70001, "", None, None), (None, None, None, None, None)]
+    assert got == sorted(map(str, want))
+
+
 def test_the_query_reads_its_pairs_once_and_keeps_odd_rows(spark, tmp_path):
     rows = [(1, "One. Two. One", "en", "s"), (1, "One. Two. One", "en", "s"), (2, None, "fr", "s"), (3, "", None, "s"), (None, "x. y", "en", "s"), (4, "a. b", "de", None), (6, "Z\nZ. Z", "de", "t")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
