@@ -147,11 +147,23 @@ def quality_level(level: Column) -> Column:
     return F.get(F.array(*map(F.lit, names)), level.cast("int"))
 
 
-def placed_matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, text>> of a pattern's matches in order; start counts code points. Null for null."""
+def matches(text: Column, pattern: str) -> Column:
+    """array<string> of a pattern's matches in order. Null for null."""
+    return F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+
+
+def placed_matches(text: Column, pattern: str, hits: Column | None = None) -> Column:
+    """array<struct<start, text>> of a pattern's matches in order; start counts code points. Null for null.
+
+    hits are the matches of that text where they are a column already, so that they aren't looked for again.
+    """
     # a match begins after all that stands between matches before it, and those matches
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    sizes = F.zip_with(F.slice(F.split(text, pattern), 1, F.size(hits)), hits, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("text")))
+    between = F.split(text, pattern)
+    if hits is None:
+        hits = matches(text, pattern)
+    else:
+        between = F.when(F.size(hits) == 0, F.array().cast("array<string>")).otherwise(between)
+    sizes = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda a, b: F.struct(F.char_length(a).alias("gap"), b.alias("text")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
     step = lambda acc, x: F.struct((acc["at"] + x["gap"] + F.char_length(x["text"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["text"].alias("text")))).alias("out"))
     return F.aggregate(sizes, empty, step)["out"]
