@@ -47,7 +47,8 @@ def with_parent(revisions: DataFrame, **carried: str) -> DataFrame:
     # only ids are read to tell which ranges of a page have another one behind them; few have where revisions lie close
     held = ranged.where(page.isNotNull() & range_.isNotNull()).select(key_).distinct()
     followed = held.withColumn("next" + end_, F.lead(range_).over(Window.partitionBy(page).orderBy(range_))).where(next_.isNotNull())
-    last = ranged.join(followed, key_).groupBy(key_, next_).agg(F.max_by(F.struct(*sources.values()), "rev_id").alias(end_))
+    # by the key alone, in whose order the join leaves them: no further sort
+    last = ranged.join(followed, key_).groupBy(key_).agg(F.max_by(F.struct(*sources.values()), "rev_id").alias(end_), F.max(next_).alias("next" + end_))
     ends = last.select(F.struct(page.alias("page_id"), next_.alias("range")).alias(key_), end_)
     both = here.join(ends, key_, "left").withColumn(end_, F.coalesce("here" + end_, end_))
     return both.select(*[page.alias(c) if c == "page_id" else F.col(c) for c in rows.columns if c not in added], *[F.col(f"{end_}.p{i}").alias(n) for i, n in enumerate(added)])

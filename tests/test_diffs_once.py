@@ -83,3 +83,16 @@ def test_the_query_reads_its_pairs_once_and_keeps_odd_rows(spark, tmp_path):
         (5, md5("Version of s\n"), 1, False), (7, md5(""), 0, True), (9, md5(""), 0, False), (13, md5("Version of t\nZ\nZ.\nZ\nde"), 3, False),
     ]
     assert got == sorted(want), got
+
+
+def test_a_hot_page_sorts_its_rows_once_for_its_ends(spark, tmp_path, plain_plans):
+    rows = [(1 if i % 5 else 2 + i, i * 9, f"t{i}") for i in range(2000)]
+    spark.createDataFrame(rows, "page_id long, rev_id long, text string").write.parquet(f"{tmp_path}/hot")
+    out = diffs.with_parent(spark.read.parquet(f"{tmp_path}/hot"), before="text")
+    plan = plain_plans(out).split("\n")
+    first = next(i for i, x in enumerate(plan) if "partial_max_by" in x)
+    assert "Sort [" not in plan[first + 1]
+    want, last = {}, {}
+    for page, rev, text in rows:
+        want[rev], last[page] = last.get(page, (None, None)), (rev, text)
+    assert {r.rev_id: (r.parent_id, r.before) for r in out.collect()} == want
